@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup
+from . import bpe, decontaminate, exact_dedup, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,7 +48,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op5_exact_dedup": op5_exact_dedup, "op7_decontamination": op7_decontamination, "op8_bpe": op8_bpe}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4, seed=42)
+
+
+QUERIES: dict[str, Query] = {"op5_exact_dedup": op5_exact_dedup, "op7_decontamination": op7_decontamination, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": """

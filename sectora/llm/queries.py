@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, simhash
+from . import bpe, decontaminate, exact_dedup, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,7 +52,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4, seed=42)
 
 
-QUERIES: dict[str, Query] = {"op5_exact_dedup": op5_exact_dedup, "op7_decontamination": op7_decontamination, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash}
+def _kept_digest(doc_ids: pa.Array, n_words: list[int], n_removed: list[int], kept: list[bytes]) -> pa.RecordBatch:
+    columns = [doc_ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13, row=_kept_digest, schema="doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+QUERIES: dict[str, Query] = {"op5_exact_dedup": op5_exact_dedup, "op7_decontamination": op7_decontamination, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash, "op10_substring_dedup": op10_substring_dedup}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": """

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, simhash, substring_dedup
+from . import bpe, decontaminate, exact_dedup, quality, simhash, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,10 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held=0, threshold=0.5)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held=2, threshold=0.7)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -61,7 +69,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13, row=_kept_digest, schema="doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-QUERIES: dict[str, Query] = {"op5_exact_dedup": op5_exact_dedup, "op7_decontamination": op7_decontamination, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash, "op10_substring_dedup": op10_substring_dedup}
+QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op6_quality": op6_quality, "op5_exact_dedup": op5_exact_dedup, "op7_decontamination": op7_decontamination, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash, "op10_substring_dedup": op10_substring_dedup}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": """

@@ -2,8 +2,8 @@
 
 A window is `window` consecutive words. Its minimiser is the smallest hash among the `gram`-word sequences inside it. Consecutive windows of a document
 that share a minimiser form a super-k-mer and travel as one packed string to the bucket of that minimiser, so equal windows meet in one bucket while each
-word is moved only about three times instead of once per window. In a bucket the windows are sorted (by a hash of exact word numbers, equal hashes
-compared word by word) and the smallest id of each is found.
+word is moved only about three times instead of once per window. In a bucket the windows are sorted (by a rolling hash; windows that share a hash are
+compared byte by byte) and the smallest id of each is found.
 
 Combining before the shuffle: within a run of rows, windows that a smaller id of the same run has too are decided on the spot and aren't sent. A passage
 that stands in a third of all documents thus reaches its bucket once per run, not once per document. Decided windows ride along as word spans.
@@ -17,7 +17,6 @@ neither id is smaller. Texts shorter than a window lose nothing. An empty table
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,52 +62,72 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
         size *= 2
 
 
-def numbered(words: list[bytes], numbers: defaultdict) -> np.ndarray:
-    return np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD, PIECE = 4096, 1 << 20
+_ODD = 0x9E3779B97F4A7C15
 
 
-def numbering() -> defaultdict:
-    """Word -> its number, given out in order of appearance: exact, unlike a hash."""
-    numbers: defaultdict = defaultdict()
-    numbers.default_factory = numbers.__len__
-    return numbers
+def _powers(of: int) -> np.ndarray:
+    """1, of, of squared and so on, modulo 2^64."""
+    factors = np.full(PIECE + LONG_WORD + 1, of, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
 
 
-def later_windows(number: np.ndarray, at: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
-    """For windows starting at `at` (in documents `doc`): whether a window with the same words starts in a document with a smaller id."""
+_POWERS, _INVERSE = _powers(_ODD), _powers(pow(_ODD, -1, 1 << 64))
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """text: words, each followed by one space. The place of each word's first byte (and the end of the text), and a 64-bit hash of each word.
+
+    A word's hash is a polynomial in its bytes, cut from the running sum over a piece of the text, so no word is handled by itself."""
+    raw = np.frombuffer(text, np.uint8)
+    ends = np.flatnonzero(raw == 32)
+    place = np.concatenate(([0], ends + 1))
+    out = np.zeros(len(ends), np.uint64)
+    for w in np.flatnonzero(ends - place[:-1] > LONG_WORD).tolist():
+        out[w] = xxhash.xxh64_intdigest(text[place[w] : ends[w]])
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, place[first] + PIECE)))
+        low, high = int(place[first]), int(ends[last - 1])
+        if high - low <= PIECE + LONG_WORD:
+            total = np.concatenate(([np.uint64(0)], np.cumsum((raw[low:high] + np.uint64(1)) * _POWERS[: high - low])))
+            a, b = place[first:last] - low, ends[first:last] - low
+            out[first:last] = np.where(b - a > LONG_WORD, out[first:last], (total[b] - total[a]) * _INVERSE[a])
+        first = last
+    return place, mixed(out)
+
+
+def later_windows(text: bytes, place: np.ndarray, digest: np.ndarray, at: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """For windows starting at the words `at` (in documents `doc`): whether a window with the same words starts in a document with a smaller id."""
     if not len(at):
         return np.zeros(0, bool)
     width = np.uint64(max(1, int(len(at) - 1).bit_length()))
-    key = mixed(rolling(mixed(number.astype(np.uint64) + P1), k)[at]) >> width << width | np.arange(len(at), dtype=np.uint64)
+    key = mixed(rolling(digest, k)[at]) >> width << width | np.arange(len(at), dtype=np.uint64)
     key.sort()
     order = (key & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
     key >>= width
-    first = np.concatenate(([True], key[1:] != key[:-1]))
-    starts = np.flatnonzero(first)
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(starts, len(at)))
     several = np.repeat(sizes > 1, sizes)
     out = np.zeros(len(at), bool)
     if not several.any():
         return out
-    members = order[several]
-    sizes = sizes[sizes > 1]
-    starts = np.cumsum(sizes) - sizes
-    docs = doc[members]
-    low = np.minimum.reduceat(docs, starts)
-    out[members] = docs > np.repeat(low, sizes)
-    here, lead = at[members], np.repeat(at[members[starts]], sizes)
-    unlike = np.zeros(len(members), bool)
-    for j in range(k):
-        unlike |= number[here + j] != number[lead + j]
-    if unlike.any():  # different windows with one hash: those groups are taken apart by their words
+    members, sizes = order[several], sizes[sizes > 1]
+    docs, starts = doc[members], np.cumsum(sizes) - sizes
+    out[members] = docs > np.repeat(np.minimum.reduceat(docs, starts), sizes)
+    words = [text[a:b] for a, b in zip(place[at[members]].tolist(), place[at[members] + k].tolist(), strict=True)]
+    lead = np.repeat(starts, sizes).tolist()
+    unlike = [i for i, j in enumerate(lead) if words[i] != words[j]]
+    if unlike:  # different windows with one hash: those groups are taken apart by their words
         group = np.repeat(np.arange(len(sizes)), sizes)
         for g in np.unique(group[unlike]):
-            some = members[group == g]
+            some = np.flatnonzero(group == g)
             least: dict[bytes, int] = {}
             for i in some:
-                w = number[at[i] : at[i] + k].tobytes()
-                least[w] = min(least.get(w, doc[i]), doc[i])
-            out[some] = [doc[i] > least[number[at[i] : at[i] + k].tobytes()] for i in some]
+                least[words[i]] = min(least.get(words[i], docs[i]), docs[i])
+            out[members[some]] = [docs[i] > least[words[i]] for i in some]
     return out
 
 
@@ -133,27 +152,25 @@ def _unpacked(raw: bytes, dtype: str) -> np.ndarray:
 def super_kmers(doc_ids: list, keys: list, raws: list[bytes], window: int, gram: int, buckets: int) -> tuple[list[tuple[int, bytes, bytes]], np.ndarray]:
     """Rows (bucket, packed strings, their places) for a run of documents, and the spans decided within the run."""
     order = sorted((i for i, d in enumerate(doc_ids) if d is not None), key=lambda i: doc_ids[i])
-    split = [raws[i].split() for i in order]
-    lengths = np.array([len(w) for w in split], np.int64)
-    words = [w for x in split for w in x]
-    n = len(words) - window + 1
+    plain = [b" ".join(raws[i].split()) for i in order]
+    lengths = np.array([x.count(b" ") + 1 if x else 0 for x in plain], np.int64)
+    text = b" ".join(filter(None, plain)) + b" "
+    n = int(lengths.sum()) - window + 1
     if n <= 0:
         return [], np.zeros(0, SPANS)
-    numbers = numbering()
-    number = numbered(words, numbers)
-    row = np.repeat(np.arange(len(order)), lengths)
+    place, digest = word_hashes(text)
+    row = np.repeat(np.arange(len(order), dtype=np.int32), lengths)
     doc, key = np.array([doc_ids[i] for i in order], np.int64), np.array([keys[i] for i in order], np.int64)
     first = np.cumsum(lengths) - lengths
     inside = row[:n] == row[window - 1 :]
     at = np.flatnonzero(inside)
     later = np.zeros(n, bool)
-    later[at] = later_windows(number, at, doc[row[at]], window)
+    later[at] = later_windows(text, place, digest, at, doc[row[at]], window)
     new_row = np.concatenate(([True], row[1:n] != row[: n - 1]))
     a, b = runs(later, new_row)
     spans = np.zeros(len(a), SPANS)
     spans["doc"], spans["key"], spans["start"], spans["end"] = doc[row[a]], key[row[a]], a - first[row[a]], b - 1 + window - first[row[a]]
     # super-k-mers of the windows that are left
-    digest = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))[number]
     low = mixed(rolling(digest, gram))
     reach, have = window - gram + 1, 1
     while have < reach:
@@ -166,9 +183,7 @@ def super_kmers(doc_ids: list, keys: list, raws: list[bytes], window: int, gram:
     bucket = (mixed(low[a] + P1) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     a, b, bucket = a[by], b[by] + window - 1, bucket[by]
-    text = b" ".join(words) + b" "
-    offset = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
-    cut = [text[x:y] for x, y in zip(offset[a].tolist(), offset[b].tolist(), strict=True)]
+    cut = [text[x:y] for x, y in zip(place[a].tolist(), place[b].tolist(), strict=True)]
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     pack = zstandard.ZstdCompressor(level=3).compress
     out = []
@@ -182,25 +197,25 @@ def super_kmers(doc_ids: list, keys: list, raws: list[bytes], window: int, gram:
 def bucket_spans(strings: list[bytes], places: list[bytes], window: int) -> np.ndarray:
     """Spans of the windows of a bucket's packed strings that a smaller id has too."""
     unpack = zstandard.ZstdDecompressor().decompress
-    numbers, number, docs, keys, starts, counts = numbering(), [], [], [], [], []
-    for s, p in zip(strings, places, strict=True):
-        number.append(numbered(unpack(s).split(), numbers))
+    docs, keys, starts, counts = [], [], [], []
+    for p in places:
         raw = unpack(p)
         n = len(raw) // 24
         docs.append(_unpacked(raw[: 8 * n], "<i8"))
         keys.append(_unpacked(raw[8 * n : 16 * n], "<i8"))
         starts.append(np.frombuffer(raw[16 * n : 20 * n], "<i4"))
         counts.append(np.frombuffer(raw[20 * n :], "<i4"))
-    if not number:
+    if not docs:
         return np.zeros(0, SPANS)
-    del numbers
-    number, doc, key, start, count = map(np.concatenate, (number, docs, keys, starts, counts))
-    row = np.repeat(np.arange(len(count)), count)
+    text = b"".join(map(unpack, strings))
+    place, digest = word_hashes(text)
+    doc, key, start, count = map(np.concatenate, (docs, keys, starts, counts))
+    row = np.repeat(np.arange(len(count), dtype=np.int32), count)
     n = len(row) - window + 1
     inside = row[:n] == row[window - 1 :]
     at = np.flatnonzero(inside)
     later = np.zeros(n, bool)
-    later[at] = later_windows(number, at, doc[row[at]], window)
+    later[at] = later_windows(text, place, digest, at, doc[row[at]], window)
     a, b = runs(later, np.concatenate(([True], row[1:n] != row[: n - 1])))
     first = (np.cumsum(count) - count)[row[a]]
     spans = np.zeros(len(a), SPANS)
@@ -208,7 +223,7 @@ def bucket_spans(strings: list[bytes], places: list[bytes], window: int) -> np.n
     return spans
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 3, bucket_bytes: int = 32 << 20, run_bytes: int = 16 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 3, bucket_bytes: int = 10 << 20, run_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, key, spans (array of packed [start, end) word numbers as binary) of rows (doc_id, text, key) that have repeated windows."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-3 * size // bucket_bytes))
@@ -265,7 +280,7 @@ def covered(n: int, spans: list[bytes] | None) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 3, id_col: str = "doc_id", text_col: str = "text", row: Callable | None = None, schema: str = "doc_id long, n_words long, n_removed long, text string", bucket_bytes: int = 32 << 20, run_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 3, id_col: str = "doc_id", text_col: str = "text", row: Callable | None = None, schema: str = "doc_id long, n_words long, n_removed long, text string", bucket_bytes: int = 10 << 20, run_bytes: int = 4 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed and the words that stay, joined by one space; or what `row(doc_ids, n_words, n_removed, kept)`
     makes of a batch under `schema`."""
     rows = texts(docs, id_col, text_col)

@@ -60,15 +60,27 @@ def test_rolling_covers_each_window_whole():
         assert len(np.unique(got)) == len(got)
 
 
-def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
-    monkeypatch.setattr(sd, "mixed", lambda x: x % np.uint64(3) << np.uint64(60))
+def test_windows_that_share_a_hash_are_told_apart():
     r = np.random.default_rng(2)
-    number, k = r.integers(0, 3, 200).astype(np.int32), 3
+    words = [b"abc"[i : i + 1] for i in r.integers(0, 3, 200)]
+    text, k = b" ".join(words) + b" ", 3
+    place, _ = sd.word_hashes(text)
     at, doc = np.arange(198), r.integers(0, 20, 198)
     least = {}
     for a in at:
-        least[tuple(number[a : a + k])] = min(least.get(tuple(number[a : a + k]), 99), doc[a])
-    assert sd.later_windows(number, at, doc, k).tolist() == [bool(doc[a] > least[tuple(number[a : a + k])]) for a in at]
+        least[tuple(words[a : a + k])] = min(least.get(tuple(words[a : a + k]), 99), doc[a])
+    got = sd.later_windows(text, place, np.zeros(200, np.uint64), at, doc, k)
+    assert got.tolist() == [bool(doc[a] > least[tuple(words[a : a + k])]) for a in at]
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    r = random.Random(6)
+    words = [bytes(r.choice(b"abc\xc3\xa9") for _ in range(r.choice([1, 2, 5, 30]))) for _ in range(2000)] + [b"x" * 5000, b"y" * 3_000_000, b"x" * 5000, b"z" * 4096] + [b"q" * 4000] * 600
+    place, digest = sd.word_hashes(b" ".join(words) + b" ")
+    alone = {}
+    for w, d, a in zip(words, digest.tolist(), place.tolist(), strict=False):
+        assert alone.setdefault(w, d) == d == sd.word_hashes(w + b" ")[1][0]
+    assert len(set(alone.values())) == len(alone) and len(digest) == len(words)
 
 
 def test_empty_table(spark):

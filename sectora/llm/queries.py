@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, quality, simhash, substring_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, license_scan, quality, simhash, substring_dedup, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,40 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held=0, threshold=0.5)
 
 
+def dated_captures(pages: DataFrame) -> DataFrame:
+    """pages has no fetch dates; each page gets a day of two years from its id."""
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 7919, F.lit(730)).cast("int")).alias("fetch_date"))
+
+
+def dated_entries(captures: DataFrame) -> DataFrame:
+    """A log of list entries for the hosts of the captures, by a fixed rule: hosts are put on, taken off and put back on the list `abuse`, their domains of
+    three labels on `spam`, and host and first path segment on `paths`, to block or to allow."""
+    host = url_filters.host_of(F.col("url"))
+    segment = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)", 1)
+    hosts = captures.select(host.alias("host"), segment.alias("segment")).filter("host is not null").distinct()
+    day = lambda c: F.length(c) * 37 + F.ascii(c) * 11 + F.ascii(F.substring(c, 4, 1)) * 5
+    on = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    domain = F.element_at(F.split("host", r"\."), -3)
+    entry = lambda name, pattern, action, date: F.struct(F.lit(name).alias("list"), pattern.alias("pattern"), action.alias("action"), date.alias("entry_date"))
+    h, d, p = F.col("host"), F.concat(domain, F.lit("."), F.substring_index("host", ".", -2)), F.concat("host", F.lit("/"), "segment")
+    block, allow = F.lit("block"), F.lit("allow")
+    log = F.array(
+        entry("abuse", h, block, on(day(h) % 500)), entry("abuse", h, allow, on(day(h) % 500 + 120)), entry("abuse", h, block, on(day(h) % 500 + 400)),
+        entry("spam", d, block, on(day(d) % 300)), entry("spam", d, allow, on(day(d) % 300 + 200)),
+        entry("paths", p, F.when(F.ascii("segment") % 2 == 0, block).otherwise(allow), on(day(p) % 600)),
+    )
+    return hosts.select(F.explode(log).alias("e")).select("e.*").filter("pattern is not null").distinct()
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = dated_captures(table(spark, sf_dir, "pages"))
+    return url_filters.judge(captures, dated_entries(captures))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
@@ -69,9 +103,90 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13, row=_kept_digest, schema="doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op6_quality": op6_quality, "op5_exact_dedup": op5_exact_dedup, "op7_decontamination": op7_decontamination, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash, "op10_substring_dedup": op10_substring_dedup}
+QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op4_license_scan": op4_license_scan, "op6_quality": op6_quality, "op5_exact_dedup": op5_exact_dedup, "op7_decontamination": op7_decontamination, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash, "op10_substring_dedup": op10_substring_dedup}
+
+_TEMPLATES = ", ".join(
+    f"({number}, {q}, {len(words)}, '{words[q]}', '{words[q + 1]}', '{label}', {str(number < len(license_scan.PHRASES)).lower()})"
+    for number, (text, label) in enumerate([*license_scan.PHRASES.items(), *license_scan.NOTICES.items()])
+    for words in ["".join(c if c.isalnum() else " " for c in text).split()]
+    for q in range(len(words) - 1)
+)
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": r"""
+        WITH captures AS (
+            SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 7919) % 730 AS INTEGER) AS fetch_date,
+                   nullif(trim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '.'), '') AS host,
+                   regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS segment
+            FROM pages
+        ), hosts AS (
+            SELECT DISTINCT host, segment, array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') AS three, length(host) - length(replace(host, '.', '')) AS dots
+            FROM captures WHERE host IS NOT NULL
+        ), named AS (
+            SELECT host AS pattern, 'abuse' AS list, ascii('x') AS k, segment FROM hosts
+            UNION ALL SELECT three, 'spam', 0, segment FROM hosts WHERE dots >= 2
+            UNION ALL SELECT host || '/' || segment, 'paths', 0, segment FROM hosts
+        ), days AS (
+            SELECT *, length(pattern) * 37 + ascii(pattern) * 11 + ascii(substr(pattern, 4, 1)) * 5 AS n FROM named
+        ), entries AS (
+            SELECT list, pattern, 'block' AS action, DATE '2024-01-01' + CAST(n % 500 AS INTEGER) AS entry_date FROM days WHERE list = 'abuse'
+            UNION SELECT list, pattern, 'allow', DATE '2024-01-01' + CAST(n % 500 + 120 AS INTEGER) FROM days WHERE list = 'abuse'
+            UNION SELECT list, pattern, 'block', DATE '2024-01-01' + CAST(n % 500 + 400 AS INTEGER) FROM days WHERE list = 'abuse'
+            UNION SELECT list, pattern, 'block', DATE '2024-01-01' + CAST(n % 300 AS INTEGER) FROM days WHERE list = 'spam'
+            UNION SELECT list, pattern, 'allow', DATE '2024-01-01' + CAST(n % 300 + 200 AS INTEGER) FROM days WHERE list = 'spam'
+            UNION SELECT list, pattern, CASE WHEN ascii(segment) % 2 = 0 THEN 'block' ELSE 'allow' END, DATE '2024-01-01' + CAST(n % 600 AS INTEGER) FROM days WHERE list = 'paths'
+        ), known AS (
+            SELECT list, lower(pattern) AS pattern, entry_date AS valid_from, max(action) AS action FROM entries GROUP BY ALL
+        ), spans AS (
+            SELECT *, lead(valid_from) OVER (PARTITION BY list, pattern ORDER BY valid_from) AS valid_to FROM known
+        ), names AS (
+            SELECT DISTINCT url, fetch_date, segment, name FROM (
+                SELECT url, fetch_date, segment, host AS name FROM captures WHERE host IS NOT NULL
+                UNION ALL
+                SELECT url, fetch_date, segment, array_to_string(list_slice(string_split(host, '.'), -k, -1), '.')
+                FROM captures, range(2, 9) AS r(k) WHERE host IS NOT NULL AND k <= length(host) - length(replace(host, '.', '')) + 1
+            )
+        ), asked AS (
+            SELECT url, fetch_date, name AS pattern FROM names UNION SELECT url, fetch_date, name || '/' || segment FROM names WHERE segment <> ''
+        ), by_list AS (
+            SELECT url, fetch_date, list, arg_max(action, length(asked.pattern) * 2 + CAST(action = 'block' AS INTEGER)) AS action, count(*) AS n
+            FROM asked JOIN spans ON asked.pattern = spans.pattern AND fetch_date >= valid_from AND (valid_to IS NULL OR fetch_date < valid_to)
+            GROUP BY ALL
+        ), verdicts AS (
+            SELECT url, fetch_date, coalesce(string_agg(list, ',' ORDER BY list) FILTER (WHERE action = 'block'), '') AS lists, sum(n) AS n_entries FROM by_list GROUP BY ALL
+        )
+        SELECT page_id, url, fetch_date, host, coalesce(lists, '') <> '' AS blocked, coalesce(lists, '') AS lists, CAST(coalesce(n_entries, 0) AS BIGINT) AS n_entries
+        FROM captures LEFT JOIN verdicts USING (url, fetch_date)
+    """,
+    "op4_license_scan": r"""
+        WITH grams(template, q, length, t0, t1, label, phrase) AS (VALUES """
+    + _TEMPLATES
+    + r"""), split AS (
+            SELECT doc_id, row_number() OVER () AS rid,
+                   list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), placed AS (
+            SELECT rid, unnest(words) AS w0, unnest(list_concat(words[2:], [NULL])) AS w1, unnest(range(len(words))) AS p FROM split WHERE len(words) > 0
+        ), votes AS (
+            SELECT rid, template, length, label, phrase, p - q AS place, count(*) AS votes FROM placed JOIN grams ON w0 = t0 AND w1 = t1 GROUP BY ALL
+        ), marked AS (
+            SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY rid, template ORDER BY place) <= 2 THEN 0 ELSE 1 END AS new FROM votes WHERE NOT phrase
+        ), runs AS (
+            SELECT *, sum(new) OVER (PARTITION BY rid, template ORDER BY place) AS run FROM marked
+        ), found AS (
+            SELECT rid, place, label, true AS base, 1.0::DOUBLE AS share FROM votes WHERE phrase AND votes = length - 1
+            UNION ALL
+            SELECT rid, min(place), label, false, least(1.0::DOUBLE, sum(votes) / (length - 1)) FROM runs GROUP BY rid, template, length, label, run
+            HAVING least(1.0::DOUBLE, sum(votes) / (length - 1)) >= 0.75
+        ), by_doc AS (
+            SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(place) FILTER (WHERE base) AS first_word, max(place) FILTER (WHERE base) AS last_word,
+                   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+            FROM found GROUP BY rid
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+        FROM split LEFT JOIN by_doc USING (rid)
+    """,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

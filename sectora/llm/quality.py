@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
-from .common import as_bytes, fold, parts, stored
+from .common import as_bytes, fold, fresh, parts, stored
 
 NAMES = (
     "log_bytes log_words mean_word_length log_longest_word upper_share digit_share space_share newline_share high_byte_share control_share stop_share comma_share "
@@ -172,8 +172,6 @@ def scored(rows: DataFrame, model: Trees, drop: str = "statistics", name: str =
             kept = [c for k, c in enumerate(part.columns) if k != at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sent.value.score(x))], [f.name for f in fields] + [name])
 
-    from pyspark.sql.types import DoubleType
-
     return rows.mapInArrow(run, StructType([*fields, StructField(name, DoubleType())]))
 
 
@@ -187,8 +185,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, threshold: float = 0.7, fit_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that score at least the threshold."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    own, known = fresh(docs, "statistics"), labels.select(labels[id_col].alias("doc_id")).filter("doc_id is not null").distinct()
     teach = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).filter(fold(F.col("doc_id"), folds) != held)
-    known = labels.select(labels[id_col].alias("doc_id")).filter("doc_id is not null").distinct()
-    model = train(stored(with_statistics(teach.join(known, "doc_id", "left_semi")).drop("text"), "statistics"), labels, label, fit_rows)
-    return scored(with_statistics(rows), model).filter(F.col("score") >= threshold).select("row.*")
+    teach = stored(with_statistics(teach).drop("text").join(known, "doc_id", "left_semi"), "statistics")
+    model = train(teach, labels, label, fit_rows)
+    probability = fresh(docs, "probability")
+    return scored(with_statistics(docs, text_col, own), model, own, probability).filter(F.col(probability) >= threshold).drop(probability)

@@ -221,7 +221,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = stored(judged.filter("not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "near-gone")
     twice = judged.filter("stays").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1")
     boxed = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    boxed = boxed.withColumn("text_key", F.xxhash64("text"))
+    boxed = boxed.select("doc_id", F.xxhash64("text").alias("text_key"), "row")
     kept = boxed.join(gone, boxed["doc_id"].eqNullSafe(gone["gone_id"]) & (boxed["text_key"] == gone["gone_key"]), "left_anti")
     if not twice.isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text_key"])

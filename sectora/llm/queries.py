@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, license_scan, quality, simhash, substring_dedup, toxicity, url_filters
+from . import bpe, decontaminate, exact_dedup, license_scan, maxent, quality, simhash, substring_dedup, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(captures, dated_entries(captures))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(table(spark, sf_dir, "documents"), folds=7, held=2)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -103,7 +107,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13, row=_kept_digest, schema="doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op4_license_scan": op4_license_scan, "op6_quality": op6_quality, "op5_exact_dedup": op5_exact_dedup, "op7_decontamination": op7_decontamination, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash, "op10_substring_dedup": op10_substring_dedup}
+QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_lm_scoring": op3_lm_scoring, "op4_license_scan": op4_license_scan, "op6_quality": op6_quality, "op5_exact_dedup": op5_exact_dedup, "op7_decontamination": op7_decontamination, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash, "op10_substring_dedup": op10_substring_dedup}
 
 _TEMPLATES = ", ".join(
     f"({number}, {q}, {len(words)}, '{words[q]}', '{words[q + 1]}', '{label}', {str(number < len(license_scan.PHRASES)).lower()})"

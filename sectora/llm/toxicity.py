@@ -50,11 +50,11 @@ def seen_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class KneserNey:
     """Log-likelihood ratios of words and word pairs, toxic against ordinary, ready for lookup."""
 
-    def __init__(self, words: list[bytes], contexts: np.ndarray, shared: np.ndarray, before: list[bytes], follow: np.ndarray, pairs: tuple[list[bytes], list[bytes], np.ndarray], discount: float):
-        """contexts: per word and class, how many different words it follows; shared: the same over both classes; follow: per preceding word and class,
+    def __init__(self, numbers: dict[bytes, int], contexts: np.ndarray, shared: np.ndarray, before: list[bytes], follow: np.ndarray, pairs: tuple[list[bytes], list[bytes], np.ndarray], discount: float):
+        """numbers: words, numbered from 0; contexts: per word and class, how many different words it follows; shared: the same over both classes; follow: per preceding word and class,
         the sum of its pairs' counts; pairs: the pairs that are kept, with their counts by class (different words ahead of the pair)."""
-        self.numbers = {w: i for i, w in enumerate(words)}
-        v = len(words)
+        self.numbers = numbers
+        v = len(numbers)
         unknown, start = v, v + 1
         base = np.append(shared, 0) + 0.5
         base /= base.sum()
@@ -147,13 +147,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     words = counted.groupBy("word").agg(seen("n0"), seen("n1"), F.count("*").alias("contexts")).toArrow()
     follow = counted.groupBy("before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 > 1").toArrow()
     pairs = counted.filter("n0 + n1 > 1").toArrow()
-    return chosen(sample.filter("line"), [KneserNey(*tables(words, follow, pairs if order == 2 else pairs.slice(0, 0)), d) for d in DISCOUNTS for order in ORDERS], total)
+    known = tables(words, follow, pairs)
+    none = [], [], np.zeros((0, 2))
+    return chosen(sample.filter("line"), [KneserNey(*(known if order == 2 else (*known[:-1], none)), d) for d in DISCOUNTS for order in ORDERS], total)
 
 
 def tables(words: pa.Table, follow: pa.Table, pairs: pa.Table) -> tuple:
     by_class = lambda t: np.stack([t.column("n0").to_numpy(), t.column("n1").to_numpy()], 1).astype(float)
     lists = [t.column(c).to_pylist() for t, c in ((words, "word"), (follow, "before"), (pairs, "before"), (pairs, "word"))]
-    return lists[0], by_class(words), words.column("contexts").to_numpy().astype(float), lists[1], by_class(follow), (lists[2], lists[3], by_class(pairs))
+    return {w: i for i, w in enumerate(lists[0])}, by_class(words), words.column("contexts").to_numpy().astype(float), lists[1], by_class(follow), (lists[2], lists[3], by_class(pairs))
 
 
 def chosen(sample: DataFrame, models: list[KneserNey], total: dict[int, int]) -> Detector:

@@ -46,7 +46,7 @@ def test_the_tables_are_the_definition():
     shared = {w: max(c) for w, c in contexts.items()}
     pairs = {(START, b"a"): (3, 0), (b"a", b"b"): (0, 5), (b"c", b"a"): (4, 4)}
     follow = {START: (4, 1), b"a": (3, 6), b"c": (6, 5)}
-    m = KneserNey(list(contexts), np.array([*contexts.values()], float), np.array([*shared.values()], float), list(follow), np.array([*follow.values()], float), ([k[0] for k in pairs], [k[1] for k in pairs], np.array([*pairs.values()], float)), 2.0)
+    m = KneserNey({w: i for i, w in enumerate(contexts)}, np.array([*contexts.values()], float), np.array([*shared.values()], float), list(follow), np.array([*follow.values()], float), ([k[0] for k in pairs], [k[1] for k in pairs], np.array([*pairs.values()], float)), 2.0)
     some = [b"A b", b"c a b zz d", b"", b"a a a, b! c"]
     got, n = m.differences(some, (0.0,))
     assert n.tolist() == [2, 5, 0, 5]

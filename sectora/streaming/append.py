@@ -1,0 +1,24 @@
+"""Flat cell files that keep arriving: a stream appends them to a cell table, cells that come again add up when the table is read."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from .. import schema
+
+
+def append_cells(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Runs through what has arrived of a stream of labelled cells and appends it, once each batch: a batch that is run again replaces its own files."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_cells(spark: SparkSession, table: str) -> DataFrame:
+    """The cells of the table, duplicates added up."""
+    keys = [f.split(" ")[0] for f in schema.LABELLED.split(", ")][:-1]
+    return spark.read.parquet(table).groupBy(*keys).agg(F.sum("value").alias("value"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
-from .common import as_bytes, fold, fresh, parts, stored
+from .common import as_bytes, fold, parts, stored
 
 NAMES = (
     "log_bytes log_words mean_word_length log_longest_word upper_share digit_share space_share newline_share high_byte_share control_share stop_share comma_share "
@@ -185,9 +185,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, threshold: float = 0.7, fit_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that score at least the threshold."""
-    own, known = fresh(docs, "statistics"), labels.select(labels[id_col].alias("doc_id")).filter("doc_id is not null").distinct()
+    known = labels.select(labels[id_col].alias("doc_id")).filter("doc_id is not null").distinct()
     teach = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).filter(fold(F.col("doc_id"), folds) != held)
     teach = stored(with_statistics(teach).drop("text").join(known, "doc_id", "left_semi"), "statistics")
-    model = train(teach, labels, label, fit_rows)
-    probability = fresh(docs, "probability")
-    return scored(with_statistics(docs, text_col, own), model, own, probability).filter(F.col(probability) >= threshold).drop(probability)
+    sent = docs.sparkSession.sparkContext.broadcast(train(teach, labels, label, fit_rows))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            score = sent.value.score(np.stack([statistics(x) for x in as_bytes(part.column(at))]))
+            yield part.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

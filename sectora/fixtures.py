@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
+from .deploy import ship
 from .model import Model
 
 #: The segments in order; the sales tables have these five.
@@ -22,6 +23,7 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales by origin, part group, destination, segment, priority, first line or not, returned or not: a few thousand rows whatever the input, kept."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CUBES:
+        ship(spark)
         read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
         place = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
         sellers = read("supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("ro"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from . import bpe, decontaminate, exact_dedup, license_scan, maxent, quality, simhash, substring_dedup, toxicity, url_filters
 from .common import modest_batches
 
@@ -16,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

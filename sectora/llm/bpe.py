@@ -13,6 +13,7 @@ Nulls and empty texts have no tokens; their decoded text is empty. Repeated rows
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -178,54 +179,72 @@ def _trees(pieces: list[bytes], width: int, v: Vocabulary) -> Iterator[bytes]:
         start = end
 
 
+#: A space that white space or nothing follows: only around these can a cut before a space be wrong.
+ODD_SPACE = re.compile(r" [\s\x85]| \Z")
+
+
 class Codec:
-    """Encodes and decodes texts; keeps the ids of chunks it has seen, at most cache_entries of them."""
+    """Encodes and decodes texts; keeps the ids of chunks it has seen, at most about cache_entries of them."""
 
     def __init__(self, vocabulary: Vocabulary, cache_entries: int = 400_000):
         self.v, self.most = vocabulary, cache_entries
-        self.chunks: dict[str, bytes] = {}
+        self.whole: dict[str, bytes] = {}  # chunks as they stand
+        self.spaced: dict[str, bytes] = {}  # chunks by what follows their leading space
         self.piece = regex.compile(PIECE)
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.added, key=len, reverse=True)))) if vocabulary.added else None
 
-    def _chunks(self, text: str) -> list[str]:
-        """Cuts before each space that something other than white space follows; the pattern always cuts there."""
+    def _cut(self, text: str) -> tuple[list[str], list[str]]:
+        """The text as chunks that the pattern always parts: some as they stand, then some without the space they begin with.
+
+        The pattern cuts before each space that something other than white space follows."""
         found = text.split(" ")
-        if any(map(str.isspace, {x[:1] for x in found} - {""})) or "" in found or "\x85" in text:
-            joined: list[str] = [found[0]]
-            for x in found[1:]:
-                if x and not x[0].isspace() and x[0] != "\x85":
-                    joined.append(" " + x)
-                else:
-                    joined[-1] += " " + x
-            return joined
-        return [found[0], *(" " + x for x in found[1:])]
+        if not ODD_SPACE.search(text):
+            return found[:1], found[1:]
+        joined: list[str] = [found[0]]
+        for x in found[1:]:
+            if x and not x[0].isspace() and x[0] != "\x85":
+                joined.append(" " + x)
+            else:
+                joined[-1] += " " + x
+        return joined, []
+
+    def _with_specials(self, text: str) -> tuple[list[str], list[str]]:
+        """As _cut, with the special tokens' strings as chunks of their own; `whole` always has these."""
+        out: list[str] = []
+        start = 0
+        for m in self.special.finditer(text):
+            out += [*self._chunks(text[start : m.start()]), m[0]]
+            start = m.end()
+        return out + self._chunks(text[start:]), []
+
+    def _chunks(self, text: str) -> list[str]:
+        as_is, spaced = self._cut(text) if text else ([], [])
+        return [*as_is, *(" " + x for x in spaced)]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
-        cut: list[list[str | bytes]] = []
-        for text in batch:
-            row: list[str | bytes] = []
-            if self.special and any(s in text for s in self.v.added):
-                start = 0
-                for m in self.special.finditer(text):
-                    row += self._chunks(text[start : m.start()]) if m.start() > start else []
-                    row.append(self.v.added[m[0]].to_bytes(4, "little"))
-                    start = m.end()
-                row += self._chunks(text[start:]) if start < len(text) else []
-            elif text:
-                row = self._chunks(text)
-            cut.append(row)
-        if len(self.chunks) > self.most:
-            self.chunks.clear()
-        seen = self.chunks
-        new = list({x for row in cut for x in row if x not in seen and isinstance(x, str)})
-        if new:
-            pieces = [[p.encode() for p in self.piece.findall(x)] for x in new]
-            short = list({p for row in pieces for p in row if len(p) <= IN_STEP})
-            ids = dict(zip(short, merge_in_step(short, self.v), strict=True))
-            for x, row in zip(new, pieces, strict=True):
-                seen[x] = b"".join(ids[p] if len(p) <= IN_STEP else np.array(merge_alone(p, self.v), "<u4").tobytes() for p in row)
-        return [b"".join([x if isinstance(x, bytes) else seen[x] for x in row]) for row in cut]
+        if len(self.whole) + len(self.spaced) > self.most:
+            self.whole.clear()
+            self.spaced.clear()
+        for token, i in self.v.added.items():
+            self.whole[token] = i.to_bytes(4, "little")
+        cut = [self._with_specials(x) if self.special and any(s in x for s in self.v.added) else self._cut(x) for x in batch]
+        self._learn(set().union(*(c[0] for c in cut)), self.whole, "")
+        self._learn(set().union(*(c[1] for c in cut)), self.spaced, " ")
+        whole, spaced = self.whole.__getitem__, self.spaced.__getitem__
+        return [b"".join([*map(whole, a), *map(spaced, b)]) for a, b in cut]
+
+    def _learn(self, chunks: set[str], known: dict[str, bytes], lead: str) -> None:
+        """Adds the ids of chunks that aren't known."""
+        new = [x for x in chunks if x not in known]
+        if not new:
+            return
+        findall = self.piece.findall
+        pieces = [[p.encode() for p in findall(lead + x)] for x in new]
+        short = list({p for row in pieces for p in row if len(p) <= IN_STEP})
+        ids = dict(zip(short, merge_in_step(short, self.v), strict=True))
+        for x, row in zip(new, pieces, strict=True):
+            known[x] = b"".join([ids[p] if len(p) <= IN_STEP else np.array(merge_alone(p, self.v), "<u4").tobytes() for p in row])
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")

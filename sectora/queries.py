@@ -90,9 +90,9 @@ def _(m: Model) -> DataFrame:
     return rows_of(m, kernels.neumann_inverse(m.resolve("z"), m.ids("Sector")), 7)
 
 
-@iot_query("iot_output_from_coefficients", S.block("x", 2))
+@iot_query("iot_output_from_coefficients", S.block("x", 4))
 def _(m: Model) -> DataFrame:
-    return rows_of(m, kernels.solve(m.resolve("z"), B.sum_rows(m.resolve("Y")), m.ids("Sector")), 2)
+    return rows_of(m, kernels.solve(m.resolve("z"), B.sum_rows(m.resolve("Y")), m.ids("Sector")), 4)
 
 
 @iot_query("iot_demand_shares", S.block("(SELECT i, j, v / (SELECT sum(v) FROM yf) AS v FROM yf)", 9, "yf"))
@@ -253,7 +253,7 @@ def _(m: Model) -> DataFrame:
 
 for _method, _z, _y in (("b", "z_b", "yc_b"), ("d", "z_d", "y_d"), ("a", "z_a", "yc_b"), ("c", "z_c", "y_c")):
     add(f"to_iot_{_method}_flows", lambda spark, d, k=_method: (lambda m: rows_of(m, m.resolve("Z"), 3))(structure.to_iot(sut_model(spark, d), k.upper())), S.block(_z, 3))
-    add(f"to_iot_{_method}_demand", lambda spark, d, k=_method: (lambda m: rows_of(m, m.resolve("Y"), 3))(structure.to_iot(sut_model(spark, d), k.upper())), S.block(_y, 3))
+    add(f"to_iot_{_method}_demand", lambda spark, d, k=_method: (lambda m: rows_of(m, m.resolve("Y"), 4 if k in "ab" else 3))(structure.to_iot(sut_model(spark, d), k.upper())), S.block(_y, 4 if _method in "ab" else 3))
 
 
 @sut_query("chenery_moses_supply", S.block("cm_s", 3))
@@ -352,11 +352,11 @@ def _(m: Model) -> DataFrame:
     return rows_of(out, out.resolve("z", "trade"), 8)
 
 
-@iot_query("ras_margins", S.select("SELECT i AS row_label, '' AS col_label, round(1.1 * sum(v), 2) + 0.0 AS value FROM zf GROUP BY i", "zf"))
+@iot_query("ras_margins", S.select("SELECT i AS row_label, '' AS col_label, round(1.1 * sum(v), 0) + 0.0 AS value FROM zf GROUP BY i", "zf"))
 def _(m: Model) -> DataFrame:
     z = m.resolve("Z")
     more = lambda x: x.withColumn("value", F.col("value") * 1.1)
-    return rows_of(m, B.sum_rows(balance.ras(z, more(B.sum_rows(z)), more(B.sum_columns(z)))), 2)
+    return rows_of(m, B.sum_rows(balance.ras(z, more(B.sum_rows(z)), more(B.sum_columns(z)))), 0)
 
 
 @iot_query("add_sector_output", None)

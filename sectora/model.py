@@ -5,8 +5,10 @@ its last tasks. What formulas have in common is kept by Spark (memory, then disk
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
+from datetime import datetime, timezone
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -143,6 +145,22 @@ class Model:
         """Whether both have the same kind and labels."""
         return self.kind == other.kind and all(a.exceptAll(b).isEmpty() for a, b in ((self.axis, other.axis), (other.axis, self.axis)))
 
+    # --- notes
+
+    def note(self, text: str) -> Model:
+        """The model with a dated line in its history."""
+        line = f"{datetime.now(timezone.utc):%Y-%m-%d %H:%M:%S} {text}"
+        return replace(self, meta={**self.meta, "history": (*self.meta.get("history", ()), line)})
+
+    def describe(self, **meta) -> Model:
+        """The model with entries (name, year, source, price, licence, ...) in its metadata."""
+        return replace(self, meta={**self.meta, **meta})
+
+    def save_meta(self, path: str) -> None:
+        """Metadata and history as one JSON line, in any store that Spark writes."""
+        line = json.dumps({"kind": self.kind, "tech": self.tech, **self.meta}, default=str, sort_keys=True)
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(path)
+
     # --- blocks
 
     def has(self, matrix: str, scenario: str | None = None) -> bool:
@@ -151,25 +169,25 @@ class Model:
     def stored_block(self, matrix: str, scenario: str | None = None) -> DataFrame:
         return self.cells.filter((F.col("scenario") == (scenario or self.baseline)) & (F.col("matrix") == matrix)).select("i", "j", "value")
 
-    def planner(self, scenario: str | None = None, method: str = "inverse") -> Planner:
+    def planner(self, scenario: str | None = None, method: str | None = None) -> Planner:
         scenario = scenario or self.baseline
         if scenario not in self.names:
             raise WrongInput(f"no scenario is called {scenario!r}")
         return Planner(self, scenario, method)
 
-    def resolve(self, matrix: str, scenario: str | None = None, method: str = "inverse") -> DataFrame:
+    def resolve(self, matrix: str, scenario: str | None = None, method: str | None = None) -> DataFrame:
         """The block of a matrix, made if need be."""
         return self.planner(scenario, method).resolve(matrix)
 
-    def resolve_many(self, matrices: Iterable[str], scenario: str | None = None, method: str = "inverse") -> dict[str, DataFrame]:
+    def resolve_many(self, matrices: Iterable[str], scenario: str | None = None, method: str | None = None) -> dict[str, DataFrame]:
         planner = self.planner(scenario, method)
         return {m: planner.resolve(m) for m in matrices}
 
-    def explain(self, matrix: str, scenario: str | None = None, method: str = "inverse") -> str:
+    def explain(self, matrix: str, scenario: str | None = None, method: str | None = None) -> str:
         """How a matrix would be made, as an indented tree."""
         return "\n".join(self.planner(scenario, method).plan(matrix).lines())
 
-    def calc_all(self, matrices: Iterable[str] | None = None, scenario: str | None = None, method: str = "inverse", force: bool = False) -> Model:
+    def calc_all(self, matrices: Iterable[str] | None = None, scenario: str | None = None, method: str | None = None, force: bool = False) -> Model:
         """This model with matrices made and kept; force makes those anew that are kept already and can be made."""
         scenario = scenario or self.baseline
         wanted = list(matrices) if matrices is not None else [m for m, s in CATALOG[self.kind].items() if s]
@@ -206,7 +224,7 @@ class Model:
         rows = cells.join(side("from", "i"), "i").join(side("to", "j"), "j")
         return rows.select("scenario", "matrix", *[f"{c}_{s}" for s in ("from", "to") for c in ("region", "level", "item")], "value")
 
-    def table(self, matrix: str, scenario: str | None = None, method: str = "inverse") -> DataFrame:
+    def table(self, matrix: str, scenario: str | None = None, method: str | None = None) -> DataFrame:
         """A matrix with its labels."""
         vector = VECTORS.get(matrix[0]) if matrix[0] in VECTORS and matrix in ("X", "Xa", "Xc", "p", "pa", "pc") else None
         return self.labelled(self.resolve(matrix, scenario, method), vector)

@@ -51,3 +51,30 @@ def nearest_year(wanted: DataFrame, known: DataFrame, key: str = "region", year:
 
 def search(model: Model, pattern: str, name: str | None = None, ignore_case: bool = True) -> DataFrame:
     return model.search(pattern, name, ignore_case)
+
+
+def sliced(model: Model, matrix: str, scenario: str | None = None, **labels: Iterable[str]) -> DataFrame:
+    """A matrix's labelled cells where label columns (region_from, item_to, ...) are among the given labels."""
+    out = model.table(matrix, scenario)
+    for column, allowed in labels.items():
+        out = out.filter(F.col(column).isin(*([allowed] if isinstance(allowed, str) else list(allowed))))
+    return out
+
+
+def wide(model: Model, matrix: str, scenario: str | None = None) -> DataFrame:
+    """A matrix with a column for each column label, absent cells zero. The labels come to the driver, as they name the columns; the cells don't."""
+    cells = model.table(matrix, scenario).withColumn("column", F.concat_ws("|", "region_to", "item_to"))
+    names = sorted(r["column"] for r in cells.select("column").distinct().collect())
+    return cells.groupBy("region_from", "level_from", "item_from").pivot("column", names).sum("value").fillna(0.0, names)
+
+
+def path_links(paths: DataFrame) -> DataFrame:
+    """source, target, value: the links of structural paths, summed, for a flow diagram; each path goes from the supplier to the demand."""
+    steps = paths.select(F.split("path", " -> ").alias("s"), "contribution")
+    pairs = steps.select(F.posexplode(F.slice("s", F.lit(1), F.size("s") - 1)).alias("k", "source"), "s", "contribution")
+    return pairs.groupBy("source", F.get("s", F.col("k") + 1).alias("target")).agg(F.sum("contribution").alias("value"))
+
+
+def paths_by_depth(paths: DataFrame) -> DataFrame:
+    """depth, paths, contribution."""
+    return paths.groupBy("depth").agg(F.count("*").alias("paths"), F.sum("contribution").alias("contribution"))

@@ -337,3 +337,35 @@ def test_views(spark, table):
     known = spark.createDataFrame([("x", 2000, 1.0), ("x", 2004, 2.0)], "region string, year int, share double")
     got = views.nearest_year(spark.createDataFrame([("x", 2002), ("x", 2003), ("y", 2000)], "region string, year int"), known).collect()
     assert sorted((r["year"], r["year_found"]) for r in got) == [(2002, 2000), (2003, 2004)]
+
+
+def test_slices_wide_tables_and_path_frames(table):
+    a = iot_arrays()
+    assert views.sliced(table, "Z", region_from="r1", item_to=["s1", "s2"]).count() == 12
+    rows = {(r["region_from"], r["item_from"]): r for r in views.wide(table, "Y").collect()}
+    assert np.isclose(rows[("r1", "s2")]["r2|inv"], a["Y"][1, 3])
+    found = indicators.paths(table, "CO2", max_depth=1, top=1000)
+    links = views.path_links(found).collect()
+    into_demand = sum(r["value"] for r in links if r["target"].startswith("FD: "))
+    assert np.isclose(into_demand, sum(r["contribution"] for r in found.collect()))
+    assert [r["depth"] for r in views.paths_by_depth(found).orderBy("depth").collect()] == [0, 1]
+
+
+def test_settings_and_notes(table, tmp_path):
+    from sectora import settings
+
+    try:
+        settings.set_method("solve")
+        settings.set_names({"A": "z", "L": "w"})
+        assert "solve" in table.explain("p") and np.allclose(array(table, table.resolve("A"), GOODS, GOODS), iot_arrays()["Z"] / iot_arrays()["X"])
+        settings.set_dense_labels(3)
+        assert table.planner(method="auto").method == "solve"
+    finally:
+        settings.reset()
+    assert "solve" not in table.explain("p")
+    for wrong in (lambda: settings.set_method("guess"), lambda: settings.set_names({"A": "z", "B": "z"}), lambda: settings.set_dense_labels(0)):
+        with pytest.raises(WrongInput):
+            wrong()
+    m = table.describe(year=2020).note("made up")
+    m.save_meta(str(tmp_path / "meta"))
+    assert '"year": 2020' in m.spark.read.text(str(tmp_path / "meta")).collect()[0]["value"] and m.meta["history"][0].endswith("made up") and "history" not in table.meta

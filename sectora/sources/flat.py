@@ -11,8 +11,10 @@ from .. import schema
 from ..model import Model
 from ..schema import FLAT_SETS, WrongInput
 
-#: Goods come before other sets where a row has several; a region alone is no item.
+#: The sets that name an item; a region alone is none.
 ITEM_SETS = FLAT_SETS[1:]
+#: A row of factors or accounts that also names a good (say, wages of a sector) is the item "factor @ good".
+OWNERS, GOODS, AT = ("Factor of production", "Satellite account"), ("Sector", "Activity", "Commodity"), " @ "
 
 
 def flat_schema() -> str:
@@ -33,21 +35,27 @@ def from_flat(rows: DataFrame) -> DataFrame:
         if nine:
             return [clean(f"Region_{s}"), clean(f"Level_{s}"), clean(f"Item_{s}")]
         level, item = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for name in reversed(ITEM_SETS):
+        for name in (*GOODS, "Consumption category", *OWNERS):
             c = clean(f"{name}_{s}")
-            level, item = F.when(c.isNotNull(), F.lit(name)).otherwise(level), F.coalesce(c, item)
+            label = F.concat_ws(AT, c, *[clean(f"{g}_{s}") for g in GOODS]) if name in OWNERS else c
+            level, item = F.when(c.isNotNull(), F.lit(name)).otherwise(level), F.when(c.isNotNull(), label).otherwise(item)
         return [clean(f"Region_{s}"), level, item]
 
     labels = [c.alias(f"{n}_{s}") for s in ("from", "to") for n, c in zip(("region", "level", "item"), side(s), strict=True)]
     return rows.select(F.coalesce(clean("Scenario"), F.lit(schema.BASELINE)).alias("scenario"), clean("Matrix").alias("matrix"), *labels, rows[have["value"]].cast("double").alias("value"))
 
 
-def to_flat(cells: DataFrame, trim: bool = True) -> DataFrame:
-    """Rows in set columns; sets that no cell has are left out if trimmed."""
+def to_flat(cells: DataFrame, trim: bool = True, goods: str = "Sector") -> DataFrame:
+    """Rows in set columns; sets that no cell has are left out if trimmed. goods: the set of the goods that rows of factors may name."""
     columns = []
     for s in ("from", "to"):
         columns.append(F.col(f"region_{s}").alias(f"Region_{s}"))
-        columns += [F.when(F.col(f"level_{s}") == name, F.col(f"item_{s}")).alias(f"{name}_{s}") for name in ITEM_SETS]
+        level, item = F.col(f"level_{s}"), F.col(f"item_{s}")
+        owner, at = level.isin(*OWNERS), F.instr(item, AT) > 0
+        for name in ITEM_SETS:
+            own = F.when(level == name, F.when(owner, F.substring_index(item, AT, 1)).otherwise(item))
+            # the good of a factor's row goes to the column of the table's goods
+            columns.append((F.coalesce(own, F.when(owner & at, F.substring_index(item, AT, -1))) if name == goods else own).alias(f"{name}_{s}"))
     out = cells.select(F.col("scenario").alias("Scenario"), F.col("matrix").alias("Matrix"), *columns, F.col("value").alias("Value"))
     if trim:
         sets = out.columns[2:-1]
@@ -64,7 +72,7 @@ def read_flat(spark: SparkSession, path: str, kind: str, format: str = "parquet"
 
 def write_flat(model: Model, path: str, format: str = "parquet", sep: str = ",", scenarios: Iterable[str] | None = None, trim: bool = True) -> None:
     """All stored cells; Parquet is parted by scenario and matrix, so that reading one matrix reads no other."""
-    rows = to_flat(model.labelled_cells(scenarios), trim)
+    rows = to_flat(model.labelled_cells(scenarios), trim, model.levels[0])
     if format == "parquet":
         # matrix names differ by case alone; folders keep case on every store that Spark writes to
         rows.withColumn("scenario_part", F.col("Scenario")).withColumn("matrix_part", F.hex("Matrix")).write.partitionBy("scenario_part", "matrix_part").parquet(path)

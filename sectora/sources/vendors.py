@@ -139,5 +139,21 @@ def read_gtap(spark: SparkSession, path: str, regions: DataFrame | None = None)
     return Model.from_labelled(out, "IOT")
 
 
-for _name, _reader in (("exiobase", read_exiobase), ("eora26", read_eora26), ("icio", read_icio), ("long_table", read_long_table), ("figaro", read_figaro), ("gtap", read_gtap)):
+def read_bare_folder(spark: SparkSession, path: str, kind: str, files: Mapping[str, str], labels: Mapping[str, str], sides: Mapping[str, tuple[str, str]], sep: str = ",", units: DataFrame | None = None) -> Model:
+    """A folder of headerless number files, as the largest tables are published. files: matrix -> file; labels: list -> file with a header and the columns
+    region, level, item, in order of the rows; sides: matrix -> (list of the rows, list of the columns). Unified supply-use matrices are split by level."""
+    lists = {}
+    for name, file in labels.items():
+        rows = matrices.numbered_lines(spark, posixpath.join(path, file)).filter((F.col("n") > 0) & (F.trim("line") != "")).select((F.col("n") - 1).alias("n"), F.split("line", sep).alias("f"))
+        blank = lambda k: F.when(F.trim(F.get("f", F.lit(k))) != "", F.trim(F.get("f", F.lit(k))))
+        lists[name] = rows.select("n", *[blank(k).alias(c) for k, c in enumerate(LABELS)])
+    out = None
+    for matrix, file in files.items():
+        rows, columns = sides[matrix]
+        cells = matrices.read_bare(spark, posixpath.join(path, file), matrix, lists[rows], lists[columns], sep)
+        out = cells if out is None else out.unionByName(cells)
+    return Model.from_labelled(out, kind, units)
+
+
+for _name, _reader in (("bare_folder", read_bare_folder),("exiobase", read_exiobase), ("eora26", read_eora26), ("icio", read_icio), ("long_table", read_long_table), ("figaro", read_figaro), ("gtap", read_gtap)):
     registry.register_reader(_name, _reader, replace=True)

@@ -29,6 +29,16 @@ def test_flat_forms(spark):
         flat.from_flat(spark.createDataFrame([(1,)], "a int"))
 
 
+def test_rows_of_factors_may_name_a_good(spark, tmp_path):
+    rows = [("V", "r1", "s1", "wages", "r1", "s1", 2.0), ("V", "r1", "s2", "wages", "r1", "s1", 3.0), ("V", None, None, "taxes", "r1", "s1", 4.0), ("Z", "r1", "s1", None, "r1", "s1", 1.0)]
+    flat_rows = spark.createDataFrame(rows, "Matrix string, Region_from string, Sector_from string, `Factor of production_from` string, Region_to string, Sector_to string, Value double")
+    m = Model.from_labelled(flat.from_flat(flat_rows), "IOT")
+    assert {r["item"] for r in m.index("f").collect()} == {"wages @ s1", "wages @ s2", "taxes"}
+    flat.write_flat(m, str(tmp_path / "t"))
+    again = flat.read_flat(spark, str(tmp_path / "t"), "IOT")
+    assert again.same_sets(m) and "s2" in {r["Sector_from"] for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+
+
 def test_export(spark):
     got = flat.export(iot(spark), ["E", "e"], filters={"region_to": ["r1"], "item_from": ["CO2"]})
     assert {(r["matrix"], r["unit"]) for r in got.collect()} == {("E", "kg"), ("e", "kg/EUR")} and got.count() == 6

@@ -3,7 +3,7 @@ from small import ACCOUNT_ROWS, FACTOR_ROWS, FINAL, GOODS, REGIONS, SECTORS, arr
 
 from sectora.functions import primitives as P
 from sectora.operators import presets, scenarios
-from sectora.sources import registry, vendors  # noqa: F401
+from sectora.sources import registry, vendors  # noqa: F401  registers the readers
 
 
 def check(m):
@@ -76,6 +76,23 @@ def test_record_bundle(spark, tmp_path):
     check(registry.read("gtap", spark, str(tmp_path)))
 
 
+def test_bare_folder_of_a_unified_supply_use_table(spark, tmp_path):
+    from small import ACT, COM, sut_arrays
+
+    a = sut_arrays()
+    goods = ACT + COM
+    z = np.zeros((8, 8))
+    z[:4, 4:], z[4:, :4] = a["S"], a["U"]
+    y = np.zeros((8, 4))
+    y[4:] = a["Yc"]
+    (tmp_path / "T.csv").write_text(lines(*z, sep=","))
+    (tmp_path / "Y.csv").write_text(lines(*y, sep=","))
+    (tmp_path / "rows.csv").write_text(lines(("region", "level", "item"), *goods, sep=","))
+    (tmp_path / "final.csv").write_text(lines(("region", "level", "item"), *FINAL, sep=","))
+    m = registry.read("bare_folder", spark, str(tmp_path), kind="SUT", files={"Z": "T.csv", "Y": "Y.csv"}, labels={"rows": "rows.csv", "final": "final.csv"}, sides={"Z": ("rows", "rows"), "Y": ("rows", "final")})
+    assert m.names == {"baseline": ("S", "U", "Yc")} and np.allclose(array(m, m.resolve("S"), ACT, COM), a["S"])
+
+
 def test_primitives(spark):
     m, a = iot(spark), iot_arrays()
     Z, Y, V, E = (m.resolve(x) for x in ("Z", "Y", "V", "E"))

@@ -185,7 +185,7 @@ def super_kmers(doc_ids: list, keys: list, raws: list[bytes], window: int, gram:
     a, b, bucket = a[by], b[by] + window - 1, bucket[by]
     cut = [text[x:y] for x, y in zip(place[a].tolist(), place[b].tolist(), strict=True)]
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=5).compress
     out = []
     for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         r = row[a[x:y]]
@@ -223,7 +223,7 @@ def bucket_spans(strings: list[bytes], places: list[bytes], window: int) -> np.n
     return spans
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 3, bucket_bytes: int = 10 << 20, run_bytes: int = 4 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 2, bucket_bytes: int = 10 << 20, run_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, key, spans (array of packed [start, end) word numbers as binary) of rows (doc_id, text, key) that have repeated windows."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-3 * size // bucket_bytes))
@@ -280,7 +280,7 @@ def covered(n: int, spans: list[bytes] | None) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 3, id_col: str = "doc_id", text_col: str = "text", row: Callable | None = None, schema: str = "doc_id long, n_words long, n_removed long, text string", bucket_bytes: int = 10 << 20, run_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 2, id_col: str = "doc_id", text_col: str = "text", row: Callable | None = None, schema: str = "doc_id long, n_words long, n_removed long, text string", bucket_bytes: int = 10 << 20, run_bytes: int = 4 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed and the words that stay, joined by one space; or what `row(doc_ids, n_words, n_removed, kept)`
     makes of a batch under `schema`."""
     rows = texts(docs, id_col, text_col)

@@ -53,7 +53,7 @@ def dated_entries(captures: DataFrame) -> DataFrame:
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = dated_captures(table(spark, sf_dir, "pages"))
-    return url_filters.judge(captures, dated_entries(captures))
+    return url_filters.judge(captures, dated_entries(captures)).withColumn("fetch_date", F.col("fetch_date").cast("string"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +163,7 @@ ORACLE_SQL: dict[str, str] = {
         ), verdicts AS (
             SELECT url, fetch_date, coalesce(string_agg(list, ',' ORDER BY list) FILTER (WHERE action = 'block'), '') AS lists, sum(n) AS n_entries FROM by_list GROUP BY ALL
         )
-        SELECT page_id, url, fetch_date, host, coalesce(lists, '') <> '' AS blocked, coalesce(lists, '') AS lists, CAST(coalesce(n_entries, 0) AS BIGINT) AS n_entries
+        SELECT page_id, url, CAST(fetch_date AS VARCHAR) AS fetch_date, host, coalesce(lists, '') <> '' AS blocked, coalesce(lists, '') AS lists, CAST(coalesce(n_entries, 0) AS BIGINT) AS n_entries
         FROM captures LEFT JOIN verdicts USING (url, fetch_date)
     """,
     "op4_license_scan": r"""

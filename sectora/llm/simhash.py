@@ -33,6 +33,10 @@ from .common import LOWER_ASCII, as_bytes, parts, stored, texts
 from .components import roots
 
 
+#: Tasks that a large component's fingerprints are spread over where they meet its first row.
+SALTS = 32
+
+
 def fingerprint(raw: bytes, shingle: int = 4, seed: int = 42) -> int:
     """The 64-bit SimHash of a UTF-8 text over its word shingles, repeats included."""
     words = raw.translate(LOWER_ASCII).split()
@@ -194,12 +198,20 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int
 
 
 def _components(hashed: DataFrame, radius: int) -> DataFrame:
-    """fp, root, component_id for every distinct fingerprint of hashed (doc_id, fingerprint); root is the component's name."""
-    nodes = hashed.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("low"))
+    """fp and, of its component, the smallest id and the row that comes first (by id, then by hash of the text), for every distinct fingerprint of hashed.
+
+    Sums go from rows to fingerprints to components, so that no join or group holds the rows of a large component together."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    nodes = hashed.groupBy(F.col("fingerprint").alias("fp")).agg(first.alias("low"))
     up = roots(fingerprint_links(hashed, radius=radius))
-    placed = nodes.join(up, nodes["fp"] == up["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return stored(placed.join(ids, "root").select("fp", "root", "component_id"), "near-components")
+    linked = nodes.join(up, nodes["fp"] == up["node"]).select("fp", "low", "root")
+    tops = nodes.join(up.select(F.col("root").alias("fp")).distinct(), "fp").select("fp", "low", F.col("fp").alias("root"))
+    linked = linked.unionByName(tops)
+    lowest = linked.groupBy("root").agg(F.min("low").alias("first"))
+    # a component may hold a third of all fingerprints: it meets its first row in SALTS tasks
+    told = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["root", "salt"])
+    placed = nodes.join(told.select("fp", "first"), "fp", "left").select("fp", F.coalesce("first", "low").alias("first"))
+    return stored(placed.select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("first_key")), "near-components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -216,8 +228,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = _hashed(docs, id_col, text_col, shingle, seed)
     by_fp = _components(hashed, radius)
     judged = hashed.join(by_fp, hashed["fingerprint"] == by_fp["fp"])
-    first = judged.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
-    judged = judged.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    judged = judged.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key")))
     gone = stored(judged.filter("not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "near-gone")
     twice = judged.filter("stays").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1")
     boxed = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))

@@ -2,16 +2,20 @@
 
 Words are counted over all training documents, without a cap. The softmax over the next word is factored by classes: P(word | history) =
 P(class | history) P(word | class, history). The `members` most frequent words are dealt to `CLASSES` classes and scored inside theirs by a second softmax;
-all others, unseen ones included, fall into `TAILS` classes by their last byte, and stand there with their smoothed share of the class's counts. The features
-of a history are the word before, the pair of words before, and the word before that alone (a skip); they are hashed into tables of fixed size. Inside a
-class the word before is joined with the class into one hashed feature.
+all others, unseen ones included, fall into `TAILS` classes by their last byte, and inside these into groups by a hash, as many as the vocabulary and the
+tokens ask for (`GROUP_WORDS`, `GROUP_TOKENS`); a group is found by softmaxes along the digits of its number, a word in its group by two more. The features
+of a history are the word before, the pair of words before, and the word before that alone (a skip); for the classes they are hashed into tables of fixed
+size, inside a group each one that occurs has a row of its own. Inside a class the word before is joined with the class into one hashed feature.
+
+The groups' words, counts and weights are nowhere together: each token of theirs goes to the task that has its group, which learns from those of the training
+documents in order and scores all; what it finds goes back to the token's batch of documents. Every group keeps one place for words never seen.
 
 Training makes one pass over all training documents in `ROUNDS` rounds, each on another share of them: every task starts from the broadcast weights, makes
 Adagrad steps on its share in sparse numpy batches and sends its change; changes are averaged by tokens on the executors, block by block as they stream in,
 and the driver gets one set of weights a round.
 
-Scoring reads each text once. Counts of the `head` most frequent words are broadcast (a fixed number of words); all others are joined by word, so the table
-of counts can be of any size. No single word of the join is frequent: frequent ones are in the head.
+Scoring reads each text once. Counts of the `head` most frequent words are broadcast (a fixed number of words); all others meet their tokens in the groups'
+tasks, so the table of counts can be of any size. No single word there is frequent: frequent ones are among the members.
 
 Nulls and empty texts are one end token. A null id counts as the empty text in its fold. Repeated rows are scored each by itself. Without training
 documents every word is unseen. An empty table gives an empty result. Other columns aren't read.
@@ -19,7 +23,8 @@ documents every word is unseen. An empty table gives an empty result. Other colu
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -37,6 +42,8 @@ CLASSES, TAILS, SLOTS = 32, 8, 64
 ROUNDS, BATCH, RATE = 3, 16384, 0.1
 ONE, PAIR, INNER = 1 << 11, 1 << 12, 1 << 12
 BLOCK = 1024
+#: Words and training tokens of a group, branches of a softmax over groups, training tokens of a task that has groups, tokens of a step inside a group.
+GROUP_WORDS, GROUP_TOKENS, BRANCHES, TASK_TOKENS, GROUP_BATCH = 4096, 1 << 17, 64, 1 << 20, 4096
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -78,8 +85,15 @@ class Lexicon:
     members: int
     tail_n: np.ndarray
     tail_v: np.ndarray
+    levels: int = 0  # of softmaxes over the groups of a tail class, each of `branch` branches; without levels its words have their share of it
+    branch: int = 1
+    mass: np.ndarray | None = None  # of the groups, by tail class
 
     def __post_init__(self):
+        self.crc = np.fromiter(map(zlib.crc32, self.words), np.uint32, len(self.words))
+        self.groups = self.branch**self.levels  # of a tail class
+        self.tail_mass = self.tail_n + self.tail_v + 1.0 if self.mass is None else self.mass.sum(1)
+        self.nodes = TAILS * sum(self.branch**i for i in range(self.levels))
         self.number = {w: i for i, w in enumerate(self.words)}
         k = len(self.words)
         rank = np.arange(k)
@@ -112,6 +126,24 @@ class Lexicon:
         ahead[second] = k + TAILS
         return flat, lengths, number, cls, before, ahead
 
+    def codes(self, flat: list[bytes], number: np.ndarray) -> np.ndarray:
+        """A hash of each token."""
+        out = np.zeros(len(number), np.uint32)
+        known = number >= 0
+        if len(self.words):
+            out[known] = self.crc[number[known]]
+        far = np.flatnonzero(~known)
+        out[far] = np.fromiter((zlib.crc32(flat[i]) for i in far.tolist()), np.uint32, len(far))
+        return out
+
+    def steps(self, tail: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By level, the node and the branch that lead to the group of words of these tail classes and hashes."""
+        group, base = (codes % np.uint32(self.groups)).astype(np.int64), 0
+        for level in range(self.levels):
+            rest = self.branch ** (self.levels - level - 1)
+            yield base + tail * self.branch**level + group // (rest * self.branch), group // rest % self.branch
+            base += TAILS * self.branch**level
+
     def features(self, before: np.ndarray, ahead: np.ndarray) -> np.ndarray:
         """Rows of the class table: word before, pair before, skip."""
         pair = _mix((before * 131071 + ahead).astype(np.uint64)) % np.uint64(PAIR)
@@ -124,17 +156,20 @@ class Weights:
     def __init__(self, lexicon: Lexicon):
         self.of_class = np.zeros((2 * ONE + PAIR, CLASSES + TAILS), np.float32)
         self.inside = np.zeros((INNER, SLOTS), np.float32)
+        self.between = np.zeros((INNER + 64 * lexicon.nodes if lexicon.levels else 0, lexicon.branch), np.float32)
+        branches = [m.reshape(-1, lexicon.branch) for m in (lexicon.mass.reshape(TAILS * lexicon.branch ** (i + 1), -1).sum(1) for i in range(lexicon.levels))]
+        self.branch_offset = np.concatenate([np.log(m / m.sum(1, keepdims=True)) for m in branches]).astype(np.float32) if branches else np.zeros((0, 1), np.float32)
         held = np.zeros((CLASSES, SLOTS))
         m = np.arange(min(lexicon.members, len(lexicon.words)))
         held[m % CLASSES, m // CLASSES] = lexicon.counts[m] + 1.0
-        mass = np.concatenate([held.sum(1), lexicon.tail_n + lexicon.tail_v + 1.0])
+        mass = np.concatenate([held.sum(1), lexicon.tail_mass])
         with np.errstate(divide="ignore"):
             self.class_offset = np.log(mass / mass.sum()).astype(np.float32)
             self.slot_offset = np.log(held / np.maximum(1e-30, held.sum(1, keepdims=True))).astype(np.float32)
         self.slot_offset[held.sum(1) == 0] = 0
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.of_class, self.inside
+    def tables(self) -> tuple[np.ndarray, ...]:
+        return self.of_class, self.inside, self.between
 
 
 def inner_rows(rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -161,6 +196,18 @@ def slot_logits(w: Weights, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return out
 
 
+def branch_rows(w: Weights, rows: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+    """Rows of the table between classes and groups: the word before and the pair before, each together with the node."""
+    return [(_mix(((feature << 32) + node).astype(np.uint64)) % np.uint64(len(w.between))).astype(np.int64) for feature in rows[:2]]
+
+
+def branch_logits(w: Weights, rows: list[np.ndarray], node: np.ndarray) -> np.ndarray:
+    out = taken(w.between, rows[0])
+    out += taken(w.between, rows[1])
+    out += taken(w.branch_offset, node)
+    return out
+
+
 def _exp(logits: np.ndarray) -> np.ndarray:
     """exp of logits less a shift, in place, and the shift of each row: its largest logit, or nothing where none is large enough to matter."""
     shift = np.zeros(len(logits), np.float32)
@@ -191,7 +238,7 @@ def log_at(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
     """An Adagrad step, one rate a row, on the rows that a batch touches: example i's gradient goes to row rows[i]."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if len(table) <= 1 << 16 else rows, kind="stable")
     ranked = rows[order]
     starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
     g = np.add.reduceat(taken(gradient, order), starts, axis=0)
@@ -203,10 +250,11 @@ def step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.
 
 def learn(w: Weights, squares: tuple[np.ndarray, np.ndarray], lexicon: Lexicon, raws: list[bytes]) -> int:
     """Steps over the tokens of raws; how many there were."""
-    _, _, number, cls, before, ahead = lexicon.coded(raws)
+    flat, _, number, cls, before, ahead = lexicon.coded(raws)
+    codes = lexicon.codes(flat, number) if lexicon.levels else number
     for at in range(0, len(cls), BATCH):
         c = cls[at : at + BATCH]
-        rows = lexicon.features(before[at : at + BATCH], ahead[at : at + BATCH])
+        rows = features = lexicon.features(before[at : at + BATCH], ahead[at : at + BATCH])
         p = softmax(class_logits(w, rows))
         p[np.arange(len(c)), c] -= 1
         for feature in rows:
@@ -218,14 +266,27 @@ def learn(w: Weights, squares: tuple[np.ndarray, np.ndarray], lexicon: Lexicon,
             p = softmax(slot_logits(w, rows, k))
             p[np.arange(len(k)), number[at : at + BATCH][inner] // CLASSES] -= 1
             step(w.inside, squares[1], rows, p)
+        outer = np.flatnonzero(c >= CLASSES)
+        for node, branch in lexicon.steps(c[outer] - CLASSES, codes[at : at + BATCH][outer]):
+            two = branch_rows(w, features[:, outer], node)
+            p = softmax(branch_logits(w, two, node))
+            p[np.arange(len(node)), branch] -= 1
+            for rows in two:
+                step(w.between, squares[2], rows, p)
     return len(cls)
 
 
 def scored(w: Weights, lexicon: Lexicon, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
     """Per text: tokens, tokens in the head, sum of log10(c + 1) over these, the model's log10 probability but for log10(c + 1) of the words beyond the
     head, and those words."""
-    flat, lengths, number, cls, before, ahead = lexicon.coded(raws)
-    row = np.repeat(np.arange(len(raws)), lengths)
+    coded = lexicon.coded(raws)
+    return scored_codes(w, lexicon, coded, lexicon.codes(coded[0], coded[2]))
+
+
+def scored_codes(w: Weights, lexicon: Lexicon, coded: tuple, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    """`scored` of coded texts; where the lexicon has groups, the model's probability is that of the words' groups."""
+    flat, lengths, number, cls, before, ahead = coded
+    row = np.repeat(np.arange(len(lengths)), lengths)
     known = number >= 0
     logs = np.zeros(len(number))
     if len(lexicon.words):
@@ -239,12 +300,18 @@ def scored(w: Weights, lexicon: Lexicon, raws: list[bytes]) -> tuple[np.ndarray,
         if len(inner):
             k = c[inner]
             found[inner] += log_at(slot_logits(w, inner_rows(rows[:, inner], k), k), number[at : at + BATCH][inner] // CLASSES)
+        outer = np.flatnonzero(c >= CLASSES)
+        for node, branch in lexicon.steps(c[outer] - CLASSES, codes[at : at + BATCH][outer]):
+            found[outer] += log_at(branch_logits(w, branch_rows(w, rows[:, outer], node), node), branch)
         value[at : at + BATCH] = found / np.log(10)
-    outer = cls >= CLASSES
-    value[outer] += logs[outer] - np.log10(lexicon.tail_n + lexicon.tail_v + 1.0)[cls[outer] - CLASSES]
-    n = len(raws)
-    beyond: list[list[bytes]] = [[] for _ in raws]
+    n = len(lengths)
+    beyond: list[list[bytes]] = [[] for _ in range(n)]
     far = np.flatnonzero(~known)
+    if lexicon.levels:
+        far = far[:0]
+    else:
+        outer = cls >= CLASSES
+        value[outer] += logs[outer] - np.log10(lexicon.tail_mass)[cls[outer] - CLASSES]
     for i, r in zip(far.tolist(), row[far].tolist(), strict=True):
         beyond[r].append(flat[i])
     return lengths, np.bincount(row[known], minlength=n), np.bincount(row, logs, n), np.bincount(row, value, n), beyond
@@ -269,7 +336,21 @@ def lexicon_of(counts: DataFrame, head: int, members: int) -> Lexicon:
     for w, c in zip(words[:members], n[:members].tolist(), strict=True):
         tail_n[tail_class(w)] -= c
         tail_v[tail_class(w)] -= 1
-    return Lexicon(words, n, members, tail_n, tail_v)
+    groups = int(np.ceil(max(tail_v.sum() / GROUP_WORDS, tail_n.sum() / GROUP_TOKENS) / TAILS))
+    if not groups:
+        return Lexicon(words, n, members, tail_n, tail_v)
+    levels = branch = 1
+    while BRANCHES**levels < groups:
+        levels += 1
+    while branch**levels < groups:
+        branch += 1
+    groups = branch**levels
+    mass = np.ones((TAILS, groups))
+    for r in counts.groupBy(last.alias("k"), (F.crc32("word") % groups).alias("j")).agg((F.sum("n") + F.count("*")).alias("m")).toLocalIterator():
+        mass[r["k"], r["j"]] += r["m"]
+    for w, c in zip(words[:members], n[:members].tolist(), strict=True):
+        mass[tail_class(w), zlib.crc32(w) % groups] -= c + 1
+    return Lexicon(words, n, members, tail_n, tail_v, levels, branch, mass)
 
 
 def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +375,7 @@ def train(teach: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Weights:
     """teach: key (long, deals documents to rounds), text."""
     sc = teach.sparkSession.sparkContext
     w = Weights(lexicon)
-    if not lexicon.words:
+    if not lexicon.words and not lexicon.levels:
         return w
     for turn in range(rounds):
         sent = sc.broadcast((w, lexicon))  # tables of a fixed size
@@ -302,7 +383,7 @@ def train(teach: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Weights:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             start, lexicon = sent.value
             own = Weights.__new__(Weights)
-            own.__dict__ |= start.__dict__ | {"of_class": start.of_class.copy(), "inside": start.inside.copy()}
+            own.__dict__ |= start.__dict__ | {"of_class": start.of_class.copy(), "inside": start.inside.copy(), "between": start.between.copy()}
             squares = tuple(np.full(len(t), 1e-2, np.float32) for t in own.tables())
             n = 0
             for part in parts(batches, 2 << 20):
@@ -317,18 +398,149 @@ def train(teach: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Weights:
                     block += 1
 
         changes = teach.filter(F.pmod(F.xxhash64("key", F.lit("round")), F.lit(rounds)) == turn).select("text").mapInArrow(run, CHANGES)
-        blocks = -(-len(w.of_class) // BLOCK) - (-len(w.inside) // BLOCK)
+        places = [(t.reshape(-1), at * t.shape[1]) for t in w.tables() for at in range(0, len(t), BLOCK)]
+        blocks = len(places)
         summed = changes.repartition(2 * blocks, "block", "share").mapInArrow(averaged, CHANGES).repartition(blocks, "block").mapInArrow(averaged, CHANGES)
-        flat = [t.reshape(-1) for t in w.tables()]
-        edge = -(-len(w.of_class) // BLOCK)
         for r in summed.toLocalIterator():
-            k = r["block"]
-            table, width, at = (flat[0], w.of_class.shape[1], k) if k < edge else (flat[1], SLOTS, k - edge)
+            table, at = places[r["block"]]
             change = np.frombuffer(r["change"], "<f4") / r["weight"]
-            table[at * BLOCK * width : at * BLOCK * width + len(change)] += change
+            table[at : at + len(change)] += change
     return w
 
 
+class Group:
+    """The two softmaxes inside a group: over classes of its words, dealt by rank, and over the words of a class; the last word stands for unseen ones."""
+
+    def __init__(self, counts: np.ndarray):
+        mass = np.append(counts + 1.0, 1.0)
+        m = np.arange(len(mass))
+        self.classes = int(np.ceil(np.sqrt(len(mass))))
+        held = np.zeros((self.classes, -(-len(mass) // self.classes)))
+        held[m % self.classes, m // self.classes] = mass
+        with np.errstate(divide="ignore"):
+            self.class_offset = np.log(held.sum(1) / held.sum()).astype(np.float32)
+            self.slot_offset = np.log(held / held.sum(1, keepdims=True)).astype(np.float32)
+
+    def logs(self, word: np.ndarray, before: np.ndarray, ahead: np.ndarray, teach: np.ndarray) -> np.ndarray:
+        """The log10 probability of each word (its rank) after steps over those that teach, in their order. Each feature of these has a row of its own."""
+        cls, slot = word % self.classes, word // self.classes
+        pair = before.astype(np.uint64) << np.uint64(32) | ahead
+        one, pair, skip = (_own_rows(x, teach) for x in (before, pair, ahead))
+        joined = _own_rows(before.astype(np.uint64) * np.uint64(self.classes) + cls.astype(np.uint64), teach)
+        tables = [np.zeros((k, self.classes), np.float32) for _, k in (one, pair, skip)] + [np.zeros((joined[1], self.slot_offset.shape[1]), np.float32)]
+        squares = [np.full(len(t), 1e-2, np.float32) for t in tables]
+        features = [one[0], pair[0], skip[0]]
+
+        def classes(at: np.ndarray) -> np.ndarray:
+            out = taken(tables[0], features[0][at])
+            for table, rows in zip(tables[1:3], features[1:], strict=True):
+                out += taken(table, rows[at])
+            out += self.class_offset
+            return out
+
+        def slots(at: np.ndarray) -> np.ndarray:
+            out = taken(tables[3], joined[0][at])
+            out += taken(self.slot_offset, cls[at])
+            return out
+
+        lessons = np.flatnonzero(teach)
+        for start in range(0, len(lessons), GROUP_BATCH):
+            at = lessons[start : start + GROUP_BATCH]
+            p = softmax(classes(at))
+            p[np.arange(len(at)), cls[at]] -= 1
+            for table, square, rows in zip(tables, squares, features, strict=False):
+                step(table, square, rows[at], p)
+            p = softmax(slots(at))
+            p[np.arange(len(at)), slot[at]] -= 1
+            step(tables[3], squares[3], joined[0][at], p)
+        out = np.zeros(len(word))
+        for start in range(0, len(word), GROUP_BATCH):
+            at = np.arange(start, min(len(word), start + GROUP_BATCH))
+            out[at] = log_at(classes(at), cls[at]) + log_at(slots(at), slot[at])
+        return out / np.log(10)
+
+
+def _own_rows(keys: np.ndarray, teach: np.ndarray) -> tuple[np.ndarray, int]:
+    """A row for each different key that teaches, and one that stays zero for all others; how many rows there are."""
+    seen = np.unique(keys[teach])
+    at = np.searchsorted(seen, keys)
+    if len(seen):
+        at[seen[np.minimum(at, len(seen) - 1)] != keys] = len(seen)
+    return at, len(seen) + 1
+
+
+#: Batches on their way: of texts (docs), of tokens to groups (ints, words), of counts to groups (a base of -1), of tokens back from groups (ints).
+MOVED = "shard int, base long, docs binary, ints binary, words binary"
+
+
+def moved(shard: int, base: int, docs: bytes | None = None, ints: bytes | None = None, words: bytes | None = None) -> pa.RecordBatch:
+    columns = [pa.array([shard], pa.int32()), pa.array([base], pa.int64()), *(pa.array([x], pa.binary()) for x in (docs, ints, words))]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "base", "docs", "ints", "words"])
+
+
+def _cuts(ranked: np.ndarray) -> Iterator[slice]:
+    """Runs of equal values."""
+    edges = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True]))) if len(ranked) else []
+    yield from (slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True))
+
+
+def to_groups(lexicon: Lexicon, shards: int, base: int, coded: tuple, codes: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The tokens of a batch that belong to groups, by shard: text and whether it is held out, group, number, hashes of the two words before."""
+    flat, lengths, number, cls, _, _ = coded
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    first = np.cumsum(lengths) - lengths
+    before, ahead = np.empty_like(codes), np.empty_like(codes)
+    before[1:], ahead[2:] = codes[:-1], codes[:-2]
+    before[first] = ahead[first] = 1
+    ahead[first[lengths > 1] + 1] = 1
+    outer = np.flatnonzero(cls >= CLASSES)
+    group = (cls[outer] - CLASSES) * lexicon.groups + codes[outer] % np.uint32(lexicon.groups)
+    order = np.lexsort((group, group % shards))
+    group, outer = group[order], outer[order]
+    table = np.stack([row[outer] * 2 + held[row[outer]], group, number[outer], before[outer].view(np.int32), ahead[outer].view(np.int32)]).astype("<i4")
+    for cut in _cuts(group % shards):
+        far = outer[cut][number[outer[cut]] < 0]
+        yield moved(int(group[cut.start] % shards), base, None, table[:, cut].tobytes(), b" ".join([flat[i] for i in far.tolist()]))
+
+
+def inside_groups(lexicon: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups whose counts and tokens are all here: per batch of texts its tokens' text, count (-1 in the head) and log10 probability in the group."""
+    counts: dict[int, list] = defaultdict(list)
+    tables, bases, words = [], [], []
+    for batch in batches:
+        for shard, base, docs, ints, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if docs is not None:
+                yield moved(shard, base, docs)
+            elif base < 0:
+                for (group, n), word in zip(np.frombuffer(ints, "<i8").reshape(-1, 2).tolist(), names.split(b" "), strict=True):
+                    counts[group].append((-n, word))
+            else:
+                table = np.frombuffer(ints, "<i4").reshape(5, -1)
+                far = iter(names.split(b" "))
+                words += [lexicon.words[i] if i >= 0 else next(far) for i in table[2].tolist()]
+                tables.append(table)
+                bases.append(np.full(table.shape[1], base))
+    if not tables:
+        return
+    table, base = np.concatenate(tables, 1), np.concatenate(bases)
+    order = np.lexsort((np.arange(len(base)), table[0], base, table[1]))
+    table, base = table[:, order], base[order]
+    before, ahead = (np.ascontiguousarray(table[i]).view(np.uint32) for i in (3, 4))
+    value, seen = np.zeros(len(base), "<f4"), np.zeros(len(base), "<i8")
+    for cut in _cuts(table[1]):
+        ranked = sorted(counts.pop(int(table[1, cut.start]), []))
+        rank = {word: i for i, (_, word) in enumerate(ranked)}
+        n = np.array([-c for c, _ in ranked], np.int64)
+        word = np.fromiter((rank.get(words[i], len(ranked)) for i in order[cut].tolist()), np.int64, cut.stop - cut.start)
+        value[cut] = Group(n).logs(word, before[cut], ahead[cut], table[0, cut] % 2 == 0)
+        seen[cut] = np.append(n, 0)[word]
+    seen[table[2] >= 0] = -1
+    order = np.argsort(base, kind="stable")
+    for cut in _cuts(base[order]):
+        at = order[cut]
+        yield moved(0, int(base[at[0]]), None, (table[0, at] // 2).astype("<i4").tobytes() + value[at].tobytes() + seen[at].tobytes())
+
+
 def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, head: int = 1 << 17, members: int = CLASSES * SLOTS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
@@ -340,21 +552,61 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, head: int =
     lexicon = lexicon_of(counts, head, members)
     w = train(teach.select(F.col("doc_id").alias("key"), "text"), lexicon, rounds)
     sent = docs.sparkSession.sparkContext.broadcast((w, lexicon))
+    tasks = int(lexicon.tail_n.sum() // TASK_TOKENS) + 8
+    shards = min(4 * tasks, TAILS * lexicon.groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, lexicon = sent.value
-        row = TaskContext.get().partitionId() << 40
+        base = TaskContext.get().partitionId() << 40
         for part in parts(batches, 2 << 20):
-            lengths, known, base, model, beyond = scored(w, lexicon, as_bytes(part.column(1)))
-            columns = [pa.array(np.arange(row, row + part.num_rows)), part.column(0), part.column(2), pa.array(lengths), pa.array(known), pa.array(base), pa.array(model), pa.array(beyond, pa.list_(pa.binary()))]
-            row += part.num_rows
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "beyond"])
-
-    found = stored(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, beyond array<binary>"), "lm-scores")
-    words = found.select("row", F.explode("beyond").alias("word")).join(counts, "word", "left")
-    far = words.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("logs"), F.count("n").alias("seen"))
-    out = found.drop("beyond").join(far, "row", "left").withColumn("logs", F.coalesce("logs", F.lit(0.0)))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"), (F.col("model") + F.col("logs")).alias("score"),
-    )
+            coded = lexicon.coded(as_bytes(part.column(1)))
+            codes = lexicon.codes(coded[0], coded[2])
+            lengths, known, logs, model, _ = scored_codes(w, lexicon, coded, codes)
+            columns = [part.column(0), part.column(2), pa.array(lengths), pa.array(known), pa.array(logs), pa.array(model)]
+            told = pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "base", "model"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, told.schema) as out:
+                out.write_batch(told)
+            yield moved(base % shards, base, sink.getvalue().to_pybytes())
+            if lexicon.levels:
+                yield from to_groups(lexicon, shards, base, coded, codes, np.array(part.column(2).to_pylist(), bool))
+            base += part.num_rows
+
+    def of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = sent.value[1]
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            found = [(tail_class(x) * lexicon.groups + zlib.crc32(x) % lexicon.groups, c, x) for x, c in zip(words, batch.column(1).to_pylist(), strict=True) if lexicon.number.get(x, lexicon.members) >= lexicon.members]
+            found.sort(key=lambda x: x[0] % shards)
+            for cut in _cuts(np.array([g % shards for g, _, _ in found], np.int64)):
+                some = found[cut]
+                yield moved(some[0][0] % shards, -1, None, np.array([x[:2] for x in some], "<i8").tobytes(), b" ".join([x[2] for x in some]))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[int, pa.RecordBatch] = {}
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for base, docs, ints in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if docs is not None:
+                    told[base] = pa.ipc.open_stream(docs).read_next_batch()
+                    continue
+                m = len(ints) // 16
+                row, value, seen = np.frombuffer(ints, "<i4", m), np.frombuffer(ints, "<f4", m, 4 * m), np.frombuffer(ints, "<i8", m, 8 * m)
+                more = np.stack([np.bincount(row, value), np.bincount(row, np.log10(np.maximum(seen, 0) + 1.0)), np.bincount(row, seen > 0)])
+                old = sums.get(base, np.zeros((3, 0)))
+                if old.shape[1] < more.shape[1]:
+                    old, more = more, old
+                old[:, : more.shape[1]] += more
+                sums[base] = old
+        for base, batch in told.items():
+            more = np.zeros((3, batch.num_rows))
+            if base in sums:
+                more[:, : sums[base].shape[1]] = sums[base]
+            tokens, known, logs, model = (np.asarray(batch.column(i)) for i in range(2, 6))
+            columns = [batch.column(0), batch.column(1), pa.array(tokens), pa.array(known + more[2].astype(np.int64)), pa.array(np.full(len(tokens), n)), pa.array(logs + more[1] - tokens * np.log10(n + v + 1)), pa.array(model + more[0])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    found = rows.mapInArrow(run, MOVED)
+    if lexicon.levels:
+        found = found.union(counts.select("word", "n").mapInArrow(of_groups, MOVED)).repartition(tasks, "shard").mapInArrow(lambda batches: inside_groups(sent.value[1], batches), MOVED)
+    return found.repartition("base").mapInArrow(together, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -46,7 +46,8 @@ def patterns_of(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """list, pattern, action, valid_from, valid_to (exclusive; null: until now) of dated entries (list, pattern, action, entry_date)."""
-    known = entries.select("list", F.lower("pattern").alias("pattern"), F.lower("action").alias("action"), F.col("entry_date").cast("date").alias("valid_from")).dropna(subset=["list", "pattern", "valid_from", "action"])
+    pattern = F.expr("concat(lower(substring_index(pattern, '/', 1)), substring(pattern, length(substring_index(pattern, '/', 1)) + 1))")  # paths keep their case
+    known = entries.select("list", pattern.alias("pattern"), F.lower("action").alias("action"), F.col("entry_date").cast("date").alias("valid_from")).dropna(subset=["list", "pattern", "valid_from", "action"])
     known = known.groupBy("list", "pattern", "valid_from").agg(F.max("action").alias("action"))
     later = Window.partitionBy("list", "pattern").orderBy("valid_from")
     return known.withColumn("valid_to", F.lead("valid_from").over(later)).select("list", "pattern", "action", "valid_from", "valid_to")

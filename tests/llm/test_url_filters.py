@@ -68,3 +68,10 @@ def test_empty_tables(spark):
     captures, entries = spark.createDataFrame([(1, "http://x.org", day(3), None, None, None)], CAPTURES), spark.createDataFrame([], ENTRIES)
     assert [x.blocked for x in judge(captures, entries).collect()] == [False]
     assert judge(spark.createDataFrame([], CAPTURES), spark.createDataFrame([("l", "x.org", "block", day(1), "")], ENTRIES)).count() == 0
+
+
+def test_paths_keep_their_case(spark):
+    captures = [(i, f"http://Example.com{path}", day(3), None, None, None) for i, path in enumerate(["/Private/x", "/private/x", "/Open"])]
+    entries = [("l", "EXAMPLE.com/Private", "block", day(1), ""), ("l", "example.com", "allow", day(1), "")]
+    got = judge(spark.createDataFrame(captures, CAPTURES), spark.createDataFrame(entries, ENTRIES)).collect()
+    assert {x.page_id: (x.blocked, x.n_entries) for x in got} == {0: (True, 2), 1: (False, 1), 2: (False, 1)}

@@ -1,23 +1,30 @@
 """Exact deduplication by 128-bit content hash, with a byte comparison inside groups. DataFrame functions only.
 
-Every text gets its SHA-256; the first 128 bits are the group key. Three passes, none of which moves texts of documents without copies once the set
+Every text gets its SHA-256; the first 128 bits are the group key. Three passes, none of which moves texts of documents without copies while the set
 of repeated hashes is small enough for Spark to broadcast it:
 
-1. count rows and keep the id per hash (partial sums before the shuffle, so a hot text is one row per task);
+1. count rows per hash (partial sums before the shuffle, so a hot text is one row per task);
 2. group the rows of repeated hashes by (hash, text), which compares bytes, and so finds texts that only share a hash;
 3. join the verdict back to each row by hash (and by text where a hash was shared by different texts).
 
+A hash with more than one in `HOT` of all repeated rows is hot; fewer than `HOT` can be, so their list is broadcast. Rows of a hot hash are dealt to
+`SALTS` shares wherever rows meet by hash: they are summed in each share first and then, one row a share and text, over the shares. So a text that stands
+in a third of all rows is spread over `SALTS` tasks whether or not Spark broadcasts the rest.
+
 Nulls: a null text is the empty text; a null id is never the one that stays unless all ids of the text are null. Rows that repeat both id and text are
 marked alike; `exact_dedup` lets one of them through. An empty table gives an empty result. Other columns pass through `exact_dedup` untouched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, texts
 
+#: A hash is hot if it has more than one in HOT of the repeated rows; its rows are dealt to SALTS shares.
+HOT, SALTS = 1000, 32
+
 
 def _hashed(rows: DataFrame, hash_chars: int) -> DataFrame:
     sha = F.sha2(F.col("text").cast("binary"), 256)
@@ -29,23 +36,42 @@ def _other_digest(text: str):
     return F.sha2(F.reverse(text).cast("binary"), 256)
 
 
-def text_classes(rows: DataFrame, keep: str = "min", hash_chars: int = 32) -> tuple[DataFrame, bool]:
-    """Classes of equal texts with more than one row, as h, keep_id, group_size, digest; and whether different texts share a hash."""
+def _shares(hot: Column) -> Column:
+    """The shares that a hash's rows are dealt to."""
+    return F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0))).alias("salt")
+
+
+def _dealt(hashed: DataFrame, hot: DataFrame) -> DataFrame:
+    """hashed with `hot` and `salt`, the share of a row; hot: the hot hashes."""
+    known = hashed.join(F.broadcast(hot.select("h", F.lit(True).alias("hot"))), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    share = F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(SALTS)).cast("int")
+    return known.withColumn("salt", F.when(F.col("hot"), share).otherwise(0))
+
+
+def text_classes(rows: DataFrame, keep: str = "min", hash_chars: int = 32) -> tuple[DataFrame, DataFrame, bool]:
+    """Classes of equal texts with more than one row, as h, hot, keep_id, group_size, digest; the hot hashes; whether different texts share a hash."""
     hashed = _hashed(rows, hash_chars)
-    repeated = stored(hashed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "exact-hashes")
+    repeated = stored(hashed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "exact-hashes")
+    least = (repeated.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = repeated.filter(F.col("n") > least)
+    shares = repeated.select("h", _shares(F.col("n") > least))
     pick = F.max if keep == "max" else F.min
-    by_text = hashed.join(repeated, "h", "left_semi").groupBy("h", "text").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    classes = stored(by_text.select("h", "keep_id", "group_size", _other_digest("text").alias("digest")), "exact-classes")
-    return classes, not classes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    by_text = _dealt(hashed, hot).join(shares, ["h", "salt"], "left_semi").groupBy("h", "salt", "hot", "text").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # only hot texts have more than one share to sum over; others stay by themselves, and their texts behind
+    by_text = by_text.withColumn("digest", _other_digest("text")).withColumn("alone", F.when(~F.col("hot"), F.monotonically_increasing_id())).withColumn("text", F.when(F.col("hot"), F.col("text")))
+    classes = by_text.groupBy("h", "hot", "digest", "text", "alone").agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    classes = stored(classes.select("h", "hot", "keep_id", "group_size", "digest"), "exact-classes")
+    return classes, hot, not classes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
 
-def _judged(hashed: DataFrame, classes: DataFrame, shared: bool, hint: str | None = None) -> DataFrame:
-    on = ["h"]
+def _judged(hashed: DataFrame, classes: DataFrame, hot: DataFrame, shared: bool, hint: str | None = None) -> DataFrame:
+    on = ["h", "salt"]
     if shared:
-        hashed, on = hashed.withColumn("digest", _other_digest("text")), ["h", "digest"]
+        hashed, on = hashed.withColumn("digest", _other_digest("text")), [*on, "digest"]
     else:
         classes = classes.drop("digest")
-    found = hashed.drop("text").join(classes.hint(hint) if hint else classes, on, "left")
+    classes = classes.select("*", _shares(F.col("hot"))).drop("hot")
+    found = _dealt(hashed.drop("text"), hot).join(classes.hint(hint) if hint else classes, on, "left")
     alone = F.col("group_size").isNull()
     found = found.withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")))
     return found.withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
@@ -54,18 +80,18 @@ def _judged(hashed: DataFrame, classes: DataFrame, shared: bool, hint: str | Non
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", hash_chars: int = 32) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. keep: which id of equal texts stays, "min" or "max"."""
     rows = texts(docs, id_col, text_col)
-    classes, shared = text_classes(rows, keep, hash_chars)
-    return _judged(_hashed(rows, hash_chars), classes, shared).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    classes, hot, shared = text_classes(rows, keep, hash_chars)
+    return _judged(_hashed(rows, hash_chars), classes, hot, shared).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of docs that stay, with all their columns: of each set of equal texts the one row with the smallest (or largest) id."""
     rows = texts(docs, id_col, text_col)
-    classes, shared = text_classes(rows, keep)
+    classes, hot, shared = text_classes(rows, keep)
     twice = _hashed(rows, 32).groupBy("h", "doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     boxed = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     # whole rows meet their verdicts by a merge join: one plan, and one measure of shuffle, for inputs of any size
-    kept = _judged(_hashed(boxed, 32), classes, shared, "merge").filter("kept")
+    kept = _judged(_hashed(boxed, 32), classes, hot, shared, "merge").filter("kept")
     if not twice.isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text_sha256"])
     return kept.select("row.*")

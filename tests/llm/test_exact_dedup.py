@@ -4,7 +4,8 @@ from collections import defaultdict
 import pytest
 from fixtures import DOC_SCHEMA, frame
 
-from sectora.llm.exact_dedup import exact_dedup, mark_duplicates
+from sectora.llm.common import texts as texts_of
+from sectora.llm.exact_dedup import SALTS, _dealt, _hashed, exact_dedup, mark_duplicates, text_classes
 
 
 def brute(rows, keep):
@@ -28,6 +29,22 @@ def test_marks_like_brute_force_even_when_hashes_collide(spark, keep, hash_chars
     assert got == brute(df.collect(), keep)
 
 
+@pytest.mark.parametrize("hash_chars", [32, 1])
+def test_one_text_in_a_third_of_all_rows_is_spread(spark, hash_chars):
+    texts = ["hot"] * 500 + [f"text {i % 700}" for i in range(1000)]
+    df = frame(spark, texts).repartition(5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted([tuple(r) for r in mark_duplicates(df, keep="max", hash_chars=hash_chars).collect()], key=str)
+        kept = sorted(r.doc_id for r in exact_dedup(df, keep="max").collect())
+        classes, hot, _ = text_classes(texts_of(df))
+        shares = _dealt(_hashed(texts_of(df), 32), hot).filter("hot and text = 'hot'").groupBy("salt").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == brute(df.collect(), "max") and kept == sorted(r[0] for r in got if r[3])
+    assert len(shares) > SALTS // 2 and max(r["count"] for r in shares) < 60
+
+
 def test_keeps_one_whole_row_of_each_text(spark):
     df = frame(spark, ["a", "b", "a", None, "", "c"], [(0, "a", *[None] * 6), (5, "c", *[None] * 6)])
     kept = exact_dedup(df)

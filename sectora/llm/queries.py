@@ -144,18 +144,23 @@ ORACLE_SQL: dict[str, str] = {
             UNION SELECT list, pattern, 'allow', DATE '2024-01-01' + CAST(n % 300 + 200 AS INTEGER) FROM days WHERE list = 'spam'
             UNION SELECT list, pattern, CASE WHEN ascii(segment) % 2 = 0 THEN 'block' ELSE 'allow' END, DATE '2024-01-01' + CAST(n % 600 AS INTEGER) FROM days WHERE list = 'paths'
         ), known AS (
-            SELECT list, lower(pattern) AS pattern, entry_date AS valid_from, max(action) AS action FROM entries GROUP BY ALL
+            SELECT list, pattern, entry_date AS valid_from, max(action) AS action FROM entries GROUP BY ALL
         ), spans AS (
             SELECT *, lead(valid_from) OVER (PARTITION BY list, pattern ORDER BY valid_from) AS valid_to FROM known
         ), names AS (
-            SELECT DISTINCT url, fetch_date, segment, name FROM (
-                SELECT url, fetch_date, segment, host AS name FROM captures WHERE host IS NOT NULL
+            SELECT DISTINCT url, fetch_date, name FROM (
+                SELECT url, fetch_date, host AS name FROM captures WHERE host IS NOT NULL
                 UNION ALL
-                SELECT url, fetch_date, segment, array_to_string(list_slice(string_split(host, '.'), -k, -1), '.')
-                FROM captures, range(2, 9) AS r(k) WHERE host IS NOT NULL AND k <= length(host) - length(replace(host, '.', '')) + 1
+                SELECT url, fetch_date, array_to_string(list_slice(string_split(host, '.'), -k, -1), '.')
+                FROM captures, unnest(range(2, length(host) - length(replace(host, '.', '')) + 2)) AS r(k) WHERE host IS NOT NULL
             )
+        ), segments AS (
+            SELECT DISTINCT url, string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/') AS parts FROM captures
+        ), paths AS (
+            SELECT url, '' AS path FROM segments
+            UNION ALL SELECT url, '/' || array_to_string(list_slice(parts, 1, k), '/') FROM segments, unnest(range(1, len(parts) + 1)) AS r(k) WHERE parts[k] <> ''
         ), asked AS (
-            SELECT url, fetch_date, name AS pattern FROM names UNION SELECT url, fetch_date, name || '/' || segment FROM names WHERE segment <> ''
+            SELECT url, fetch_date, name || path AS pattern FROM names JOIN paths USING (url)
         ), by_list AS (
             SELECT url, fetch_date, list, arg_max(action, length(asked.pattern) * 2 + CAST(action = 'block' AS INTEGER)) AS action, count(*) AS n
             FROM asked JOIN spans ON asked.pattern = spans.pattern AND fetch_date >= valid_from AND (valid_to IS NULL OR fetch_date < valid_to)

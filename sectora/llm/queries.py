@@ -116,7 +116,7 @@ QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_url_filters": op
 _TEMPLATES = ", ".join(
     f"({number}, {q}, {len(words)}, '{words[q]}', '{words[q + 1]}', '{label}', {str(number < len(license_scan.PHRASES)).lower()})"
     for number, (text, label) in enumerate([*license_scan.PHRASES.items(), *license_scan.NOTICES.items()])
-    for words in ["".join(c if c.isalnum() else " " for c in text).split()]
+    for words in [license_scan.template_words(text)]
     for q in range(len(words) - 1)
 )
 
@@ -180,17 +180,21 @@ ORACLE_SQL: dict[str, str] = {
             FROM documents
         ), placed AS (
             SELECT rid, unnest(words) AS w0, unnest(list_concat(words[2:], [NULL])) AS w1, unnest(range(len(words))) AS p FROM split WHERE len(words) > 0
-        ), votes AS (
-            SELECT rid, template, length, label, phrase, p - q AS place, count(*) AS votes FROM placed JOIN grams ON w0 = t0 AND w1 = t1 GROUP BY ALL
+        ), hits AS (
+            SELECT rid, template, length, label, phrase, q, p, p - q AS place FROM placed JOIN grams ON w0 = t0 AND w1 = t1
         ), marked AS (
-            SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY rid, template ORDER BY place) <= 2 THEN 0 ELSE 1 END AS new FROM votes WHERE NOT phrase
+            SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY rid, template ORDER BY place, q) <= 2 THEN 0 ELSE 1 END AS new FROM hits WHERE NOT phrase
         ), runs AS (
-            SELECT *, sum(new) OVER (PARTITION BY rid, template ORDER BY place) AS run FROM marked
+            SELECT *, sum(new) OVER (PARTITION BY rid, template ORDER BY place, q ROWS UNBOUNDED PRECEDING) AS run FROM marked
+        ), firsts AS (
+            SELECT rid, template, run, q, length, label, min(p) AS p, min(place) AS place FROM runs GROUP BY ALL
+        ), ordered AS (
+            SELECT *, p > coalesce(max(p) OVER (PARTITION BY rid, template, run ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS beyond FROM firsts
         ), found AS (
-            SELECT rid, place, label, true AS base, 1.0::DOUBLE AS share FROM votes WHERE phrase AND votes = length - 1
+            SELECT rid, place, label, true AS base, 1.0::DOUBLE AS share FROM hits WHERE phrase GROUP BY rid, template, place, label, length HAVING count(*) = length - 1
             UNION ALL
-            SELECT rid, min(place), label, false, least(1.0::DOUBLE, sum(votes) / (length - 1)) FROM runs GROUP BY rid, template, length, label, run
-            HAVING least(1.0::DOUBLE, sum(votes) / (length - 1)) >= 0.75
+            SELECT rid, min(place), label, false, count(*) FILTER (WHERE beyond)::DOUBLE / (length - 1) FROM ordered GROUP BY rid, template, length, label, run
+            HAVING count(*) FILTER (WHERE beyond)::DOUBLE / (length - 1) >= 0.75
         ), by_doc AS (
             SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(place) FILTER (WHERE base) AS first_word, max(place) FILTER (WHERE base) AS last_word,
                    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score

@@ -69,8 +69,8 @@ def test_components_like_brute_force(spark):
     assert all(r.doc_id == low[up[slow_fingerprint(r.text)]] for r in kept)
 
 
-@pytest.mark.parametrize(("most", "salts"), [(1 << 22, 1), (5000, 3)])
-def test_every_link_of_a_place_is_found_in_shares_too(most, salts):
+@pytest.mark.parametrize(("most", "part_bits"), [(1 << 22, 0), (5000, 2), (700, 9)])
+def test_every_link_of_a_place_is_found_in_parts_too(most, part_bits):
     r = np.random.default_rng(4)
     centre = np.uint64(0x5A5A5A5A5A5A5A5A)
     fps = np.array([centre ^ np.uint64(sum(1 << int(b) for b in r.choice(64, r.integers(0, 6), replace=False))) for _ in range(60)], np.uint64)
@@ -82,8 +82,8 @@ def test_every_link_of_a_place_is_found_in_shares_too(most, salts):
         for p in (f >> np.uint64(60)) ^ flips:
             places.setdefault(int(p), []).append(f)
     for place, members in places.items():
-        for salt in range(salts):
-            u, v = simhash.place_links(np.array(members, np.uint64), place, 4, 4, salt, salts, most)
+        for part in range(1 << part_bits):
+            u, v = simhash.place_links(np.array(members, np.uint64), place, 4, 4, part, part_bits, most)
             found += zip(u.view(np.uint64).tolist(), v.view(np.uint64).tolist(), strict=True)
     want = slow_roots(sorted(fps.tolist()), 4)
     up = {f: f for f in fps.tolist()}
@@ -109,6 +109,35 @@ def test_heavy_places_are_split(spark):
     assert all((got.get(a, a) == got.get(b, b)) == (want[a] == want[b]) for a in fps for b in fps)
 
 
+def test_a_group_of_near_copies_is_dealt_evenly(spark):
+    r = np.random.default_rng(9)
+    flips = simhash.masks(64, 3)
+    group = np.uint64(0x123456789ABCDEF) ^ r.choice(flips, 3000, replace=False)
+    fps = np.concatenate([group, r.integers(0, 1 << 63, 3000).astype(np.uint64)])
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fingerprint long")
+    sizes = []
+    own = simhash.place_links
+    dealt = simhash.fingerprint_links(df, place_variants=50_000)
+    plan = dealt._jdf.queryExecution().toString()
+    assert "place" in plan and "part" in plan
+    got = {x.node: x.root for x in roots(dealt).collect()}
+    near = [v for v in group.view(np.int64).tolist()]
+    assert len({got.get(f, f) for f in near}) == 1
+    # what a part makes is its own variants only
+    for k in (0, 3, 7):
+        u = [len(np.unique(own(group, int(group[0] >> np.uint64(60)), 4, 4, part, k)[0])) for part in range(1 << k)]
+        sizes.append(max(u))
+    assert sizes[0] >= sizes[1] >= sizes[2]
+
+
+def test_parities_are_linear():
+    r = np.random.default_rng(2)
+    a, b = r.integers(0, 1 << 63, 1000).astype(np.uint64), r.integers(0, 1 << 63, 1000).astype(np.uint64)
+    assert (simhash.parities(a ^ b, 20) == simhash.parities(a, 20) ^ simhash.parities(b, 20)).all()
+    counts = np.bincount(simhash.parities(simhash.masks(64, 2), 5).astype(int), minlength=32)
+    assert counts.max() < 2 * counts.mean()
+
+
 def test_roots_of_long_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5), (None, 3)] + [(-7, 2000)]
     got = {r.node: r.root for r in roots(spark.createDataFrame(links, "u long, v long")).collect()}

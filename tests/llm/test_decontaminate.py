@@ -1,9 +1,11 @@
+import random
 import re
+import tracemalloc
 
 import pytest
 from fixtures import DOC_SCHEMA, frame, random_texts
 
-from sectora.llm.decontaminate import decontaminate, find_contamination
+from sectora.llm.decontaminate import SuffixAutomaton, decontaminate, find_contamination
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -39,6 +41,28 @@ def test_like_brute_force(spark, window, block_words):
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()], [*items, (None, "d d")], window)
 
 
+def test_ids_of_any_type_and_repeated_rows_over_many_blocks(spark):
+    docs = spark.createDataFrame([("d1", "x a b c y", 1), ("d1", "x a b c y", 2), (None, "c d e", 3), ("d2", None, 4), ("d1", "other", 5)], "doc_id string, text string, items int")
+    items = spark.createDataFrame([("i2", "a b c"), ("i1", "b c"), (None, "d e"), ("i3", "zz")], "item_id string, text string")
+    for block_words in (1, 100):
+        got = sorted(((r.doc_id, r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in find_contamination(docs, items, window=3, block_words=block_words).collect()), key=str)
+        assert got == sorted([("d1", 5, [(1, 4)], ["i1", "i2"])] * 2 + [(None, 3, [(1, 3)], []), ("d2", 0, [], []), ("d1", 1, [], [])], key=str)
+        cut = sorted(((r.doc_id, r.text, r["items"]) for r in decontaminate(docs, items, window=3, max_coverage=0.9, block_words=block_words).collect()), key=str)
+        assert cut == sorted([("d1", "x  y", 1), ("d1", "x  y", 2), (None, "c ", 3), ("d2", None, 4), ("d1", "other", 5)], key=str)
+
+
+def test_memory_of_an_automaton():
+    r = random.Random(4)
+    items = [(i, [b"%d" % r.randrange(20_000) for _ in range(200)]) for i in range(1000)]
+    tracemalloc.start()
+    automaton = SuffixAutomaton(items, 10)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 200 * 200_000, held  # bytes a word
+    words = items[7][1][:40] + [b"zz"] + items[9][1][100:109]
+    assert automaton.match(words) == ([(0, 40)], {7})
+
+
 def test_cuts_spans_and_leaves_clean_documents(spark):
     item = "one two three four five six seven eight nine ten"
     docs = frame(spark, [f"Before, it. {item.upper()}! After all of that there is a lot of other text here to keep it in.", item, "clean text", None, ""])

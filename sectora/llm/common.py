@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes 0x20 and 0x09-0x0D part words; bytes.split() without an argument splits at exactly these.
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -25,6 +26,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def with_id(rows: DataFrame, columns: str) -> StructType:
+    """The schema of rows' doc_id, whatever its type, and further columns."""
+    return StructType([rows.schema["doc_id"], *StructType.fromDDL(columns)])
+
+
 def modest_batches(spark: SparkSession, size: str = "8m") -> None:
     """Arrow batches of a few MB for a session that has Spark's default of 64: texts are long, and several Python workers share an executor's memory."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "67108864", "64m", "64MB"):

@@ -1,14 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Two interpolated Kneser-Ney models, one of toxic and one of ordinary training texts. All counts are continuation counts: in how many different contexts
-an expression stands, so that copies of a text teach no more than the text. Each class has discounted counts of word pairs that back off to its own
-discounted counts of words; these back off to continuation counts that both classes share,
-so an expression neither class knows well favours neither. The two log-likelihoods are compared word by word: where they agree within a margin the models
-say the same and the word counts for neither. What is left is summed, divided by a power of the text's length and mapped to a probability by a logistic
-line. Discount, order (pairs, or words alone), margin and power are those of a small grid that do best on labelled training texts the counts haven't seen; the line is fitted there too.
+Two interpolated Kneser-Ney models of word pairs, one of toxic and one of ordinary training texts. All counts are continuation counts: in how many different
+contexts an expression stands, so that copies of a text teach no more than the text. A pair's discounted share among those of its first word in the class
+backs off to the class's discounted share of the word, and that to the word's share over both classes. The weights of the backoff are shared too: they
+are the mass that discounts take from the counts of both classes together. So an expression that neither class has often enough to outlive the discount
+is as likely under both, and rare ones favour neither.
 
-The models learn from a bounded sample: at most `sample_rows` labelled rows of each class, those whose id hashes lowest; three in four are counted, the
-rest choose and set the line. Counting is a Spark aggregation; pairs seen once are left to the backoff, so the broadcast tables stay within the sample's.
+Every word after its predecessor has a likelihood under both models, and a text is compared by the mean of their ratio over its words, so that its length
+doesn't count: the power mean of some exponent (0: the mean of the log ratios, the usual mean log-likelihood). A few insults in a long text are as clear
+in the mean of ratios as they are invisible among the log ratios of thousands of ordinary words, which is why the exponent is chosen with the discounts:
+from a small grid, by the loss of a logistic line on labelled training texts that the counts haven't seen.
+
+The models learn from a bounded sample: at most `sample_rows` labelled rows of each class, those whose id hashes lowest, and of these the first that have
+`sample_bytes` of text together (a longer one is passed over); three in four are counted, the rest choose and set the line. Counting is a Spark
+aggregation; only words and pairs that outlive the least discount reach the driver and are broadcast, which the sample bounds.
 
 Nulls and empty texts have no words and get the score of a difference of zero. Without labels of both classes the score is their share (0.5 without any).
 Repeated rows give repeated results; an empty table gives an empty one. Words are runs of letters, digits and non-ASCII characters, A-Z lowered.
@@ -17,17 +22,19 @@ Repeated rows give repeated results; an empty table gives an empty one. Words ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import WORD_BYTES, as_bytes, fold, parts, stored
+from .common import WORD_BYTES, as_bytes, fold, parts, stored, with_id
 
 START = b" "
-#: The grid that the labelled texts kept from counting choose from; on equal losses the first.
-DISCOUNTS, ORDERS, MARGINS, POWERS = (2.0, 4.0, 1.0), (2, 1), (1.5, 1.0, 2.0, 0.7, 3.0), (0.5, 1.0)
+#: The grid that the labelled texts kept from counting choose from: discounts of words and of pairs, exponents of the mean; on equal losses the first.
+WORD_DISCOUNTS, PAIR_DISCOUNTS, EXPONENTS = (1.5, 1.0, 2.0), (4.0, 8.0, 2.0), (3.0, 2.0, 4.0, 1.0, 0.0)
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -47,38 +54,62 @@ def seen_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["ahead", "before", "word", "n0", "n1"])
 
 
+@dataclass
+class Counts:
+    """What the models are made of. words and pairs that outlive the least discount with their counts by class; shared: a word's contexts over both classes;
+    of all words: total (counts by class), lost (by discount of words, the mass it takes from both), shared_total, different; follow: by preceding word of a
+    kept pair, the counts of all its pairs by class."""
+
+    words: list[bytes]
+    contexts: np.ndarray
+    shared: np.ndarray
+    total: np.ndarray
+    lost: dict[float, float]
+    shared_total: float
+    different: int
+    follow: dict[bytes, np.ndarray]
+    before: list[bytes]
+    after: list[bytes]
+    pairs: np.ndarray
+
+
+def _shares(kept: np.ndarray) -> np.ndarray:
+    """Columns over their sums; zeros stay."""
+    return kept / np.where(kept.sum(0) > 0, kept.sum(0), 1)
+
+
 class KneserNey:
     """Log-likelihood ratios of words and word pairs, toxic against ordinary, ready for lookup."""
 
-    def __init__(self, numbers: dict[bytes, int], contexts: np.ndarray, shared: np.ndarray, before: list[bytes], follow: np.ndarray, pairs: tuple[list[bytes], list[bytes], np.ndarray], discount: float):
-        """numbers: words, numbered from 0; contexts: per word and class, how many different words it follows; shared: the same over both classes; follow: per preceding word and class,
-        the sum of its pairs' counts; pairs: the pairs that are kept, with their counts by class (different words ahead of the pair)."""
+    def __init__(self, counts: Counts, numbers: dict[bytes, int], word_discount: float, pair_discount: float):
+        """numbers: counts.words, numbered from 0; others count as unknown."""
         self.numbers = numbers
         v = len(numbers)
         unknown, start = v, v + 1
-        base = np.append(shared, 0) + 0.5
-        base /= base.sum()
-        own = np.maximum(np.vstack([contexts, [[0, 0]]]) - discount, 0) / np.maximum(1, contexts.sum(0))
-        word = own + (1 - own.sum(0)) * base[:, None]  # P(word | class)
-        total = np.zeros((v + 2, 2))
-        for b, n in zip(before, follow, strict=True):
-            total[start if b == START else self.numbers.get(b, unknown)] += n
-        first = np.array([start if b == START else self.numbers[b] for b in pairs[0]], np.int64)
-        second = np.array([self.numbers[w] for w in pairs[1]], np.int64)
-        kept = np.maximum(pairs[2] - discount, 0) / np.maximum(1, total[first])
-        taken = np.stack([np.bincount(first, kept[:, c], v + 2) for c in (0, 1)], 1)
-        backoff = np.where(total > 0, 1 - taken, 1)
-        agreed = np.log((1 - own.sum(0))[1] / (1 - own.sum(0))[0])  # what the classes' backoff weights alone say
+        base = (np.append(counts.shared, 0) + 0.5) / (counts.shared_total + 0.5 * (counts.different + 1))
+        kept = np.maximum(np.vstack([counts.contexts, [[0, 0]]]) - word_discount, 0)
+        weight = np.where(kept.sum(0) > 0, counts.lost[word_discount] / max(1.0, counts.total.sum()), 1.0)
+        word = (1 - weight) * _shares(kept) + weight * base[:, None]  # P(word | class)
         self.word = np.log(word[:, 1] / word[:, 0])
-        self.word[(own == 0).all(1)] -= agreed
-        self.backoff = np.log(backoff[:, 1] / backoff[:, 0])
-        both = kept + backoff[first] * word[second]
-        keys, some = first * (v + 2) + second, (kept > 0).any(1)
-        order = np.argsort(keys[some])
-        self.keys, self.pair = keys[some][order], np.log(both[:, 1] / both[:, 0])[some][order]
-
-    def differences(self, raws: list[bytes], margins: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
-        """Per text, the toxic log-likelihood less the ordinary one over the words where they differ by more than each margin; and its words."""
+        self.word[(kept == 0).all(1)] = 0.0
+        first = np.array([start if b == START else numbers.get(b, -1) for b in counts.before], np.int64)
+        second = np.array([numbers.get(w, -1) for w in counts.after], np.int64)
+        pair = np.maximum(counts.pairs - pair_discount, 0).reshape(-1, 2)
+        some = (first >= 0) & (second >= 0) & (pair > 0).any(1)
+        first, second, pair, heads = first[some], second[some], pair[some], [b for b, k in zip(counts.before, some.tolist(), strict=True) if k]
+        taken = np.stack([np.bincount(first, pair[:, c], v + 2) for c in (0, 1)], 1)
+        seen = np.zeros(v + 2)
+        for at, b in zip(first.tolist(), heads, strict=True):
+            seen[at] = counts.follow[b].sum()
+        weight = np.where(taken > 0, (1 - taken.sum(1) / np.maximum(1, seen))[:, None], 1.0)  # of the backoff from a preceding word
+        self.backoff = np.log(weight[:, 1] / weight[:, 0])
+        both = (1 - weight[first]) * pair / np.where(taken[first] > 0, taken[first], 1) + weight[first] * word[second]
+        keys = first * (v + 2) + second
+        order = np.argsort(keys)
+        self.keys, self.pair = keys[order], np.log(both[:, 1] / both[:, 0])[order]
+
+    def ratios(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The log ratio of each word's likelihoods after its predecessor, and the text it stands in."""
         split = [words_of(x) for x in raws]
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         v = len(self.numbers)
@@ -96,22 +127,30 @@ class KneserNey:
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             found = self.keys[at] == keys
             value[found] = self.pair[at[found]]
-        row = np.repeat(np.arange(len(raws)), lengths)
-        sums = [np.bincount(row[m], value[m], len(raws)) for m in (np.abs(value) > margin for margin in margins)]
-        return np.stack(sums, 1), lengths
+        return value, np.repeat(np.arange(len(raws)), lengths)
+
+    def means(self, raws: list[bytes], exponents: tuple[float, ...]) -> np.ndarray:
+        """By text and exponent, the log of the power mean of its words' ratios; 0 without words."""
+        value, row = self.ratios(raws)
+        n = np.maximum(1, np.bincount(row, minlength=len(raws)))
+        out = np.zeros((len(raws), len(exponents)))
+        some = np.unique(row)
+        for k, t in enumerate(exponents):
+            if t:
+                out[some, k] = np.log((np.bincount(row, np.exp(np.clip(t * value, -500, 500)), len(raws)) / n)[some]) / t
+            else:
+                out[:, k] = np.bincount(row, value, len(raws)) / n
+        return out
 
 
 class Detector:
-    """A model and the logistic line over its differences; without a model a constant."""
+    """A model and the logistic line over its means; without a model a constant."""
 
-    def __init__(self, model: KneserNey | None, margin: float, power: float, slope: float, offset: float):
-        self.model, self.margin, self.power, self.slope, self.offset = model, margin, power, slope, offset
+    def __init__(self, model: KneserNey | None, exponent: float, slope: float, offset: float):
+        self.model, self.exponent, self.slope, self.offset = model, exponent, slope, offset
 
     def score(self, raws: list[bytes]) -> np.ndarray:
-        x = np.zeros(len(raws))
-        if self.model:
-            sums, n = self.model.differences(raws, (self.margin,))
-            x = sums[:, 0] / np.maximum(1, n) ** self.power
+        x = self.model.means(raws, (self.exponent,))[:, 0] if self.model else np.zeros(len(raws))
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -50, 50)))
 
 
@@ -129,71 +168,88 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(beta[0] / scale), float(beta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 4_000, id_col: str = "doc_id") -> Detector:
+def bounded_sample(docs: DataFrame, known: DataFrame, sample_rows: int, sample_bytes: int) -> DataFrame:
+    """doc_id, y, text, line (kept from counting); known: doc_id, y. The limits hold for each class."""
+    picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for y in (0, 1)]
+    picked = F.broadcast(picked[0].union(picked[1]))  # at most 2 x sample_rows ids
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(picked, "doc_id").filter(F.col("size") <= sample_bytes)
+    in_turn = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = sizes.withColumn("so_far", F.sum("size").over(in_turn)).filter(F.col("so_far") <= sample_bytes).select("doc_id", "y").distinct()
+    return docs.join(F.broadcast(held), "doc_id").withColumn("line", F.pmod(F.xxhash64("doc_id", F.lit("line")), F.lit(4)) == 0)
+
+
+def counted(sample: DataFrame) -> Counts:
+    """sample: y, text."""
+    triples = sample.select("y", "text").mapInArrow(seen_triples, "ahead binary, before binary, word binary, n0 long, n1 long")
+    triples = triples.groupBy("ahead", "before", "word").agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"))
+    pairs = stored(triples.groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-pairs")
+    seen = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(c)
+    words = stored(pairs.groupBy("word").agg(seen("n0"), seen("n1"), F.count("*").alias("contexts")), "toxicity-words")
+    lost = [F.sum(F.least("n0", F.lit(d)) + F.least("n1", F.lit(d))).alias(f"lost{k}") for k, d in enumerate(WORD_DISCOUNTS)]
+    total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1", "contexts")], F.count("*").alias("v"), *lost).first()
+    most = F.greatest("n0", "n1")
+    some = words.filter(most > min(WORD_DISCOUNTS)).toArrow()
+    kept = pairs.filter(most > min(PAIR_DISCOUNTS)).toArrow()
+    follow = pairs.groupBy("before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max(most).alias("most")).filter(F.col("most") > min(PAIR_DISCOUNTS)).toArrow()
+    by_class = lambda t: np.stack([t.column(c).to_numpy() for c in ("n0", "n1")], 1).astype(float)
+    return Counts(
+        some.column("word").to_pylist(), by_class(some), some.column("contexts").to_numpy().astype(float),
+        np.array([total["n0"], total["n1"]], float), {d: total[f"lost{k}"] or 0.0 for k, d in enumerate(WORD_DISCOUNTS)}, float(total["contexts"]), total["v"],
+        dict(zip(follow.column("before").to_pylist(), by_class(follow), strict=True)), kept.column("before").to_pylist(), kept.column("word").to_pylist(), by_class(kept),
+    )
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 4_000, sample_bytes: int = 64 << 20, id_col: str = "doc_id") -> Detector:
     """docs: doc_id, text of the training documents."""
     known = labels.select(labels[id_col].alias("doc_id"), labels[label].cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").dropDuplicates(["doc_id"])
     known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         p = np.clip(next(iter(total), 0.5), 1e-6, 1 - 1e-6)
-        return Detector(None, 0.0, 1.0, 0.0, float(np.log(p / (1 - p))))
-    picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for y in (0, 1)]
-    picked = picked[0].union(picked[1])  # at most 2 x sample_rows ids, so the broadcast is bounded
-    sample = stored(docs.join(F.broadcast(picked), "doc_id").withColumn("line", F.pmod(F.xxhash64("doc_id", F.lit("line")), F.lit(4)) == 0), "toxicity-sample")
-    triples = sample.filter("not line").select("y", "text").mapInArrow(seen_triples, "ahead binary, before binary, word binary, n0 long, n1 long")
-    triples = triples.groupBy("ahead", "before", "word").agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"))
-    counted = stored(triples.groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-pairs")
-    seen = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(c)
-    words = counted.groupBy("word").agg(seen("n0"), seen("n1"), F.count("*").alias("contexts")).toArrow()
-    follow = counted.groupBy("before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 > 1").toArrow()
-    pairs = counted.filter("n0 + n1 > 1").toArrow()
-    known = tables(words, follow, pairs)
-    none = [], [], np.zeros((0, 2))
-    return chosen(sample.filter("line"), [KneserNey(*(known if order == 2 else (*known[:-1], none)), d) for d in DISCOUNTS for order in ORDERS], total)
-
-
-def tables(words: pa.Table, follow: pa.Table, pairs: pa.Table) -> tuple:
-    by_class = lambda t: np.stack([t.column("n0").to_numpy(), t.column("n1").to_numpy()], 1).astype(float)
-    lists = [t.column(c).to_pylist() for t, c in ((words, "word"), (follow, "before"), (pairs, "before"), (pairs, "word"))]
-    return {w: i for i, w in enumerate(lists[0])}, by_class(words), words.column("contexts").to_numpy().astype(float), lists[1], by_class(follow), (lists[2], lists[3], by_class(pairs))
+        return Detector(None, 0.0, 0.0, float(np.log(p / (1 - p))))
+    sample = stored(bounded_sample(docs, known, sample_rows, sample_bytes), "toxicity-sample")
+    counts = counted(sample.filter("not line"))
+    numbers = {w: i for i, w in enumerate(counts.words)}
+    return chosen(sample.filter("line"), [KneserNey(counts, numbers, w, p) for w in WORD_DISCOUNTS for p in PAIR_DISCOUNTS], total)
 
 
 def chosen(sample: DataFrame, models: list[KneserNey], total: dict[int, int]) -> Detector:
-    """The model, margin and power with the least loss on the sample (y, text), and the line fitted there; each class weighs as its labels do."""
+    """The model and exponent with the least loss on the sample (y, text), and the line fitted there; each class weighs as its labels do."""
     sent = sample.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
             raws = as_bytes(part.column(1))
-            found = [m.differences(raws, MARGINS) for m in sent.value]
-            sums = np.concatenate([x for x, _ in found], 1)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found[0][1]), pa.array(sums.tolist(), pa.list_(pa.float64()))], ["y", "n", "sums"])
+            found = np.concatenate([m.means(raws, EXPONENTS) for m in sent.value], 1)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.tolist(), pa.list_(pa.float64()))], ["y", "means"])
+
+    got = sample.select("y", "text").mapInArrow(run, "y int, means array<double>").toArrow()  # a few numbers a row of the bounded sample
+    y = got.column("y").to_numpy().astype(np.int64)
+    return least_loss(y, np.array(got.column("means").to_pylist()).reshape(len(y), len(models), len(EXPONENTS)), models, total)
+
 
-    got = sample.select("y", "text").mapInArrow(run, "y int, n long, sums array<double>").toArrow()
-    y, n = got.column("y").to_numpy().astype(np.int64), got.column("n").to_numpy()
+def least_loss(y: np.ndarray, means: np.ndarray, models: list, total: dict[int, int]) -> Detector:
+    """means: by text, model and exponent."""
     held = np.bincount(y, minlength=2)
     if not held.all():
-        return Detector(models[0], MARGINS[0], POWERS[0], 4.0, -1.0)
+        return Detector(models[0], EXPONENTS[0], 4.0, -4.0)
     weight = np.array([total[k] / held[k] for k in (0, 1)])[y]
     weight *= len(y) / weight.sum()
-    sums = np.array(got.column("sums").to_pylist()).reshape(len(y), len(models), len(MARGINS))
     best = None
     for i, model in enumerate(models):
-        for j, margin in enumerate(MARGINS):
-            for power in POWERS:
-                x = sums[:, i, j] / np.maximum(1, n) ** power
-                slope, offset = logistic(x, y, weight)
-                z = np.clip(slope * x + offset, -50, 50)
-                loss = float((weight * (np.logaddexp(0, z) - y * z)).sum())
-                if best is None or loss < best[0] - 1e-9:
-                    best = loss, Detector(model, margin, power, slope, offset)
+        for k, exponent in enumerate(EXPONENTS):
+            slope, offset = logistic(means[:, i, k], y, weight)
+            z = np.clip(slope * means[:, i, k] + offset, -50, 50)
+            loss = float((weight * (np.logaddexp(0, z) - y * z)).sum())
+            if best is None or loss < best[0] - 1e-9:
+                best = loss, Detector(model, exponent, slope, offset)
     return best[1]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, threshold: float = 0.5, sample_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, threshold: float = 0.5, sample_rows: int = 4_000, sample_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted. Labels teach only from rows outside the held-out fold; nothing of docs is shuffled but ids."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("held_out", fold(F.col("doc_id"), folds) == held)
-    detector = train(rows.filter(~F.col("held_out")).select("doc_id", "text"), labels, label, sample_rows)
+    detector = train(rows.filter(~F.col("held_out")).select("doc_id", "text"), labels, label, sample_rows, sample_bytes)
     sent = docs.sparkSession.sparkContext.broadcast(detector)  # within the bounded sample's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,4 +257,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", fo
             score = sent.value.score(as_bytes(part.column(1)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(run, with_id(rows, "held_out boolean, score double, predicted int"))

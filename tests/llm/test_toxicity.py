@@ -1,9 +1,10 @@
 import random
+from collections import Counter
 
 import numpy as np
 from fixtures import DOC_SCHEMA, frame
 
-from sectora.llm.toxicity import START, KneserNey, logistic, toxicity_scores, words_of
+from sectora.llm.toxicity import EXPONENTS, PAIR_DISCOUNTS, START, WORD_DISCOUNTS, KneserNey, bounded_sample, counted, least_loss, logistic, toxicity_scores, words_of
 
 MARKS = ["vrakk", "snorg", "blefh"]
 
@@ -21,36 +22,75 @@ def texts(n=1200):
     return out
 
 
-def slow_ratio(text, contexts, shared, pairs, follow, d):
+def slow_counts(samples):
+    """Continuation counts by class of words and of pairs."""
+    triples = [set(), set()]
+    for y, text in samples:
+        w = words_of(text.encode())
+        triples[y] |= set(zip([START, START, *w], [START, *w], w, strict=False))
+    pairs = [Counter((b, w) for _, b, w in t) for t in triples]
+    return pairs, [Counter(w for _, w in p) for p in pairs]
+
+
+def slow_ratios(text, pairs, words, d1, d2):
     """The definition, with dictionaries."""
-    total = sum(shared.values()) + 0.5 * (len(shared) + 1)
-    sums = [max(1, sum(c[k] for c in contexts.values())) for k in (0, 1)]
-    own = lambda w, k: max(contexts.get(w, (0, 0))[k] - d, 0) / sums[k]
-    lam = [1 - sum(own(w, k) for w in contexts) for k in (0, 1)]
-    single = lambda w, k: own(w, k) + lam[k] * (shared.get(w, 0) + 0.5) / total
-    first = lambda u, w, k: max(pairs.get((u, w), (0, 0))[k] - d, 0) / max(1, follow.get(u, (0, 0))[k])
-    back = lambda u, k: 1 - sum(first(u, w, k) for v, w in pairs if v == u)
-    out, before = 0.0, START
-    for w in words_of(text):
-        p = [first(before, w, k) + back(before, k) * single(w, k) for k in (0, 1)]
-        value = np.log(p[1] / p[0])
-        if not own(w, 0) and not own(w, 1) and not first(before, w, 0) and not first(before, w, 1):
-            value -= np.log(lam[1] / lam[0])
-        out += value
-        before = w if w in contexts else None
+    shared = Counter(w for _, w in {*pairs[0], *pairs[1]})
+    base = lambda w: (shared.get(w, 0) + 0.5) / (sum(shared.values()) + 0.5 * (len(shared) + 1))
+    left = [{w: n - d1 for w, n in c.items() if n > d1} for c in words]
+    lost = sum(min(n, d1) for c in words for n in c.values()) / max(1, sum(sum(c.values()) for c in words))
+    single = lambda w, k: (1 - lost) * left[k].get(w, 0) / sum(left[k].values()) + lost * base(w) if left[k] else base(w)
+    known = {w for c in left for w in c} | {w for w in shared if max(c.get(w, 0) for c in words) > min(WORD_DISCOUNTS)}
+    out, before = [], START
+    for w in words_of(text.encode()):
+        after = [{x: n - d2 for (b, x), n in c.items() if b == before and n > d2 and x in known} for c in pairs]
+        seen = sum(n for c in pairs for (b, _), n in c.items() if b == before)
+        weight = 1 - sum(sum(a.values()) for a in after) / max(1, seen)
+        p = [(1 - weight) * after[k].get(w, 0) / sum(after[k].values()) + weight * single(w, k) if after[k] else single(w, k) for k in (0, 1)]
+        out.append(np.log(p[1] / p[0]))
+        before = w if w in known else None
     return out
 
 
-def test_the_tables_are_the_definition():
-    contexts = {b"a": (5, 1), b"b": (0, 6), b"c": (4, 4), b"d": (1, 0)}
-    shared = {w: max(c) for w, c in contexts.items()}
-    pairs = {(START, b"a"): (3, 0), (b"a", b"b"): (0, 5), (b"c", b"a"): (4, 4)}
-    follow = {START: (4, 1), b"a": (3, 6), b"c": (6, 5)}
-    m = KneserNey({w: i for i, w in enumerate(contexts)}, np.array([*contexts.values()], float), np.array([*shared.values()], float), list(follow), np.array([*follow.values()], float), ([k[0] for k in pairs], [k[1] for k in pairs], np.array([*pairs.values()], float)), 2.0)
-    some = [b"A b", b"c a b zz d", b"", b"a a a, b! c"]
-    got, n = m.differences(some, (0.0,))
-    assert n.tolist() == [2, 5, 0, 5]
-    assert np.allclose(got[:, 0], [slow_ratio(t, contexts, shared, pairs, follow, 2.0) for t in some])
+def power_mean(x, t):
+    if not x:
+        return 0.0
+    return np.log(np.mean(np.exp(t * np.array(x)))) / t if t else np.mean(x)
+
+
+def test_counts_and_models_are_the_definition(spark):
+    r = random.Random(4)
+    samples = [(int(i % 3 == 0), " ".join(r.choice("a a a b b c d e f g".split()) + ("!" if r.random() < 0.1 else "") for _ in range(r.randint(0, 40)))) for i in range(40)]
+    samples += [(1, "rare " * 3), (0, "")]
+    got = counted(spark.createDataFrame(samples, "y int, text string").repartition(3))
+    pairs, words = slow_counts(samples)
+    assert {w: tuple(n) for w, n in zip(got.words, got.contexts.tolist(), strict=True)} == {w: (words[0][w], words[1][w]) for w in {*words[0], *words[1]} if max(words[0][w], words[1][w]) > 1}
+    some = [t for _, t in samples[:12]] + ["", "zz a b zz", "rare rare a"]
+    for d1 in WORD_DISCOUNTS:
+        for d2 in PAIR_DISCOUNTS:
+            m = KneserNey(got, {w: i for i, w in enumerate(got.words)}, d1, d2)
+            means = m.means([t.encode() for t in some], EXPONENTS)
+            for i, t in enumerate(some):
+                x = slow_ratios(t, pairs, words, d1, d2)
+                assert np.allclose(means[i], [power_mean(x, e) for e in EXPONENTS]), (t, d1, d2)
+
+
+def test_the_choice_is_the_least_loss():
+    r = np.random.default_rng(3)
+    x = r.normal(size=300)
+    y = (r.random(300) < 1 / (1 + np.exp(-4 * x))).astype(np.int64)
+    means = r.normal(size=(300, 3, len(EXPONENTS)))
+    means[:, 1, 2] = x
+    best = least_loss(y, means, ["a", "b", "c"], {0: int((y == 0).sum()), 1: int(y.sum())})
+    assert best.model == "b" and best.exponent == EXPONENTS[2] and best.slope > 2
+    assert least_loss(np.zeros(300, np.int64), means, ["a"], {0: 300}).model == "a"
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10_000 if i == 3 else 10)) for i in range(100)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, y int")
+    got = bounded_sample(docs, known, 30, 100).collect()
+    assert Counter(r.y for r in got) == {0: 10, 1: 10} and 3 not in {r.doc_id for r in got}
+    assert bounded_sample(docs, known, 7, 1 << 20).count() == 14
 
 
 def test_logistic_line():
@@ -76,3 +116,12 @@ def test_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity_scores(frame(spark, ["a", None]), none).collect()} == {0.5}
     assert toxicity_scores(spark.createDataFrame([], DOC_SCHEMA), none).count() == 0
+
+
+def test_labels_of_one_class_and_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "x y"), ("b", None), ("c", "word " * 300_000)], "doc_id string, text string")
+    one = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "doc_id string, toxic int")
+    assert {round(r.score, 3) for r in toxicity_scores(docs, one).collect()} == {1.0}
+    two = spark.createDataFrame([("a", 1), ("b", 0), ("c", 0)], "doc_id string, toxic int")
+    rows = toxicity_scores(docs, two).collect()
+    assert sorted(r.doc_id for r in rows) == ["a", "b", "c"] and all(0 <= r.score <= 1 for r in rows)

@@ -1,7 +1,8 @@
 """Substring deduplication by super-k-mer partitioning.
 
-A window is `window` consecutive words. Its minimiser is the smallest hash among the `gram`-word sequences inside it. Consecutive windows of a document
-that share a minimiser form a super-k-mer and travel as one packed string to the bucket of that minimiser, so equal windows meet in one bucket while each
+A window is `window` consecutive words. Its minimiser is the first of the `gram`-word sequences inside it, rare ones before frequent ones and by hash among
+the like: sequences are counted over all texts first, in `SLOTS` slots by hash, and each slot gets a tier by how far it is above the mean. A frequent
+sequence so draws only windows that hold nothing rarer, not a fixed share of the corpus. Consecutive windows of a document that share a minimiser form a super-k-mer and travel as one packed string to the bucket of that minimiser, so equal windows meet in one bucket while each
 word is moved only about three times instead of once per window. In a bucket the windows are sorted (by a rolling hash; windows that share a hash are
 compared byte by byte) and the smallest id of each is found.
 
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, parts, texts
 
+#: Slots that word sequences are counted in, and tiers of slots: each holds those twice as frequent as the one before.
+SLOTS, TIERS = 1 << 16, 16
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SPANS = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
@@ -149,7 +152,34 @@ def _unpacked(raw: bytes, dtype: str) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, dtype), dtype=dtype)
 
 
-def super_kmers(doc_ids: list, keys: list, raws: list[bytes], window: int, gram: int, buckets: int) -> tuple[list[tuple[int, bytes, bytes]], np.ndarray]:
+def ranks(digest: np.ndarray, gram: int, tiers: np.ndarray) -> np.ndarray:
+    """The order of minimisers: of the `gram` words from each place on, the tier and then the hash."""
+    code = mixed(rolling(digest, gram))
+    return tiers[code >> np.uint64(48)] << np.uint64(60) | code & np.uint64((1 << 60) - 1)
+
+
+def slot_counts(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
+    """slot, n of the word sequences of a column of texts."""
+    total = np.zeros(SLOTS, np.int64)
+    for part in parts(batches):
+        text = b" ".join(filter(None, (b" ".join(x.split()) for x in as_bytes(part.column(0))))) + b" "
+        if len(text) > 1:
+            code = mixed(rolling(word_hashes(text)[1], gram))
+            total += np.bincount((code >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+
+
+def slot_tiers(docs: DataFrame, gram: int) -> np.ndarray:
+    """The tier of each slot; docs: text. At most SLOTS sums reach the driver."""
+    counts = docs.select("text").mapInArrow(lambda batches: slot_counts(batches, gram), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(SLOTS)
+    n[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    above = np.maximum(n, 1) / max(1.0, n.mean())
+    return np.clip(np.ceil(np.log2(above)), 0, TIERS - 1).astype(np.uint64)
+
+
+def super_kmers(doc_ids: list, keys: list, raws: list[bytes], window: int, gram: int, buckets: int, tiers: np.ndarray) -> tuple[list[tuple[int, bytes, bytes]], np.ndarray]:
     """Rows (bucket, packed strings, their places) for a run of documents, and the spans decided within the run."""
     order = sorted((i for i, d in enumerate(doc_ids) if d is not None), key=lambda i: doc_ids[i])
     plain = [b" ".join(raws[i].split()) for i in order]
@@ -171,7 +201,7 @@ def super_kmers(doc_ids: list, keys: list, raws: list[bytes], window: int, gram:
     spans = np.zeros(len(a), SPANS)
     spans["doc"], spans["key"], spans["start"], spans["end"] = doc[row[a]], key[row[a]], a - first[row[a]], b - 1 + window - first[row[a]]
     # super-k-mers of the windows that are left
-    low = mixed(rolling(digest, gram))
+    low = ranks(digest, gram, tiers)
     reach, have = window - gram + 1, 1
     while have < reach:
         step = min(have, reach - have)
@@ -229,11 +259,12 @@ def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 2, bucket_byte
     buckets = max(8, -(-3 * size // bucket_bytes))
     if not 1 <= gram <= window:
         raise ValueError("gram must lie between 1 and window")
+    tiers = docs.sparkSession.sparkContext.broadcast(slot_tiers(docs, gram))  # SLOTS numbers
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
         for part in parts(gathered(batches, run_bytes), run_bytes):
-            rows, spans = super_kmers(part.column(0).to_pylist(), part.column(2).to_pylist(), as_bytes(part.column(1)), window, gram, buckets)
+            rows, spans = super_kmers(part.column(0).to_pylist(), part.column(2).to_pylist(), as_bytes(part.column(1)), window, gram, buckets, tiers.value)
             if len(spans):  # decided already: they ride along, to any bucket
                 turn += 1
                 rows.append(((int(spans["doc"][0]) + turn) % buckets, b"", spans.tobytes()))

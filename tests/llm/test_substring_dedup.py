@@ -83,5 +83,25 @@ def test_word_hashes_depend_on_the_word_alone():
     assert len(set(alone.values())) == len(alone) and len(digest) == len(words)
 
 
+def test_a_frequent_pair_draws_no_share_of_the_windows(spark):
+    r = random.Random(8)
+    texts = []
+    for _ in range(300):
+        words = [f"w{r.randrange(3000)}" for _ in range(120)]
+        for at in range(0, 120, 6):
+            words[at : at + 2] = ["of", "the"]  # a third of all words
+        texts.append(" ".join(words))
+    hot = sd.mixed(sd.rolling(sd.word_hashes(b"of the ")[1], 2))[0]
+    sizes = {}
+    for name, tiers in (("plain", np.zeros(sd.SLOTS, np.uint64)), ("ranked", sd.slot_tiers(frame(spark, texts), 2))):
+        if name == "plain":  # as if the pair's hash were the smallest
+            tiers = np.ones(sd.SLOTS, np.uint64)
+            tiers[int(hot >> np.uint64(48))] = 0
+        rows, _ = sd.super_kmers(list(range(300)), [0] * 300, [t.encode() for t in texts], 13, 2, 64, tiers)
+        sizes[name] = sorted(len(places) + len(strings) for _, strings, places in rows)
+    assert sizes["plain"][-1] > 10 * sizes["ranked"][-1]
+    assert sizes["ranked"][-1] < 2 * np.median(sizes["ranked"])
+
+
 def test_empty_table(spark):
     assert sd.remove_repeats(spark.createDataFrame([], DOC_SCHEMA)).count() == 0

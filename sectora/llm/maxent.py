@@ -12,10 +12,10 @@ documents in order and scores all; what it finds goes back to the token's batch
 
 Training makes one pass over all training documents in `ROUNDS` rounds, each on another share of them: every task starts from the broadcast weights, makes
 Adagrad steps on its share in sparse numpy batches and sends its change; changes are averaged by tokens on the executors, block by block as they stream in,
-and the driver gets one set of weights a round.
+and the driver gets one set of weights a round. So the weights, and a little of every score, depend on how the training documents are dealt to tasks.
 
 Scoring reads each text once. Counts of the `head` most frequent words are broadcast (a fixed number of words); all others meet their tokens in the groups'
-tasks, so the table of counts can be of any size. No single word there is frequent: frequent ones are among the members.
+tasks, so the table of counts can be of any size. No word there is frequent among the training documents: frequent ones are among the members.
 
 Nulls and empty texts are one end token. A null id counts as the empty text in its fold. Repeated rows are scored each by itself. Without training
 documents every word is unseen. An empty table gives an empty result. Other columns aren't read.
@@ -31,19 +31,24 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, as_bytes, fold, parts, stored
+from .common import LOWER_ASCII, as_bytes, fold, parts, stored, texts, with_id
 
 END = b""
+#: The mark of what stands before a text.
+START = (1 << 31) - 1
 CLASSES, TAILS, SLOTS = 32, 8, 64
-ROUNDS, BATCH, RATE = 3, 16384, 0.1
+ROUNDS, BATCH, RATE = 3, 32768, 0.1
 ONE, PAIR, INNER = 1 << 11, 1 << 12, 1 << 12
 BLOCK = 1024
 #: Words and training tokens of a group, branches of a softmax over groups, training tokens of a task that has groups, tokens of a step inside a group.
-GROUP_WORDS, GROUP_TOKENS, BRANCHES, TASK_TOKENS, GROUP_BATCH = 4096, 1 << 17, 64, 1 << 20, 4096
+GROUP_WORDS, GROUP_TOKENS, BRANCHES, TASK_TOKENS, GROUP_BATCH = 4096, 1 << 17, 64, 1 << 20, 8192
+#: Tokens that a training task should at least learn from in a round, as each sends its changes of the tables, a few MB.
+LESSONS = 4 << 20
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -88,6 +93,9 @@ class Lexicon:
     levels: int = 0  # of softmaxes over the groups of a tail class, each of `branch` branches; without levels its words have their share of it
     branch: int = 1
     mass: np.ndarray | None = None  # of the groups, by tail class
+    one_rows: int = ONE  # of the class table's features: words, and pairs of words
+    pair_rows: int = PAIR
+    inner_rows: int = INNER  # of the table inside classes, and of the one between classes and groups
 
     def __post_init__(self):
         self.crc = np.fromiter(map(zlib.crc32, self.words), np.uint32, len(self.words))
@@ -101,7 +109,8 @@ class Lexicon:
         self.cls = np.where(rank < self.members, rank % CLASSES, CLASSES + self.tail)
         self.logs = np.log10(self.counts + 1.0)
         ids = np.arange(k + TAILS + 1)  # words beyond the head count as their class; the last stands before a text
-        self.one = np.where(ids < ONE - 512, ids, ONE - 512 + _mix(ids.astype(np.uint64)) % np.uint64(512)).astype(np.int64)
+        own = self.one_rows * 3 // 4  # words with a row of their own; the others share what is left
+        self.one = np.where(ids < own, ids, own + _mix(ids.astype(np.uint64)) % np.uint64(self.one_rows - own)).astype(np.int64)
 
     def coded(self, raws: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All tokens and how many each text has; per token its number (-1 beyond the head), class, and the numbers of the one and two words before."""
@@ -146,17 +155,17 @@ class Lexicon:
 
     def features(self, before: np.ndarray, ahead: np.ndarray) -> np.ndarray:
         """Rows of the class table: word before, pair before, skip."""
-        pair = _mix((before * 131071 + ahead).astype(np.uint64)) % np.uint64(PAIR)
-        return np.stack([self.one[before], ONE + pair.astype(np.int64), ONE + PAIR + self.one[ahead]])
+        pair = _mix((before * 131071 + ahead).astype(np.uint64)) % np.uint64(self.pair_rows)
+        return np.stack([self.one[before], self.one_rows + pair.astype(np.int64), self.one_rows + self.pair_rows + self.one[ahead]])
 
 
 class Weights:
     """Tables of the two softmaxes; the offsets start at the words' shares and aren't trained further apart from the features."""
 
     def __init__(self, lexicon: Lexicon):
-        self.of_class = np.zeros((2 * ONE + PAIR, CLASSES + TAILS), np.float32)
-        self.inside = np.zeros((INNER, SLOTS), np.float32)
-        self.between = np.zeros((INNER + 64 * lexicon.nodes if lexicon.levels else 0, lexicon.branch), np.float32)
+        self.of_class = np.zeros((2 * lexicon.one_rows + lexicon.pair_rows, CLASSES + TAILS), np.float32)
+        self.inside = np.zeros((lexicon.inner_rows, SLOTS), np.float32)
+        self.between = np.zeros((lexicon.inner_rows + 64 * lexicon.nodes if lexicon.levels else 0, lexicon.branch), np.float32)
         branches = [m.reshape(-1, lexicon.branch) for m in (lexicon.mass.reshape(TAILS * lexicon.branch ** (i + 1), -1).sum(1) for i in range(lexicon.levels))]
         self.branch_offset = np.concatenate([np.log(m / m.sum(1, keepdims=True)) for m in branches]).astype(np.float32) if branches else np.zeros((0, 1), np.float32)
         held = np.zeros((CLASSES, SLOTS))
@@ -172,9 +181,9 @@ class Weights:
         return self.of_class, self.inside, self.between
 
 
-def inner_rows(rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+def inner_rows(w: Weights, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """Rows of the inner table: the word before together with the class."""
-    return (_mix((rows[0] * 64 + cls).astype(np.uint64)) % np.uint64(INNER)).astype(np.int64)
+    return (_mix((rows[0] * 64 + cls).astype(np.uint64)) % np.uint64(len(w.inside))).astype(np.int64)
 
 
 def taken(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -236,12 +245,31 @@ def log_at(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
     return own - shift - np.log(_totals(logits))
 
 
+def summed(x: np.ndarray, order: np.ndarray, starts: np.ndarray, few: int = 6) -> np.ndarray:
+    """Sums of runs of x's rows taken in order; starts: where each run begins. Short runs are added place by place, which is far quicker than run by run."""
+    sizes = np.diff(np.append(starts, len(order)))
+    out = taken(x, order[starts])
+    more, k = np.flatnonzero(sizes > 1), 1
+    while len(more) and k < few:
+        out[more] += taken(x, order[starts[more] + k])
+        k += 1
+        more = more[sizes[more] > k]
+    if len(more):
+        rest = sizes[more] - k
+        first = np.cumsum(rest) - rest
+        at = np.arange(rest.sum()) - np.repeat(first - starts[more] - k, rest)
+        out[more] += np.add.reduceat(taken(x, order[at]), first, axis=0)
+    return out
+
+
 def step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
     """An Adagrad step, one rate a row, on the rows that a batch touches: example i's gradient goes to row rows[i]."""
+    if not len(rows):
+        return
     order = np.argsort(rows.astype(np.uint16) if len(table) <= 1 << 16 else rows, kind="stable")
     ranked = rows[order]
     starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    g = np.add.reduceat(taken(gradient, order), starts, axis=0)
+    g = summed(gradient, order, starts)
     at = ranked[starts]
     squares[at] += np.einsum("ij,ij->i", g, g)
     g *= (RATE * np.sqrt(table.shape[1]) / np.sqrt(squares[at]))[:, None]
@@ -262,7 +290,7 @@ def learn(w: Weights, squares: tuple[np.ndarray, np.ndarray], lexicon: Lexicon,
         inner = np.flatnonzero(c < CLASSES)
         if len(inner):
             k = c[inner]
-            rows = inner_rows(rows[:, inner], k)
+            rows = inner_rows(w, rows[:, inner], k)
             p = softmax(slot_logits(w, rows, k))
             p[np.arange(len(k)), number[at : at + BATCH][inner] // CLASSES] -= 1
             step(w.inside, squares[1], rows, p)
@@ -299,7 +327,7 @@ def scored_codes(w: Weights, lexicon: Lexicon, coded: tuple, codes: np.ndarray)
         inner = np.flatnonzero(c < CLASSES)
         if len(inner):
             k = c[inner]
-            found[inner] += log_at(slot_logits(w, inner_rows(rows[:, inner], k), k), number[at : at + BATCH][inner] // CLASSES)
+            found[inner] += log_at(slot_logits(w, inner_rows(w, rows[:, inner], k), k), number[at : at + BATCH][inner] // CLASSES)
         outer = np.flatnonzero(c >= CLASSES)
         for node, branch in lexicon.steps(c[outer] - CLASSES, codes[at : at + BATCH][outer]):
             found[outer] += log_at(branch_logits(w, branch_rows(w, rows[:, outer], node), node), branch)
@@ -317,7 +345,7 @@ def scored_codes(w: Weights, lexicon: Lexicon, coded: tuple, codes: np.ndarray)
     return lengths, np.bincount(row[known], minlength=n), np.bincount(row, logs, n), np.bincount(row, value, n), beyond
 
 
-def lexicon_of(counts: DataFrame, head: int, members: int) -> Lexicon:
+def lexicon_of(counts: DataFrame, head: int, members: int, rows: tuple[int, int, int] = (ONE, PAIR, INNER)) -> Lexicon:
     """The head comes to the driver: a fixed number of words whatever the corpus; sums by class are made on the executors."""
     most = 0
     least = 0  # words seen more often than this are at most `head`
@@ -338,7 +366,7 @@ def lexicon_of(counts: DataFrame, head: int, members: int) -> Lexicon:
         tail_v[tail_class(w)] -= 1
     groups = int(np.ceil(max(tail_v.sum() / GROUP_WORDS, tail_n.sum() / GROUP_TOKENS) / TAILS))
     if not groups:
-        return Lexicon(words, n, members, tail_n, tail_v)
+        return Lexicon(words, n, members, tail_n, tail_v, 0, 1, None, *rows)
     levels = branch = 1
     while BRANCHES**levels < groups:
         levels += 1
@@ -350,7 +378,7 @@ def lexicon_of(counts: DataFrame, head: int, members: int) -> Lexicon:
         mass[r["k"], r["j"]] += r["m"]
     for w, c in zip(words[:members], n[:members].tolist(), strict=True):
         mass[tail_class(w), zlib.crc32(w) % groups] -= c + 1
-    return Lexicon(words, n, members, tail_n, tail_v, levels, branch, mass)
+    return Lexicon(words, n, members, tail_n, tail_v, levels, branch, mass, *rows)
 
 
 def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,8 +399,8 @@ def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CHANGES = "block int, share int, weight double, change binary"
 
 
-def train(teach: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Weights:
-    """teach: key (long, deals documents to rounds), text."""
+def train(teach: DataFrame, lexicon: Lexicon, tokens: int, rounds: int = ROUNDS) -> Weights:
+    """teach: key (deals documents to rounds), text; tokens: how many there are in all."""
     sc = teach.sparkSession.sparkContext
     w = Weights(lexicon)
     if not lexicon.words and not lexicon.levels:
@@ -397,7 +425,8 @@ def train(teach: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Weights:
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([share], pa.int32()), pa.array([float(n)]), pa.array([change.tobytes()], pa.binary())], ["block", "share", "weight", "change"])
                     block += 1
 
-        changes = teach.filter(F.pmod(F.xxhash64("key", F.lit("round")), F.lit(rounds)) == turn).select("text").mapInArrow(run, CHANGES)
+        share = teach.filter(F.pmod(F.xxhash64("key", F.lit("round")), F.lit(rounds)) == turn).select("text")
+        changes = share.coalesce(-(-tokens // (rounds * LESSONS)) or 1).mapInArrow(run, CHANGES)
         places = [(t.reshape(-1), at * t.shape[1]) for t in w.tables() for at in range(0, len(t), BLOCK)]
         blocks = len(places)
         summed = changes.repartition(2 * blocks, "block", "share").mapInArrow(averaged, CHANGES).repartition(blocks, "block").mapInArrow(averaged, CHANGES)
@@ -478,6 +507,30 @@ def moved(shard: int, base: int, docs: bytes | None = None, ints: bytes | None =
     return pa.RecordBatch.from_arrays(columns, ["shard", "base", "docs", "ints", "words"])
 
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Whole or floating numbers of one length, byte by byte of each column, compressed."""
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T for x in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in planes))
+
+
+def unpacked(raw: bytes, *types: str) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    sizes = [np.dtype(t).itemsize for t in types]
+    n, at, out = len(raw) // sum(sizes), 0, []
+    for t, size in zip(types, sizes, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(t).ravel())
+        at += n * size
+    return out
+
+
+def _joined(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
+
+
+def _parted(raw: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(raw).split(b" ")
+
+
 def _cuts(ranked: np.ndarray) -> Iterator[slice]:
     """Runs of equal values."""
     edges = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True]))) if len(ranked) else []
@@ -485,72 +538,81 @@ def _cuts(ranked: np.ndarray) -> Iterator[slice]:
 
 
 def to_groups(lexicon: Lexicon, shards: int, base: int, coded: tuple, codes: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The tokens of a batch that belong to groups, by shard: text and whether it is held out, group, number, hashes of the two words before."""
+    """The tokens of a batch that belong to groups, by shard: text and whether it is held out, group, number, marks of the two words before (numbers, or
+    hashes beyond the head)."""
     flat, lengths, number, cls, _, _ = coded
     row = np.repeat(np.arange(len(lengths)), lengths)
     first = np.cumsum(lengths) - lengths
-    before, ahead = np.empty_like(codes), np.empty_like(codes)
-    before[1:], ahead[2:] = codes[:-1], codes[:-2]
-    before[first] = ahead[first] = 1
-    ahead[first[lengths > 1] + 1] = 1
+    marks = np.where(number >= 0, number, codes | np.uint32(1 << 31)).astype(np.uint32)
+    before, ahead = np.empty_like(marks), np.empty_like(marks)
+    before[1:], ahead[2:] = marks[:-1], marks[:-2]
+    before[first] = ahead[first] = START
+    ahead[first[lengths > 1] + 1] = START
     outer = np.flatnonzero(cls >= CLASSES)
     group = (cls[outer] - CLASSES) * lexicon.groups + codes[outer] % np.uint32(lexicon.groups)
     order = np.lexsort((group, group % shards))
     group, outer = group[order], outer[order]
-    table = np.stack([row[outer] * 2 + held[row[outer]], group, number[outer], before[outer].view(np.int32), ahead[outer].view(np.int32)]).astype("<i4")
+    table = [(row[outer] * 2 + held[row[outer]]).astype("<i4"), group.astype("<i4"), number[outer].astype("<i4"), before[outer], ahead[outer]]
     for cut in _cuts(group % shards):
         far = outer[cut][number[outer[cut]] < 0]
-        yield moved(int(group[cut.start] % shards), base, None, table[:, cut].tobytes(), b" ".join([flat[i] for i in far.tolist()]))
+        yield moved(int(group[cut.start] % shards), base, None, packed(*[x[cut] for x in table]), _joined([flat[i] for i in far.tolist()]))
 
 
 def inside_groups(lexicon: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups whose counts and tokens are all here: per batch of texts its tokens' text, count (-1 in the head) and log10 probability in the group."""
     counts: dict[int, list] = defaultdict(list)
-    tables, bases, words = [], [], []
+    tables, bases, far = [], [], []
     for batch in batches:
         for shard, base, docs, ints, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if docs is not None:
                 yield moved(shard, base, docs)
             elif base < 0:
-                for (group, n), word in zip(np.frombuffer(ints, "<i8").reshape(-1, 2).tolist(), names.split(b" "), strict=True):
+                for group, n, word in zip(*(x.tolist() for x in unpacked(ints, "<i8", "<i8")), _parted(names), strict=True):
                     counts[group].append((-n, word))
             else:
-                table = np.frombuffer(ints, "<i4").reshape(5, -1)
-                far = iter(names.split(b" "))
-                words += [lexicon.words[i] if i >= 0 else next(far) for i in table[2].tolist()]
+                table = unpacked(ints, "<i4", "<i4", "<i4", "<u4", "<u4")
+                far += _parted(names) if (table[2] < 0).any() else []
                 tables.append(table)
-                bases.append(np.full(table.shape[1], base))
+                bases.append(np.full(len(table[0]), base))
     if not tables:
         return
-    table, base = np.concatenate(tables, 1), np.concatenate(bases)
-    order = np.lexsort((np.arange(len(base)), table[0], base, table[1]))
-    table, base = table[:, order], base[order]
-    before, ahead = (np.ascontiguousarray(table[i]).view(np.uint32) for i in (3, 4))
+    row, group, number, before, ahead = (np.concatenate(x) for x in zip(*tables, strict=True))
+    base = np.concatenate(bases)
+    word_at = np.cumsum(number < 0) - 1  # where in far the words beyond the head are
+    order = np.lexsort((np.arange(len(base)), row, base, group))
+    row, group, number, before, ahead, base, word_at = (x[order] for x in (row, group, number, before, ahead, base, word_at))
     value, seen = np.zeros(len(base), "<f4"), np.zeros(len(base), "<i8")
-    for cut in _cuts(table[1]):
-        ranked = sorted(counts.pop(int(table[1, cut.start]), []))
+    rank_of = np.zeros(len(lexicon.words) + 1, np.int64)
+    for cut in _cuts(group):
+        ranked = sorted(counts.pop(int(group[cut.start]), []))
         rank = {word: i for i, (_, word) in enumerate(ranked)}
         n = np.array([-c for c, _ in ranked], np.int64)
-        word = np.fromiter((rank.get(words[i], len(ranked)) for i in order[cut].tolist()), np.int64, cut.stop - cut.start)
-        value[cut] = Group(n).logs(word, before[cut], ahead[cut], table[0, cut] % 2 == 0)
+        head = [(lexicon.number[w], i) for w, i in rank.items() if w in lexicon.number]
+        if head:
+            numbers, ranks = np.array(head, np.int64).T
+            rank_of[numbers] = ranks
+        word = rank_of[number[cut]]
+        beyond = np.flatnonzero(number[cut] < 0)
+        word[beyond] = np.fromiter((rank.get(far[i], len(ranked)) for i in word_at[cut][beyond].tolist()), np.int64, len(beyond))
+        value[cut] = Group(n).logs(word, before[cut], ahead[cut], row[cut] % 2 == 0)
         seen[cut] = np.append(n, 0)[word]
-    seen[table[2] >= 0] = -1
+    seen[number >= 0] = -1
     order = np.argsort(base, kind="stable")
     for cut in _cuts(base[order]):
         at = order[cut]
-        yield moved(0, int(base[at[0]]), None, (table[0, at] // 2).astype("<i4").tobytes() + value[at].tobytes() + seen[at].tobytes())
+        yield moved(0, int(base[at[0]]), None, packed(row[at] // 2, value[at], seen[at]))
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, head: int = 1 << 17, members: int = CLASSES * SLOTS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("held_out", fold(F.col("doc_id"), folds) == held)
-    teach = rows.filter(~F.col("held_out"))
+def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, head: int = 1 << 17, members: int = CLASSES * SLOTS, rounds: int = ROUNDS, rows: tuple[int, int, int] = (ONE, PAIR, INNER), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. rows: of the class table's words and pairs, and of the
+    tables inside classes and between classes and groups; of each, a task sends its changes in every round."""
+    known = texts(docs, id_col, text_col).withColumn("held_out", fold(F.col("doc_id"), folds) == held)
+    teach = known.filter(~F.col("held_out"))
     counts = stored(teach.select("text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    lexicon = lexicon_of(counts, head, members)
-    w = train(teach.select(F.col("doc_id").alias("key"), "text"), lexicon, rounds)
+    lexicon = lexicon_of(counts, head, members, rows)
+    w = train(teach.select(F.col("doc_id").alias("key"), "text"), lexicon, n, rounds)
     sent = docs.sparkSession.sparkContext.broadcast((w, lexicon))
     tasks = int(lexicon.tail_n.sum() // TASK_TOKENS) + 8
     shards = min(4 * tasks, TAILS * lexicon.groups)
@@ -580,7 +642,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, head: int =
             found.sort(key=lambda x: x[0] % shards)
             for cut in _cuts(np.array([g % shards for g, _, _ in found], np.int64)):
                 some = found[cut]
-                yield moved(some[0][0] % shards, -1, None, np.array([x[:2] for x in some], "<i8").tobytes(), b" ".join([x[2] for x in some]))
+                yield moved(some[0][0] % shards, -1, None, packed(*np.array([x[:2] for x in some], "<i8").T), _joined([x[2] for x in some]))
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: dict[int, pa.RecordBatch] = {}
@@ -590,8 +652,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, head: int =
                 if docs is not None:
                     told[base] = pa.ipc.open_stream(docs).read_next_batch()
                     continue
-                m = len(ints) // 16
-                row, value, seen = np.frombuffer(ints, "<i4", m), np.frombuffer(ints, "<f4", m, 4 * m), np.frombuffer(ints, "<i8", m, 8 * m)
+                row, value, seen = unpacked(ints, "<i4", "<f4", "<i8")
                 more = np.stack([np.bincount(row, value), np.bincount(row, np.log10(np.maximum(seen, 0) + 1.0)), np.bincount(row, seen > 0)])
                 old = sums.get(base, np.zeros((3, 0)))
                 if old.shape[1] < more.shape[1]:
@@ -606,7 +667,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, head: int =
             columns = [batch.column(0), batch.column(1), pa.array(tokens), pa.array(known + more[2].astype(np.int64)), pa.array(np.full(len(tokens), n)), pa.array(logs + more[1] - tokens * np.log10(n + v + 1)), pa.array(model + more[0])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    found = rows.mapInArrow(run, MOVED)
+    found = known.mapInArrow(run, MOVED)
     if lexicon.levels:
         found = found.union(counts.select("word", "n").mapInArrow(of_groups, MOVED)).repartition(tasks, "shard").mapInArrow(lambda batches: inside_groups(sent.value[1], batches), MOVED)
-    return found.repartition("base").mapInArrow(together, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return found.repartition("base").mapInArrow(together, with_id(known, "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))

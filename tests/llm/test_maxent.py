@@ -89,7 +89,7 @@ def last_log(w, lexicon, raw):
     c, out = cls[-1:], 0.0
     out += float(M.log_at(M.class_logits(w, rows), c)[0])
     if c[0] < M.CLASSES:
-        out += float(M.log_at(M.slot_logits(w, M.inner_rows(rows, c), c), number[-1:] // M.CLASSES)[0])
+        out += float(M.log_at(M.slot_logits(w, M.inner_rows(w, rows, c), c), number[-1:] // M.CLASSES)[0])
         return out / math.log(10)
     return out / math.log(10) + lexicon.logs[number[-1]] - math.log10(lexicon.tail_n[c[0] - M.CLASSES] + lexicon.tail_v[c[0] - M.CLASSES] + 1)
 

@@ -52,3 +52,34 @@ def test_groups_of_a_class_sum_to_one_and_follow_the_vocabulary(spark):
     rows = np.repeat(lexicon.features(np.array([7]), np.array([5])), lexicon.groups, axis=1)
     logs = sum(M.log_at(M.branch_logits(w, M.branch_rows(w, rows, node), node), branch) for node, branch in lexicon.steps(tail, codes))
     assert abs(math.fsum(np.exp(logs)) - 1) < 1e-4
+
+
+def test_scores_hardly_depend_on_the_partitions(spark):
+    r = random.Random(6)
+    texts = [" ".join(f"a{i}x b{i}x" for i in r.choices(range(40), k=60)) for _ in range(400)]
+    of = lambda n: {x.doc_id: (x.score / x.n_tokens, x.base_score, x.n_known) for x in M.score_documents(frame(spark, texts).repartition(n), members=8).collect()}
+    one, seven = of(1), of(7)
+    for i, (score, base, known) in one.items():
+        assert abs(score - seven[i][0]) < 0.1 and math.isclose(base, seven[i][1]) and known == seven[i][2]
+    assert abs(np.mean([x[0] for x in one.values()]) - np.mean([x[0] for x in seven.values()])) < 0.03
+
+
+def test_batches_without_words_of_a_kind():
+    w = np.zeros((4, 2), np.float32)
+    M.step(w, np.ones(4, np.float32), np.zeros(0, np.int64), np.zeros((0, 2), np.float32))
+    assert not w.any()
+
+
+def test_sums_of_runs():
+    r = np.random.default_rng(1)
+    rows, x = np.minimum(r.zipf(1.3, 5000), 900), r.normal(size=(5000, 3)).astype(np.float32)
+    order = np.argsort(rows, kind="stable")
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(rows[order]) != 0)))
+    assert np.allclose(M.summed(x, order, starts), [x[rows == k].sum(0) for k in np.unique(rows)], atol=1e-3)
+
+
+def test_packed_numbers():
+    a, b, c = np.arange(-5, 95, dtype="<i4"), np.linspace(0, 1, 100).astype("<f4"), np.arange(100, dtype="<i8") << 40
+    for x, y in zip((a, b, c), M.unpacked(M.packed(a, b, c), "<i4", "<f4", "<i8"), strict=True):
+        assert (x == y).all()
+    assert [len(x) for x in M.unpacked(M.packed(a[:0], c[:0]), "<i4", "<i8")] == [0, 0]

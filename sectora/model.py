@@ -113,14 +113,14 @@ class Model:
 
     def index(self, name: str) -> DataFrame:
         """The labels of a set, as item; regions are those of every label that has one."""
-        level = set_name(name)
+        level = set_name(name, self.kind)
         if level == "Region":
             return self.axis.filter("region is not null").select(F.col("region").alias("item")).distinct()
         return self.axis.filter(F.col("level") == level).select("item").distinct()
 
     def search(self, pattern: str, name: str | None = None, ignore_case: bool = True) -> DataFrame:
         """level, item of labels that a regular expression finds."""
-        levels = [set_name(name)] if name else ["Region", *self.sizes]
+        levels = [set_name(name, self.kind)] if name else ["Region", *self.sizes]
         found = None
         for level in levels:
             some = self.index(level).filter(F.col("item").rlike(("(?i)" if ignore_case else "") + pattern)).select(F.lit(level).alias("level"), "item")
@@ -306,12 +306,12 @@ class Model:
         """Named groups of a set's labels, for shocks and trade."""
         known = {k: dict(v) for k, v in self.clusters.items()}
         for name, groups in clusters.items():
-            known.setdefault(set_name(name.replace("_", " ")), {}).update({k: tuple(v) for k, v in groups.items()})
+            known.setdefault(set_name(name.replace("_", " "), self.kind), {}).update({k: tuple(v) for k, v in groups.items()})
         return replace(self, clusters=known)
 
     def rename_units(self, level: str, old: str, new: str) -> Model:
         """Another name for a unit; no value changes."""
-        at = (F.col("level") == set_name(level)) & (F.col("unit") == old)
+        at = (F.col("level") == set_name(level, self.kind)) & (F.col("unit") == old)
         return replace(self, units=self.units.withColumn("unit", F.when(at, new).otherwise(F.col("unit"))))
 
 

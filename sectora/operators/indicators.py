@@ -122,8 +122,8 @@ def mix(model: Model, sectors: Iterable[str], scenario: str | None = None) -> Da
     return rows.select("region", "item", F.when(total > 0, F.col("value") / total).otherwise(0.0).alias("share"))
 
 
-#: 100-year global warming potentials by assessment report (fossil methane).
-GWP100 = {"AR4": {"CO2": 1.0, "CH4": 25.0, "N2O": 298.0}, "AR5": {"CO2": 1.0, "CH4": 28.0, "N2O": 265.0}, "AR6": {"CO2": 1.0, "CH4": 29.8, "N2O": 273.0}}
+#: 100-year global warming potentials by assessment report.
+GWP100 = {"AR4": {"CO2": 1.0, "CH4": 25.0, "N2O": 298.0}, "AR5": {"CO2": 1.0, "CH4": 30.0, "N2O": 265.0}, "AR6": {"CO2": 1.0, "CH4": 29.8, "N2O": 273.0}}
 
 
 def weighted_account(model: Model, weights: Mapping[str, float], label: str, unit: str | None = None, prefix: bool = False, scenario: str | None = None) -> Model:

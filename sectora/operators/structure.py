@@ -56,7 +56,7 @@ def aggregate(model: Model, maps: dict[str, DataFrame], drop: Iterable[str] = ()
 
     drop: target labels of satellite accounts that are left out. Groups of unlike units are refused. Without check the maps are trusted."""
     model = flows_only(model)
-    maps = {set_name(k): v for k, v in maps.items()}
+    maps = {set_name(k, model.kind): v for k, v in maps.items()}
     if check:
         maps = {k: checked_map(model, k, v, ignore_missing) for k, v in maps.items()}
         if not mixed_units(model, maps).isEmpty():

@@ -8,12 +8,14 @@ import re
 SETS = {"r": "Region", "s": "Sector", "a": "Activity", "c": "Commodity", "f": "Factor of production", "k": "Satellite account", "n": "Consumption category"}
 #: Other names under which sets are asked for; compared without case, spaces and marks.
 ALIASES = {
-    "Region": ["region", "regions", "country", "countries"], "Sector": ["sector", "sectors"], "Activity": ["activity", "activities", "industry", "industries"],
+    "Region": ["region", "regions", "country", "countries"], "Sector": ["sector", "sectors"], "Activity": ["activity", "activities"],
     "Commodity": ["commodity", "commodities", "product", "products"], "Factor of production": ["factor", "factors", "factorofproduction", "valueadded"],
     "Satellite account": ["satellite", "satellites", "satelliteaccount", "extension", "extensions"], "Consumption category": ["category", "categories", "consumptioncategory", "finaldemand"],
 }
+#: Fixed values: "industry" is the sector of an input-output table and the activity of a supply-use table.
+INDUSTRY, INDUSTRIES = ["industry", "industries"], {"IOT": "Sector", "SUT": "Activity"}
 LEVELS = {"IOT": ("Sector",), "SUT": ("Activity", "Commodity")}
-#: Flow matrices that a model is parsed from, and the coefficient form of those that have one. Names keep their case, so they are data, not identifiers.
+#: Flow matrices that a model is parsed from, and the coefficient form of those that have one. Names keep their case, so they are data, not identifiers.
 FLOWS = {"IOT": ("Z", "Y", "V", "E", "EY", "VY"), "SUT": ("U", "S", "Ya", "Yc", "Va", "Vc", "Ea", "Ec", "EY", "VY")}
 COEFFICIENTS = {"IOT": ("z", "Y", "v", "e", "EY", "VY"), "SUT": ("u", "s", "Ya", "Yc", "va", "vc", "ea", "ec", "EY", "VY")}
 BASELINE = "baseline"
@@ -23,7 +25,7 @@ CELLS = "scenario string, matrix string, i long, j long, value double"
 AXIS = "id long, region string, level string, item string"
 UNITS = "level string, item string, unit string"
 MAPS = "level string, source string, target string"
-#: The columns of a flat file, by side.
+#: The columns of a flat file, by side.
 FLAT_SETS = ("Region", "Sector", "Activity", "Commodity", "Factor of production", "Satellite account", "Consumption category")
 
 
@@ -40,11 +42,13 @@ def token(text: str) -> str:
     return re.sub(r"[^a-z0-9]", "", text.strip().lower())
 
 
-def set_name(asked: str) -> str:
-    """The set that a name, a letter or an alias stands for."""
+def set_name(asked: str, kind: str = "SUT") -> str:
+    """The set that a name, a letter or an alias stands for in a kind of table."""
     if asked in SETS:
         return SETS[asked]
     t = token(asked)
+    if t in INDUSTRY:
+        return INDUSTRIES[kind]
     for name, others in ALIASES.items():
         if t == token(name) or t in others:
             return name

@@ -13,8 +13,11 @@ from ..schema import WrongInput
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """n (from 0, in file order), line of a text file. Counts of lines by partition come to the driver, one number each."""
-    lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
+    """n (from 0, in file order), line of one text file. Counts of lines by partition come to the driver, one number each."""
+    text = spark.read.text(path)
+    if len(text.inputFiles()) > 1:
+        raise WrongInput(f"lines are numbered in one file; {path} has several")
+    lines = text.withColumn("_id", F.monotonically_increasing_id())
     split = lines.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = sorted((r["_part"], r["count"]) for r in split.groupBy("_part").count().collect())
     first, total = {}, 0
@@ -51,7 +54,7 @@ def read_bare(spark: SparkSession, path: str, matrix: str, rows: DataFrame, colu
     """Labelled cells of a file of numbers only; rows and columns list the labels (n, region, level, item) by place, from 0."""
     side = lambda t, s, k: t.select(F.col("n").alias(k), *[F.col(c).alias(f"{c}_{s}") for c in ("region", "level", "item")])
     cells = numbered_lines(spark, path).select(F.col("n").alias("i"), F.posexplode(F.split("line", sep)).alias("j", "x"))
-    cells = cells.withColumn("value", F.expr("try_cast(trim(x) as double)")).filter("value <> 0").join(side(rows, "from", "i"), "i").join(side(columns, "to", "j"), "j")
+    cells = cells.withColumn("value", F.expr("try_cast(trim(x) as double)")).filter("value <> 0 or value is null or isnan(value)").join(side(rows, "from", "i"), "i").join(side(columns, "to", "j"), "j")
     return cells.select(F.lit(scenario).alias("scenario"), F.lit(matrix).alias("matrix"), "region_from", "level_from", "item_from", "region_to", "level_to", "item_to", "value")
 
 

@@ -33,12 +33,21 @@ def decoded(records: DataFrame, codes: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def read_long(spark: SparkSession, path: str, columns: Mapping[str, str], filters: Mapping[str, str] | None = None, sep: str = ",", missing: tuple[str, ...] = (":", "", "NA")) -> DataFrame:
-    """Long statistics in delimited text: columns renamed (file column -> name), rows filtered by equality, values that are marked missing left out."""
+    """Long statistics in delimited text: columns renamed (file column -> name), rows filtered by equality, values that are marked missing left out.
+
+    A value may carry flags after its number ("12.3 e", "5.1bp") or spaces between thousands; what has no number at all is refused."""
     rows = spark.read.option("header", True).option("sep", sep).csv(path)
     for column, value in (filters or {}).items():
         rows = rows.filter(F.col(f"`{column}`") == value)
     out = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in columns.items()])
     if "value" in out.columns:
         text = F.trim("value")
-        out = out.filter(text.isNotNull() & ~text.isin(*missing)).withColumn("value", F.regexp_replace(text, r"[^0-9eE+.\-]", "").cast("double"))
+        plain = F.regexp_replace(text, r"(?<=\d)[ \u00A0\u202F](?=\d{3}(\D|$))", "")
+        number = F.regexp_extract(plain, r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", 0)
+        marked = F.regexp_extract(text, r"^(:|)\s*[A-Za-z]*$", 0) == text  # a mark of missing, with flags or alone
+        out = out.filter(text.isNotNull() & ~text.isin(*missing) & ~(marked & text.startswith(":"))).withColumn("_number", number)
+        wrong = out.filter("_number = ''").select("value").first()
+        if wrong is not None:
+            raise WrongInput(f"{wrong[0]!r} is no number")
+        out = out.withColumn("value", F.col("_number").cast("double")).drop("_number")
     return out

@@ -38,7 +38,7 @@ def _two_index(spark: SparkSession, path: str, matrix: str, header_rows: int, he
     names = spark.createDataFrame([(k, *c) for k, c in enumerate(header)], "k int, region_to string, level_to string, item_to string")
     rows = matrices.numbered_lines(spark, path).filter((F.col("n") >= header_rows) & (F.trim("line") != "")).select(F.split("line", sep).alias("f"))
     cells = rows.select(F.trim(F.get("f", F.lit(0))).alias("region_from"), F.lit(row_level).alias("level_from"), F.trim(F.get("f", F.lit(1))).alias("item_from"), F.posexplode(F.slice("f", 3, len(header))).alias("k", "x"))
-    cells = cells.withColumn("value", F.expr("try_cast(trim(x) as double)")).filter("value <> 0").join(F.broadcast(names), "k")  # a row for each column of the file
+    cells = cells.withColumn("value", F.expr("try_cast(trim(x) as double)")).filter("value <> 0 or value is null or isnan(value)").join(F.broadcast(names), "k")  # a row for each column of the file
     return cells.select(F.lit(schema.BASELINE).alias("scenario"), F.lit(matrix).alias("matrix"), "region_from", "level_from", "item_from", "region_to", "level_to", "item_to", "value")
 
 

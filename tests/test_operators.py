@@ -31,6 +31,7 @@ def test_input_is_checked(spark):
     with pytest.raises(WrongInput):
         Model.from_labelled(bad, "XXX")
     assert set_name("countries") == set_name("r") == "Region" and set_name("Value added") == "Factor of production"
+    assert (set_name("Industries"), set_name("industry", "IOT")) == ("Activity", "Sector")
 
 
 def test_duplicates_add_up_and_unified_tables_are_split(spark):

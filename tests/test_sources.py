@@ -7,7 +7,6 @@ from small import ACCOUNT_ROWS, GOODS, array, iot, iot_arrays
 from sectora.model import Model
 from sectora.schema import LABELLED, WrongInput
 from sectora.sources import flat, matrices, records, registry
-from sectora.streaming import append
 
 
 @pytest.mark.parametrize("format", ["parquet", "csv"])
@@ -98,9 +97,27 @@ def test_templates_and_registry(spark):
         registry.read("unknown", spark, "p")
 
 
-def test_streamed_cells(spark, tmp_path):
-    for k in range(2):
-        spark.createDataFrame([("baseline", "Z", "r", "Sector", "s", "r", "Sector", "s", 1.0 + k)], LABELLED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(LABELLED).parquet(str(tmp_path / "in"))
-        append.append_cells(stream, str(tmp_path / "cells"), str(tmp_path / "check")).awaitTermination(60)
-    assert [r["value"] for r in append.current_cells(spark, str(tmp_path / "cells")).collect()] == [3.0]
+def test_values_with_flags(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("geo,v\na,12.3 e\nb,1 234 567.5bp\nc,:\nd,: c\ne,-3e2\nf,.5 p\ng,\n")
+    got = {r["r"]: r["value"] for r in records.read_long(spark, str(tmp_path / "f.csv"), {"geo": "r", "v": "value"}).collect()}
+    assert got == {"a": 12.3, "b": 1234567.5, "e": -300.0, "f": 0.5}
+    (tmp_path / "g.csv").write_text("geo,v\na,x12\n")
+    with pytest.raises(WrongInput):
+        records.read_long(spark, str(tmp_path / "g.csv"), {"geo": "r", "v": "value"})
+
+
+def test_lines_are_numbered_in_one_file_only(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_text("1\n2\n")
+    assert [r["n"] for r in matrices.numbered_lines(spark, str(tmp_path / "a.txt")).orderBy("n").collect()] == [0, 1]
+    with pytest.raises(WrongInput):
+        matrices.numbered_lines(spark, str(tmp_path))
+
+
+def test_cells_that_cannot_be_read_are_refused(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("1\tx\n0\t2\n")
+    labels = spark.createDataFrame([(k, "r", "Sector", f"s{k}") for k in (0, 1)], "n long, region string, level string, item string")
+    cells = matrices.read_bare(spark, str(tmp_path / "t.txt"), "Z", labels, labels)
+    assert sorted(r["value"] for r in cells.collect() if r["value"] is not None) == [1.0, 2.0] and cells.filter("value is null").count() == 1
+    with pytest.raises(WrongInput):
+        Model.from_labelled(cells, "IOT")

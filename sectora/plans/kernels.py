@@ -117,18 +117,28 @@ def solve(a: DataFrame, b: DataFrame, ids: DataFrame, transposed: bool = False,
     return whole.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(lambda cells: kernel(cells), OUT)
 
 
-def neumann_inverse(a: DataFrame, ids: DataFrame, tolerance: float = 1e-12, most: int = 40) -> DataFrame:
-    """(I - a)^-1 as the sum of a's powers, the number of terms doubled each step until the newest power's largest cell is below tolerance."""
-    power = stored(B.keep(a, ids, ids))
-    total = stored(B.concat(B.identity(ids), power).groupBy("i", "j").agg(F.sum("value").alias("value")))
+def neumann_inverse(a: DataFrame, ids: DataFrame, tolerance: float = 1e-12, most: int = 40, size: int | None = None) -> DataFrame:
+    """(I - a)^-1 as the sum of a's powers, the number of terms doubled each step until the newest power's largest cell is below tolerance.
+
+    Squares are tiles (see `tiles`). The power and the sum of the terms so far stand one above the other, so a step is one product and one table."""
+    from . import tiles as T
+
+    numbers = stored(T.numbered(ids))
+    n = numbers.count()
+    size = size or max(1, min(T.SIZE, n))
+    below = -(-n // size)  # blocks of rows of the power; those of the sum follow
+    first = T.from_cells(a, numbers, numbers, size)
+    lower = lambda x: x.withColumn("bi", F.col("bi") + below)
+    both = stored(T.add(first, lower(T.from_cells(B.identity(ids), numbers, numbers, size))))  # the terms so far: only the first
     for _ in range(most):
-        power = stored(B.matmul(power, power))
-        largest = power.agg(F.max(F.abs("value"))).first()[0] or 0.0
+        power, total = both.filter(F.col("bi") < below), both.filter(F.col("bi") >= below)
+        both = stored(T.matmul(both, power, size, plus=total))
+        largest = T.largest(both.filter(F.col("bi") < below))
         if largest < tolerance:
-            return total
+            total = both.filter(F.col("bi") >= below)
+            return T.to_cells(total.withColumn("bi", F.col("bi") - below), numbers, numbers, size)
         if not largest < 1e100:
             raise NotComputable("the powers of the coefficients grow; their spectral radius isn't below one")
-        total = stored(B.add(total, B.matmul(total, power)))
     raise NotComputable("the sum of the coefficients' powers doesn't settle")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import MIDDLE, SEGMENTS, iot_model, sut_model
+from .functions import primitives as P
 from .model import Model
 from .operators import balance, custom, indicators, scenarios, sectors, structure, trade, views
 from .plans import blocks as B
@@ -56,7 +57,7 @@ def add_matrix(prefix: str, name: str, matrix: str, relation: str, digits: int,
 for _name, _matrix, _relation, _digits in (
     ("flows_z", "Z", "zf", 4), ("final_demand", "Y", "yf", 4), ("output", "X", "x", 4), ("value_added", "V", "vf", 6), ("satellites", "E", "ef", 2),
     ("coef_z", "z", "zc", 8), ("coef_b", "b", "bc", 8), ("coef_v", "v", "vc", 8), ("coef_e", "e", "ec", 8), ("leontief", "w", "w", 7), ("ghosh", "g", "g", 7),
-    ("multipliers_m", "m", "m", 7), ("footprint_m", "M", "mm", 1), ("multipliers_f", "f", "f", 7), ("footprint_f", "F", "ff", 1), ("prices", "p", "p", 7),
+    ("multipliers_m", "m", "m", 7), ("footprint_m", "M", "mm", 1), ("multipliers_f", "f", "f", 7), ("footprint_f", "F", "ff", 1), ("prices", "p", "p", 7), ("satellites_of_demand", "EY", "eyf", 2),
 ):
     add_matrix("iot", _name, _matrix, _relation, _digits, iot_model)
 for _name, _matrix, _relation, _digits in (
@@ -64,9 +65,12 @@ for _name, _matrix, _relation, _digits in (
     ("wcc", "wcc", "wcc", 7), ("waa", "waa", "waa", 7), ("wca", "wca", "wca", 7), ("wac", "wac", "wac", 7), ("va", "va", "sva", 8), ("vc", "vc", "svc", 8), ("ea", "ea", "sea", 8), ("ec", "ec", "sec", 8),
     ("ma", "ma", "sma", 7), ("mc", "mc", "smc", 7), ("fa", "fa", "sfa", 7), ("fc", "fc", "sfc", 7), ("footprint_mc", "Mc", "smmc", 1), ("footprint_ma", "Ma", "smma", 1), ("footprint_fc", "Fc", "sffc", 1),
     ("footprint_fa", "Fa", "sffa", 1), ("prices_a", "pa", "spa", 7), ("prices_c", "pc", "spc", 7), ("bu", "bu", "sbu", 8), ("bs", "bs", "sbs", 8), ("gcc", "gcc", "gcc", 7), ("gaa", "gaa", "gaa", 7),
-    ("gca", "gca", "gca", 7), ("gac", "gac", "gac", 7),
+    ("gca", "gca", "gca", 7), ("gac", "gac", "gac", 7), ("leontief", "w", "sw", 7), ("final_demand", "Y", "ycf", 4), ("output", "X", "sx", 4), ("value_added", "V", "svf", 6), ("coef_v", "v", "svu", 8), ("satellites", "E", "sef", 2),
+    ("coef_e", "e", "seu", 8), ("use", "U", "uf", 4), ("supply", "S", "sf", 4), ("satellites_of_demand", "EY", "seyf", 2), ("footprint_m", "M", "smmu", 1), ("multipliers_m", "m", "smu", 7), ("footprint_f", "F", "sffu", 1),
+    ("multipliers_f", "f", "sfu", 7), ("prices", "p", "spu", 7), ("value_added_a", "Va", "vaf", 6), ("value_added_c", "Vc", "vcf", 6), ("satellites_a", "Ea", "eaf", 2), ("satellites_c", "Ec", "ecf", 2), ("final_demand_c", "Yc", "ycf", 4),
 ):
     add_matrix("sut", _name, _matrix, _relation, _digits, sut_model)
+add_matrix("sut", "commodity_shares", "c", "sc", 8, lambda spark, sf_dir: sut_model(spark, sf_dir, "product"))
 add_matrix("iot", "prices_by_solve", "p", "p", 7, iot_model, "solve")
 add_matrix("iot", "multipliers_f_by_solve", "f", "f", 7, iot_model, "solve")
 add_matrix("sut", "multipliers_fc_by_solve", "fc", "sfc", 7, sut_model, "solve")
@@ -110,6 +114,37 @@ def _(m: Model) -> DataFrame:
     return rows_of(m, indicators.exploded_prices(m), 8)
 
 
+def _primitive(name: str, relation: str, digits: int, make: Callable[[Model], DataFrame]) -> None:
+    iot_query(f"primitive_{name}", S.block(relation, digits))(lambda m: rows_of(m, make(m), digits))
+
+
+for _name, _relation, _digits, _make in (
+    ("calc_X", "x", 4, lambda m: P.calc_X(m.resolve("Z"), m.resolve("Y"))),
+    ("calc_Z", "zf", 4, lambda m: P.calc_Z(m.resolve("z"), m.resolve("X"))),
+    ("calc_V", "vf", 4, lambda m: P.calc_V(m.resolve("v"), m.resolve("X"))),
+    ("calc_E", "ef", 2, lambda m: P.calc_E(m.resolve("e"), m.resolve("X"))),
+    ("calc_z", "zc", 8, lambda m: P.calc_z(m.resolve("Z"), m.resolve("X"))),
+    ("calc_v", "vc", 8, lambda m: P.calc_v(m.resolve("V"), m.resolve("X"))),
+    ("calc_e", "ec", 8, lambda m: P.calc_e(m.resolve("E"), m.resolve("X"))),
+    ("calc_b", "bc", 8, lambda m: P.calc_b(m.resolve("X"), m.resolve("Z"))),
+    ("calc_w", "w", 7, lambda m: P.calc_w(m.resolve("z"))),
+    ("calc_g", "g", 7, lambda m: P.calc_g(m.resolve("b"))),
+    ("calc_X_from_w", "x", 0, lambda m: P.calc_X_from_w(m.resolve("w"), m.resolve("Y"))),
+    ("calc_X_from_z", "x", 0, lambda m: P.calc_X_from_z(m.resolve("z"), m.resolve("Y"))),
+    ("calc_m", "m", 7, lambda m: P.calc_m(m.resolve("v"), m.resolve("w"))),
+    ("calc_f", "f", 7, lambda m: P.calc_f(m.resolve("e"), m.resolve("w"))),
+    ("calc_m_from_z", "m", 7, lambda m: P.calc_m_from_z(m.resolve("v"), m.resolve("z"))),
+    ("calc_f_from_z", "f", 7, lambda m: P.calc_f_from_z(m.resolve("e"), m.resolve("z"))),
+    ("calc_M", "mm", 1, lambda m: P.calc_M(m.resolve("m"), m.resolve("Y"))),
+    ("calc_F", "ff", 1, lambda m: P.calc_F(m.resolve("f"), m.resolve("Y"))),
+    ("calc_p", "p", 7, lambda m: P.calc_p(m.resolve("v"), m.resolve("w"))),
+    ("calc_p_from_z", "p", 7, lambda m: P.calc_p_from_z(m.resolve("v"), m.resolve("z"))),
+    ("calc_all_shock", "zf", 0, lambda m: P.calc_all_shock(m.resolve("z"), m.resolve("e"), m.resolve("v"), m.resolve("Y"))["Z"]),
+):
+    _primitive(_name, _relation, _digits, _make)
+add("primitive_X_inverse", lambda spark, d: (lambda m: rows_of(m, P.X_inverse(m.resolve("X")), 14))(iot_model(spark, d)), S.block("(SELECT i, j, 1 / v AS v FROM x)", 14, "x"))
+
+
 # --- indicators
 @iot_query("gdp", S.select("SELECT split_part(j, '|', 1) AS region, round(sum(v), 6) + 0.0 AS gdp FROM vf GROUP BY 1", "vf"))
 def _(m: Model) -> DataFrame:
@@ -124,9 +159,22 @@ def _(m: Model) -> DataFrame:
 
 @iot_query("imbalance_of_coefficients", S.select("SELECT split_part(j, '|', 1) AS region, split_part(j, '|', 2) AS item, round(v - 1, 7) + 0.0 AS imbalance FROM (SELECT j, sum(v) AS v FROM (SELECT j, v FROM zc UNION ALL SELECT j, v FROM vc WHERE i <> 'Surplus') GROUP BY j) WHERE abs(v - 1) > 0.05 AND v <> 0", "zc", "vc"))
 def _(m: Model) -> DataFrame:
+    return indicators.balance(_without_surplus(m), "coefficients").select("region", "item", rounded(F.col("imbalance"), 7).alias("imbalance"))
+
+
+def _without_surplus(m: Model) -> Model:
     kept = m.resolve("V").join(m.axis.filter("item = 'Surplus'").select(F.col("id").alias("i")), "i", "left_anti")
-    less = m.update_scenario(m.baseline, V=kept)
-    return indicators.balance(less, "coefficients").select("region", "item", rounded(F.col("imbalance"), 7).alias("imbalance"))
+    return m.update_scenario(m.baseline, V=kept)
+
+
+@iot_query("imbalance_of_flows", S.select("WITH a AS (SELECT j, sum(v) AS v FROM (SELECT j, v FROM zf UNION ALL SELECT j, v FROM vf WHERE i <> 'Surplus') GROUP BY j) SELECT split_part(x.i, '|', 1) AS region, split_part(x.i, '|', 2) AS item, round(a.v - x.v, 3) + 0.0 AS imbalance FROM x JOIN a ON a.j = x.i WHERE abs(a.v - x.v) >= 0.05", "zf", "vf", "x"))
+def _(m: Model) -> DataFrame:
+    return indicators.balance(_without_surplus(m), "flows").select("region", "item", rounded(F.col("imbalance"), 3).alias("imbalance"))
+
+
+@iot_query("imbalance_of_prices", S.select("WITH p AS (SELECT w.j AS i, sum(k.v * w.v) AS v FROM w JOIN (SELECT j, sum(v) AS v FROM vc WHERE i <> 'Surplus' GROUP BY j) k ON k.j = w.i GROUP BY 1) SELECT split_part(i, '|', 1) AS region, split_part(i, '|', 2) AS item, round(v - 1, 7) + 0.0 AS imbalance FROM p WHERE abs(v - 1) > 0.05 AND v <> 0", "vc", "w"))
+def _(m: Model) -> DataFrame:
+    return indicators.balance(_without_surplus(m), "prices").select("region", "item", rounded(F.col("imbalance"), 7).alias("imbalance"))
 
 
 _LINK = """SELECT split_part(k.i, '|', 1) AS region, split_part(k.i, '|', 2) AS item, {columns} FROM x k
@@ -140,12 +188,16 @@ def _(m: Model) -> DataFrame:
     return out.select("region", "item", *[rounded(F.col(c), 6).alias(c) for c in out.columns[2:]])
 
 
-@iot_query("linkages_multi", S.select("""SELECT split_part(k.i, '|', 1) AS region, split_part(k.i, '|', 2) AS item, round(w1.l, 6) + 0.0 AS total_backward_local, round(w1.f, 6) + 0.0 AS total_backward_foreign,
-    round(w1.l / (w1.l + w1.f), 6) + 0.0 AS total_backward_local_share FROM x k JOIN (SELECT j, sum(CASE WHEN split_part(i, '|', 1) = split_part(j, '|', 1) THEN v ELSE 0 END) AS l,
-    sum(CASE WHEN split_part(i, '|', 1) = split_part(j, '|', 1) THEN 0 ELSE v END) AS f FROM w WHERE i <> j GROUP BY j) w1 ON w1.j = k.i""", "x", "w"))
+_SIDES = (("total_forward", "g", "i"), ("total_backward", "w", "j"), ("direct_forward", "bc", "i"), ("direct_backward", "zc", "j"))
+_SAME = "split_part(i, '|', 1) = split_part(j, '|', 1)"
+_SUMS = ", ".join(f"{n} AS (SELECT {k} AS k, sum(CASE WHEN {_SAME} THEN v ELSE 0 END) AS l, sum(CASE WHEN {_SAME} THEN 0 ELSE v END) AS f FROM {r} WHERE i <> j GROUP BY 1)" for n, r, k in _SIDES)
+_MULTI = ", ".join(f"round({n}.l, 6) + 0.0 AS {n}_local, round({n}.f, 6) + 0.0 AS {n}_foreign, round({n}.l / ({n}.l + {n}.f), 6) + 0.0 AS {n}_local_share" for n, _, _ in _SIDES)
+
+
+@iot_query("linkages_multi", S.select(f"WITH {_SUMS} SELECT split_part(x.i, '|', 1) AS region, split_part(x.i, '|', 2) AS item, {_MULTI} FROM x " + " ".join(f"JOIN {n} ON {n}.k = x.i" for n, _, _ in _SIDES), "x", "w", "g", "bc", "zc"))
 def _(m: Model) -> DataFrame:
     out = indicators.linkages(m, multi=True)
-    return out.select("region", "item", *[rounded(F.col(c), 6).alias(c) for c in ("total_backward_local", "total_backward_foreign", "total_backward_local_share")])
+    return out.select("region", "item", *[rounded(F.col(c), 6).alias(c) for c in out.columns[2:]])
 
 
 @iot_query("output_mix", S.select("SELECT split_part(i, '|', 1) AS region, split_part(i, '|', 2) AS item, round(v / sum(v) OVER (PARTITION BY split_part(i, '|', 1)), 8) + 0.0 AS share FROM x WHERE split_part(i, '|', 2) IN ('BUILDING', 'MACHINERY')", "x"))
@@ -161,14 +213,14 @@ def _(m: Model) -> DataFrame:
 
 
 _PATHS = """WITH RECURSIVE d AS (SELECT j AS node, v AS direct FROM ec WHERE i = 'Quantity'),
-    p(node, weight, path, depth) AS (SELECT i, v, i || ' -> FD: ' || j, 0 FROM yf UNION ALL SELECT z.i, p.weight * z.v, z.i || ' -> ' || p.path, p.depth + 1 FROM p JOIN zc z ON z.j = p.node WHERE p.depth < 1),
+    p(node, weight, path, depth) AS (SELECT i, v, i || ' -> FD: ' || j, 0 FROM yf UNION ALL SELECT z.i, p.weight * z.v, z.i || ' -> ' || p.path, p.depth + 1 FROM p JOIN zc z ON z.j = p.node WHERE p.depth < 2),
     c AS (SELECT path, depth, weight * direct AS contribution FROM p JOIN d ON d.node = p.node)
-    SELECT path, depth, round(contribution, 1) + 0.0 AS contribution, round(contribution / (SELECT sum(v) FROM ff WHERE i = 'Quantity'), 7) + 0.0 AS share FROM c ORDER BY abs(contribution) DESC, depth, path LIMIT 50"""
+    SELECT path, depth, round(contribution, 1) + 0.0 AS contribution, round(contribution / (SELECT sum(v) FROM ff WHERE i = 'Quantity'), 7) + 0.0 AS share FROM c ORDER BY abs(contribution) DESC, depth, path LIMIT 200"""
 
 
 @iot_query("structural_paths", S.select(_PATHS, "yf", "zc", "ec", "ff"))
 def _(m: Model) -> DataFrame:
-    return indicators.paths(m, "Quantity", max_depth=1, top=50).select("path", "depth", rounded(F.col("contribution"), 1).alias("contribution"), rounded(F.col("share"), 7).alias("share"))
+    return indicators.paths(m, "Quantity", max_depth=2, top=200).select("path", "depth", rounded(F.col("contribution"), 1).alias("contribution"), rounded(F.col("share"), 7).alias("share"))
 
 
 # --- trade
@@ -232,6 +284,9 @@ def _(m: Model) -> DataFrame:
 _EAST = "CASE WHEN split_part({0}, '|', 1) IN ('ASIA', 'MIDDLE EAST') THEN 'EAST' ELSE split_part({0}, '|', 1) END || '|' || CASE WHEN split_part({0}, '|', 2) IN ('BUILDING', 'FURNITURE') THEN 'HOMES' ELSE split_part({0}, '|', 2) END"
 
 
+_PLACES = "CASE WHEN split_part({0}, '|', 1) IN ('ASIA', 'MIDDLE EAST') THEN 'EAST' ELSE split_part({0}, '|', 1) END || '|' || CASE WHEN split_part({0}, '|', 2) = 'P1' THEN 'P2' ELSE split_part({0}, '|', 2) END"
+
+
 def aggregated(m: Model) -> Model:
     spark = m.spark
     regions = spark.createDataFrame([("ASIA", "EAST"), ("MIDDLE EAST", "EAST")], "source string, target string")
@@ -359,6 +414,30 @@ def _(m: Model) -> DataFrame:
     return rows_of(m, B.sum_rows(balance.ras(z, more(B.sum_rows(z)), more(B.sum_columns(z)))), 0)
 
 
+# flows whose rows and columns are scaled are found again, cell by cell, from their totals
+@iot_query("ras_cells", S.select("SELECT i AS row_label, j AS col_label, round(v * (1 + length(i) % 4) * (2 + length(j) % 3), -1) + 0.0 AS value FROM zf", "zf"))
+def _(m: Model) -> DataFrame:
+    z = m.resolve("Z")
+    size = lambda k, n: m.axis.select(F.col("id").alias(k), F.length(F.concat_ws("|", "region", "item")).alias(n))
+    scaled = z.join(size("i", "a"), "i").join(size("j", "b"), "j").select("i", "j", (F.col("value") * (1 + F.col("a") % 4) * (2 + F.col("b") % 3)).alias("value"))
+    return rows_of(m, balance.ras(z, B.sum_rows(scaled), B.sum_columns(scaled), tolerance=1e-12), -1)
+
+
+@sut_query("sut_aggregate_use", S.select(f"SELECT {_PLACES.format('i')} AS row_label, {_PLACES.format('j')} AS col_label, round(sum(v), 4) + 0.0 AS value FROM uf GROUP BY 1, 2", "uf"))
+def _(m: Model) -> DataFrame:
+    regions = m.spark.createDataFrame([("ASIA", "EAST"), ("MIDDLE EAST", "EAST")], "source string, target string")
+    goods = m.spark.createDataFrame([("P1", "P2")], "source string, target string")
+    out = structure.aggregate(m, {"Region": regions, "Commodity": goods})
+    return rows_of(out, out.resolve("U"), 4)
+
+
+@sut_query("sut_shock_output", S.select("SELECT w.i AS row_label, '' AS col_label, round(sum(w.v * y.v), 1) + 0.0 AS value FROM wcc w JOIN (SELECT i, sum(v) + CASE WHEN i = 'EUROPE|P3' THEN 1000 ELSE 0 END AS v FROM ycf GROUP BY i) y ON y.i = w.j GROUP BY 1", "wcc", "ycf"))
+def _(m: Model) -> DataFrame:
+    rows = [(1, "Yc", "EUROPE", "P3", "ASIA", "5-LOW", "Absolute", 1000.0)]
+    out = scenarios.shock(m, m.spark.createDataFrame(rows, scenarios.SHOCKS), "shock")
+    return rows_of(out, out.resolve("Xc", "shock"), 1)
+
+
 @iot_query("add_sector_output", None)
 def _(m: Model) -> DataFrame:
     m = m.with_clusters(region={"East": ["ASIA", "MIDDLE EAST"]})

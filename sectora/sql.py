@@ -84,6 +84,7 @@ class Sql:
             ("sf", cells("act", "com", "v")), ("uf", cells("com", "buyer", "v", "mid")), ("ycf", cells("com", "fin", "v", "NOT mid")),
             ("vaf", "(" + cells("'Taxes'", "act", "tax") + ") UNION ALL (" + cells("'Discounts'", "act", "off") + ")"), ("vcf", cells("'Taxes'", "com", "tax", "first")),
             ("eaf", cells("'Quantity'", "act", "qty")), ("ecf", cells("'Lines'", "com", "n")),
+            ("eyf", "(" + cells("'Quantity'", "fin", "qty", "NOT mid AND back") + ") UNION ALL (" + cells("'Lines'", "fin", "n", "NOT mid AND back") + ")"), ("seyf", cells("'Lines'", "fin", "n", "NOT mid AND back")),
         ):
             self.put(name, text, "cube")
 
@@ -145,6 +146,11 @@ class Sql:
         self.inverse("gaa", "bsbu", "xa")
         put("gca", mm("gcc", "sbu"), "gcc", "sbu")
         put("gac", mm("gaa", "sbs"), "gaa", "sbs")
+        # unified blocks, and the commodity shares of activities
+        for name, parts in (("sw", ("wcc", "wca", "wac", "waa")), ("sx", ("xa", "xc")), ("svf", ("vaf", "vcf")), ("svu", ("sva", "svc")), ("sef", ("eaf", "ecf")), ("seu", ("sea", "sec")),
+                            ("smu", ("sma", "smc")), ("smmu", ("smma", "smmc")), ("sfu", ("sfa", "sfc")), ("sffu", ("sffa", "sffc")), ("spu", ("spa", "spc"))):
+            put(name, " UNION ALL ".join(f"SELECT i, j, v FROM {p}" for p in parts), *parts)
+        put("sc", "SELECT s.j AS i, s.i AS j, s.v / x.v AS v FROM sf s JOIN xa x ON x.i = s.i", "sf", "xa")
         # supply-use to input-output
         put("t_b", rows_over("sf", "xa"), "sf", "xa")
         put("z_b", mm("uf", "t_b"), "uf", "t_b")

@@ -1,9 +1,10 @@
 import numpy as np
+import pandas as pd
 import pytest
 from small import ACCOUNT_ROWS, ACT, COM, FACTOR_ROWS, FINAL, GOODS, array, iot, iot_arrays, sut, sut_arrays
 
 from sectora.plans import blocks as B
-from sectora.plans import kernels
+from sectora.plans import kernels, tiles
 from sectora.schema import NotComputable
 
 inv = np.linalg.inv
@@ -129,3 +130,33 @@ def test_guarded_reciprocal_and_differences(spark):
 def test_final_demand_stays(table):
     assert np.allclose(array(table, table.resolve("Y"), GOODS, FINAL), iot_arrays()["Y"])
     assert table.resolve("VY").count() == 0
+
+
+def test_tiles_like_numpy(spark):
+    r = np.random.default_rng(3)
+    n, size = 37, 8
+    a, b = r.random((n, n)) * (r.random((n, n)) < 0.4), r.random((n, n))
+    ids = np.sort(r.choice(10_000, n, replace=False)) - 5000
+    frame = lambda x: spark.createDataFrame([(int(ids[i]), int(ids[j]), float(x[i, j])) for i in range(n) for j in range(n) if x[i, j]], "i long, j long, value double")
+    numbers = tiles.numbered(spark.createDataFrame([(int(k),) for k in ids], "id long"))
+    assert [x["id"] for x in numbers.orderBy("n").collect()] == ids.tolist()
+    of = lambda x: tiles.from_cells(frame(x), numbers, numbers, size)
+    at = {int(k): i for i, k in enumerate(ids)}
+    got = np.zeros((n, n))
+    for x in tiles.to_cells(tiles.add(tiles.matmul(of(a), of(b), size), of(a)), numbers, numbers, size).collect():
+        got[at[x["i"]], at[x["j"]]] = x["value"]
+    assert np.allclose(got, a @ b + a)
+    assert np.isclose(tiles.largest(of(a)), a.max())
+
+
+def test_inverse_of_many_labels(spark):
+    r = np.random.default_rng(4)
+    n = 300
+    a = r.random((n, n)) * (r.random((n, n)) < 0.1)
+    a *= 0.6 / a.sum(0).max()
+    i, j = np.nonzero(a)
+    cells = spark.createDataFrame(pd.DataFrame({"i": i, "j": j, "value": a[i, j]}))
+    got = np.zeros((n, n))
+    for x in kernels.neumann_inverse(cells, spark.range(n), size=64).collect():
+        got[x["i"], x["j"]] = x["value"]
+    assert np.allclose(got, np.linalg.inv(np.eye(n) - a))

@@ -22,6 +22,11 @@ def _row_labels(*blocks: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [b.select(F.col("i").alias("id")) for b in blocks]).distinct()
 
 
+def _solved(z: DataFrame, right: DataFrame, ids: DataFrame, transposed: bool = False) -> DataFrame:
+    """A solution in one task only where the labels fit it."""
+    return K.solve(z, right, ids, transposed, ids.count())
+
+
 def calc_X(Z: DataFrame, Y: DataFrame) -> DataFrame:
     return B.sum_rows(B.concat(Z, Y))
 
@@ -45,7 +50,8 @@ def calc_b(X: DataFrame, Z: DataFrame) -> DataFrame:
 
 
 def calc_w(z: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    return K.inverse(z, labels(z) if ids is None else ids)
+    ids = labels(z) if ids is None else ids
+    return K.inverse(z, ids, labels=ids.count())
 
 
 calc_g = calc_w
@@ -56,7 +62,7 @@ def calc_X_from_w(w: DataFrame, Y: DataFrame) -> DataFrame:
 
 
 def calc_X_from_z(z: DataFrame, Y: DataFrame) -> DataFrame:
-    return K.solve(z, B.sum_rows(Y), labels(z).union(_row_labels(Y)).distinct())
+    return _solved(z, B.sum_rows(Y), labels(z).union(_row_labels(Y)).distinct())
 
 
 def calc_multiplier(coefficients: DataFrame, w: DataFrame) -> DataFrame:
@@ -69,7 +75,7 @@ calc_m = calc_f = calc_ma = calc_mc = calc_fa = calc_fc = calc_multiplier
 
 def calc_multiplier_from_z(coefficients: DataFrame, z: DataFrame) -> DataFrame:
     """As calc_multiplier, by solving the transposed system."""
-    return B.transpose(K.solve(z, B.transpose(coefficients), labels(z), transposed=True))
+    return B.transpose(_solved(z, B.transpose(coefficients), labels(z), transposed=True))
 
 
 calc_m_from_z = calc_f_from_z = calc_multiplier_from_z
@@ -88,7 +94,7 @@ def calc_p(v: DataFrame, w: DataFrame) -> DataFrame:
 
 
 def calc_p_from_z(v: DataFrame, z: DataFrame) -> DataFrame:
-    return K.solve(z, B.sum_columns(v), labels(z), transposed=True)
+    return _solved(z, B.sum_columns(v), labels(z), transposed=True)
 
 
 def calc_f_dis(e: DataFrame, w: DataFrame) -> DataFrame:

@@ -74,7 +74,10 @@ def inverse(a: DataFrame, ids: DataFrame, leontief: bool = True, labels: int = 0
 
 
 def rectangular_inverse(a: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """The inverse of a block whose rows and columns are of different sets (as many of each); rows and columns change places. Pseudo-inverse if singular."""
+    """The inverse of a block whose rows and columns are of different sets (as many of each); rows and columns change places. Pseudo-inverse if singular. One task holds
+    the block, so more than DENSE_LABELS labels are refused."""
+    if (many := max(rows.count(), columns.count())) > DENSE_LABELS:
+        raise NotComputable(f"an inverse of {many} rows or columns of different sets; one task takes {DENSE_LABELS}")
 
     def kernel(cells: pd.DataFrame) -> pd.DataFrame:
         r, c = np.unique(cells["i"][cells["part"] < 2].to_numpy()), np.unique(cells["j"][cells["part"] != 1].to_numpy())

@@ -58,6 +58,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table made by `stored` that nothing will read again."""
+    files = table.inputFiles()
+    if files and "/sectora-tables/" in files[0]:
+        jvm = table.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def parts(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into runs of rows of about most_bytes, so that what Python holds at once doesn't follow the rows' length."""
     for batch in batches:

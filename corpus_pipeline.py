@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectora.llm import decontaminate, exact_dedup, quality, simhash
-from sectora.llm.common import stored
+from sectora.llm.common import discard, stored
 from sectora.llm.queries import table, tokenize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        discard(before)  # the table of the stage before last, or nothing: documents aren't a stored table
     return STAGES[-1][1](spark, docs, sf_dir)

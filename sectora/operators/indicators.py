@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,6 +165,51 @@ def ghg(model: Model, accounts: Mapping[str, str], report: str = "AR6", label: s
     return weighted_account(model, weights, label or f"GHG {report} GWP-100", unit, prefix, scenario)
 
 
+@dataclass(frozen=True)
+class GasProfile:
+    """How a published table names its greenhouse gas accounts. match: words that all stand in its source or name; accounts: account -> gas, or a weight
+    where the account is in CO2 equivalents already."""
+
+    match: tuple[str, ...]
+    accounts: Mapping[str, str | float]
+    prefix: bool = False
+
+
+#: Account names of published tables.
+GAS_PROFILES = {
+    "exiobase_monetary": GasProfile(("exiobase", "monetary"), {"CO2 - combustion - air": "CO2", "CH4 - combustion - air": "CH4", "N2O - combustion - air": "N2O"}),
+    "exiobase_hybrid": GasProfile(("exiobase", "hybrid"), {"Carbon dioxide, fossil (air - Emiss)": "CO2", "CH4 (air - Emiss)": "CH4", "N2O (air - Emiss)": "N2O"}),
+    "eora": GasProfile(("eora",), {"I-GHG-CO2 emissions (Gg) - ": "CO2", "I-GHG-CH4 emissions (Gg) - ": "CH4", "I-GHG-N2O emissions (Gg) - ": "N2O"}, prefix=True),
+    "adb": GasProfile(("adb",), {"GHG | Total by substance": 1.0}),
+    "gloria": GasProfile(("gloria",), {"Emissions (EDGAR) | 'co2_excl_short_cycle_org_c_total_EDGAR_consistent'": "CO2", "Emissions (EDGAR) | 'ch4_total_EDGAR_consistent'": "CH4", "Emissions (EDGAR) | 'n2o_total_EDGAR_consistent'": "N2O"}),
+    "emerging": GasProfile(("emerging",), {"Coal": 1.0, "Natural gas": 1.0, "Oil products": 1.0, "Crude, NGL, Ref Feeds.": 1.0, "Oil shale & oil sands": 1.0, "Peat & Peat products": 1.0, "Other": 1.0}),
+}
+
+
+def register_gas_profile(name: str, profile: GasProfile) -> None:
+    """A profile of one's own, or another in place of one that stands."""
+    GAS_PROFILES[name] = profile
+
+
+def gas_profile_of(model: Model) -> str | None:
+    """The profile whose words all stand in the table's source or name: of several the one with most words."""
+    told = " ".join(str(model.meta.get(k) or "") for k in ("source", "name")).lower()
+    fit = [n for n, p in GAS_PROFILES.items() if p.match and all(w.lower() in told for w in p.match)]
+    return max(fit, key=lambda n: len(GAS_PROFILES[n].match), default=None)
+
+
+def ghg_of_profile(model: Model, profile: str | None = None, report: str = "AR6", label: str | None = None, unit: str | None = None, scenario: str | None = None) -> Model:
+    """Greenhouse gases as CO2 equivalents, the accounts taken from a profile: the one named, or the one that fits the table's source."""
+    name = profile or gas_profile_of(model)
+    if name not in GAS_PROFILES:
+        raise WrongInput(f"no profile of gases fits: {name!r}; there are {sorted(GAS_PROFILES)}")
+    if report not in GWP100:
+        raise WrongInput(f"no report is called {report!r}")
+    own = GAS_PROFILES[name]
+    weights = {account: GWP100[report][gas] if isinstance(gas, str) else float(gas) for account, gas in own.accounts.items()}
+    return weighted_account(model, weights, label or f"GHG {report} GWP-100", unit, own.prefix, scenario)
+
+
 def exploded(model: Model, item: str, matrix: str = "f", scenario: str | None = None) -> DataFrame:
     """What each contributor (rows) causes per unit demanded of each good (columns) of one account or factor: diag(e) w and the like.
 
@@ -200,9 +246,11 @@ def demand_shares(y: DataFrame) -> DataFrame:
     return y.join(F.broadcast(whole)).select("i", "j", ratio(F.col("value"), F.col("whole")).alias("value"))  # one row
 
 
-def paths(model: Model, item: str, matrix: str = "f", max_depth: int = 3, cutoff: float = 0.0, top: int = 200, scenario: str | None = None) -> DataFrame:
+def paths(model: Model, item: str, matrix: str = "f", max_depth: int = 3, cutoff: float = 0.0, top: int = 200, scenario: str | None = None, goods: Iterable[str] | None = None, regions: Iterable[str] | None = None, categories: Iterable[str] | None = None) -> DataFrame:
     """Structural paths: path (from the supplier up to the demand), depth, contribution, share, cumulative. Each demanded good is followed up its inputs;
-    a node whose contribution is below the cutoff goes with all above it. Input-output tables only."""
+    a node whose contribution is below the cutoff goes with all above it. Input-output tables only.
+
+    goods, regions, categories: only demand for these sectors, of these regions, of these categories; shares are of what that demand causes."""
     if model.kind != "IOT":
         raise NotComputable("paths are followed in input-output tables")
     planner = model.planner(scenario)
@@ -211,6 +259,12 @@ def paths(model: Model, item: str, matrix: str = "f", max_depth: int = 3, cutoff
     direct = B.sum_columns(B.keep(planner.resolve("e" if matrix == "f" else "v"), ids)).select(F.col("i").alias("node"), F.col("value").alias("direct"))
     name = model.axis.select(F.col("id").alias("node"), F.concat_ws("|", "region", "item").alias("name"))
     y = planner.resolve("Y")
+    for side, column, wanted in (("i", "item", goods), ("j", "region", regions), ("j", "item", categories)):
+        if wanted is not None:
+            some = model.axis.filter(F.col(column).isin(*list(wanted))).select(F.col("id").alias(side))
+            y = y.join(some, side, "left_semi").select("i", "j", "value")
+    if not (goods is None and regions is None and categories is None) and y.isEmpty():
+        raise WrongInput("no demand is left by the filters")
     z = planner.resolve("z").select(F.col("i").alias("up"), F.col("j").alias("node"), F.col("value").alias("input"))
     demand = model.axis.select(F.col("id").alias("j"), F.concat(F.lit("FD: "), F.concat_ws("|", "region", "item")).alias("path"))
     front = y.filter("value <> 0").join(demand, "j").select(F.col("i").alias("node"), F.col("value").alias("weight"), "path")

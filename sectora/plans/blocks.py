@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import WrongInput
+
 #: The column of a vector.
 ONE = 0
 
@@ -42,6 +44,27 @@ def concat(*blocks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [b.select("i", "j", "value") for b in blocks])
 
 
+def labels_apart(a: DataFrame, a_side: str, b: DataFrame, b_side: str) -> DataFrame:
+    """Labels (id) that stand on one side only: columns ("j") or rows ("i") of a against those of b. Empty where the two agree."""
+    left, right = a.select(F.col(a_side).alias("id")).distinct(), b.select(F.col(b_side).alias("id")).distinct()
+    return left.join(right, "id", "left_anti").unionByName(right.join(left, "id", "left_anti"))
+
+
+def require_same_labels(a: DataFrame, a_side: str, b: DataFrame, b_side: str) -> None:
+    """An error where two sides differ in labels. Products leave out what doesn't meet, as absent cells are zero; call this where nothing may be absent."""
+    if not labels_apart(a, a_side, b, b_side).isEmpty():
+        raise WrongInput("the labels of the two sides differ")
+
+
+def require_square(a: DataFrame, labels: DataFrame | None = None) -> None:
+    """An error where rows and columns differ in labels, or where either has one that isn't among `labels` (id)."""
+    if labels is None:
+        return require_same_labels(a, "i", a, "j")
+    both = a.select(F.col("i").alias("id")).union(a.select(F.col("j").alias("id")))
+    if not both.join(labels.select("id"), "id", "left_anti").isEmpty():
+        raise WrongInput("a label of the block isn't among those of the square")
+
+
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     left, right = a.select("i", F.col("j").alias("k"), F.col("value").alias("x")), b.select(F.col("i").alias("k"), "j", F.col("value").alias("y"))
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))

@@ -5,6 +5,7 @@ Rows are (row_label, col_label, value) unless a query says otherwise; labels are
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -223,6 +224,24 @@ def _(m: Model) -> DataFrame:
     return indicators.paths(m, "Quantity", max_depth=2, top=200).select("path", "depth", rounded(F.col("contribution"), 1).alias("contribution"), rounded(F.col("share"), 7).alias("share"))
 
 
+_SOME = ("(SELECT * FROM yf WHERE split_part(i, '|', 2) IN ('BUILDING', 'MACHINERY') AND split_part(j, '|', 1) = 'ASIA')", "BUILDING", "MACHINERY")
+_SOME_PATHS = _PATHS.replace("FROM yf", f"FROM {_SOME[0]}").replace("(SELECT sum(v) FROM ff WHERE i = 'Quantity')", f"(SELECT sum(m.v * s.v) FROM {_SOME[0]} s JOIN f m ON m.j = s.i WHERE m.i = 'Quantity')")
+
+
+@iot_query("structural_paths_of_demand", S.select(_SOME_PATHS, "yf", "zc", "ec", "f"))
+def _(m: Model) -> DataFrame:
+    out = indicators.paths(m, "Quantity", max_depth=2, top=200, goods=_SOME[1:], regions=["ASIA"])
+    return out.select("path", "depth", rounded(F.col("contribution"), 1).alias("contribution"), rounded(F.col("share"), 7).alias("share"))
+
+
+@iot_query("ghg_by_profile", S.select("SELECT j AS col_label, round(sum(CASE WHEN i = 'Quantity' THEN v * 30.0 ELSE v * 265.0 END), 3) + 0.0 AS value FROM ef GROUP BY j", "ef"))
+def _(m: Model) -> DataFrame:
+    indicators.register_gas_profile("sales", indicators.GasProfile(("sales", "orders"), {"Quantity": "CH4", "Lines": "N2O"}))
+    out = indicators.ghg_of_profile(m.describe(source="Orders of the sales data"), report="AR5", unit="t")
+    cells = out.table("E").filter("item_from = 'GHG AR5 GWP-100'")
+    return cells.select(F.concat_ws("|", "region_to", "item_to").alias("col_label"), rounded(F.col("value"), 3).alias("value"))
+
+
 # --- trade
 _R = "split_part(i, '|', 1) AS region_from, split_part(j, '|', 1) AS region_to"
 _USE = "(SELECT i, j, v FROM zf UNION ALL SELECT i, j, v FROM yf)"
@@ -478,6 +497,17 @@ def _(m: Model) -> DataFrame:
     return rows_of(again, again.resolve("Z"), 4)
 
 
+def _through_files(m: Model, format: str) -> Model:
+    """The table written as a flat file and read again."""
+    path = f"{kernels.shared_dir(m.spark)}/sectora-files/{uuid.uuid4().hex}"
+    flat.write_flat(m, path, format)
+    return flat.read_flat(m.spark, path, m.kind, format, units=m.units)
+
+
+for _kind, _format, _matrix, _relation, _digits, _make in (("iot", "parquet", "Z", "zf", 4, iot_model), ("iot", "csv", "f", "f", 7, iot_model), ("sut", "parquet", "U", "uf", 4, sut_model), ("sut", "csv", "fc", "sfc", 7, sut_model)):
+    add(f"{_kind}_{_matrix.lower()}_of_{_format}_file", lambda spark, d, f=_format, x=_matrix, n=_digits, make=_make: (lambda m: rows_of(m, m.resolve(x), n))(_through_files(make(spark, d), f)), S.block(_relation, _digits))
+
+
 @iot_query("search_labels", S.select("SELECT DISTINCT split_part(i, '|', 2) AS item FROM x WHERE regexp_matches(split_part(i, '|', 2), '(?i)^[a-b]')", "x"))
 def _(m: Model) -> DataFrame:
     return m.search("^[a-b]", "sectors").select("item")

@@ -5,8 +5,10 @@ Paths are folders or files in any store that Spark reads. Workbook editions aren
 
 from __future__ import annotations
 
+import json
 import posixpath
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,39 @@ def read_exiobase(spark: SparkSession, path: str, factors: tuple[str, ...] = (),
     return Model.from_labelled(cells, "IOT")
 
 
+def read_exiobase_sut(spark: SparkSession, path: str, extensions: str | None = None, factors: tuple[str, ...] = (), currency: str = "EUR", header_rows: int = 3) -> Model:
+    """Supply-use folders with supply.csv and use.csv (products by industries), final_demand.csv and value_added.csv: tabs, two lines of column labels and one
+    of names. meta.json beside them, if there, goes to the metadata. extensions: the folder of the industry table of the same year, whose satellite rows
+    but those in factors become accounts of the activities."""
+    at = lambda name: posixpath.join(path, name)
+    supply = _two_level(spark, at("supply.csv"), "S", header_rows, LABELS[:2], "Activity", "Commodity")
+    turned = [F.col(f"{c}_{'to' if s == 'from' else 'from'}").alias(f"{c}_{s}") for s in ("from", "to") for c in LABELS]
+    cells = supply.select("scenario", "matrix", *turned, "value")
+    cells = cells.unionByName(_two_level(spark, at("use.csv"), "U", header_rows, LABELS[:2], "Activity", "Commodity"))
+    cells = cells.unionByName(_two_level(spark, at("final_demand.csv"), "Yc", header_rows, LABELS[:2], "Consumption category", "Commodity"))
+    cells = cells.unionByName(_two_level(spark, at("value_added.csv"), "Va", header_rows, ("item",), "Activity", "Factor of production"))
+    if extensions:
+        for name, matrix, level in (("F.txt", "Ea", "Activity"), ("F_Y.txt", "EY", "Consumption category")):
+            rows = _two_level(spark, posixpath.join(extensions, "satellite", name), matrix, header_rows, ("item",), level, "Satellite account")
+            cells = cells.unionByName(rows.filter(~F.col("item_from").isin(*factors)) if factors else rows)
+    out = Model.from_labelled(cells, "SUT")
+    money = out.axis.filter(F.col("level").isin("Activity", "Commodity", "Factor of production")).select("level", "item").distinct()
+    units = money.withColumn("unit", F.lit(currency))
+    if extensions:
+        told = spark.read.option("header", True).option("sep", "\t").csv(posixpath.join(extensions, "satellite", "unit.txt"))
+        accounts = out.axis.filter(F.col("level") == "Satellite account").select("level", "item")
+        units = units.unionByName(accounts.join(told.select(F.col(told.columns[0]).alias("item"), F.trim("unit").alias("unit")), "item").select("level", "item", "unit"))
+    return replace(out, units=units, meta={"source": "exiobase monetary", **_json_beside(spark, at("meta.json"))})
+
+
+def _json_beside(spark: SparkSession, path: str) -> dict:
+    """A small JSON file; nothing where it isn't there."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
+        return {}
+    return json.loads("\n".join(r["line"] for r in matrices.numbered_lines(spark, path).orderBy("n").collect()))
+
+
 def read_eora26(spark: SparkSession, path: str, year: int, price: str = "bp") -> Model:
     """Bare tab matrices T, FD, VA, Q with lists of labels (labels_T.txt, labels_FD.txt, labels_VA.txt, labels_Q.txt) whose columns are country, code,
     entity, item (accounts: account, item)."""
@@ -155,5 +190,5 @@ def read_bare_folder(spark: SparkSession, path: str, kind: str, files: Mapping[s
     return Model.from_labelled(out, kind, units)
 
 
-for _name, _reader in (("bare_folder", read_bare_folder),("exiobase", read_exiobase), ("eora26", read_eora26), ("icio", read_icio), ("long_table", read_long_table), ("figaro", read_figaro), ("gtap", read_gtap)):
+for _name, _reader in (("bare_folder", read_bare_folder), ("exiobase", read_exiobase), ("exiobase_sut", read_exiobase_sut), ("eora26", read_eora26), ("icio", read_icio), ("long_table", read_long_table), ("figaro", read_figaro), ("gtap", read_gtap)):
     registry.register_reader(_name, _reader, replace=True)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from small import ACCOUNT_ROWS, ACT, CATEGORIES, COM, FACTOR_ROWS, FINAL, GOODS, REGIONS, SECTORS, array, iot, iot_arrays, sut, sut_arrays
 
 from sectora.model import Model
@@ -105,6 +106,50 @@ def test_paths_are_the_truncated_series(table):
     assert indicators.paths(table, "CO2", max_depth=2, cutoff=1e9).isEmpty()
 
 
+def test_paths_of_some_demand(table):
+    a = iot_arrays()
+    z, e = a["Z"] / a["X"], (a["E"] / a["X"])[0]
+    y = np.zeros_like(a["Y"])
+    y[[1, 4], 2] = a["Y"][[1, 4], 2]  # s2 for hh of r2
+    got = indicators.paths(table, "CO2", max_depth=2, top=100_000, goods=["s2"], regions=["r2"], categories=["hh"]).collect()
+    whole = (e @ np.linalg.inv(np.eye(6) - z) @ y).sum()
+    assert np.isclose(sum(r["contribution"] for r in got), (e @ (np.eye(6) + z + z @ z) @ y).sum()) and np.isclose(got[0]["share"], got[0]["contribution"] / whole)
+    assert all(r["path"].endswith("FD: r2|hh") for r in got)
+    with pytest.raises(WrongInput):
+        indicators.paths(table, "CO2", regions=["nowhere"])
+
+
+def test_profiles_of_gases(table):
+    own = indicators.GasProfile(("small", "made up"), {"CO2": "CO2", "CH": "CH4"}, prefix=True)
+    told = table.describe(source="A small table, made up")
+    assert indicators.gas_profile_of(told) is None and indicators.gas_profile_of(table.describe(name="EXIOBASE 3 monetary")) == "exiobase_monetary"
+    with pytest.raises(WrongInput):
+        indicators.ghg_of_profile(told)
+    indicators.register_gas_profile("small", own)
+    indicators.register_gas_profile("smaller", indicators.GasProfile(("small",), {"CO2": 2.0}))
+    try:
+        assert indicators.gas_profile_of(told) == "small"
+        a, m = iot_arrays(), indicators.ghg_of_profile(told, report="AR4")
+        assert np.allclose(array(m, m.resolve("E"), [(None, "Satellite account", "GHG AR4 GWP-100")], GOODS), a["E"][0] + 25 * a["E"][1])
+        m = indicators.ghg_of_profile(told, "smaller", label="twice")
+        assert np.allclose(array(m, m.resolve("EY"), [(None, "Satellite account", "twice")], FINAL), 2 * a["EY"][0])
+    finally:
+        for name in ("small", "smaller"):
+            indicators.GAS_PROFILES.pop(name)
+
+
+def test_label_checks(table):
+    z, y = table.resolve("Z"), table.resolve("Y")
+    B.require_square(z)
+    B.require_square(z, table.ids("Sector"))
+    B.require_same_labels(z, "j", y, "i")
+    short = z.filter(F.col("i") != z.first()["i"])
+    assert B.labels_apart(short, "i", z, "i").count() == 1
+    for wrong in (lambda: B.require_square(y), lambda: B.require_square(short), lambda: B.require_square(y, table.ids("Sector")), lambda: B.require_same_labels(z, "j", y, "j")):
+        with pytest.raises(WrongInput):
+            wrong()
+
+
 def test_greenhouse_gases(table):
     a = iot_arrays()
     m = indicators.ghg(table, {"CO2": "CO2", "CH4": "CH4", "none": "N2O"})

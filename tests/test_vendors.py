@@ -1,5 +1,5 @@
 import numpy as np
-from small import ACCOUNT_ROWS, FACTOR_ROWS, FINAL, GOODS, REGIONS, SECTORS, array, iot, iot_arrays
+from small import ACCOUNT_ROWS, ACT, COM, FACTOR_ROWS, FINAL, GOODS, REGIONS, SECTORS, array, iot, iot_arrays, sut_arrays
 
 from sectora.functions import primitives as P
 from sectora.operators import presets, scenarios
@@ -30,6 +30,34 @@ def test_exiobase_folder(spark, tmp_path):
     assert np.allclose(array(m, m.resolve("V"), FACTOR_ROWS, GOODS), a["V"]) and np.allclose(array(m, m.resolve("E"), ACCOUNT_ROWS, GOODS), a["E"]) and np.allclose(array(m, m.resolve("EY"), ACCOUNT_ROWS, FINAL), a["EY"])
 
 
+def test_exiobase_supply_and_use(spark, tmp_path):
+    a = sut_arrays()
+    iot_dir, root = tmp_path / "iot", tmp_path / "sut"
+    (iot_dir / "satellite").mkdir(parents=True)
+    root.mkdir()
+
+    def write(path, x, columns, rows, wide):
+        blank = ["", ""] if wide else [""]
+        head = [[*blank, *[c[0] for c in columns]], [*blank, *[c[2] for c in columns]], [*["region", "sector"][: len(blank)], *[""] * len(columns)]]
+        path.write_text(lines(*head, *[[*((r[0], r[2]) if wide else (r[2],)), *v] for r, v in zip(rows, x, strict=True)]))
+
+    for name, x, columns in (("supply", a["S"].T, ACT), ("use", a["U"], ACT), ("final_demand", a["Yc"], FINAL)):
+        write(root / f"{name}.csv", x, columns, COM, True)
+    write(root / "value_added.csv", a["Va"], ACT, FACTOR_ROWS, False)
+    bare = registry.read("exiobase_sut", spark, str(root))
+    assert bare.kind == "SUT" and np.allclose(array(bare, bare.resolve("S"), ACT, COM), a["S"]) and not bare.has("Ea") and bare.meta == {"source": "exiobase monetary"}
+
+    (root / "meta.json").write_text('{\n "year": 2011, "price": "current"\n}')
+    both = np.concatenate([a["Va"], a["Ea"]])
+    write(iot_dir / "satellite/F.txt", both, ACT, FACTOR_ROWS + ACCOUNT_ROWS, False)
+    write(iot_dir / "satellite/F_Y.txt", a["EY"], FINAL, ACCOUNT_ROWS, False)
+    (iot_dir / "satellite/unit.txt").write_text(lines(["stressor", "unit"], *[[k[2], "kg"] for k in ACCOUNT_ROWS]))
+    m = registry.read("exiobase_sut", spark, str(root), extensions=str(iot_dir), factors=("taxes", "wages"))
+    for name, rows, columns in (("S", ACT, COM), ("U", COM, ACT), ("Yc", COM, FINAL), ("Va", FACTOR_ROWS, ACT), ("Ea", ACCOUNT_ROWS, ACT), ("EY", ACCOUNT_ROWS, FINAL)):
+        assert np.allclose(array(m, m.resolve(name), rows, columns), a[name]), name
+    assert m.meta["year"] == 2011 and {(r["level"], r["unit"]) for r in m.units.collect()} == {("Activity", "EUR"), ("Commodity", "EUR"), ("Factor of production", "EUR"), ("Satellite account", "kg")}
+
+
 def test_eora_files(spark, tmp_path):
     a = iot_arrays()
     for file, x in (("T", a["Z"]), ("FD", a["Y"]), ("VA", a["V"]), ("Q", a["E"]), ("QY", a["EY"])):

@@ -9,8 +9,9 @@ import json
 import posixpath
 from collections.abc import Mapping
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -156,7 +157,63 @@ def read_figaro(spark: SparkSession, path: str, final: tuple[str, ...] = ("P3_S1
     return read_long_table(spark, path, "IOT", columns, final, factors)
 
 
-def read_gtap(spark: SparkSession, path: str, regions: DataFrame | None = None) -> Model:
+#: Files of the power edition's bundle, its marks of flows, taxes and accounts, and the units of its rows.
+GTAP_FILES = {"flows": "GSDFSRCxDST.csv", "taxes": "GSDFXTAX.csv", "added": "GSDF.csv", "emissions": "GSDFEMI.csv", "energy": "GSDFNRG.csv"}
+GTAP_ADDED = {"VA": "VAAD", "VTAX": "VTAX", "IDTAX": "DTAX", "IMTAX": "ITAX"}
+GTAP_UNITS = {"money": "M USD", "EMI": "M ton", "ENE": "M toe"}
+
+
+def read_gtap(spark: SparkSession, path: str) -> Model:
+    """The bundle of record files of the power edition, each with a header; records of one cell add up, in one aggregation over all files.
+
+    Sectors are the commodities of the flows, final demand is every other agent there, regions are their sources and destinations; these labels, some
+    hundreds, come to the driver. A record counts where the labels it needs are among them. Domestic accounts stand where source and destination agree, or
+    where the source is TOT; the rows of those imported name their source."""
+    rows = {k: spark.read.option("header", True).csv(posixpath.join(path, f)) for k, f in GTAP_FILES.items()}
+    rows = {k: r.toDF(*[c.strip().upper() for c in r.columns]) for k, r in rows.items()}
+    flows = rows["flows"]
+    found = flows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("x")) for c in ("COMM", "AGENT", "SRC", "DST")])).alias("l")).select("l.*").distinct().collect()
+    label = lambda *columns: {r["x"] for r in found if r["c"] in columns and r["x"] is not None}
+    sectors, regions = sorted(label("COMM")), sorted(label("SRC", "DST"))
+    final = sorted(label("AGENT") - set(sectors))
+    among = lambda c, labels: F.col(c).isin(*labels) if labels else F.lit(False)
+    named = lambda *parts: F.concat_ws("_", *[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    var, comm, src, dst = (F.col(c) for c in ("VAR", "COMM", "SRC", "DST"))
+
+    def cells(df: DataFrame, letter: str, item: Column, agent: str, region_to: Column, level: Column, region_from: Column | None = None) -> DataFrame:
+        """Cells in columns of sectors or of final demand, by what the agent is."""
+        demand = among(agent, final)
+        matrix = F.when(demand, "Y" if letter == "Z" else f"{letter}Y").otherwise(letter)
+        df = df.withColumn("_to", region_to).filter((among(agent, sectors) | demand) & among("_to", regions))
+        nowhere = F.lit(None).cast("string")
+        return df.select(
+            F.lit(schema.BASELINE).alias("scenario"), matrix.alias("matrix"), (nowhere if region_from is None else region_from).alias("region_from"), level.alias("level_from"), item.alias("item_from"), F.col("_to").alias("region_to"),
+            F.when(demand, "Consumption category").otherwise("Sector").alias("level_to"), F.col(agent).alias("item_to"), F.col("VALUE").cast("double").alias("value"),
+        )
+
+    sector, factor, account = (F.lit(x) for x in ("Sector", "Factor of production", "Satellite account"))
+    own = var.isin("IDTAX", "IMTAX")
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in GTAP_ADDED.items() for x in kv]), var)
+    added = rows["added"].filter(var.isin(*GTAP_ADDED) & F.when(own, among("COMM", sectors)).otherwise(among("AGENT", sectors)))
+    taxes = rows["taxes"].filter((var == "PTAX") | ((var == "ETAX") & among("DST", regions))).filter(among("COMM", sectors))
+    out = [
+        cells(flows.filter(var.isin("DOM", "VFOB")), "Z", comm, "AGENT", F.when(var == "DOM", src).otherwise(dst), sector, src),
+        cells(flows.filter(var.isin("MTAX", "ITTM")), "V", named(var, src, comm), "AGENT", dst, factor),
+        cells(taxes, "V", F.when(var == "PTAX", "PTAX_REG").otherwise(named("ETAX", dst)), "COMM", F.when(var == "PTAX", dst).otherwise(src), factor),
+        cells(added, "V", named(kind, "REG", comm), "AGENT", F.col("REG"), factor),
+    ]
+    for name, mark, gas in (("emissions", "EMI", [F.col("EM")] if "EM" in rows["emissions"].columns else []), ("energy", "ENE", [])):
+        home = (var == "DOM") & ((src == dst) | (src == "TOT"))
+        some = rows[name].filter(home | ((var == "IMP") & among("SRC", regions)))
+        out.append(cells(some, "E", named(mark, *gas, F.when(var == "DOM", "dms").otherwise(src), comm), "AGT", dst, account))
+    whole = Model.from_labelled(reduce(DataFrame.unionByName, out), "IOT")
+    unit = F.lit(GTAP_UNITS["money"])
+    for mark in ("EMI", "ENE"):
+        unit = F.when((F.col("level") == "Satellite account") & F.col("item").startswith(mark), GTAP_UNITS[mark]).otherwise(unit)
+    return replace(whole, units=whole.axis.select("level", "item").distinct().withColumn("unit", unit), meta={"source": "gtap"})
+
+
+def read_record_bundle(spark: SparkSession, path: str, regions: DataFrame | None = None) -> Model:
     """A folder of record files, each with a header: intermediate.csv (region_from, sector_from, region_to, sector_to, value), final.csv (region_from,
     sector_from, region_to, category_to, value), factors.csv (factor_from, region_to, sector_to, value), accounts.csv (account_from, region_to, sector_to, value).
     Records of one cell add up. regions: code, label."""
@@ -190,5 +247,5 @@ def read_bare_folder(spark: SparkSession, path: str, kind: str, files: Mapping[s
     return Model.from_labelled(out, kind, units)
 
 
-for _name, _reader in (("bare_folder", read_bare_folder), ("exiobase", read_exiobase), ("exiobase_sut", read_exiobase_sut), ("eora26", read_eora26), ("icio", read_icio), ("long_table", read_long_table), ("figaro", read_figaro), ("gtap", read_gtap)):
+for _name, _reader in (("bare_folder", read_bare_folder), ("exiobase", read_exiobase), ("exiobase_sut", read_exiobase_sut), ("eora26", read_eora26), ("icio", read_icio), ("long_table", read_long_table), ("figaro", read_figaro), ("gtap", read_gtap), ("record_bundle", read_record_bundle)):
     registry.register_reader(_name, _reader, replace=True)

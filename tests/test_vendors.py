@@ -101,7 +101,57 @@ def test_record_bundle(spark, tmp_path):
     (tmp_path / "final.csv").write_text(lines(("region_from", "sector_from", "region_to", "category_to", "value"), *[(r, s, q, c, a["Y"][i, j]) for i, (r, _, s) in enumerate(GOODS) for j, (q, _, c) in enumerate(FINAL)], sep=","))
     (tmp_path / "factors.csv").write_text(lines(("factor_from", "region_to", "sector_to", "value"), *[(f, q, t, a["V"][i, j]) for i, (_, _, f) in enumerate(FACTOR_ROWS) for j, (q, _, t) in enumerate(GOODS)], sep=","))
     (tmp_path / "accounts.csv").write_text(lines(("account_from", "region_to", "sector_to", "value"), *[(k, q, t, a["E"][i, j]) for i, (_, _, k) in enumerate(ACCOUNT_ROWS) for j, (q, _, t) in enumerate(GOODS)], sep=","))
-    check(registry.read("gtap", spark, str(tmp_path)))
+    check(registry.read("record_bundle", spark, str(tmp_path)))
+
+
+def test_gtap_bundle(spark, tmp_path):
+    r = np.random.default_rng(3)
+    regions, sectors, agents = ("R1", "R2"), ("A", "B"), ("A", "B", "HH")
+    value = lambda: float(r.integers(1, 50))
+    some = lambda n, *columns: [(*[str(r.choice(c)) for c in columns], value()) for _ in range(n)]  # noqa: E731  with cells that occur more than once
+    everywhere = [("VFOB", c, a, s, d, value()) for c in sectors for a in agents for s in regions for d in regions]
+    flows = everywhere + some(120, ("DOM", "VFOB", "MTAX", "ITTM", "OTHER"), sectors, agents, regions, regions)
+    taxes = some(40, ("ETAX", "PTAX"), (*sectors, "gone"), regions, regions)
+    added = some(60, ("VA", "VTAX", "IDTAX", "IMTAX"), ("A", "LAB"), (*agents, "gone"), (*regions, "R9"))
+    emissions = some(80, ("DOM", "IMP"), ("CO2", "CH4"), ("coal", "A"), agents, (*regions, "TOT"), regions)
+    energy = some(80, ("DOM", "IMP"), ("coal", "oil"), agents, (*regions, "TOT"), regions)
+    head = {"SRCxDST": "VAR COMM AGENT SRC DST", "XTAX": "VAR COMM SRC DST", "": "VAR COMM AGENT REG", "EMI": "VAR EM COMM AGT SRC DST", "NRG": "VAR COMM AGT SRC DST"}
+    for (name, columns), rows in zip(head.items(), (flows, taxes, added, emissions, energy), strict=True):
+        (tmp_path / f"GSDF{name}.csv").write_text(lines((*columns.split(), "VALUE"), *rows, sep=","))
+
+    want = {}
+
+    def put(matrix, row, region, agent, x):
+        if region not in regions or agent not in agents or agent == "HH" and matrix is None:
+            return
+        name = matrix or "V"
+        key = (("Y" if name == "Z" else f"{name}Y") if agent == "HH" else name, *row, region, agent)
+        want[key] = want.get(key, 0) + x
+
+    for var, c, a, s, d, x in flows:
+        if var in ("DOM", "VFOB"):
+            put("Z", (s, c), s if var == "DOM" else d, a, x)
+        elif var != "OTHER":
+            put("V", (None, f"{var}_{s}_{c}"), d, a, x)
+    for var, c, s, d, x in taxes:
+        put(None, (None, "PTAX_REG" if var == "PTAX" else f"ETAX_{d}"), d if var == "PTAX" else s, c, x)
+    for var, c, a, g, x in added:
+        if var in ("VA", "VTAX"):
+            put(None, (None, f"{'VAAD' if var == 'VA' else var}_REG_{c}"), g, a, x)
+        elif c in sectors:
+            put("V", (None, f"{'DTAX' if var == 'IDTAX' else 'ITAX'}_REG_{c}"), g, a, x)
+    for mark, rows in (("EMI", emissions), ("ENE", [(v, None, *rest) for v, *rest in energy])):
+        for var, gas, c, a, s, d, x in rows:
+            first = f"{mark}_{gas}" if gas else mark
+            if var == "DOM" and s in (d, "TOT"):
+                put("E", (None, f"{first}_dms_{c}"), d, a, x)
+            elif var == "IMP" and s in regions:
+                put("E", (None, f"{first}_{s}_{c}"), d, a, x)
+    m = registry.read("gtap", spark, str(tmp_path))
+    got = {(c["matrix"], c["region_from"], c["item_from"], c["region_to"], c["item_to"]): c["value"] for c in m.labelled_cells().collect()}
+    assert got == want and {k[0] for k in want} == {"Z", "Y", "V", "VY", "E", "EY"}
+    unit = {c["item"]: c["unit"] for c in m.units.collect()}
+    assert unit["A"] == unit["PTAX_REG"] == "M USD" and unit["EMI_CO2_dms_coal"] == "M ton" and unit["ENE_dms_oil"] == "M toe"
 
 
 def test_bare_folder_of_a_unified_supply_use_table(spark, tmp_path):

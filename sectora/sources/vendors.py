@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 import posixpath
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import replace
 from functools import reduce
 
@@ -135,6 +135,10 @@ def read_icio(spark: SparkSession, path: str) -> Model:
 def read_long_table(spark: SparkSession, path: str, kind: str, columns: Mapping[str, str], final: tuple[str, ...], factors: tuple[str, ...], filters: Mapping[str, str] | None = None) -> Model:
     """Long statistics of an input-output or use table, as statistical offices publish them: one line a cell. columns: file column -> region_from, item_from,
     region_to, item_to, value. final and factors: codes of demand columns and of factor rows; totals are left out by the filters or beforehand."""
+    return Model.from_labelled(_long_cells(spark, path, kind, columns, final, factors, filters), kind)
+
+
+def _long_cells(spark: SparkSession, path: str, kind: str, columns: Mapping[str, str], final: tuple[str, ...], factors: tuple[str, ...], filters: Mapping[str, str] | None = None) -> DataFrame:
     need = {"item_from", "item_to", "value"}
     if need - set(columns.values()):
         raise WrongInput(f"columns must give {sorted(need)}")
@@ -148,13 +152,26 @@ def read_long_table(spark: SparkSession, path: str, kind: str, columns: Mapping[
         "matrix": F.when(factor & demand, "VY").when(factor, own).when(demand, take).otherwise(use), "region_from": F.when(~factor, F.col("region_from")), "level_from": F.when(factor, "Factor of production").otherwise(goods[0]),
         "item_from": "item_from", "region_to": "region_to", "level_to": F.when(demand, "Consumption category").otherwise(goods[1]), "item_to": "item_to",
     }
-    return Model.from_labelled(records.scatter(rows, keys), kind)
+    return records.scatter(rows, keys)
+
+
+#: Columns, demand codes and factor codes of the long European inter-country editions.
+FIGARO_COLUMNS = {"refArea": "region_from", "rowPi": "item_from", "counterpartArea": "region_to", "colPi": "item_to", "obsValue": "value"}
+FIGARO_FINAL = ("P3_S13", "P3_S14", "P3_S15", "P51G", "P5M")
+FIGARO_FACTORS = ("B2A3G", "D1", "D21X31", "D29X39", "OP_NRES", "OP_RES")
+
+
+def read_figaro(spark: SparkSession, path: str, final: tuple[str, ...] = FIGARO_FINAL, factors: tuple[str, ...] = FIGARO_FACTORS, columns: Mapping[str, str] | None = None) -> Model:
+    """The long comma-separated edition: refArea, rowPi, counterpartArea, colPi, obsValue, or as columns says."""
+    return read_long_table(spark, path, "IOT", columns or FIGARO_COLUMNS, final, factors)
 
 
-def read_figaro(spark: SparkSession, path: str, final: tuple[str, ...] = ("P3_S13", "P3_S14", "P3_S15", "P51G", "P5M"), factors: tuple[str, ...] = ("B2A3G", "D1", "D21X31", "D29X39", "OP_NRES", "OP_RES")) -> Model:
-    """The long comma-separated edition: refArea, rowPi, counterpartArea, colPi, obsValue."""
-    columns = {"refArea": "region_from", "rowPi": "item_from", "counterpartArea": "region_to", "colPi": "item_to", "obsValue": "value"}
-    return read_long_table(spark, path, "IOT", columns, final, factors)
+def read_figaro_sut(spark: SparkSession, supply: str, use: str, final: tuple[str, ...] = FIGARO_FINAL, factors: tuple[str, ...] = FIGARO_FACTORS, columns: Mapping[str, str] | None = None) -> Model:
+    """The long supply and use editions, products by industries in both: a supply record's row is the product, its column the industry that makes it."""
+    columns = columns or FIGARO_COLUMNS
+    made = records.read_long(spark, supply, columns)
+    keys = {"matrix": F.lit("S"), "region_from": "region_to", "level_from": F.lit("Activity"), "item_from": "item_to", "region_to": "region_from", "level_to": F.lit("Commodity"), "item_to": "item_from"}
+    return Model.from_labelled(records.scatter(made, keys).unionByName(_long_cells(spark, use, "SUT", columns, final, factors)), "SUT")
 
 
 #: Files of the power edition's bundle, its marks of flows, taxes and accounts, and the units of its rows.
@@ -247,5 +264,53 @@ def read_bare_folder(spark: SparkSession, path: str, kind: str, files: Mapping[s
     return Model.from_labelled(out, kind, units)
 
 
-for _name, _reader in (("bare_folder", read_bare_folder), ("exiobase", read_exiobase), ("exiobase_sut", read_exiobase_sut), ("eora26", read_eora26), ("icio", read_icio), ("long_table", read_long_table), ("figaro", read_figaro), ("gtap", read_gtap), ("record_bundle", read_record_bundle)):
+def read_gloria(spark: SparkSession, path: str, labels: str, year: int, markup: int = 1, groups: Iterable[str] | None = None) -> Model:
+    """The headerless supply-use release below path, a folder for the tables and one for the satellite accounts of the year: T, V, Y and, if there, TQ and YQ.
+    Value added that has no file of its own markup is that of markup 1. Each region has its activities before its commodities; value added adds up over
+    the regions that give it.
+
+    labels: a folder with the sheets of the release's notes as Regions.csv, Sectors.csv, Value added and final demand.csv, Satellites.csv, each with its
+    header; these lists come to the driver. groups: only satellite accounts of these heads."""
+
+    def sheet(name: str) -> list:
+        return sorted(spark.read.option("header", True).csv(posixpath.join(labels, f"{name}.csv")).collect(), key=lambda r: int(r["Lfd_Nr"]))
+
+    regions, sectors = [r["Region_acronyms"] for r in sheet("Regions")], [r["Sector_names"] for r in sheet("Sectors")]
+    both, accounts = sheet("Value added and final demand"), sheet("Satellites")
+    column = lambda c: [r[c] for r in both if r[c]]
+    heads = None if groups is None else set(groups)
+    if heads is not None and (wrong := heads - {r["Sat_head_indicator"] for r in accounts}):
+        raise WrongInput(f"no accounts have the head {sorted(wrong)}")
+    name = lambda r: f"{r['Sat_head_indicator']} | {r['Sat_indicator']}"
+    rows = {
+        "goods": [(r, level, s) for r in regions for level in ("Activity", "Commodity") for s in sectors],
+        "final": [(r, "Consumption category", c) for r in regions for c in column("Final_demand_names")],
+        "factors": [(None, "Factor of production", f) for _ in regions for f in column("Value_added_names")],
+    }
+    lists = {k: spark.createDataFrame([(n, *x) for n, x in enumerate(v)], "n long, region string, level string, item string") for k, v in rows.items()}
+    kept = [(n, None, "Satellite account", name(r)) for n, r in enumerate(accounts) if heads is None or r["Sat_head_indicator"] in heads]
+    lists["accounts"] = spark.createDataFrame(kept, "n long, region string, level string, item string")
+
+    def file(letters: str, markup: int) -> str | None:
+        pattern = spark._jvm.org.apache.hadoop.fs.Path(posixpath.join(path, f"*_{year}", f"*_{letters}-Results_{year}_*_Markup{markup:03d}(full).csv"))
+        found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        if found is not None and len(found) > 1:
+            raise WrongInput(f"{letters} of {year} has several files")
+        return found[0].getPath().toString() if found else None
+
+    out = None
+    for letters, matrix, side, top in (("T", "Z", "goods", "goods"), ("Y", "Y", "goods", "final"), ("V", "V", "factors", "goods"), ("TQ", "E", "accounts", "goods"), ("YQ", "EY", "accounts", "final")):
+        at = file(letters, 1 if letters in ("TQ", "YQ") else markup) or (file(letters, 1) if letters == "V" else None)
+        if at is None:
+            if letters in ("TQ", "YQ"):
+                continue
+            raise WrongInput(f"no file of {letters} for {year}, markup {markup}")
+        cells = matrices.read_bare(spark, at, matrix, lists[side], lists[top], ",")
+        out = cells if out is None else out.unionByName(cells)
+    units = [(level, s, "current 000 US$") for level in ("Activity", "Commodity") for s in sectors] + [("Factor of production", f, "current 000 US$") for f in column("Value_added_names")]
+    units += [("Satellite account", name(r), r["Sat_unit"]) for r in accounts if heads is None or r["Sat_head_indicator"] in heads]
+    return replace(Model.from_labelled(out, "SUT", spark.createDataFrame(units, schema.UNITS)), meta={"source": "gloria", "year": year})
+
+
+for _name, _reader in (("bare_folder", read_bare_folder), ("exiobase", read_exiobase), ("exiobase_sut", read_exiobase_sut), ("eora26", read_eora26), ("icio", read_icio), ("long_table", read_long_table), ("figaro", read_figaro), ("figaro_sut", read_figaro_sut), ("gloria", read_gloria), ("gtap", read_gtap), ("record_bundle", read_record_bundle)):
     registry.register_reader(_name, _reader, replace=True)

@@ -94,6 +94,56 @@ def test_long_editions(spark, tmp_path):
     assert np.allclose(array(m, m.resolve("v"), FACTOR_ROWS, GOODS), a["V"] / a["X"])
 
 
+def test_long_supply_and_use(spark, tmp_path):
+    a = sut_arrays()
+    head = ("refArea", "rowCode", "counterpartArea", "colCode", "obsValue")
+    made = [(c[0], c[2], r[0], r[2], a["S"][i, j]) for i, r in enumerate(ACT) for j, c in enumerate(COM)]
+    used = [(r[0], r[2], c[0], c[2], a["U"][i, j]) for i, r in enumerate(COM) for j, c in enumerate(ACT)]
+    used += [(r[0], r[2], c[0], c[2], a["Yc"][i, j]) for i, r in enumerate(COM) for j, c in enumerate(FINAL)] + [("W2", f[2], c[0], c[2], a["Va"][i, j]) for i, f in enumerate(FACTOR_ROWS) for j, c in enumerate(ACT)]
+    for name, rows in (("s", made), ("u", used)):
+        (tmp_path / f"{name}.csv").write_text(lines(head, *rows, sep=","))
+    columns = {"rowCode" if k == "rowPi" else "colCode" if k == "colPi" else k: v for k, v in vendors.FIGARO_COLUMNS.items()}
+    m = registry.read("figaro_sut", spark, str(tmp_path / "s.csv"), use=str(tmp_path / "u.csv"), final=("hh", "inv"), factors=("taxes", "wages"), columns=columns)
+    for name, rows, tops in (("S", ACT, COM), ("U", COM, ACT), ("Yc", COM, FINAL), ("Va", FACTOR_ROWS, ACT)):
+        assert np.allclose(array(m, m.resolve(name), rows, tops), a[name]), name
+
+
+def test_gloria_release(spark, tmp_path):
+    r = np.random.default_rng(4)
+    goods = [(q, level, s) for q in REGIONS for level in ("Activity", "Commodity") for s in ("x, y", "z")]
+    act, com = ([k for k, g in enumerate(goods) if g[1] == level] for level in ("Activity", "Commodity"))
+    t = np.zeros((8, 8))
+    t[np.ix_(act, com)], t[np.ix_(com, act)] = r.uniform(1, 9, (4, 4)), r.uniform(1, 9, (4, 4))
+    y = np.zeros((8, 4))
+    y[com] = r.uniform(1, 9, (4, 4))
+    v, tq, yq = r.uniform(1, 9, (4, 8)), r.uniform(1, 9, (3, 8)), r.uniform(1, 9, (3, 4))
+    tables, satellites, notes = tmp_path / "GLORIA_MRIOs_60_2025", tmp_path / "GLORIA_SatelliteAccounts_060_2025", tmp_path / "notes"
+    for folder in (tables, satellites, notes):
+        folder.mkdir()
+    put = lambda folder, letters, x, markup=1: (folder / f"20260121_120secMother_AllCountries_002_{letters}-Results_2025_060_Markup{markup:03d}(full).csv").write_text(lines(*x, sep=","))
+    for letters, x in (("T", t), ("Y", y), ("V", v)):
+        put(tables, letters, x)
+    put(tables, "T", 10 * t, 2)
+    put(tables, "Y", 10 * y, 2)
+    (notes / "Regions.csv").write_text("Lfd_Nr,Region_acronyms\n2,r2\n1,r1\n")
+    (notes / "Sectors.csv").write_text('Lfd_Nr,Sector_names\n1,"x, y"\n2,z\n')
+    (notes / "Value added and final demand.csv").write_text("Lfd_Nr,Value_added_names,Final_demand_names\n1,taxes,hh\n2,wages,inv\n")
+    (notes / "Satellites.csv").write_text("Lfd_Nr,Sat_head_indicator,Sat_indicator,Sat_unit\n1,Emissions,CO2,kg\n2,Work,Hours,h\n3,Emissions,CH4,kg\n")
+    read = lambda **more: registry.read("gloria", spark, str(tmp_path), labels=str(notes), year=2025, **more)
+    pick = lambda k: [goods[x] for x in k]
+    bare = read(markup=2)
+    assert not bare.has("Ea") and np.allclose(array(bare, bare.resolve("U"), pick(com), pick(act)), 10 * t[np.ix_(com, act)])
+    assert np.allclose(array(bare, bare.resolve("Va"), FACTOR_ROWS, pick(act)), (v[:2] + v[2:])[:, act])
+    put(satellites, "TQ", tq)
+    put(satellites, "YQ", yq)
+    m = read(groups=["Emissions"])
+    accounts = [(None, "Satellite account", f"Emissions | {k}") for k in ("CO2", "CH4")]
+    assert np.allclose(array(m, m.resolve("S"), pick(act), pick(com)), t[np.ix_(act, com)]) and np.allclose(array(m, m.resolve("Yc"), pick(com), FINAL), y[com])
+    assert np.allclose(array(m, m.resolve("Ea"), accounts, pick(act)), tq[[0, 2]][:, act]) and np.allclose(array(m, m.resolve("Ec"), accounts, pick(com)), tq[[0, 2]][:, com])
+    assert np.allclose(array(m, m.resolve("EY"), accounts, FINAL), yq[[0, 2]]) and m.index("Satellite account").count() == 2
+    assert {u["unit"] for u in m.units.collect()} == {"kg", "current 000 US$"}
+
+
 def test_record_bundle(spark, tmp_path):
     a = iot_arrays()
     half = lambda rows: [(*r[:-1], r[-1] / 2) for r in rows for _ in range(2)]  # noqa: E731  every cell in two records

@@ -58,6 +58,34 @@ def read_bare(spark: SparkSession, path: str, matrix: str, rows: DataFrame, colu
     return cells.select(F.lit(scenario).alias("scenario"), F.lit(matrix).alias("matrix"), "region_from", "level_from", "item_from", "region_to", "level_to", "item_to", "value")
 
 
+def write_matrix_folder(model: Model, path: str, matrices: Iterable[str] | None = None, scenario: str | None = None, sep: str = ",") -> None:
+    """One text file a matrix, as the reader "matrices" takes them, and units.csv: three lines of column labels, then a line a row with its labels (only
+    the item for factors and accounts) and a number for each column. Such a file is written by one task, as its lines have an order. Labels come to the driver."""
+    for name in matrices or [m for m in model.names[scenario or model.baseline] if m in schema.FLOWS[model.kind] or m in ("Z", "Y", "V", "E")]:
+        block = model.resolve(name, scenario)
+        sides = []
+        for side in "ij":
+            levels = [r["level"] for r in block.select(F.col(side).alias("id")).distinct().join(model.axis, "id").select("level").distinct().collect()]
+            sides.append(model.axis.filter(F.col("level").isin(*levels)).orderBy("level", "region", "item").collect())
+        rows, columns = sides
+        if not columns:
+            raise WrongInput(f"{name} has no cells, or is a vector")
+        if any(sep in (x or "") or "\n" in (x or "") for r in (*rows, *columns) for x in r[1:]):
+            raise WrongInput(f"a label of {name} has the separator in it")
+        bare = all(r["region"] is None for r in rows)
+        own = lambda r: [r["item"]] if bare else [r["region"] or "", r["level"], r["item"]]
+        spark, width = model.spark, 1 if bare else 3
+        top = spark.createDataFrame([(k - 3, sep.join([""] * width + [c[("region", "level", "item")[k]] or "" for c in columns])) for k in range(3)], "n long, line string")
+        place = lambda side, labels: spark.createDataFrame([(r["id"], k) for k, r in enumerate(labels)], f"{side} long, {'n' if side == 'i' else 'k'} long")
+        grid = place("i", rows).select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(columns) - 1).cast("long"))).alias("k")).withColumn("value", F.lit(0.0))
+        cells = block.join(place("i", rows), "i").join(place("j", columns), "j").select("n", "k", "value").unionByName(grid).groupBy("n", "k").agg(F.sum("value").alias("value"))
+        numbers = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"].cast("string")), sep)
+        names = spark.createDataFrame([(k, sep.join(own(r))) for k, r in enumerate(rows)], "n long, label string")
+        lines = cells.groupBy("n").agg(numbers.alias("numbers")).join(names, "n").select("n", F.concat_ws(sep, "label", "numbers").alias("line"))
+        top.unionByName(lines).repartition(1).sortWithinPartitions("n").select("line").write.text(f"{path}/{name}.csv")
+    model.units.coalesce(1).write.option("header", True).option("sep", sep).csv(f"{path}/units.csv")
+
+
 def from_wide(frame: DataFrame, matrix: str, index: Sequence[str], columns: dict[str, tuple[str | None, str, str]], level: str | None = None, scenario: str = schema.BASELINE) -> DataFrame:
     """Labelled cells of a wide DataFrame: index names its label columns (region, level, item; or item with a level), columns maps the others to labels."""
     spark = frame.sparkSession

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..model import Model
 from ..schema import WrongInput
-from . import matrices, records, registry
+from . import archives, matrices, records, registry
 
 LABELS = ["region", "level", "item"]
 
@@ -59,6 +59,11 @@ def read_exiobase(spark: SparkSession, path: str, factors: tuple[str, ...] = (),
     return Model.from_labelled(cells, "IOT")
 
 
+def read_exiobase_any(spark: SparkSession, path: str, **options) -> Model:
+    """A supply-use folder where supply.csv is there, else an input-output one."""
+    return (read_exiobase_sut if archives.exists(spark, posixpath.join(path, "supply.csv")) else read_exiobase)(spark, path, **options)
+
+
 def read_exiobase_sut(spark: SparkSession, path: str, extensions: str | None = None, factors: tuple[str, ...] = (), currency: str = "EUR", header_rows: int = 3) -> Model:
     """Supply-use folders with supply.csv and use.csv (products by industries), final_demand.csv and value_added.csv: tabs, two lines of column labels and one
     of names. meta.json beside them, if there, goes to the metadata. extensions: the folder of the industry table of the same year, whose satellite rows
@@ -86,8 +91,7 @@ def read_exiobase_sut(spark: SparkSession, path: str, extensions: str | None = N
 
 def _json_beside(spark: SparkSession, path: str) -> dict:
     """A small JSON file; nothing where it isn't there."""
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
+    if not archives.exists(spark, path):
         return {}
     return json.loads("\n".join(r["line"] for r in matrices.numbered_lines(spark, path).orderBy("n").collect()))
 
@@ -312,5 +316,5 @@ def read_gloria(spark: SparkSession, path: str, labels: str, year: int, markup:
     return replace(Model.from_labelled(out, "SUT", spark.createDataFrame(units, schema.UNITS)), meta={"source": "gloria", "year": year})
 
 
-for _name, _reader in (("bare_folder", read_bare_folder), ("exiobase", read_exiobase), ("exiobase_sut", read_exiobase_sut), ("eora26", read_eora26), ("icio", read_icio), ("long_table", read_long_table), ("figaro", read_figaro), ("figaro_sut", read_figaro_sut), ("gloria", read_gloria), ("gtap", read_gtap), ("record_bundle", read_record_bundle)):
+for _name, _reader in (("bare_folder", read_bare_folder), ("exiobase", read_exiobase), ("exiobase_sut", read_exiobase_sut), ("exiobase_any", read_exiobase_any), ("eora26", read_eora26), ("icio", read_icio), ("long_table", read_long_table), ("figaro", read_figaro), ("figaro_sut", read_figaro_sut), ("gloria", read_gloria), ("gtap", read_gtap), ("record_bundle", read_record_bundle)):
     registry.register_reader(_name, _reader, replace=True)

@@ -1,9 +1,13 @@
+import zipfile
+
 import numpy as np
+import pytest
 from small import ACCOUNT_ROWS, ACT, COM, FACTOR_ROWS, FINAL, GOODS, REGIONS, SECTORS, array, iot, iot_arrays, sut_arrays
 
 from sectora.functions import primitives as P
 from sectora.operators import presets, scenarios
-from sectora.sources import registry, vendors  # noqa: F401  registers the readers
+from sectora.schema import WrongInput
+from sectora.sources import matrices, registry, vendors  # noqa: F401  registers the readers
 
 
 def check(m):
@@ -44,7 +48,7 @@ def test_exiobase_supply_and_use(spark, tmp_path):
     for name, x, columns in (("supply", a["S"].T, ACT), ("use", a["U"], ACT), ("final_demand", a["Yc"], FINAL)):
         write(root / f"{name}.csv", x, columns, COM, True)
     write(root / "value_added.csv", a["Va"], ACT, FACTOR_ROWS, False)
-    bare = registry.read("exiobase_sut", spark, str(root))
+    bare = registry.read("exiobase_any", spark, str(root))
     assert bare.kind == "SUT" and np.allclose(array(bare, bare.resolve("S"), ACT, COM), a["S"]) and not bare.has("Ea") and bare.meta == {"source": "exiobase monetary"}
 
     (root / "meta.json").write_text('{\n "year": 2011, "price": "current"\n}')
@@ -94,6 +98,25 @@ def test_long_editions(spark, tmp_path):
     assert np.allclose(array(m, m.resolve("v"), FACTOR_ROWS, GOODS), a["V"] / a["X"])
 
 
+def test_matrix_folder_both_ways_and_zipped(spark, tmp_path):
+    a, old = iot_arrays(), iot(spark)
+    matrices.write_matrix_folder(old, str(tmp_path / "table"))
+    with zipfile.ZipFile(tmp_path / "table.zip", "w") as z:
+        for name in ("Z", "Y", "V", "E", "EY", "units"):
+            z.write(next((tmp_path / "table" / f"{name}.csv").glob("part-*")), f"inside/{name}.csv")
+    for path in ("table", "table.zip"):
+        m = registry.read("matrices", spark, str(tmp_path / path), kind="IOT")
+        check(m)
+        assert np.allclose(array(m, m.resolve("V"), FACTOR_ROWS, GOODS), a["V"]) and np.allclose(array(m, m.resolve("EY"), ACCOUNT_ROWS, FINAL), a["EY"])
+        assert sorted(map(tuple, m.units.collect())) == sorted(map(tuple, old.units.collect())) and not m.has("VY")
+    with pytest.raises(WrongInput):
+        matrices.write_matrix_folder(old, str(tmp_path / "none"), ["Z"], sep="s")
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../out.csv", "x")
+    with pytest.raises(WrongInput):
+        registry.read("matrices", spark, str(tmp_path / "bad.zip"), kind="IOT")
+
+
 def test_long_supply_and_use(spark, tmp_path):
     a = sut_arrays()
     head = ("refArea", "rowCode", "counterpartArea", "colCode", "obsValue")

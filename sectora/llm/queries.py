@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from . import bpe, decontaminate, exact_dedup, license_scan, maxent, quality, simhash, substring_dedup, toxicity, url_filters
+from . import bpe, contracts, decontaminate, exact_dedup, license_scan, maxent, quality, simhash, substring_dedup, toxicity, url_filters
 from .common import modest_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,7 +111,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13, row=_kept_digest, schema="doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_lm_scoring": op3_lm_scoring, "op4_license_scan": op4_license_scan, "op6_quality": op6_quality, "op5_exact_dedup": op5_exact_dedup, "op7_decontamination": op7_decontamination, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash, "op10_substring_dedup": op10_substring_dedup}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.run_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_lm_scoring": op3_lm_scoring, "op4_license_scan": op4_license_scan,
+    "op6_quality": op6_quality, "op5_exact_dedup": op5_exact_dedup, "op7_decontamination": op7_decontamination, "op8_bpe": op8_bpe,
+    "op9_simhash": op9_simhash, "op10_substring_dedup": op10_substring_dedup, "op11_periodic_runs": op11_periodic_runs,
+}
 
 _TEMPLATES = ", ".join(
     f"({number}, {q}, {len(words)}, '{words[q]}', '{words[q + 1]}', '{label}', {str(number < len(license_scan.PHRASES)).lower()})"
@@ -209,4 +217,5 @@ ORACLE_SQL: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    **contracts.ORACLE_SQL,
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +58,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: A key is hot if it has more than one in HOT of all rows; fewer than HOT keys can be.
+HOT = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows with the columns of `table` by `key`, null like any other key; rows whose key `table` lacks get nulls. A key stands once in `table`, and its
+    column `weight` tells how many of the `total` rows have it.
+
+    Hot keys, fewer than HOT, are broadcast and meet their rows where these are. All others meet by an ordinary join, in which none has more than one in HOT
+    of the rows, whether or not Spark broadcasts that side too. Both are read from stored tables."""
+    named = table.withColumnRenamed(key, "_key").withColumn("_hot", F.col(weight) * HOT > total).drop(weight)
+    on = F.col(key).eqNullSafe(F.col("_key"))
+    hot = F.broadcast(named.filter("_hot"))
+    near = rows.join(hot, on).drop("_key", "_hot")
+    far = rows.join(hot, on, "left_anti").join(named.filter("not _hot"), on, "left").drop("_key", "_hot")
+    return near.unionByName(far)
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table made by `stored` that nothing will read again."""
     files = table.inputFiles()

@@ -9,17 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import periodic_runs
-from .common import texts
+from .common import let, texts
 
 #: Words, as a regular expression of the JVM.
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with value computed once however often `use` names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id and text of docs; of every tenth id by hash, the words from a fixed place on become repetitions of the words there. A null id counts as ''."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from . import bpe, contracts, decontaminate, exact_dedup, license_scan, maxent, quality, simhash, substring_dedup, toxicity, url_filters
+from . import bpe, contracts, decontaminate, exact_dedup, license_scan, maxent, mixing, quality, simhash, substring_dedup, toxicity, url_filters
 from .common import modest_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,10 +115,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.run_report(table(spark, sf_dir, "documents"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.copies_of(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_lm_scoring": op3_lm_scoring, "op4_license_scan": op4_license_scan,
     "op6_quality": op6_quality, "op5_exact_dedup": op5_exact_dedup, "op7_decontamination": op7_decontamination, "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash, "op10_substring_dedup": op10_substring_dedup, "op11_periodic_runs": op11_periodic_runs,
+    "op13_mixing": op13_mixing,
 }
 
 _TEMPLATES = ", ".join(

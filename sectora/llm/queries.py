@@ -115,6 +115,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.run_report(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.trie_report(table(spark, sf_dir, "conversations"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies_of(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
@@ -123,7 +127,7 @@ QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_lm_scoring": op3_lm_scoring, "op4_license_scan": op4_license_scan,
     "op6_quality": op6_quality, "op5_exact_dedup": op5_exact_dedup, "op7_decontamination": op7_decontamination, "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash, "op10_substring_dedup": op10_substring_dedup, "op11_periodic_runs": op11_periodic_runs,
-    "op13_mixing": op13_mixing,
+    "op12_prefix_trie": op12_prefix_trie, "op13_mixing": op13_mixing,
 }
 
 _TEMPLATES = ", ".join(

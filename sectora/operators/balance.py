@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..model import Model
 from ..plans import blocks as B
+from ..plans import tiles as T
 from ..plans.kernels import DENSE_LABELS, OUT, stored
 from ..schema import NotComputable, WrongInput
 
@@ -31,10 +34,10 @@ def checked(block: DataFrame, rows: DataFrame, columns: DataFrame, tolerance: fl
 def ras(block: DataFrame, rows: DataFrame, columns: DataFrame, tolerance: float = 1e-8, most: int = 1000) -> DataFrame:
     """block scaled until its row sums are `rows` and its column sums `columns` (vectors), both within tolerance, absolute and relative.
 
-    Squares of up to DENSE_LABELS labels are fitted by one numpy task, larger ones by joins, a table in the shared folder each round."""
+    Squares of up to DENSE_LABELS labels are fitted by one numpy task, larger ones on tiles; both make the same rounds."""
     checked(block, rows, columns, 1e-6)
     if max(rows.count(), columns.count()) > DENSE_LABELS:
-        return _by_joins(block, rows, columns, tolerance, most)
+        return on_tiles(block, rows, columns, tolerance, most)
 
     def kernel(cells: pd.DataFrame) -> pd.DataFrame:
         part = {k: g for k, g in cells.groupby("part")}
@@ -61,17 +64,62 @@ def ras(block: DataFrame, rows: DataFrame, columns: DataFrame, tolerance: float
     return whole.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(lambda cells: kernel(cells), OUT)
 
 
-def _by_joins(block: DataFrame, rows: DataFrame, columns: DataFrame, tolerance: float, most: int) -> DataFrame:
-    near = lambda sums, totals: sums.join(totals.select("i", F.col("value").alias("want")), "i", "full").filter(
-        F.abs(F.coalesce("value", F.lit(0.0)) - F.coalesce("want", F.lit(0.0))) > tolerance * (1 + F.abs(F.coalesce("want", F.lit(0.0))))
-    )
-    quotient = lambda totals, sums: totals.join(sums.select("i", F.col("value").alias("sum")), "i").filter("sum > 0").select("i", "j", (F.col("value") / F.col("sum")).alias("value"))
-    for _ in range(most):
-        block = B.scale_rows(quotient(rows, B.sum_rows(block)), block)
-        block = stored(B.scale_columns(block, quotient(columns, B.sum_columns(block))))
-        if near(B.sum_rows(block), rows).isEmpty() and near(B.sum_columns(block), columns).isEmpty():
-            return block
-    raise NotComputable(f"no fit within {most} rounds")
+#: Rounds of scaling between two tables of the scaling vectors.
+ROUNDS = 4
+
+
+def on_tiles(block: DataFrame, rows: DataFrame, columns: DataFrame, tolerance: float = 1e-8, most: int = 1000, size: int | None = None) -> DataFrame:
+    """The same without a square in one task and without touching its cells in a round: only the two scaling vectors are iterated, each a tile for each row
+    (column) of tiles; the block is read as tiles, kept where Spark keeps tables, and scaled once at the end. The vectors are a table in the shared
+    folder every `ROUNDS` rounds."""
+    sides = [a.select(F.col(k).alias("id")).union(t.select(F.col("i").alias("id"))).distinct() for a, k, t in ((block, "i", rows), (block, "j", columns))]
+    numbers = [stored(T.numbered(s)) for s in sides]
+    size = size or max(1, min(T.SIZE, max(n.count() for n in numbers)))
+    tiles = T.from_cells(block, numbers[0], numbers[1], size).persist()
+    zero = block.sparkSession.range(1).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("value"))
+    one = T.numbered(zero.select(F.col("i").alias("id")))
+    column = lambda t, n: T.from_cells(t.select("i", F.lit(0).cast("long").alias("j"), "value"), n, one, size, 1)
+    want = [stored(column(t, n).select("bi", F.col("tile").alias("want"))) for t, n in ((rows, numbers[0]), (columns, numbers[1]))]
+    try:
+        vector = lambda n: stored(n.select(F.floor(F.col("n") / size).cast("int").alias("bi")).distinct().select("bi", F.lit(np.ones(size).tobytes()).alias("v")))
+        r, c = vector(numbers[0]), vector(numbers[1])
+        for done in range(0, most, ROUNDS):
+            for _ in range(min(ROUNDS, most - done)):
+                r = _scaled(tiles, "bi", "bj", c, want[0], r, size)
+                c = _scaled(tiles, "bj", "bi", r, want[1], c, size)
+            # after the columns have been fitted, rows tell how far the block is off
+            r, c = stored(r.select("bi", "v")), stored(c.select("bi", "v"))
+            off = _scaled(tiles, "bi", "bj", c, want[0], r, size, tolerance).agg(F.max("off")).first()[0]
+            if not off:
+                break
+        else:
+            raise NotComputable(f"no fit within {most} rounds")
+    finally:
+        tiles.unpersist()
+    cells = lambda t, n: T.to_cells(t.select("bi", F.lit(0).alias("bj"), F.col("v").alias("tile")), n, one, size, 1)
+    return B.scale_columns(B.scale_rows(cells(r, numbers[0]), block), cells(c, numbers[1])).filter("value <> 0")
+
+
+def _scaled(tiles: DataFrame, at: str, across: str, by: DataFrame, want: DataFrame, old: DataFrame, size: int, tolerance: float = 0.0) -> DataFrame:
+    """bi, v, off: the scaling of rows (at: "bi") or columns ("bj") of tiles that brings their sums, the other side scaled by `by`, to `want`; 0 where the sum is.
+    off: whether a sum under the old scaling is more than tolerance from what is wanted."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k, tile, v in zip(frame[at], frame["tile"], frame["v"], strict=True):
+                x, y = np.frombuffer(tile).reshape(size, size), np.frombuffer(v)
+                yield pd.DataFrame({"bi": [k], "v": [(x @ y if at == "bi" else y @ x).tobytes()]})
+
+    def fit(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(v) for v in parts["v"]], 0) if len(parts) else np.zeros(size)
+        goal = np.zeros(size) if own["want"].iloc[0] is None else np.frombuffer(own["want"].iloc[0])
+        new = np.divide(goal, total, out=np.zeros(size), where=total > 0)
+        off = not np.allclose(np.frombuffer(own["v"].iloc[0]) * total, goal, rtol=tolerance, atol=tolerance)
+        return pd.DataFrame({"bi": own["bi"].iloc[:1], "v": [new.tobytes()], "off": [off]})
+
+    parts = tiles.join(by.select(F.col("bi").alias(across), "v"), across).mapInPandas(sums, "bi int, v binary")
+    own = old.select("bi", "v").join(want, "bi", "left")
+    return own.groupBy("bi").cogroup(parts.groupBy("bi")).applyInPandas(fit, "bi int, v binary, off boolean")
 
 
 def ras_model(model: Model, rows: DataFrame, columns: DataFrame, name: str, base: str | None = None) -> Model:

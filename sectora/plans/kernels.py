@@ -1,8 +1,8 @@
-"""Inverses and solutions of I - a: one numpy task where the labels are few, joins where they are many.
+"""Inverses and solutions of I - a, and inverses of other blocks: one numpy task where the labels are few, tiles where they are many.
 
-The numpy kernel holds one dense square; it is chosen only while that fits a worker (`dense_labels`). Beyond, the inverse is built by doubling the Neumann
-series and solutions by fixed-point steps, each step a join and an aggregation written to the shared folder, so that neither plans nor lineage pile up.
-Both need a spectral radius below one, as the coefficients of a productive economy have.
+The numpy kernel holds one dense square; it is chosen only while that fits a worker (`dense_labels`). Beyond, squares are inverted by elimination on tiles,
+with pivots, and kept under their digest (`elimination`); systems with few right sides are solved on tiles without an inverse unless one is at hand
+(`krylov`). Both ways give the same to rounding, for any square: singular ones get the pseudo-inverse, and the spectral radius doesn't matter.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from . import blocks as B
 
 #: Labels up to which a square is held by one task: 4,000 labels take 128 MB a matrix.
 DENSE_LABELS = 4_000
+#: Right sides up to which a system is solved without an inverse.
+FEW = 16
 OUT = "i long, j long, value double"
 
 
@@ -41,6 +43,40 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _one_minus(a: DataFrame, ids: DataFrame) -> DataFrame:
+    return B.concat(B.negate(B.keep(a, ids, ids)), B.identity(ids))
+
+
+def _inverted(block: DataFrame, rows: DataFrame, columns: DataFrame, size: int | None = None):
+    from . import elimination
+
+    return elimination.factor(stored(block), rows, columns, size)
+
+
+def solve_on_tiles(a: DataFrame, b: DataFrame, ids: DataFrame, transposed: bool = False, size: int | None = None) -> DataFrame:
+    """x in (I - a) x = b, or in the transposed system. An inverse that is in the store is used; one is made for more than FEW right sides, and where a search
+    without it gets nowhere."""
+    from . import elimination, krylov
+    from . import tiles as T
+
+    square, b = stored(_one_minus(a, ids)), stored(b.select("i", "j", "value"))
+    known = elimination.factor(square, ids, ids, size, only_stored=True)
+    across = stored(T.numbered(b.select(F.col("j").alias("id")).distinct()))
+    width = across.count()
+    if known is None and 0 < width <= FEW:
+        numbers = stored(T.numbered(ids))
+        n = numbers.count()
+        size = size or max(1, min(T.SIZE, n))
+        every_row = b.sparkSession.range(-(-n // size)).select(F.col("id").cast("int").alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("at"), F.lit(0.0).alias("value"))
+        right = T.filled(T.placed(b, numbers, across, size, width).unionByName(every_row), size, width)
+        try:
+            x = krylov.gmres(T.from_cells(B.transpose(square) if transposed else square, numbers, numbers, size), right, size, width)
+            return T.to_cells(x, numbers, across, size, width)
+        except krylov.Stagnant:
+            pass
+    return (known or elimination.factor(square, ids, ids, size)).times(b, transposed)
+
+
 def _square(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, ids: np.ndarray) -> np.ndarray:
     out = np.zeros((len(ids), len(ids)))
     np.add.at(out, (np.searchsorted(ids, rows), np.searchsorted(ids, columns)), values)
@@ -55,9 +91,7 @@ def _cells(x: np.ndarray, ids: np.ndarray, columns: np.ndarray) -> pd.DataFrame:
 def inverse(a: DataFrame, ids: DataFrame, leontief: bool = True, labels: int = 0) -> DataFrame:
     """(I - a)^-1 over ids, or a^-1; singular squares get the pseudo-inverse. labels: how many ids there are, where known."""
     if labels > DENSE_LABELS:
-        if not leontief:
-            raise NotComputable(f"a plain inverse of {labels} labels; the numpy kernel takes {DENSE_LABELS}")
-        return neumann_inverse(a, ids)
+        return inverse_on_tiles(a, ids, leontief)
 
     def kernel(cells: pd.DataFrame) -> pd.DataFrame:
         known = np.unique(cells["i"].to_numpy())
@@ -73,11 +107,15 @@ def inverse(a: DataFrame, ids: DataFrame, leontief: bool = True, labels: int = 0
     return B.concat(B.keep(a, ids, ids), marks).withColumn("g", F.lit(1)).groupBy("g").applyInPandas(lambda cells: kernel(cells), OUT)
 
 
+def inverse_on_tiles(a: DataFrame, ids: DataFrame, leontief: bool = True, size: int | None = None) -> DataFrame:
+    """The same by elimination on tiles of `size` labels, or from the store."""
+    return _inverted(_one_minus(a, ids) if leontief else B.keep(a, ids, ids), ids, ids, size).cells()
+
+
 def rectangular_inverse(a: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """The inverse of a block whose rows and columns are of different sets (as many of each); rows and columns change places. Pseudo-inverse if singular. One task holds
-    the block, so more than DENSE_LABELS labels are refused."""
-    if (many := max(rows.count(), columns.count())) > DENSE_LABELS:
-        raise NotComputable(f"an inverse of {many} rows or columns of different sets; one task takes {DENSE_LABELS}")
+    """The inverse of a block whose rows and columns are of different sets (as many of each); rows and columns change places. Pseudo-inverse if singular."""
+    if max(rows.count(), columns.count()) > DENSE_LABELS:
+        return _inverted(B.keep(a, rows, columns), rows, columns).cells()
 
     def kernel(cells: pd.DataFrame) -> pd.DataFrame:
         r, c = np.unique(cells["i"][cells["part"] < 2].to_numpy()), np.unique(cells["j"][cells["part"] != 1].to_numpy())
@@ -97,9 +135,9 @@ def rectangular_inverse(a: DataFrame, rows: DataFrame, columns: DataFrame) -> Da
 
 def solve(a: DataFrame, b: DataFrame, ids: DataFrame, transposed: bool = False, labels: int = 0) -> DataFrame:
     """x in (I - a) x = b, or in (I - a)^T x = b; the inverse isn't made. Least squares where the square is singular."""
-    a = B.transpose(a) if transposed else a
     if labels > DENSE_LABELS:
-        return fixed_point(a, b)
+        return solve_on_tiles(a, b, ids, transposed)
+    a = B.transpose(a) if transposed else a
 
     def kernel(cells: pd.DataFrame) -> pd.DataFrame:
         square = cells[cells["part"] == 0]
@@ -118,41 +156,3 @@ def solve(a: DataFrame, b: DataFrame, ids: DataFrame, transposed: bool = False,
     marks = ids.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("value"))
     whole = B.concat(B.keep(a, ids, ids), marks).withColumn("part", F.lit(0)).unionByName(b.select("i", "j", "value").withColumn("part", F.lit(1)))
     return whole.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(lambda cells: kernel(cells), OUT)
-
-
-def neumann_inverse(a: DataFrame, ids: DataFrame, tolerance: float = 1e-12, most: int = 40, size: int | None = None) -> DataFrame:
-    """(I - a)^-1 as the sum of a's powers, the number of terms doubled each step until the newest power's largest cell is below tolerance.
-
-    Squares are tiles (see `tiles`). The power and the sum of the terms so far stand one above the other, so a step is one product and one table."""
-    from . import tiles as T
-
-    numbers = stored(T.numbered(ids))
-    n = numbers.count()
-    size = size or max(1, min(T.SIZE, n))
-    below = -(-n // size)  # blocks of rows of the power; those of the sum follow
-    first = T.from_cells(a, numbers, numbers, size)
-    lower = lambda x: x.withColumn("bi", F.col("bi") + below)
-    both = stored(T.add(first, lower(T.from_cells(B.identity(ids), numbers, numbers, size))))  # the terms so far: only the first
-    for _ in range(most):
-        power, total = both.filter(F.col("bi") < below), both.filter(F.col("bi") >= below)
-        both = stored(T.matmul(both, power, size, plus=total))
-        largest = T.largest(both.filter(F.col("bi") < below))
-        if largest < tolerance:
-            total = both.filter(F.col("bi") >= below)
-            return T.to_cells(total.withColumn("bi", F.col("bi") - below), numbers, numbers, size)
-        if not largest < 1e100:
-            raise NotComputable("the powers of the coefficients grow; their spectral radius isn't below one")
-    raise NotComputable("the sum of the coefficients' powers doesn't settle")
-
-
-def fixed_point(a: DataFrame, b: DataFrame, tolerance: float = 1e-8, most: int = 500) -> DataFrame:
-    """x = b + a x by repetition, until a step changes x by less than tolerance times its norm."""
-    a, b = stored(a.select("i", "j", "value")), stored(b.select("i", "j", "value"))
-    x, term = b, b
-    for _ in range(most):
-        term = stored(B.matmul(a, term))
-        x = stored(B.add(x, term))
-        moved, norm = (df.agg(F.sqrt(F.sum(F.col("value") ** 2))).first()[0] or 0.0 for df in (term, x))
-        if moved <= tolerance * norm:
-            return x
-    raise NotComputable(f"no solution within {most} steps")

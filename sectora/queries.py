@@ -92,7 +92,7 @@ def sut_query(name: str, sql: str | None = None):
 # --- kernels and small primitives
 @iot_query("iot_leontief_by_joins", S.block("w", 7))
 def _(m: Model) -> DataFrame:
-    return rows_of(m, kernels.neumann_inverse(m.resolve("z"), m.ids("Sector")), 7)
+    return rows_of(m, kernels.inverse_on_tiles(m.resolve("z"), m.ids("Sector"), size=13), 7)
 
 
 @iot_query("iot_output_from_coefficients", S.block("x", 4))

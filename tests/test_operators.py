@@ -325,7 +325,7 @@ def test_ras(spark):
     block = spark.createDataFrame([(1, 11, 5.0), (1, 12, 1.0), (2, 11, 2.0), (2, 12, 4.0)], "i long, j long, value double")
     vector = lambda *v: spark.createDataFrame([(k, 0, x) for k, x in v], "i long, j long, value double")
     rows, columns = vector((2, 10.0), (1, 8.0)), vector((12, 11.0), (11, 7.0))
-    for fitted in (balance.ras(block, rows, columns), balance._by_joins(block, rows, columns, 1e-6, 100)):
+    for fitted in (balance.ras(block, rows, columns), balance.on_tiles(block, rows, columns, 1e-6, 100, size=2)):
         x = {(r.i, r.j): r.value for r in fitted.collect()}
         assert np.isclose(x[1, 11] + x[1, 12], 8, atol=1e-4) and np.isclose(x[1, 12] + x[2, 12], 11, atol=1e-4)
         assert np.isclose(x[1, 11] * x[2, 12] / (x[1, 12] * x[2, 11]), 5 * 4 / (1 * 2), rtol=1e-4)

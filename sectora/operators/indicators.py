@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..model import Model
 from ..plans import blocks as B
+from ..plans.kernels import stored
 from ..schema import NotComputable, WrongInput
 
 
@@ -246,10 +247,14 @@ def demand_shares(y: DataFrame) -> DataFrame:
     return y.join(F.broadcast(whole)).select("i", "j", ratio(F.col("value"), F.col("whole")).alias("value"))  # one row
 
 
-def paths(model: Model, item: str, matrix: str = "f", max_depth: int = 3, cutoff: float = 0.0, top: int = 200, scenario: str | None = None, goods: Iterable[str] | None = None, regions: Iterable[str] | None = None, categories: Iterable[str] | None = None) -> DataFrame:
+def paths(model: Model, item: str, matrix: str = "f", max_depth: int = 5, cutoff: float = 0.0, top: int = 200, scenario: str | None = None, goods: Iterable[str] | None = None, regions: Iterable[str] | None = None, categories: Iterable[str] | None = None) -> DataFrame:
     """Structural paths: path (from the supplier up to the demand), depth, contribution, share, cumulative. Each demanded good is followed up its inputs;
     a node whose contribution is below the cutoff goes with all above it. Input-output tables only.
 
+    Branch and bound: a node is followed further only if its weight times the most that any path above it can contribute reaches the `top` best found so
+    far, so that a level holds about as many rows as there are paths worth telling times the inputs of a good. Paths are ids until the end.
+
+
     goods, regions, categories: only demand for these sectors, of these regions, of these categories; shares are of what that demand causes."""
     if model.kind != "IOT":
         raise NotComputable("paths are followed in input-output tables")
@@ -257,7 +262,6 @@ def paths(model: Model, item: str, matrix: str = "f", max_depth: int = 3, cutoff
     level = "Satellite account" if matrix == "f" else "Factor of production"
     ids = model.axis.filter((F.col("level") == level) & (F.col("item") == item)).select("id")
     direct = B.sum_columns(B.keep(planner.resolve("e" if matrix == "f" else "v"), ids)).select(F.col("i").alias("node"), F.col("value").alias("direct"))
-    name = model.axis.select(F.col("id").alias("node"), F.concat_ws("|", "region", "item").alias("name"))
     y = planner.resolve("Y")
     for side, column, wanted in (("i", "item", goods), ("j", "region", regions), ("j", "item", categories)):
         if wanted is not None:
@@ -265,19 +269,42 @@ def paths(model: Model, item: str, matrix: str = "f", max_depth: int = 3, cutoff
             y = y.join(some, side, "left_semi").select("i", "j", "value")
     if not (goods is None and regions is None and categories is None) and y.isEmpty():
         raise WrongInput("no demand is left by the filters")
-    z = planner.resolve("z").select(F.col("i").alias("up"), F.col("j").alias("node"), F.col("value").alias("input"))
-    demand = model.axis.select(F.col("id").alias("j"), F.concat(F.lit("FD: "), F.concat_ws("|", "region", "item")).alias("path"))
-    front = y.filter("value <> 0").join(demand, "j").select(F.col("i").alias("node"), F.col("value").alias("weight"), "path")
-    found = None
+    z = planner.resolve("z").filter("value <> 0").select(F.col("i").alias("up"), F.col("j").alias("node"), F.col("value").alias("input"))
+    front = y.filter("value <> 0").select(F.col("i").alias("node"), F.col("value").alias("weight"), F.array("j", "i").alias("ids"))
+    best = _best_above(direct, z, max_depth)
+    kept, least = None, cutoff
     for depth in range(max_depth + 1):
-        front = front.join(name, "node").join(direct, "node", "left").withColumn("contribution", F.col("weight") * F.coalesce("direct", F.lit(0.0)))
-        front = front.filter(F.abs("contribution") >= cutoff).withColumn("path", F.concat_ws(" -> ", "name", "path"))
-        some = front.filter("contribution <> 0").select("path", F.lit(depth).alias("depth"), "contribution")
-        found = some if found is None else found.unionByName(some)
+        front = front.join(direct, "node", "left").withColumn("contribution", F.col("weight") * F.coalesce("direct", F.lit(0.0))).drop("direct")
+        front = stored(front.filter(F.abs("contribution") >= cutoff))
+        new = front.filter("contribution <> 0").select("ids", F.lit(depth).alias("depth"), "contribution")
+        kept = stored((new if kept is None else kept.unionByName(new)).filter(F.abs("contribution") >= least))
+        size, lowest = kept.select(F.abs("contribution").alias("c")).orderBy(F.desc("c")).limit(top).agg(F.count("*"), F.min("c")).first()
+        least = max(least, lowest) if size == top else least  # ties stay
         if depth < max_depth:
-            front = front.join(z, "node").select(F.col("up").alias("node"), (F.col("weight") * F.col("input")).alias("weight"), "path").filter("weight <> 0")
+            above = best[max_depth - depth - 1].select(F.col("node").alias("up"), "most")
+            front = front.join(z, "node").join(above, "up").withColumn("weight", F.col("weight") * F.col("input"))
+            front = front.filter(F.abs("weight") * F.col("most") >= least * (1 - 1e-9)).select(F.col("up").alias("node"), "weight", F.concat("ids", F.array("up")).alias("ids"))
     whole = B.scale_columns(B.keep(planner.resolve(matrix), ids), B.sum_rows(y)).agg(F.sum("value")).first()[0]
-    best = found.orderBy(F.desc(F.abs(F.col("contribution"))), "depth", "path").limit(top)
+    best_rows = _named(kept.filter(F.abs("contribution") >= least), model).orderBy(F.desc(F.abs(F.col("contribution"))), "depth", "path").limit(top)
     by = Window.orderBy(F.desc(F.abs(F.col("contribution"))), "depth", "path")  # over the top rows alone
     share = F.col("contribution") / F.lit(whole) if whole else F.lit(None).cast("double")
-    return best.withColumn("share", share).withColumn("cumulative", F.sum("share").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return best_rows.withColumn("share", share).withColumn("cumulative", F.sum("share").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _best_above(direct: DataFrame, z: DataFrame, depth: int) -> list[DataFrame]:
+    """By number of further steps, for each node the most that a path which goes on from it by so many steps or fewer can contribute for a weight of one."""
+    own = direct.select("node", F.abs("direct").alias("most"))
+    out = [own]
+    for _ in range(depth):
+        further = z.join(out[-1].withColumnRenamed("node", "up"), "up").select("node", (F.abs("input") * F.col("most")).alias("most"))
+        out.append(stored(own.unionByName(further).groupBy("node").agg(F.max("most").alias("most"))))
+    return out
+
+
+def _named(found: DataFrame, model: Model) -> DataFrame:
+    """path, depth, contribution: ids (from the demand up) spelt out; few rows."""
+    axis = model.axis.select("id", F.concat_ws("|", "region", "item").alias("name"))
+    each = found.select("ids", "depth", "contribution", F.posexplode("ids").alias("at", "id"))
+    each = each.join(axis, "id").withColumn("name", F.when(F.col("at") == 0, F.concat(F.lit("FD: "), "name")).otherwise(F.col("name")))
+    parts = each.groupBy("ids", "depth", "contribution").agg(F.sort_array(F.collect_list(F.struct((-F.col("at")).alias("at"), "name"))).alias("parts"))
+    return parts.select(F.array_join("parts.name", " -> ").alias("path"), "depth", "contribution")

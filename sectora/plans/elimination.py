@@ -192,7 +192,7 @@ def digest(a: DataFrame, rows: DataFrame, columns: DataFrame, size: int) -> str:
     """Names a block by its cells and labels."""
     wide = lambda *c: F.coalesce(F.sum(F.xxhash64(*c).cast("decimal(38,0)")), F.lit(0))
     cells = a.agg(F.count("*"), wide("i", "j", "value"), wide(F.lit(1), "value", "j", "i")).first()
-    labels = [v for t in (rows, columns) for v in t.agg(F.count("*"), wide("id")).first()]
+    labels = [v for t in ([rows] if rows is columns else [rows, columns]) for v in t.agg(F.count("*"), wide("id")).first()]
     return "-".join(str(v) for v in (*cells, *labels, size))
 
 
@@ -200,12 +200,13 @@ def _at(spark, key: str) -> str:
     return f"{shared_dir(spark)}/sectora-factors/{key}"
 
 
-def _found(spark, key: str, size: int) -> Factor | None:
+def _found(spark, key: str, size: int, below: int) -> Factor | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{_at(spark, key)}/tiles/_SUCCESS")
     if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
         return None
-    tiles, rows, columns = (spark.read.parquet(f"{_at(spark, key)}/{x}") for x in ("tiles", "rows", "columns"))
-    return Factor(tiles, rows, columns, size, -(-rows.count() // size))
+    labels = spark.read.parquet(f"{_at(spark, key)}/labels")
+    rows, columns = (labels.filter(F.col("side") == k).select("id", "n") for k in ("row", "column"))
+    return Factor(spark.read.parquet(f"{_at(spark, key)}/tiles"), rows, columns, size, below)
 
 
 def factor(a: DataFrame, rows: DataFrame, columns: DataFrame, size: int | None = None, only_stored: bool = False) -> Factor | None:
@@ -213,18 +214,20 @@ def factor(a: DataFrame, rows: DataFrame, columns: DataFrame, size: int | None =
     Singular squares and blocks that aren't square get the pseudo-inverse."""
     global made
     spark = a.sparkSession
-    n, m = rows.count(), columns.count()
+    n = rows.count()
+    m = n if rows is columns else columns.count()
     size = size or max(1, min(T.SIZE, n))
     key = digest(a, rows, columns, size)
-    known = _found(spark, key, size)
+    known = _found(spark, key, size, -(-m // size))
     if known or only_stored:
         return known
     made += 1
-    row_numbers, column_numbers = stored(T.numbered(rows)), stored(T.numbered(columns))
+    row_numbers = stored(T.numbered(rows))
+    column_numbers = row_numbers if rows is columns else stored(T.numbered(columns))
     try:
         if n != m:
             raise Singular
-        tiles, pivots = _gauss_jordan(a, row_numbers, column_numbers, n, size)
+        tiles, pivots = _one_tile(a, row_numbers, column_numbers, n, size) if n <= size else _gauss_jordan(a, row_numbers, column_numbers, n, size)
     except Singular:
         tiles, pivots = _pseudo_inverse(stored(T.from_cells(a, row_numbers, column_numbers, size)), size, -(-n // size), -(-m // size)), None
     if pivots is not None:  # the inverse's row r belongs to the column that r was the pivot of
@@ -232,9 +235,27 @@ def factor(a: DataFrame, rows: DataFrame, columns: DataFrame, size: int | None =
         out_rows, out_columns = turned(column_numbers, pivots), turned(row_numbers, np.argsort(pivots))
     else:
         out_rows, out_columns = column_numbers, row_numbers
-    for name, table in (("rows", out_rows), ("columns", out_columns), ("tiles", tiles)):  # tiles last: what is found has them all
+    labels = out_rows.withColumn("side", F.lit("row")).unionByName(out_columns.withColumn("side", F.lit("column")))
+    for name, table in (("labels", labels), ("tiles", tiles)):  # tiles last: what is found has both
         table.write.mode("overwrite").parquet(f"{_at(spark, key)}/{name}")
-    return _found(spark, key, size)
+    return _found(spark, key, size, -(-m // size))
+
+
+def _one_tile(a: DataFrame, rows: DataFrame, columns: DataFrame, n: int, size: int) -> tuple[DataFrame, None]:
+    """The inverse of a square that fits a tile."""
+
+    def invert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for tile in frame["tile"]:
+                x = np.frombuffer(tile).reshape(size, size)
+                out = np.zeros((size, size))
+                try:
+                    out[:n, :n] = np.linalg.inv(x[:n, :n])
+                except np.linalg.LinAlgError:
+                    out[:n, :n] = np.linalg.pinv(x[:n, :n])
+                yield pd.DataFrame({"bi": [0], "bj": [0], "tile": [out.tobytes()]})
+
+    return T.from_cells(a, rows, columns, size).mapInPandas(invert, T.TILES), None
 
 
 def _gauss_jordan(a: DataFrame, rows: DataFrame, columns: DataFrame, n: int, size: int) -> tuple[DataFrame, np.ndarray]:
@@ -244,7 +265,8 @@ def _gauss_jordan(a: DataFrame, rows: DataFrame, columns: DataFrame, n: int, siz
     used, pivots = np.zeros(below * size, bool), np.zeros(below * size, np.int64)
     for k in range(below):
         chosen, back = _pivots(state, k, used, size, below, n * np.finfo(float).eps * largest)
-        state = stored(_step(state, k, chosen, back, size, below))
+        state = _step(state, k, chosen, back, size, below)
+        state = state if k == below - 1 else stored(state)  # the last one is written to the store
         used[chosen] = True
         pivots[k * size : k * size + size] = chosen
     return state, pivots

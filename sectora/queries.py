@@ -92,7 +92,7 @@ def sut_query(name: str, sql: str | None = None):
 # --- kernels and small primitives
 @iot_query("iot_leontief_by_joins", S.block("w", 7))
 def _(m: Model) -> DataFrame:
-    return rows_of(m, kernels.inverse_on_tiles(m.resolve("z"), m.ids("Sector"), size=13), 7)
+    return rows_of(m, kernels.inverse_on_tiles(m.resolve("z"), m.ids("Sector")), 7)
 
 
 @iot_query("iot_output_from_coefficients", S.block("x", 4))
@@ -234,6 +234,24 @@ def _(m: Model) -> DataFrame:
     return out.select("path", "depth", rounded(F.col("contribution"), 1).alias("contribution"), rounded(F.col("share"), 7).alias("share"))
 
 
+# five steps: a path is followed only while its weight times all that lies above its end can reach the 200th best of at most two steps
+_DEEP_PATHS = """WITH RECURSIVE d AS (SELECT j AS node, v AS direct FROM ec WHERE i = 'Quantity'), t AS (SELECT j AS node, v AS total FROM f WHERE i = 'Quantity'),
+    s(node, weight, depth) AS (SELECT i, v, 0 FROM yf UNION ALL SELECT z.i, s.weight * z.v, s.depth + 1 FROM s JOIN zc z ON z.j = s.node WHERE s.depth < 2),
+    least AS (SELECT min(c) AS c FROM (SELECT weight * direct AS c FROM s JOIN d USING (node) ORDER BY c DESC LIMIT 200)),
+    p(node, weight, path, depth) AS (SELECT i, v, i || ' -> FD: ' || j, 0 FROM yf UNION ALL
+        SELECT z.i, p.weight * z.v, z.i || ' -> ' || p.path, p.depth + 1 FROM p JOIN zc z ON z.j = p.node JOIN t ON t.node = z.i, least WHERE p.depth < 5 AND p.weight * z.v * t.total >= least.c * 0.999),
+    c AS (SELECT path, depth, weight * direct AS contribution FROM p JOIN d ON d.node = p.node ORDER BY contribution DESC, depth, path LIMIT 200),
+    grand AS (SELECT sum(v) AS whole FROM ff WHERE i = 'Quantity')
+    SELECT path, depth, round(contribution, 1) + 0.0 AS contribution, round(contribution / whole, 7) + 0.0 AS share,
+           round(sum(contribution / whole) OVER (ORDER BY contribution DESC, depth, path ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS cumulative FROM c, grand"""
+
+
+@iot_query("structural_paths_deep", S.select(_DEEP_PATHS, "yf", "zc", "ec", "f", "ff"))
+def _(m: Model) -> DataFrame:
+    out = indicators.paths(m, "Quantity", max_depth=5, top=200)
+    return out.select("path", "depth", *[rounded(F.col(c), n).alias(c) for c, n in (("contribution", 1), ("share", 7), ("cumulative", 6))])
+
+
 @iot_query("ghg_by_profile", S.select("SELECT j AS col_label, round(sum(CASE WHEN i = 'Quantity' THEN v * 30.0 ELSE v * 265.0 END), 3) + 0.0 AS value FROM ef GROUP BY j", "ef"))
 def _(m: Model) -> DataFrame:
     indicators.register_gas_profile("sales", indicators.GasProfile(("sales", "orders"), {"Quantity": "CH4", "Lines": "N2O"}))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from .. import schema
 from ..model import Model, label_id
 from ..plans import blocks as B
 from ..plans import kernels as K
+from ..plans.kernels import stored
 from ..schema import BASELINE, NotComputable, WrongInput, set_name
 from .indicators import is_chenery_moses
 
@@ -51,34 +53,88 @@ def mixed_units(model: Model, maps: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def aggregate(model: Model, maps: dict[str, DataFrame], drop: Iterable[str] = (), ignore_missing: bool = True, check: bool = True) -> Model:
+#: Coefficients and the output that their columns are shares of.
+COLUMN_SHARES = {"IOT": {"z": "X", "v": "X", "e": "X"}, "SUT": {"u": "Xa", "va": "Xa", "ea": "Xa", "s": "Xc", "vc": "Xc", "ec": "Xc"}}
+
+
+def aggregate(model: Model, maps: dict[str, DataFrame], drop: Iterable[str] = (), ignore_missing: bool = True, check: bool = True, keep_empty: bool = True) -> Model:
     """Labels replaced by the groups that `maps` (set -> source, target) puts them in, flows summed, in every scenario; what is derived is made anew.
 
-    drop: target labels of satellite accounts that are left out. Groups of unlike units are refused. Without check the maps are trusted."""
-    model = flows_only(model)
+    drop: target labels of satellite accounts that are left out. Groups of unlike units are refused. Without check the maps are trusted.
+    keep_empty: coefficients of columns without output, which no flow can carry, outlive the aggregation where a whole group has no output, as if each of
+    its columns had the same tiny output."""
+    whole, model = model, flows_only(model)
     maps = {set_name(k, model.kind): v for k, v in maps.items()}
     if check:
         maps = {k: checked_map(model, k, v, ignore_missing) for k, v in maps.items()}
         if not mixed_units(model, maps).isEmpty():
             raise WrongInput("a group has members of unlike units")
-    cells, axis, units, drop = model.labelled_cells(), model.axis, model.units, list(drop)
-
-    def mapped(df: DataFrame, column: str, level: str, on: Column) -> DataFrame:
-        pairs = maps[level].select(F.col("source").alias("_source"), F.col("target").alias("_target"))
-        return df.join(pairs, (F.col(column) == F.col("_source")) & on, "left").withColumn(column, F.coalesce("_target", column)).drop("_source", "_target")
-
+    axis, units, drop = model.axis, model.units, list(drop)
+    cells = _mapped_cells(model.labelled_cells(), maps, drop)
     for level in maps:
         if level == "Region":
-            cells = mapped(mapped(cells, "region_from", level, F.lit(True)), "region_to", level, F.lit(True))
-            axis = mapped(axis, "region", level, F.lit(True))
+            axis = _mapped(axis, maps[level], "region", F.lit(True))
         else:
-            cells = mapped(mapped(cells, "item_from", level, F.col("level_from") == level), "item_to", level, F.col("level_to") == level)
-            axis = mapped(axis, "item", level, F.col("level") == level)
-            units = mapped(units, "item", level, F.col("level") == level).distinct()
+            axis = _mapped(axis, maps[level], "item", F.col("level") == level)
+            units = _mapped(units, maps[level], "item", F.col("level") == level).distinct()
     if drop:
-        gone = lambda level, item: (F.col(level) == "Satellite account") & F.col(item).isin(*drop)
-        cells, axis, units = cells.filter(~gone("level_from", "item_from")), axis.filter(~gone("level", "item")), units.filter(~gone("level", "item"))
-    return Model.from_labelled(cells, model.kind, units, model.tech, check=False, names=model.names, labels=axis, meta=model.meta, baseline=model.baseline)
+        gone = (F.col("level") == "Satellite account") & F.col("item").isin(*drop)
+        axis, units = axis.filter(~gone), units.filter(~gone)
+    out = Model.from_labelled(cells, model.kind, units, model.tech, check=False, names=model.names, labels=axis, meta=model.meta, baseline=model.baseline)
+    for scenario in whole.names if keep_empty else ():
+        out = _with_empty_columns(whole, out, scenario, maps, drop)
+    return out
+
+
+def _mapped(df: DataFrame, pairs: DataFrame, column: str, on: Column) -> DataFrame:
+    pairs = pairs.select(F.col("source").alias("_source"), F.col("target").alias("_target"))
+    return df.join(pairs, (F.col(column) == F.col("_source")) & on, "left").withColumn(column, F.coalesce("_target", column)).drop("_source", "_target")
+
+
+def _mapped_cells(cells: DataFrame, maps: dict[str, DataFrame], drop: list[str]) -> DataFrame:
+    """Labelled cells under the names of their groups."""
+    for level, pairs in maps.items():
+        for side in ("from", "to"):
+            where = F.lit(True) if level == "Region" else F.col(f"level_{side}") == level
+            cells = _mapped(cells, pairs, f"region_{side}" if level == "Region" else f"item_{side}", where)
+    if drop:
+        cells = cells.filter(~((F.col("level_from") == "Satellite account") & F.col("item_from").isin(*drop)))
+    return cells
+
+
+def _with_empty_columns(before: Model, after: Model, scenario: str, maps: dict[str, DataFrame], drop: list[str]) -> Model:
+    """`after` with the coefficients, in a scenario, of groups of columns without output: the mean over the columns that have any. Only stored coefficients
+    can be there without an output, so that other scenarios stay as they are."""
+    shares = COLUMN_SHARES[before.kind]
+    if not set(before.names[scenario]) & {*schema.COEFFICIENTS[before.kind]} - {*schema.FLOWS[before.kind]}:
+        return after
+    planner, found, coefficients = before.planner(scenario), [], {}
+    for matrix, output in shares.items():
+        try:
+            block, made = planner.resolve(matrix), planner.resolve(output)
+        except NotComputable:
+            continue
+        some = block.filter("value <> 0").join(made.filter("value <> 0").select(F.col("i").alias("j")), "j", "left_anti")
+        side = lambda s, k: before.axis.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{s}") for c in ("region", "level", "item")])
+        labelled = some.join(side("from", "i"), "i").join(side("to", "j"), "j").withColumn("matrix", F.lit(matrix))
+        found.append(labelled.withColumn("member", F.col("j")).drop("i", "j"))
+    if not found:
+        return after
+    cells = _mapped_cells(reduce(DataFrame.unionByName, found), maps, drop)
+    cells = stored(cells.select("matrix", "member", label_id("region_from", "level_from", "item_from").alias("i"), label_id("region_to", "level_to", "item_to").alias("j"), "value"))
+    if cells.isEmpty():
+        return after
+    members = cells.groupBy("j").agg(F.countDistinct("member").alias("n"))
+    means = cells.groupBy("matrix", "i", "j").agg(F.sum("value").alias("value")).join(members, "j").withColumn("value", F.col("value") / F.col("n"))
+    new = after.planner(scenario)
+    for matrix, output in shares.items():
+        try:
+            block, made = new.resolve(matrix), new.resolve(output)
+        except NotComputable:
+            continue
+        own = means.filter(F.col("matrix") == matrix).join(made.filter("value <> 0").select(F.col("i").alias("j")), "j", "left_anti")
+        coefficients[matrix] = B.add(block, own)
+    return after.with_blocks(scenario, coefficients, keep=after.names[scenario])
 
 
 def to_iot(model: Model, method: str = "B", scenario: str | None = None) -> Model:

@@ -337,6 +337,24 @@ def _(m: Model) -> DataFrame:
     return rows_of(out, out.resolve("Z"), 4)
 
 
+_IDLE = ("ASIA|AUTOMOBILE", "MIDDLE EAST|AUTOMOBILE", "EUROPE|MACHINERY", "ASIA|BUILDING")
+_IDLE_SQL = (
+    f"SELECT {_EAST.format('i')} AS row_label, {_EAST.format('j')} AS col_label, round(sum(v) / count(DISTINCT j), 8) + 0.0 AS value "
+    f"FROM (SELECT zc.*, count(*) OVER () AS n FROM zc) WHERE j IN {_IDLE[:3]} AND i NOT IN {_IDLE} GROUP BY 1, 2"
+)
+
+
+# goods that nobody buys have coefficients but no output; a group of such goods keeps the mean of theirs, one that also has others (EAST|HOMES) doesn't
+@iot_query("aggregate_idle_columns", S.select(_IDLE_SQL, "zc"))
+def _(m: Model) -> DataFrame:
+    name = F.concat_ws("|", "region", "item")
+    idle = m.axis.filter((F.col("level") == "Sector") & name.isin(*_IDLE)).select(F.col("id").alias("i"))
+    sold = {x: m.resolve(x).join(idle, "i", "left_anti").select("i", "j", "value") for x in ("z", "Y")}
+    out = aggregated(m.with_blocks("idle", sold | {x: m.resolve(x) for x in ("v", "e")}))
+    columns = out.axis.filter((F.col("level") == "Sector") & name.isin("EAST|AUTOMOBILE", "EUROPE|MACHINERY")).select("id")
+    return rows_of(out, B.keep(out.resolve("z", "idle"), None, columns), 8)
+
+
 @iot_query("aggregate_coefficients", S.select(f"WITH a AS (SELECT {_EAST.format('i')} AS i, {_EAST.format('j')} AS j, sum(v) AS v FROM zf GROUP BY 1, 2), k AS (SELECT {_EAST.format('i')} AS i, sum(v) AS v FROM x GROUP BY 1) SELECT a.i AS row_label, a.j AS col_label, round(a.v / k.v, 8) + 0.0 AS value FROM a JOIN k ON k.i = a.j", "zf", "x"))
 def _(m: Model) -> DataFrame:
     out = aggregated(m)

@@ -8,8 +8,10 @@ of repeated hashes is small enough for Spark to broadcast it:
 3. join the verdict back to each row by hash (and by text where a hash was shared by different texts).
 
 A hash with more than one in `HOT` of all repeated rows is hot; fewer than `HOT` can be, so their list is broadcast. Rows of a hot hash are dealt to
-`SALTS` shares wherever rows meet by hash: they are summed in each share first and then, one row a share and text, over the shares. So a text that stands
-in a third of all rows is spread over `SALTS` tasks whether or not Spark broadcasts the rest.
+as many shares as it has times that many rows, wherever rows meet by hash: they are summed in each share first and then, one row a share and text, over the
+shares. So a text that stands in a third of all rows is spread over a third of `HOT` shares whether or not Spark broadcasts the rest, and no share has
+more than about one in `HOT` of the rows. What rows are dealt by is taken from the rows and their place in the input, never from an order that a task run
+again might change.
 
 Nulls: a null text is the empty text; a null id is never the one that stays unless all ids of the text are null. Rows that repeat both id and text are
 marked alike; `exact_dedup` lets one of them through. An empty table gives an empty result. Other columns pass through `exact_dedup` untouched.
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, texts
 
-#: A hash is hot if it has more than one in HOT of the repeated rows; its rows are dealt to SALTS shares.
-HOT, SALTS = 1000, 32
+#: A hash is hot if it has more than one in HOT of the repeated rows; a share of its rows has no more than that.
+HOT = 1000
 
 
 def _hashed(rows: DataFrame, hash_chars: int) -> DataFrame:
@@ -36,31 +38,30 @@ def _other_digest(text: str):
     return F.sha2(F.reverse(text).cast("binary"), 256)
 
 
-def _shares(hot: Column) -> Column:
+def _each_share() -> Column:
     """The shares that a hash's rows are dealt to."""
-    return F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0))).alias("salt")
+    return F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt")
 
 
 def _dealt(hashed: DataFrame, hot: DataFrame) -> DataFrame:
-    """hashed with `hot` and `salt`, the share of a row; hot: the hot hashes."""
-    known = hashed.join(F.broadcast(hot.select("h", F.lit(True).alias("hot"))), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    share = F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(SALTS)).cast("int")
-    return known.withColumn("salt", F.when(F.col("hot"), share).otherwise(0))
+    """hashed with `shares`, how many its hash has, and `salt`, the share of a row; hot: the hot hashes with their shares."""
+    known = hashed.join(F.broadcast(hot.select("h", "shares")), "h", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    return known.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.col("shares")).cast("int"))
 
 
 def text_classes(rows: DataFrame, keep: str = "min", hash_chars: int = 32) -> tuple[DataFrame, DataFrame, bool]:
-    """Classes of equal texts with more than one row, as h, hot, keep_id, group_size, digest; the hot hashes; whether different texts share a hash."""
+    """Classes of equal texts with more than one row, as h, shares, keep_id, group_size, digest; the hot hashes; whether different texts share a hash."""
     hashed = _hashed(rows, hash_chars)
     repeated = stored(hashed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "exact-hashes")
-    least = (repeated.agg(F.sum("n")).first()[0] or 0) / HOT
-    hot = repeated.filter(F.col("n") > least)
-    shares = repeated.select("h", _shares(F.col("n") > least))
+    total = repeated.agg(F.sum("n")).first()[0] or 1
+    repeated = repeated.withColumn("shares", F.ceil(F.col("n") * HOT / total).cast("int"))
+    hot = repeated.filter("shares > 1")
     pick = F.max if keep == "max" else F.min
-    by_text = _dealt(hashed, hot).join(shares, ["h", "salt"], "left_semi").groupBy("h", "salt", "hot", "text").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    # only hot texts have more than one share to sum over; others stay by themselves, and their texts behind
-    by_text = by_text.withColumn("digest", _other_digest("text")).withColumn("alone", F.when(~F.col("hot"), F.monotonically_increasing_id())).withColumn("text", F.when(F.col("hot"), F.col("text")))
-    classes = by_text.groupBy("h", "hot", "digest", "text", "alone").agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    classes = stored(classes.select("h", "hot", "keep_id", "group_size", "digest"), "exact-classes")
+    by_text = _dealt(hashed, hot).join(repeated.select("h", _each_share()), ["h", "salt"], "left_semi").groupBy("h", "salt", "shares", "text").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # only hot texts have more than one share to sum over; other texts are whole already, and stay behind
+    by_text = by_text.withColumn("digest", _other_digest("text")).withColumn("text", F.when(F.col("shares") > 1, F.col("text")))
+    classes = by_text.groupBy("h", "shares", "digest", "text").agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    classes = stored(classes.select("h", "shares", "keep_id", "group_size", "digest"), "exact-classes")
     return classes, hot, not classes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
 
@@ -70,7 +71,7 @@ def _judged(hashed: DataFrame, classes: DataFrame, hot: DataFrame, shared: bool,
         hashed, on = hashed.withColumn("digest", _other_digest("text")), [*on, "digest"]
     else:
         classes = classes.drop("digest")
-    classes = classes.select("*", _shares(F.col("hot"))).drop("hot")
+    classes = classes.select("*", _each_share()).drop("shares")
     found = _dealt(hashed.drop("text"), hot).join(classes.hint(hint) if hint else classes, on, "left")
     alone = F.col("group_size").isNull()
     found = found.withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")))

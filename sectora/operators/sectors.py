@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import Model, label_id
+from ..functions import units
 from ..plans import blocks as B
 from ..schema import NotComputable, WrongInput
 
@@ -19,20 +20,32 @@ LEVEL = {"input": "Sector", "factor": "Factor of production", "satellite": "Sate
 MATRIX = {"input": "z", "factor": "v", "satellite": "e"}
 
 
-def convert_units(inventory: DataFrame, factors: DataFrame) -> DataFrame:
-    """Quantities in the table's units. factors: item, unit_from, factor; inventory has a column unit."""
-    out = inventory.join(factors.withColumnRenamed("unit_from", "unit"), ["item", "unit"], "left")
-    return out.withColumn("quantity", F.col("quantity") * F.coalesce("factor", F.lit(1.0))).drop("factor", "unit")
+def convert_units(inventory: DataFrame, model: Model, conversions: DataFrame | None = None) -> DataFrame:
+    """Quantities in the units of the table's labels; inventory has a column unit, null where the quantity is in them already. Units convert by prefix and
+    power, and by `conversions` (units.CONVERSIONS) and whatever follows from these; units that don't are refused. Percentages have no unit."""
+    if conversions is None:
+        conversions = model.spark.createDataFrame([], units.CONVERSIONS)
+    levels = F.create_map(*[F.lit(x) for kv in LEVEL.items() for x in kv])
+    own = model.units.select(F.col("level").alias("_level"), "item", F.col("unit").alias("unit_to")).distinct()
+    rows = inventory.withColumn("_level", levels[F.col("kind")]).join(own, ["_level", "item"], "left").drop("_level")
+    asked = (F.col("type") == "Update") & F.col("unit").isNotNull() & F.col("unit_to").isNotNull() & (F.col("unit") != F.col("unit_to"))
+    found = units.factors(rows.filter(asked).select(F.col("unit").alias("unit_from"), "unit_to"), conversions)
+    if not found.filter("factor is null").isEmpty():
+        raise WrongInput("an inventory has a unit that doesn't convert into its label's")
+    out = rows.withColumnRenamed("unit", "unit_from").join(found, ["unit_from", "unit_to"], "left")
+    return out.withColumn("quantity", F.col("quantity") * F.when(F.col("type") == "Update", F.coalesce("factor", F.lit(1.0))).otherwise(1.0)).drop("factor", "unit_from", "unit_to")
 
 
-def add_sectors(model: Model, inventory: DataFrame, unit: str, parents: Mapping[str, str] | None = None, demand: DataFrame | None = None, scenario: str | None = None) -> Model:
-    """An input-output model with new sectors (INVENTORY) in its coefficients.
+def add_sectors(model: Model, inventory: DataFrame, unit: str, parents: Mapping[str, str] | None = None, demand: DataFrame | None = None, scenario: str | None = None, conversions: DataFrame | None = None) -> Model:
+    """An input-output model with new sectors (INVENTORY, and optionally a column unit, see `convert_units`) in its coefficients.
 
     A sector with a parent starts from the parent's column; its inventory's Update rows replace what they name, Percentage rows change the parent's
     coefficient by that share. Inputs from a cluster of regions are split by what the target region buys of the item from each (its parent, or all
     buyers); a pattern without any purchase is an error. demand: sector, region, category, value: final demand in the same region. Sums over sheets add up."""
     if model.kind != "IOT":
         raise NotComputable("new sectors are added to input-output tables")
+    if "unit" in inventory.columns:
+        inventory = convert_units(inventory, model, conversions)
     parents = dict(parents or {})
     scenario = scenario or model.baseline
     planner = model.planner(scenario)
@@ -82,8 +95,8 @@ def add_sectors(model: Model, inventory: DataFrame, unit: str, parents: Mapping[
     for m in ("EY", "VY"):
         if model.has(m, scenario):
             out[m] = model.stored_block(m, scenario)
-    units = model.units.unionByName(new.select(F.lit("Sector").alias("level"), F.col("sector").alias("item"), F.lit(unit).alias("unit")).distinct())
-    base = replace(model.drop_scenarios((scenario,)), axis=model.axis.unionByName(axis), units=units)
+    all_units = model.units.unionByName(new.select(F.lit("Sector").alias("level"), F.col("sector").alias("item"), F.lit(unit).alias("unit")).distinct())
+    base = replace(model.drop_scenarios((scenario,)), axis=model.axis.unionByName(axis), units=all_units)
     return replace(base.with_blocks(scenario, out), names={scenario: tuple(sorted(out))}, baseline=scenario)
 
 

@@ -174,17 +174,20 @@ class Factor:
     columns: DataFrame
     size: int
     below: int
+    across: int
 
     def cells(self) -> DataFrame:
         return T.to_cells(self.tiles, self.rows, self.columns, self.size)
 
     def times(self, b: DataFrame, transposed: bool = False) -> DataFrame:
         """The inverse, or its transpose, times a block (i, j, value)."""
-        tiles, rows, columns = (T.transpose(self.tiles, self.size), self.columns, self.rows) if transposed else (self.tiles, self.rows, self.columns)
+        tiles, rows, columns, below = self.tiles, self.rows, self.columns, self.below
+        if transposed:
+            tiles, rows, columns, below = T.transpose(tiles, self.size), columns, rows, self.across
         across = stored(T.numbered(b.select(F.col("j").alias("id")).distinct()))
         m = across.count()
         width = max(1, min(self.size, m))
-        product = T.matmul(tiles, T.from_cells(b, columns, across, self.size, width), self.size, blocks=(self.below, -(-m // width)))
+        product = T.matmul(tiles, T.from_cells(b, columns, across, self.size, width), self.size, blocks=(below, -(-m // width)))
         return T.to_cells(product, rows, across, self.size, width)
 
 
@@ -200,13 +203,13 @@ def _at(spark, key: str) -> str:
     return f"{shared_dir(spark)}/sectora-factors/{key}"
 
 
-def _found(spark, key: str, size: int, below: int) -> Factor | None:
+def _found(spark, key: str, size: int, below: int, across: int) -> Factor | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{_at(spark, key)}/tiles/_SUCCESS")
     if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
         return None
     labels = spark.read.parquet(f"{_at(spark, key)}/labels")
     rows, columns = (labels.filter(F.col("side") == k).select("id", "n") for k in ("row", "column"))
-    return Factor(spark.read.parquet(f"{_at(spark, key)}/tiles"), rows, columns, size, below)
+    return Factor(spark.read.parquet(f"{_at(spark, key)}/tiles"), rows, columns, size, below, across)
 
 
 def factor(a: DataFrame, rows: DataFrame, columns: DataFrame, size: int | None = None, only_stored: bool = False) -> Factor | None:
@@ -218,7 +221,7 @@ def factor(a: DataFrame, rows: DataFrame, columns: DataFrame, size: int | None =
     m = n if rows is columns else columns.count()
     size = size or max(1, min(T.SIZE, n))
     key = digest(a, rows, columns, size)
-    known = _found(spark, key, size, -(-m // size))
+    known = _found(spark, key, size, -(-m // size), -(-n // size))
     if known or only_stored:
         return known
     made += 1
@@ -238,7 +241,7 @@ def factor(a: DataFrame, rows: DataFrame, columns: DataFrame, size: int | None =
     labels = out_rows.withColumn("side", F.lit("row")).unionByName(out_columns.withColumn("side", F.lit("column")))
     for name, table in (("labels", labels), ("tiles", tiles)):  # tiles last: what is found has both
         table.write.mode("overwrite").parquet(f"{_at(spark, key)}/{name}")
-    return _found(spark, key, size, -(-m // size))
+    return _found(spark, key, size, -(-m // size), -(-n // size))
 
 
 def _one_tile(a: DataFrame, rows: DataFrame, columns: DataFrame, n: int, size: int) -> tuple[DataFrame, None]:

@@ -339,8 +339,8 @@ def _(m: Model) -> DataFrame:
 
 _IDLE = ("ASIA|AUTOMOBILE", "MIDDLE EAST|AUTOMOBILE", "EUROPE|MACHINERY", "ASIA|BUILDING")
 _IDLE_SQL = (
-    f"SELECT {_EAST.format('i')} AS row_label, {_EAST.format('j')} AS col_label, round(sum(v) / count(DISTINCT j), 8) + 0.0 AS value "
-    f"FROM (SELECT zc.*, count(*) OVER () AS n FROM zc) WHERE j IN {_IDLE[:3]} AND i NOT IN {_IDLE} GROUP BY 1, 2"
+    f"SELECT {_EAST.format('i')} AS row_label, {_EAST.format('j')} AS col_label, round(sum(v) / max(CASE WHEN split_part(j, '|', 2) = 'AUTOMOBILE' THEN 2 ELSE 1 END), 8) + 0.0 AS value "
+    f"FROM zc WHERE j IN {_IDLE[:3]} AND i NOT IN {_IDLE} GROUP BY 1, 2"
 )
 
 

@@ -32,7 +32,7 @@ def set_method(method: str) -> None:
 
 
 def set_dense_labels(labels: int) -> None:
-    """Squares of more labels are inverted and solved by joins."""
+    """Squares of more labels are inverted and solved on tiles."""
     if labels < 1:
         raise WrongInput("at least one label")
     current.dense_labels = kernels.DENSE_LABELS = labels

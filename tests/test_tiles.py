@@ -8,6 +8,12 @@ from sectora.operators import balance
 from sectora.plans import elimination, kernels, krylov
 
 
+@pytest.fixture(autouse=True)
+def own_store(monkeypatch, tmp_path):
+    """Inverses outlive a session where the shared folder does; tests begin without any."""
+    monkeypatch.setattr(elimination, "shared_dir", lambda spark: str(tmp_path))
+
+
 def frame(spark, x, rows=None, columns=None):
     rows, columns = (np.arange(n) if v is None else v for n, v in zip(x.shape, (rows, columns), strict=True))
     at = np.nonzero(x)

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import units
 from ..model import Model, label_id
 from ..plans import blocks as B
+from ..plans.kernels import stored
 from ..schema import NotComputable, WrongInput
 
 #: sector: the new sector or activity; kind: input, factor or satellite; region_from: a region, a cluster of them or null for the target's own; item: a label
@@ -95,10 +96,10 @@ def _accounts(model: Model, kind: str, rows: DataFrame, flows: DataFrame, heirs:
 
 def _allotted(rows: DataFrame, spread: DataFrame) -> DataFrame:
     """i, j, type, quantity: Update rows divided over their labels by basis, Percentage rows at each of them."""
+    one = Window.partitionBy(*KEYS)
+    spread = stored(spread.withColumn("many", F.count(F.lit(1)).over(one) > 1).withColumn("whole", F.sum("basis").over(one)))
     if not rows.join(spread.select(*KEYS), [*KEYS], "left_anti").isEmpty():
         raise WrongInput("an inventory names an item that the table hasn't")
-    one = Window.partitionBy(*KEYS)
-    spread = spread.withColumn("many", F.count(F.lit(1)).over(one) > 1).withColumn("whole", F.sum("basis").over(one))
     if not spread.filter("many and whole = 0 and type = 'Update'").isEmpty():
         raise WrongInput("an input is split over regions none of which sells it there")
     part = F.when(F.col("many") & (F.col("type") == "Update"), F.col("quantity") * F.col("basis") / F.col("whole")).otherwise(F.col("quantity"))

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import MIDDLE, SEGMENTS, iot_model, sut_model
+from .functions import concordance as C
 from .functions import primitives as P
 from .model import Model
-from .operators import balance, custom, indicators, scenarios, sectors, structure, trade, views
+from .operators import balance, custom, indicators, scenarios, sectors, splits, structure, trade, views
 from .plans import blocks as B
 from .plans import kernels
 from .sources import flat, records
@@ -493,7 +494,7 @@ def _(m: Model) -> DataFrame:
     return rows_of(out, out.resolve("Xc", "shock"), 1)
 
 
-@iot_query("add_sector_output", None)
+@iot_query("add_sector_output", S.block("ns_x", 2))
 def _(m: Model) -> DataFrame:
     m = m.with_clusters(region={"East": ["ASIA", "MIDDLE EAST"]})
     rows = [("SOLAR", "ASIA", "input", "East", "MACHINERY", "Update", 0.3), ("SOLAR", "ASIA", "input", None, "BUILDING", "Percentage", 0.1), ("SOLAR", "ASIA", "factor", None, "Taxes", "Update", 0.2)]
@@ -502,6 +503,69 @@ def _(m: Model) -> DataFrame:
     return rows_of(out, out.resolve("X"), 2)
 
 
+@sut_query("add_activity_output", S.block("na_x", 2))
+def _(m: Model) -> DataFrame:
+    m = m.with_clusters(region={"Both": ["ASIA", "EUROPE"]})
+    rows = m.spark.createDataFrame([("NEW", "ASIA", "input", "Both", "P2", "Update", 0.25), ("NEW", "ASIA", "factor", None, "Taxes", "Update", 0.1)], sectors.INVENTORY)
+    shares = m.spark.createDataFrame([("NEW", "ASIA", "N1", 1.0), ("NEW", "ASIA", "P3", 0.01)], sectors.SHARES)
+    demand = m.spark.createDataFrame([("N1", "ASIA", "5-LOW", 5000.0)], sectors.DEMAND)
+    out = sectors.add_sectors(m, rows, "EUR", {"NEW": "A1"}, demand, shares=shares)
+    return rows_of(out, out.resolve("Xc"), 2)
+
+
+def _tools(m: Model) -> Model:
+    """TOOLS split off MACHINERY in three regions; EUROPE's inventory asks for more than its parent has."""
+    parts = m.spark.createDataFrame([("ASIA", 0.2371913), ("EUROPE", 0.4123719), ("AFRICA", 0.1039127)], "region string, part double")
+    x = m.table("X").filter("item_from = 'MACHINERY'").select(F.col("region_from").alias("region"), "value")
+    outputs = x.join(parts, "region").select(F.lit("TOOLS").alias("sector"), "region", (F.col("value") * F.col("part")).alias("quantity"))
+    rows = [("TOOLS", "ASIA", "input", "ASIA", "FURNITURE", "Percentage", 0.5), ("TOOLS", "EUROPE", "input", "EUROPE", "BUILDING", "Update", 0.9)]
+    return splits.split_sectors(m, {"TOOLS": "MACHINERY"}, outputs, m.spark.createDataFrame(rows, sectors.INVENTORY))
+
+
+for _matrix, _relation, _digits in (("Z", "sp_z", 4), ("V", "sp_cv", 6), ("X", "sp_x", 2)):
+    iot_query(f"split_sector_{_matrix.lower()}", S.block(_relation, _digits))(lambda m, x=_matrix, n=_digits: (lambda out: rows_of(out, out.resolve(x), n))(_tools(m)))
+
+
+# regions by halves of the world, through their codes; EUROPE has no half and keeps its name
+_HALF = "CASE split_part({0}, '|', 1) WHEN 'EUROPE' THEN 'EUROPE' WHEN 'ASIA' THEN 'EAST' WHEN 'MIDDLE EAST' THEN 'EAST' ELSE 'WEST' END || '|' || split_part({0}, '|', 2)"
+
+
+@iot_query("aggregate_by_preset", S.select(f"SELECT {_HALF.format('i')} AS row_label, {_HALF.format('j')} AS col_label, round(sum(v), 4) + 0.0 AS value FROM zf GROUP BY 1, 2", "zf"))
+def _(m: Model) -> DataFrame:
+    spark = m.spark
+    names = spark.createDataFrame([("short", n, n[:2]) for n in ("Africa", "America", "asia", "Europe", "Middle  East")], C.NAMES)
+    facts = spark.createDataFrame([("Af", "half", "WEST"), ("Am", "half", "WEST"), ("as", "half", "EAST"), ("Mi", "half", "EAST")], C.FACTS)
+    matches = C.match_labels(m.index("Region").withColumnRenamed("item", "label"), names)
+    out = structure.aggregate(m, {"Region": C.groups_of(matches, facts, "half")})
+    return rows_of(out, out.resolve("Z"), 4)
+
+
+def concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of nations in four spellings and of regions with all their nations, matched to the nations' keys."""
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    key, name = F.col("n_nationkey").cast("string"), F.col("n_name")
+    short = F.concat(F.lit("n"), key)
+    spelt = F.when(F.col("n_nationkey") % 4 == 0, name).when(F.col("n_nationkey") % 4 == 1, F.concat(F.lit("  "), F.lower(name), F.lit(" "))).when(F.col("n_nationkey") % 4 == 2, short).otherwise(F.reverse(name))
+    labels = nation.select(spelt.alias("label")).union(region.select(F.concat(F.lit("all of "), "r_name")))
+    names = nation.select(F.lit("name").alias("classification"), name.alias("name"), key.alias("code")).union(nation.select(F.lit("short"), F.upper(short), key))
+    members = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("All of  "), "r_name").alias("alias"), key.alias("code"))
+    return C.match_labels(labels, names, members, ["name", "short"]).select("label", "stage", "code")
+
+
+add("concordance", concordance, """WITH l AS (SELECT CASE n_nationkey % 4 WHEN 0 THEN n_name WHEN 1 THEN '  ' || lower(n_name) || ' ' WHEN 2 THEN 'n' || n_nationkey ELSE reverse(n_name) END AS label,
+    CASE n_nationkey % 4 WHEN 0 THEN 'exact' WHEN 3 THEN 'unmatched' ELSE 'folded' END AS stage, CASE WHEN n_nationkey % 4 < 3 THEN CAST(n_nationkey AS VARCHAR) END AS code FROM nation)
+    SELECT label, stage, code FROM l UNION ALL SELECT 'all of ' || r_name, 'group', CAST(n_nationkey AS VARCHAR) FROM nation JOIN region ON n_regionkey = r_regionkey""")
+
+
+# contributors in supply-use tables: activities and commodities (rows) to a unit of what activities or commodities sell
+for _side, _parts in (("a", (("sea", "waa"), ("sec", "wca"))), ("c", (("sea", "wac"), ("sec", "wcc")))):
+    _text = " UNION ALL ".join(f"SELECT w.i, w.j, e.v * w.v AS v FROM {w} w JOIN {e} e ON e.j = w.i WHERE e.i = '{'Quantity' if e == 'sea' else 'Lines'}'" for e, w in _parts)
+    _needs = tuple(n for p in _parts for n in p)
+    for _account, _only in (("Quantity", 0), ("Lines", 1)):
+        _some = _text.split(" UNION ALL ")[_only]
+        sut_query(f"sut_exploded_f{_side}_{_account.lower()}", S.block(f"({_some})", 9, *_needs))(lambda m, a=_account, k=_side: rows_of(m, indicators.exploded(m, a, f"f{k}"), 9))
+
+
 # --- operators of one's own, views, files
 @iot_query("custom_ratio", S.select("SELECT e.i AS row_label, e.j AS col_label, round(e.v / x.v, 8) + 0.0 AS value FROM ef e JOIN x ON x.i = e.j", "ef", "x"))
 def _(m: Model) -> DataFrame:

@@ -109,6 +109,25 @@ class Sql:
         self.inverse("shock_w", "shock_z", "x")
         put("shock_x", mm("shock_w", "shock_y"), "shock_w", "shock_y")
 
+        # a new sector: its parent's column, one input from two regions, another changed by a share
+        put("ns_z", """SELECT i, j, v FROM zc UNION ALL SELECT i, 'ASIA|SOLAR', CASE WHEN i = 'ASIA|BUILDING' THEN 1.1 * v WHEN i IN ('ASIA|MACHINERY', 'MIDDLE EAST|MACHINERY')
+            THEN 0.3 * v / (SELECT sum(v) FROM zc WHERE j = 'ASIA|BUILDING' AND i IN ('ASIA|MACHINERY', 'MIDDLE EAST|MACHINERY')) ELSE v END FROM zc WHERE j = 'ASIA|BUILDING'""", "zc")
+        put("ns_y", "SELECT i, j, v FROM yt UNION ALL VALUES ('ASIA|SOLAR', '', 500.0::DOUBLE)", "yt")
+        self.inverse("ns_w", "ns_z", "ns_y")
+        put("ns_x", mm("ns_w", "ns_y"), "ns_w", "ns_y")
+        # sectors split off MACHINERY; EUROPE's asks for more than its parent has, so that its column follows the medians of the others
+        put("sp_k", """SELECT r || '|MACHINERY' AS old, r || '|TOOLS' AS new, q FROM (VALUES ('ASIA', 0.2371913::DOUBLE), ('EUROPE', 0.4123719::DOUBLE), ('AFRICA', 0.1039127::DOUBLE)) AS t(r, q)""")
+        for name, of, asked in (("z", "zf", """CASE WHEN k.new = 'ASIA|TOOLS' AND b.i = 'ASIA|FURNITURE' THEN 1.5 * k.q WHEN k.new = 'EUROPE|TOOLS' AND b.i = 'EUROPE|BUILDING' THEN 0.9 * k.q * x.v / b.v ELSE k.q END"""), ("v", "vf", "k.q")):
+            put(f"sp_a{name}", f"SELECT b.i, k.old, k.new, b.v, {asked} AS share FROM {of} b JOIN sp_k k ON b.j = k.old JOIN x ON x.i = k.old WHERE b.v <> 0", of, "sp_k", "x")
+            put(f"sp_u{name}", f"SELECT i, median(share) AS usual FROM sp_a{name} WHERE old NOT IN (SELECT old FROM sp_a{name} WHERE share > 1.000000001) GROUP BY i", f"sp_a{name}")
+            put(f"sp_p{name}", f"""SELECT a.i, a.old, a.new, a.v * CASE WHEN a.old IN (SELECT old FROM sp_a{name} WHERE share > 1.000000001) THEN coalesce(u.usual, 0) ELSE a.share END AS v
+                FROM sp_a{name} a LEFT JOIN sp_u{name} u ON u.i = a.i""", f"sp_a{name}", f"sp_u{name}")
+            put(f"sp_c{name}", f"SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM {of} UNION ALL SELECT i, old, -v FROM sp_p{name} UNION ALL SELECT i, new, v FROM sp_p{name}) GROUP BY 1, 2", of, f"sp_p{name}")
+        parted = "SELECT b.i, b.j, b.v * (1 - coalesce(k.q, 0)) AS v FROM {0} b LEFT JOIN sp_k k ON k.old = b.i UNION ALL SELECT k.new, b.j, b.v * k.q FROM {0} b JOIN sp_k k ON k.old = b.i"
+        put("sp_z", parted.format("sp_cz"), "sp_cz", "sp_k")
+        put("sp_y", parted.format("yf"), "yf", "sp_k")
+        put("sp_x", total("sp_z", "sp_y"), "sp_z", "sp_y")
+
     def _sut(self) -> None:
         put = self.put
         put("xa", total("sf"), "sf")
@@ -151,6 +170,14 @@ class Sql:
                             ("smu", ("sma", "smc")), ("smmu", ("smma", "smmc")), ("sfu", ("sfa", "sfc")), ("sffu", ("sffa", "sffc")), ("spu", ("spa", "spc"))):
             put(name, " UNION ALL ".join(f"SELECT i, j, v FROM {p}" for p in parts), *parts)
         put("sc", "SELECT s.j AS i, s.i AS j, s.v / x.v AS v FROM sf s JOIN xa x ON x.i = s.i", "sf", "xa")
+        # a new activity that sells a new commodity and a fifth of an old one; its inputs are its parent's, P2 from two regions
+        put("na_u", """SELECT i, j, v FROM u UNION ALL SELECT i, 'ASIA|NEW', CASE WHEN i IN ('ASIA|P2', 'EUROPE|P2')
+            THEN 0.25 * v / (SELECT sum(v) FROM u WHERE j = 'ASIA|A1' AND i IN ('ASIA|P2', 'EUROPE|P2')) ELSE v END FROM u WHERE j = 'ASIA|A1'""", "u")
+        put("na_s", "SELECT i, j, v FROM s UNION ALL VALUES ('ASIA|NEW', 'ASIA|N1', 1.0::DOUBLE), ('ASIA|NEW', 'ASIA|P3', 0.01::DOUBLE)", "s")
+        put("na_y", "SELECT i, j, v FROM yct UNION ALL VALUES ('ASIA|N1', '', 5000.0::DOUBLE)", "yct")
+        put("na_us", mm("na_u", "na_s"), "na_u", "na_s")
+        self.inverse("na_w", "na_us", "na_y")
+        put("na_x", mm("na_w", "na_y"), "na_w", "na_y")
         # supply-use to input-output
         put("t_b", rows_over("sf", "xa"), "sf", "xa")
         put("z_b", mm("uf", "t_b"), "uf", "t_b")

@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixtures import MIDDLE, SEGMENTS, iot_model, sut_model
+from .fixtures import MIDDLE, SEGMENTS, cube, iot_cells, iot_model, sut_cells, sut_model
 from .functions import concordance as C
 from .functions import primitives as P
 from .model import Model
 from .operators import balance, custom, indicators, scenarios, sectors, splits, structure, trade, views
 from .plans import blocks as B
 from .plans import kernels
-from .sources import flat, records
+from .sources import flat, ordered, records
 from .sql import Sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -608,6 +608,38 @@ for _kind, _format, _matrix, _relation, _digits, _make in (("iot", "parquet", "Z
     add(f"{_kind}_{_matrix.lower()}_of_{_format}_file", lambda spark, d, f=_format, x=_matrix, n=_digits, make=_make: (lambda m: rows_of(m, m.resolve(x), n))(_through_files(make(spark, d), f)), S.block(_relation, _digits))
 
 
+def first_seen_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of parts in the order in which a text file of all order lines names them, told from the file alone."""
+    sold = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 997).cast("string").alias("value"))
+    path = f"{kernels.shared_dir(spark)}/sectora-files/{uuid.uuid4().hex}"
+    sold.orderBy("l_orderkey", "l_linenumber", "value").select("value").write.text(path)
+    return ordered.first_seen(ordered.lines(spark, path, 1 << 20), "value").select(F.col("value").alias("label"), "position")
+
+
+add("first_seen_order", first_seen_order, """WITH l AS (SELECT CAST(l_partkey % 997 AS VARCHAR) AS label, row_number() OVER (ORDER BY l_orderkey, l_linenumber, CAST(l_partkey % 997 AS VARCHAR)) AS place FROM lineitem)
+    SELECT label, row_number() OVER (ORDER BY min(place)) - 1 AS position FROM l GROUP BY label""")
+
+
+def _with_demand(kind: str, level: str, rows: str, of: tuple, label: Callable, digits: int) -> None:
+    """A table with a block of its own between `rows` and final demand, given as cells beside the fixture's."""
+    name, matrix, given, value, condition = of
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sales = cube(spark, sf_dir).filter(~F.col("prio").isin(*MIDDLE)).filter(condition)
+        keys = [*label(), F.lit(level), F.col("rd"), F.lit("Consumption category"), F.col("prio")]
+        names = ("region_from", "item_from", "level_from", "region_to", "level_to", "item_to")
+        more = sales.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).alias("x")).groupBy(*names).agg(F.sum("x").cast("double").alias("value"))
+        base = {"IOT": iot_cells, "SUT": sut_cells}[kind](cube(spark, sf_dir))
+        m = Model.from_labelled(base.unionByName(more.withColumns({"scenario": F.lit("baseline"), "matrix": F.lit(given)})), kind)
+        return rows_of(m, m.resolve(matrix), digits)
+
+    add(name, query, S.block(f"(SELECT {rows} AS i, fin AS j, CAST(sum({value}) AS DOUBLE) AS v FROM cube WHERE NOT mid AND {condition} GROUP BY 1, 2)", digits, "cube"))
+
+
+_with_demand("IOT", "Factor of production", "'Taxes'", ("iot_value_added_of_demand", "VY", "VY", "tax", "back"), lambda: [F.lit(None).cast("string"), F.lit("Taxes")], 6)
+_with_demand("SUT", "Activity", "act", ("sut_demand_of_activities", "Ya", "Y", "v", "back"), lambda: [F.col("ro"), F.concat(F.lit("A"), ((F.col("pk") + F.col("first").cast("int")) % 5).cast("string"))], 4)
+
+
 @iot_query("search_labels", S.select("SELECT DISTINCT split_part(i, '|', 2) AS item FROM x WHERE regexp_matches(split_part(i, '|', 2), '(?i)^[a-b]')", "x"))
 def _(m: Model) -> DataFrame:
     return m.search("^[a-b]", "sectors").select("item")

@@ -22,9 +22,9 @@ def flat_schema() -> str:
     return ", ".join(["Scenario string", "Matrix string", *sides, "Value double"])
 
 
-def from_flat(rows: DataFrame) -> DataFrame:
+def from_flat(rows: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """Labelled cells of rows in set columns (Scenario, Matrix, Region_from, Sector_from, ..., Value) or in nine columns (Region_from, Level_from, Item_from,
-    Region_to, Level_to, Item_to beside Scenario, Matrix, Value). Columns may be missing; blanks are null."""
+    Region_to, Level_to, Item_to beside Scenario, Matrix, Value). Columns may be missing; blanks are null. keep: further columns to take along."""
     have = {c.lower(): c for c in rows.columns}
     clean = lambda c: F.when(F.trim(rows[have[c.lower()]].cast("string")) != "", F.trim(rows[have[c.lower()]].cast("string"))) if c.lower() in have else F.lit(None).cast("string")
     if "value" not in have or "matrix" not in have:
@@ -42,7 +42,7 @@ def from_flat(rows: DataFrame) -> DataFrame:
         return [clean(f"Region_{s}"), level, item]
 
     labels = [c.alias(f"{n}_{s}") for s in ("from", "to") for n, c in zip(("region", "level", "item"), side(s), strict=True)]
-    return rows.select(F.coalesce(clean("Scenario"), F.lit(schema.BASELINE)).alias("scenario"), clean("Matrix").alias("matrix"), *labels, rows[have["value"]].cast("double").alias("value"))
+    return rows.select(F.coalesce(clean("Scenario"), F.lit(schema.BASELINE)).alias("scenario"), clean("Matrix").alias("matrix"), *labels, rows[have["value"]].cast("double").alias("value"), *keep)
 
 
 def to_flat(cells: DataFrame, trim: bool = True, goods: str = "Sector") -> DataFrame:

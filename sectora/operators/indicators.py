@@ -169,21 +169,81 @@ def ghg(model: Model, accounts: Mapping[str, str], report: str = "AR6", label: s
 @dataclass(frozen=True)
 class GasProfile:
     """How a published table names its greenhouse gas accounts. match: words that all stand in its source or name; accounts: account -> gas, or a weight
-    where the account is in CO2 equivalents already."""
+    where the account is in CO2 equivalents already. unit: of the sum, where none is asked for."""
 
     match: tuple[str, ...]
     accounts: Mapping[str, str | float]
     prefix: bool = False
-
-
-#: Account names of published tables.
+    unit: str | None = None
+
+
+#: The sources of emissions that the Eora tables list for every gas; totals and other gases stand beside them.
+EORA_SOURCES = """
+Public electricity and heat production
+Other Energy Industries
+Manufacturing Industries and Construction
+Domestic aviation
+Road transportation
+Rail transportation
+Inland navigation
+Other transportation
+Residential and other sectors
+Fugitive emissions from solid fuels
+Fugitive emissions from oil and gas
+Memo: International aviation
+Memo: International navigation
+Production of minerals
+Cement production
+Lime production
+Production of chemicals
+Production of metals
+Production of pulp/paper/food/drink
+Production of halocarbons and SF6
+Refrigeration and Air Conditioning
+Foam Blowing
+Fire Extinguishers
+Aerosols
+F-gas as Solvent
+Semiconductor/Electronics Manufacture
+Electrical Equipment
+Other F-gas use
+Non-energy use of lubricants/waxes (CO2)
+Solvent and other product use: paint
+Solvent and other product use: degrease
+Solvent and other product use: chemicals
+Solvent and other product use: other
+Enteric fermentation
+Manure management
+Rice cultivation
+Direct soil emissions
+Manure in pasture/range/paddock
+Indirect N2O from agriculture
+Other direct soil emissions
+Savanna burning
+Agricultural waste burning
+Forest fires
+Grassland fires
+Decay of wetlands/peatlands
+Other vegetation fires
+Forest Fires-Post burn decay
+Solid waste disposal on land
+Wastewater handling
+Waste incineration
+Other waste handling
+Fossil fuel fires
+Indirect N2O from non-agricultural NOx
+Indirect N2O from non-agricultural NH3
+Other sources
+""".strip().splitlines()
+
+#: Account names and units of published tables.
 GAS_PROFILES = {
-    "exiobase_monetary": GasProfile(("exiobase", "monetary"), {"CO2 - combustion - air": "CO2", "CH4 - combustion - air": "CH4", "N2O - combustion - air": "N2O"}),
-    "exiobase_hybrid": GasProfile(("exiobase", "hybrid"), {"Carbon dioxide, fossil (air - Emiss)": "CO2", "CH4 (air - Emiss)": "CH4", "N2O (air - Emiss)": "N2O"}),
-    "eora": GasProfile(("eora",), {"I-GHG-CO2 emissions (Gg) - ": "CO2", "I-GHG-CH4 emissions (Gg) - ": "CH4", "I-GHG-N2O emissions (Gg) - ": "N2O"}, prefix=True),
-    "adb": GasProfile(("adb",), {"GHG | Total by substance": 1.0}),
-    "gloria": GasProfile(("gloria",), {"Emissions (EDGAR) | 'co2_excl_short_cycle_org_c_total_EDGAR_consistent'": "CO2", "Emissions (EDGAR) | 'ch4_total_EDGAR_consistent'": "CH4", "Emissions (EDGAR) | 'n2o_total_EDGAR_consistent'": "N2O"}),
-    "emerging": GasProfile(("emerging",), {"Coal": 1.0, "Natural gas": 1.0, "Oil products": 1.0, "Crude, NGL, Ref Feeds.": 1.0, "Oil shale & oil sands": 1.0, "Peat & Peat products": 1.0, "Other": 1.0}),
+    "exiobase_monetary": GasProfile(("exiobase", "monetary"), {"CO2 - combustion - air": "CO2", "CH4 - combustion - air": "CH4", "N2O - combustion - air": "N2O"}, unit="kg CO2eq"),
+    "exiobase_hybrid": GasProfile(("exiobase", "hybrid"), {"Carbon dioxide, fossil (air - Emiss)": "CO2", "CH4 (air - Emiss)": "CH4", "N2O (air - Emiss)": "N2O"}, unit="kg CO2eq"),
+    "eora": GasProfile(("eora",), {f"I-GHG-{gas} emissions (Gg) - {source}": gas for gas in GWP100["AR6"] for source in EORA_SOURCES}, prefix=True, unit="Gg CO2eq"),
+    "adb": GasProfile(("adb",), {"GHG | Total by substance": 1.0}, unit="Gigagrams of Carbon Dioxide equivalent (Gg of CO2e)"),
+    "gloria": GasProfile(("gloria",), {"Emissions (EDGAR) | 'co2_excl_short_cycle_org_c_total_EDGAR_consistent'": "CO2", "Emissions (EDGAR) | 'ch4_total_EDGAR_consistent'": "CH4", "Emissions (EDGAR) | 'n2o_total_EDGAR_consistent'": "N2O"}, unit="kg CO2eq"),
+    "emerging": GasProfile(("emerging",), {"Coal": 1.0, "Natural gas": 1.0, "Oil products": 1.0, "Crude, NGL, Ref Feeds.": 1.0, "Oil shale & oil sands": 1.0, "Peat & Peat products": 1.0, "Other": 1.0}, unit="Mt CO2eq"),
 }
 
 
@@ -208,7 +268,7 @@ def ghg_of_profile(model: Model, profile: str | None = None, report: str = "AR6"
         raise WrongInput(f"no report is called {report!r}")
     own = GAS_PROFILES[name]
     weights = {account: GWP100[report][gas] if isinstance(gas, str) else float(gas) for account, gas in own.accounts.items()}
-    return weighted_account(model, weights, label or f"GHG {report} GWP-100", unit, own.prefix, scenario)
+    return weighted_account(model, weights, label or f"GHG {report} GWP-100", unit or own.unit, own.prefix, scenario)
 
 
 def exploded(model: Model, item: str, matrix: str = "f", scenario: str | None = None) -> DataFrame:

@@ -357,6 +357,17 @@ def test_operators_of_ones_own(table):
         around.resolve("one")
 
 
+def test_eora_gases_without_totals(spark):
+    good = ("r1", "Sector", "s1")
+    rows = [("baseline", "Z", *good, *good, 1.0), ("baseline", "Y", *good, "r1", "Consumption category", "hh", 9.0)]
+    amounts = {"CO2 emissions (Gg) - Cement production": 5.0, "CH4 emissions (Gg) - Rice cultivation": 2.0, "CO2 emissions (Gg) - Total": 100.0, "CO2b emissions (Gg) - Forest fires": 7.0}
+    rows += [("baseline", "E", None, "Satellite account", f"I-GHG-{k}", *good, v) for k, v in amounts.items()]
+    m = indicators.ghg_of_profile(Model.from_labelled(spark.createDataFrame(rows, LABELLED), "IOT").describe(source="Eora 26"))
+    made = m.table("E").filter("item_from like 'GHG %'").collect()
+    assert [r["value"] for r in made] == [pytest.approx(5.0 + 2.0 * 29.8)]
+    assert m.units.filter("item like 'GHG %'").first()["unit"] == "Gg CO2eq"
+
+
 def test_new_sectors(spark, table):
     a = iot_arrays()
     z, v = a["Z"] / a["X"], a["V"] / a["X"]

@@ -6,6 +6,8 @@ priority. Sums are exact (decimal) and only then turned to doubles, so that ever
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,27 +21,51 @@ MIDDLE = ("1-URGENT", "2-HIGH")
 _CUBES: dict[tuple[str, str], DataFrame] = {}
 
 
+def _cents(name: str, digits: int) -> Column:
+    """Hundredths of a number as decimal(digits, 2) has it, as a long. A double that is the nearest to a number of hundredths needs no decimal to tell which."""
+    x, whole = F.col(name), F.rint(F.col(name) * 100)
+    return F.when((F.abs(x) < 10 ** (digits - 2)) & (whole / 100 == x), whole.cast("long")).otherwise((x.cast(f"decimal({digits},2)") * 100).cast("long"))
+
+
+def _exact(amount: Column) -> Column:
+    """The sum of longs as a decimal, summed as two halves of 32 bits, which no table fills."""
+    high, low = F.sum(F.shiftright(amount, 32)), F.sum(amount.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return high.cast("decimal(19,0)") * F.lit(Decimal(1 << 32)) + low.cast("decimal(19,0)")
+
+
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales by origin, part group, destination, segment, priority, first line or not, returned or not: a few thousand rows whatever the input, kept."""
+    """Sales by origin, part group, destination, segment, priority, first line or not, returned or not: a few thousand rows whatever the input, kept.
+
+    Lines and orders are cut down to what the cube needs before they move: money as whole hundredths, regions as keys that get their names once all is summed.
+    Lines meet suppliers and nations table by table, so that Spark sees how small those are and moves the lines once, to their orders."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CUBES:
         ship(spark)
         read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        place = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-        sellers = read("supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("ro"))
-        buyers = read("customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("rd"), F.col("c_mktsegment").alias("sd"))
-        orders = read("orders").join(buyers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "rd", "sd", F.col("o_orderpriority").alias("prio"), F.year("o_orderdate").alias("year"))
-        money = lambda c, p: F.col(c).cast(f"decimal({p},2)")
-        lines = read("lineitem").join(sellers, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        net = money("l_extendedprice", 12) * (1 - money("l_discount", 4))
-        _CUBES[key] = (
-            lines.groupBy("ro", (F.col("l_partkey") % 5).cast("int").alias("pk"), "rd", "sd", "prio", (F.col("l_linenumber") == 1).alias("first"), (F.col("l_returnflag") == "R").alias("back"), "year")
+        nation = lambda n, r: read("nation").select(F.col("n_nationkey").alias(n), F.col("n_regionkey").alias(r))
+        region = lambda r, name: read("region").select(F.col("r_regionkey").alias(r), F.col("r_name").alias(name))
+        sold = read("lineitem").select(
+            "l_orderkey", "l_suppkey", (F.col("l_partkey") % 5).cast("int").alias("pk"), (F.col("l_linenumber") == 1).alias("first"), (F.col("l_returnflag") == "R").alias("back"),
+            _cents("l_extendedprice", 12).alias("price"), _cents("l_discount", 4).alias("discount"), _cents("l_tax", 4).alias("rate"), _cents("l_quantity", 12).alias("quantity"),
+        )
+        sellers = read("supplier").select("s_suppkey", F.col("s_nationkey").alias("from_nation"))
+        buyers = read("customer").select("c_custkey", F.col("c_nationkey").alias("to_nation"), F.col("c_mktsegment").alias("sd"))
+        sold = sold.join(sellers, F.col("l_suppkey") == F.col("s_suppkey")).join(nation("from_nation", "from_region"), "from_nation").drop("l_suppkey", "s_suppkey", "from_nation")
+        orders = read("orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("prio")).join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+        orders = orders.join(nation("to_nation", "to_region"), "to_nation").select("o_orderkey", "to_region", "sd", "prio")
+        net = F.col("price") * (100 - F.col("discount"))
+        # a tax may be too long for a long: that of the upper and that of the lower bits of net
+        upper, lower = _exact(F.shiftright(net, 24) * F.col("rate")), _exact(net.bitwiseAND(F.lit(0xFFFFFF)) * F.col("rate"))
+        scaled = lambda c, unit, kind: (c.cast("decimal(31,0)") * F.lit(Decimal(unit))).cast(kind)
+        sums = (
+            sold.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("from_region", "pk", "to_region", "sd", "prio", "first", "back")
             .agg(
-                F.sum(net).alias("v"), F.sum(net * money("l_tax", 4)).alias("tax"), F.sum(money("l_extendedprice", 12) * money("l_discount", 4)).alias("off"),
-                F.sum(F.col("l_quantity").cast("decimal(12,2)")).alias("qty"), F.count("*").alias("n"),
+                scaled(_exact(net), "0.0001", "decimal(28,4)").alias("v"), scaled(upper * F.lit(Decimal(1 << 24)) + lower, "0.000001", "decimal(33,6)").alias("tax"),
+                scaled(_exact(F.col("price") * F.col("discount")), "0.0001", "decimal(27,4)").alias("off"), scaled(_exact(F.col("quantity")), "0.01", "decimal(22,2)").alias("qty"), F.count("*").alias("n"),
             )
-            .persist()
         )
+        named = sums.join(region("from_region", "ro"), "from_region").join(region("to_region", "rd"), "to_region")
+        _CUBES[key] = named.select("ro", "pk", "rd", "sd", "prio", "first", "back", "v", "tax", "off", "qty", "n").persist()
     return _CUBES[key]
 
 

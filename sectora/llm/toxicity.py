@@ -144,14 +144,14 @@ class KneserNey:
 
 
 class Detector:
-    """A model and the logistic line over its means; without a model a constant."""
+    """A model and the logistic line over its means, held between low and high; without a model a constant."""
 
-    def __init__(self, model: KneserNey | None, exponent: float, slope: float, offset: float):
-        self.model, self.exponent, self.slope, self.offset = model, exponent, slope, offset
+    def __init__(self, model: KneserNey | None, exponent: float, slope: float, offset: float, low: float = -np.inf, high: float = np.inf):
+        self.model, self.exponent, self.slope, self.offset, self.low, self.high = model, exponent, slope, offset, low, high
 
     def score(self, raws: list[bytes]) -> np.ndarray:
         x = self.model.means(raws, (self.exponent,))[:, 0] if self.model else np.zeros(len(raws))
-        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.clip(x, self.low, self.high) + self.offset, -50, 50)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -229,7 +229,8 @@ def chosen(sample: DataFrame, models: list[KneserNey], total: dict[int, int]) ->
 
 
 def least_loss(y: np.ndarray, means: np.ndarray, models: list, total: dict[int, int]) -> Detector:
-    """means: by text, model and exponent."""
+    """means: by text, model and exponent. The line is fitted to means held between the lower quartile of ordinary and the upper one of toxic texts: a few
+    texts of either class whose means are far out would else flatten the line of every exponent that they show in."""
     held = np.bincount(y, minlength=2)
     if not held.all():
         return Detector(models[0], EXPONENTS[0], 4.0, -4.0)
@@ -238,11 +239,13 @@ def least_loss(y: np.ndarray, means: np.ndarray, models: list, total: dict[int,
     best = None
     for i, model in enumerate(models):
         for k, exponent in enumerate(EXPONENTS):
-            slope, offset = logistic(means[:, i, k], y, weight)
-            z = np.clip(slope * means[:, i, k] + offset, -50, 50)
+            low, high = np.sort([np.quantile(means[y == 0, i, k], 0.25), np.quantile(means[y == 1, i, k], 0.75)])
+            x = np.clip(means[:, i, k], low, high)
+            slope, offset = logistic(x, y, weight)
+            z = np.clip(slope * x + offset, -50, 50)
             loss = float((weight * (np.logaddexp(0, z) - y * z)).sum())
             if best is None or loss < best[0] - 1e-9:
-                best = loss, Detector(model, exponent, slope, offset)
+                best = loss, Detector(model, exponent, slope, offset, low, high)
     return best[1]
 
 

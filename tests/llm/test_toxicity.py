@@ -125,3 +125,14 @@ def test_labels_of_one_class_and_ids_of_any_type(spark):
     two = spark.createDataFrame([("a", 1), ("b", 0), ("c", 0)], "doc_id string, toxic int")
     rows = toxicity_scores(docs, two).collect()
     assert sorted(r.doc_id for r in rows) == ["a", "b", "c"] and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_texts_far_out_dont_choose_the_exponent():
+    r = np.random.default_rng(3)
+    y = np.repeat([0, 1], 500)
+    clear = np.where(y == 1, r.normal(1.1, 0.15, 1000), r.normal(0.2, 0.1, 1000))
+    clear[::20] += 8.0  # some of both classes
+    dim = r.normal(0.0, 0.06, 1000) + 0.08 * y
+    means = np.repeat(dim[:, None, None], len(EXPONENTS), 2)
+    means[:, 0, 1] = clear
+    assert least_loss(y, means, ["model"], {0: 9000, 1: 1000}).exponent == EXPONENTS[1]

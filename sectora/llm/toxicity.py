@@ -6,6 +6,10 @@ backs off to the class's discounted share of the word, and that to the word's sh
 are the mass that discounts take from the counts of both classes together. So an expression that neither class has often enough to outlive the discount
 is as likely under both, and rare ones favour neither.
 
+Ratios of shares know nothing of how often an expression was seen: a preceding word with one kept pair in one class gives that pair all of its mass, and a
+word seen ten times has nearly the ratio of one seen a thousand times. So no log ratio goes beyond what its counts bear out: log((a + e) / (b + e)) of the
+greater and the lesser count, for a pair beyond that of its word. e is chosen with the discounts; 0 sets no limit.
+
 Every word after its predecessor has a likelihood under both models, and a text is compared by the mean of their ratio over its words, so that its length
 doesn't count: the power mean of some exponent (0: the mean of the log ratios, the usual mean log-likelihood). A few insults in a long text are as clear
 in the mean of ratios as they are invisible among the log ratios of thousands of ordinary words, which is why the exponent is chosen with the discounts:
@@ -35,6 +39,8 @@ from .common import WORD_BYTES, as_bytes, fold, parts, stored, with_id
 START = b" "
 #: The grid that the labelled texts kept from counting choose from: discounts of words and of pairs, exponents of the mean; on equal losses the first.
 WORD_DISCOUNTS, PAIR_DISCOUNTS, EXPONENTS = (1.5, 1.0, 2.0), (4.0, 8.0, 2.0), (3.0, 2.0, 4.0, 1.0, 0.0)
+#: What is added to both counts where these limit a ratio, from the same grid.
+EVIDENCE = (8.0, 2.0, 0.0)
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -78,11 +84,19 @@ def _shares(kept: np.ndarray) -> np.ndarray:
     return kept / np.where(kept.sum(0) > 0, kept.sum(0), 1)
 
 
+def _within(ratio: np.ndarray, counts: np.ndarray, evidence: float) -> np.ndarray:
+    """Log ratios held within what counts by class bear out; evidence 0: as they are."""
+    if not evidence or not len(ratio):
+        return ratio
+    most = np.log((counts.max(1) + evidence) / (counts.min(1) + evidence))
+    return np.clip(ratio, -most, most)
+
+
 class KneserNey:
     """Log-likelihood ratios of words and word pairs, toxic against ordinary, ready for lookup."""
 
-    def __init__(self, counts: Counts, numbers: dict[bytes, int], word_discount: float, pair_discount: float):
-        """numbers: counts.words, numbered from 0; others count as unknown."""
+    def __init__(self, counts: Counts, numbers: dict[bytes, int], word_discount: float, pair_discount: float, evidence: float = 0.0):
+        """numbers: counts.words, numbered from 0; others count as unknown. evidence: limits ratios, 0 doesn't."""
         self.numbers = numbers
         v = len(numbers)
         unknown, start = v, v + 1
@@ -92,21 +106,24 @@ class KneserNey:
         word = (1 - weight) * _shares(kept) + weight * base[:, None]  # P(word | class)
         self.word = np.log(word[:, 1] / word[:, 0])
         self.word[(kept == 0).all(1)] = 0.0
+        self.word = _within(self.word, np.vstack([counts.contexts, [[0, 0]]]), evidence)
         first = np.array([start if b == START else numbers.get(b, -1) for b in counts.before], np.int64)
         second = np.array([numbers.get(w, -1) for w in counts.after], np.int64)
         pair = np.maximum(counts.pairs - pair_discount, 0).reshape(-1, 2)
         some = (first >= 0) & (second >= 0) & (pair > 0).any(1)
         first, second, pair, heads = first[some], second[some], pair[some], [b for b, k in zip(counts.before, some.tolist(), strict=True) if k]
+        found = counts.pairs.reshape(-1, 2)[some]
         taken = np.stack([np.bincount(first, pair[:, c], v + 2) for c in (0, 1)], 1)
-        seen = np.zeros(v + 2)
+        seen = np.zeros((v + 2, 2))
         for at, b in zip(first.tolist(), heads, strict=True):
-            seen[at] = counts.follow[b].sum()
-        weight = np.where(taken > 0, (1 - taken.sum(1) / np.maximum(1, seen))[:, None], 1.0)  # of the backoff from a preceding word
-        self.backoff = np.log(weight[:, 1] / weight[:, 0])
+            seen[at] = counts.follow[b]
+        weight = np.where(taken > 0, (1 - taken.sum(1) / np.maximum(1, seen.sum(1)))[:, None], 1.0)  # of the backoff from a preceding word
+        self.backoff = _within(np.log(weight[:, 1] / weight[:, 0]), seen, evidence)
         both = (1 - weight[first]) * pair / np.where(taken[first] > 0, taken[first], 1) + weight[first] * word[second]
         keys = first * (v + 2) + second
         order = np.argsort(keys)
-        self.keys, self.pair = keys[order], np.log(both[:, 1] / both[:, 0])[order]
+        ratio = self.word[second] + _within(np.log(both[:, 1] / both[:, 0]) - self.word[second], found, evidence)
+        self.keys, self.pair = keys[order], ratio[order]
 
     def ratios(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The log ratio of each word's likelihoods after its predecessor, and the text it stands in."""
@@ -144,14 +161,14 @@ class KneserNey:
 
 
 class Detector:
-    """A model and the logistic line over its means, held between low and high; without a model a constant."""
+    """A model and the logistic line over its means; without a model a constant."""
 
-    def __init__(self, model: KneserNey | None, exponent: float, slope: float, offset: float, low: float = -np.inf, high: float = np.inf):
-        self.model, self.exponent, self.slope, self.offset, self.low, self.high = model, exponent, slope, offset, low, high
+    def __init__(self, model: KneserNey | None, exponent: float, slope: float, offset: float):
+        self.model, self.exponent, self.slope, self.offset = model, exponent, slope, offset
 
     def score(self, raws: list[bytes]) -> np.ndarray:
         x = self.model.means(raws, (self.exponent,))[:, 0] if self.model else np.zeros(len(raws))
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.clip(x, self.low, self.high) + self.offset, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -50, 50)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -210,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     sample = stored(bounded_sample(docs, known, sample_rows, sample_bytes), "toxicity-sample")
     counts = counted(sample.filter("not line"))
     numbers = {w: i for i, w in enumerate(counts.words)}
-    return chosen(sample.filter("line"), [KneserNey(counts, numbers, w, p) for w in WORD_DISCOUNTS for p in PAIR_DISCOUNTS], total)
+    return chosen(sample.filter("line"), [KneserNey(counts, numbers, w, p, e) for e in EVIDENCE for w in WORD_DISCOUNTS for p in PAIR_DISCOUNTS], total)
 
 
 def chosen(sample: DataFrame, models: list[KneserNey], total: dict[int, int]) -> Detector:
@@ -245,7 +262,7 @@ def least_loss(y: np.ndarray, means: np.ndarray, models: list, total: dict[int,
             z = np.clip(slope * x + offset, -50, 50)
             loss = float((weight * (np.logaddexp(0, z) - y * z)).sum())
             if best is None or loss < best[0] - 1e-9:
-                best = loss, Detector(model, exponent, slope, offset, low, high)
+                best = loss, Detector(model, exponent, slope, offset)
     return best[1]
 
 

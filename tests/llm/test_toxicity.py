@@ -136,3 +136,19 @@ def test_texts_far_out_dont_choose_the_exponent():
     means = np.repeat(dim[:, None, None], len(EXPONENTS), 2)
     means[:, 0, 1] = clear
     assert least_loss(y, means, ["model"], {0: 9000, 1: 1000}).exponent == EXPONENTS[1]
+
+
+def test_ratios_stay_within_their_evidence(spark):
+    samples = [(1, f"x{i} rare pair y{i}") for i in range(6)] + [(k % 2, f"x{k} pair") for k in range(40)] + [(k % 2, f"x{k} bad y{k}" if k % 2 else f"x{k} good y{k}") for k in range(80)]
+    got = counted(spark.createDataFrame(samples, "y int, text string"))
+    numbers = {w: i for i, w in enumerate(got.words)}
+    free, held = (KneserNey(got, numbers, 1.0, 2.0, e) for e in (0.0, 4.0))
+    at = lambda m, text: m.ratios([text])[0][-1]
+    seen = dict(zip(got.words, got.contexts.tolist(), strict=True))
+    word = at(held, b"? pair")
+    assert at(free, b"rare pair") - word > np.log(10 / 4) + 0.3 and 0 < at(held, b"rare pair") - word <= np.log(10 / 4) + 1e-9
+    for w in (b"bad", b"good", b"pair"):
+        n0, n1 = seen[w]
+        limit = np.log((n1 + 4) / (n0 + 4))
+        assert abs(at(held, b"? " + w)) <= abs(limit) + 1e-9
+    assert np.allclose(KneserNey(got, numbers, 1.0, 2.0).ratios([b"x1 bad y1 good"])[0], free.ratios([b"x1 bad y1 good"])[0])

@@ -47,6 +47,8 @@ ONE, PAIR, INNER = 1 << 11, 1 << 12, 1 << 12
 BLOCK = 1024
 #: Words and training tokens of a group, branches of a softmax over groups, training tokens of a task that has groups, tokens of a step inside a group.
 GROUP_WORDS, GROUP_TOKENS, BRANCHES, TASK_TOKENS, GROUP_BATCH = 4096, 1 << 17, 64, 1 << 20, 8192
+#: Words whose counts a task gathers before it sends them to their groups: a few words for each group at a time cost more on the way than they hold.
+COUNTS_SENT = 200_000
 #: Tokens that a training task should at least learn from in a round, as each sends its changes of the tables, a few MB.
 LESSONS = 4 << 20
 
@@ -498,23 +500,26 @@ def _own_rows(keys: np.ndarray, teach: np.ndarray) -> tuple[np.ndarray, int]:
     return at, len(seen) + 1
 
 
+#: Kept, as making one anew takes a good part of the time that a short batch does.
+SQUEEZE, SPREAD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 #: Batches on their way: of texts (docs), of tokens to groups (ints, words), of counts to groups (a base of -1), of tokens back from groups (ints).
 MOVED = "shard int, base long, docs binary, ints binary, words binary"
 
 
-def moved(shard: int, base: int, docs: bytes | None = None, ints: bytes | None = None, words: bytes | None = None) -> pa.RecordBatch:
-    columns = [pa.array([shard], pa.int32()), pa.array([base], pa.int64()), *(pa.array([x], pa.binary()) for x in (docs, ints, words))]
-    return pa.RecordBatch.from_arrays(columns, ["shard", "base", "docs", "ints", "words"])
+def moved(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of (shard, base, docs, ints, words) in one Arrow batch: one for each row costs more than its contents."""
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["shard", "base", "docs", "ints", "words"])
 
 
 def packed(*columns: np.ndarray) -> bytes:
     """Whole or floating numbers of one length, byte by byte of each column, compressed."""
     planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T for x in columns]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in planes))
+    return SQUEEZE.compress(b"".join(x.tobytes() for x in planes))
 
 
 def unpacked(raw: bytes, *types: str) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    raw = np.frombuffer(SPREAD.decompress(raw), np.uint8)
     sizes = [np.dtype(t).itemsize for t in types]
     n, at, out = len(raw) // sum(sizes), 0, []
     for t, size in zip(types, sizes, strict=True):
@@ -524,11 +529,11 @@ def unpacked(raw: bytes, *types: str) -> list[np.ndarray]:
 
 
 def _joined(words: list[bytes]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
+    return SQUEEZE.compress(b" ".join(words))
 
 
 def _parted(raw: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(raw).split(b" ")
+    return SPREAD.decompress(raw).split(b" ")
 
 
 def _cuts(ranked: np.ndarray) -> Iterator[slice]:
@@ -537,8 +542,13 @@ def _cuts(ranked: np.ndarray) -> Iterator[slice]:
     yield from (slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True))
 
 
-def to_groups(lexicon: Lexicon, shards: int, base: int, coded: tuple, codes: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The tokens of a batch that belong to groups, by shard: text and whether it is held out, group, number, marks of the two words before (numbers, or
+def stable_order(x: np.ndarray, below: int) -> np.ndarray:
+    """The stable order of whole numbers from 0 to below `below`: by radix where two bytes hold them."""
+    return np.argsort(x.astype(np.uint16) if below <= 1 << 16 else x, kind="stable")
+
+
+def to_groups(lexicon: Lexicon, shards: int, base: int, coded: tuple, codes: np.ndarray, held: np.ndarray) -> list[tuple]:
+    """Rows to be moved: the tokens of a batch that belong to groups, by shard: text and whether it is held out, group, number, marks of the two words before (numbers, or
     hashes beyond the head)."""
     flat, lengths, number, cls, _, _ = coded
     row = np.repeat(np.arange(len(lengths)), lengths)
@@ -550,38 +560,47 @@ def to_groups(lexicon: Lexicon, shards: int, base: int, coded: tuple, codes: np.
     ahead[first[lengths > 1] + 1] = START
     outer = np.flatnonzero(cls >= CLASSES)
     group = (cls[outer] - CLASSES) * lexicon.groups + codes[outer] % np.uint32(lexicon.groups)
-    order = np.lexsort((group, group % shards))
+    every = np.arange(TAILS * lexicon.groups)
+    place = np.empty_like(every)
+    place[np.lexsort((every, every % shards))] = every
+    order = stable_order(place[group], len(every))
     group, outer = group[order], outer[order]
     table = [(row[outer] * 2 + held[row[outer]]).astype("<i4"), group.astype("<i4"), number[outer].astype("<i4"), before[outer], ahead[outer]]
+    out = []
     for cut in _cuts(group % shards):
         far = outer[cut][number[outer[cut]] < 0]
-        yield moved(int(group[cut.start] % shards), base, None, packed(*[x[cut] for x in table]), _joined([flat[i] for i in far.tolist()]))
+        out.append((int(group[cut.start] % shards), base, None, packed(*[x[cut] for x in table]), _joined([flat[i] for i in far.tolist()])))
+    return out
 
 
 def inside_groups(lexicon: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups whose counts and tokens are all here: per batch of texts its tokens' text, count (-1 in the head) and log10 probability in the group."""
     counts: dict[int, list] = defaultdict(list)
-    tables, bases, far = [], [], []
+    tables = []
     for batch in batches:
         for shard, base, docs, ints, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if docs is not None:
-                yield moved(shard, base, docs)
+                yield moved([(shard, base, docs, None, None)])
             elif base < 0:
                 for group, n, word in zip(*(x.tolist() for x in unpacked(ints, "<i8", "<i8")), _parted(names), strict=True):
                     counts[group].append((-n, word))
             else:
-                table = unpacked(ints, "<i4", "<i4", "<i4", "<u4", "<u4")
-                far += _parted(names) if (table[2] < 0).any() else []
-                tables.append(table)
-                bases.append(np.full(len(table[0]), base))
+                tables.append((base, ints, names))
     if not tables:
         return
-    row, group, number, before, ahead = (np.concatenate(x) for x in zip(*tables, strict=True))
-    base = np.concatenate(bases)
+    tables.sort(key=lambda t: t[0])  # a batch of texts has each group's tokens in one of them, in order
+    bases, parts_of, far = sorted({t[0] for t in tables}), [], []
+    turns = np.searchsorted(bases, [t[0] for t in tables])
+    for _, ints, names in tables:
+        parts_of.append(unpacked(ints, "<i4", "<i4", "<i4", "<u4", "<u4"))
+        far += _parted(names) if (parts_of[-1][2] < 0).any() else []
+    row, group, number, before, ahead = (np.concatenate(x) for x in zip(*parts_of, strict=True))
+    turn = np.repeat(turns, [len(x[0]) for x in parts_of])
+    del tables, parts_of
     word_at = np.cumsum(number < 0) - 1  # where in far the words beyond the head are
-    order = np.lexsort((np.arange(len(base)), row, base, group))
-    row, group, number, before, ahead, base, word_at = (x[order] for x in (row, group, number, before, ahead, base, word_at))
-    value, seen = np.zeros(len(base), "<f4"), np.zeros(len(base), "<i8")
+    order = stable_order(group, TAILS * lexicon.groups)
+    row, group, number, before, ahead, turn, word_at = (x[order] for x in (row, group, number, before, ahead, turn, word_at))
+    value, seen = np.zeros(len(row), "<f4"), np.zeros(len(row), "<i8")
     rank_of = np.zeros(len(lexicon.words) + 1, np.int64)
     for cut in _cuts(group):
         ranked = sorted(counts.pop(int(group[cut.start]), []))
@@ -597,10 +616,16 @@ def inside_groups(lexicon: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterat
         value[cut] = Group(n).logs(word, before[cut], ahead[cut], row[cut] % 2 == 0)
         seen[cut] = np.append(n, 0)[word]
     seen[number >= 0] = -1
-    order = np.argsort(base, kind="stable")
-    for cut in _cuts(base[order]):
+    order = stable_order(turn, len(bases))
+    told = []
+    for cut in _cuts(turn[order]):
         at = order[cut]
-        yield moved(0, int(base[at[0]]), None, packed(row[at] // 2, value[at], seen[at]))
+        told.append((0, bases[turn[at[0]]], None, packed(row[at] // 2, value[at], seen[at]), None))
+        if len(told) == 64:
+            yield moved(told)
+            told = []
+    if told:
+        yield moved(told)
 
 
 def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, head: int = 1 << 17, members: int = CLASSES * SLOTS, rounds: int = ROUNDS, rows: tuple[int, int, int] = (ONE, PAIR, INNER), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -629,20 +654,27 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, head: int =
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, told.schema) as out:
                 out.write_batch(told)
-            yield moved(base % shards, base, sink.getvalue().to_pybytes())
-            if lexicon.levels:
-                yield from to_groups(lexicon, shards, base, coded, codes, np.array(part.column(2).to_pylist(), bool))
+            more = to_groups(lexicon, shards, base, coded, codes, np.array(part.column(2).to_pylist(), bool)) if lexicon.levels else []
+            yield moved([(base % shards, base, sink.getvalue().to_pybytes(), None, None), *more])
             base += part.num_rows
 
     def of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = sent.value[1]
+        lexicon, found = sent.value[1], []
+
+        def rows() -> pa.RecordBatch:
+            words, group, n = [x[2] for x in found], *np.array([x[:2] for x in found], "<i8").T
+            order = np.argsort(group % shards, kind="stable")
+            ranked = group[order] % shards
+            return moved([(int(ranked[cut.start]), -1, None, packed(group[order[cut]], n[order[cut]]), _joined([words[i] for i in order[cut].tolist()])) for cut in _cuts(ranked)])
+
         for batch in batches:
             words = batch.column(0).to_pylist()
-            found = [(tail_class(x) * lexicon.groups + zlib.crc32(x) % lexicon.groups, c, x) for x, c in zip(words, batch.column(1).to_pylist(), strict=True) if lexicon.number.get(x, lexicon.members) >= lexicon.members]
-            found.sort(key=lambda x: x[0] % shards)
-            for cut in _cuts(np.array([g % shards for g, _, _ in found], np.int64)):
-                some = found[cut]
-                yield moved(some[0][0] % shards, -1, None, packed(*np.array([x[:2] for x in some], "<i8").T), _joined([x[2] for x in some]))
+            found += [(tail_class(x) * lexicon.groups + zlib.crc32(x) % lexicon.groups, c, x) for x, c in zip(words, batch.column(1).to_pylist(), strict=True) if lexicon.number.get(x, lexicon.members) >= lexicon.members]
+            if len(found) > COUNTS_SENT:
+                yield rows()
+                found.clear()
+        if found:
+            yield rows()
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: dict[int, pa.RecordBatch] = {}

@@ -83,3 +83,19 @@ def test_packed_numbers():
     for x, y in zip((a, b, c), M.unpacked(M.packed(a, b, c), "<i4", "<f4", "<i8"), strict=True):
         assert (x == y).all()
     assert [len(x) for x in M.unpacked(M.packed(a[:0], c[:0]), "<i4", "<i8")] == [0, 0]
+
+
+def test_many_batches_travel_in_few_arrow_batches():
+    lexicon = M.Lexicon([], np.zeros(0, np.int64), 0, np.ones(M.TAILS), np.ones(M.TAILS), 1, 4, np.ones((M.TAILS, 4)))
+    rows = []
+    for base in (9, 3, 5, 7):
+        raws = [b"one two three", b"", b"four one"]
+        coded = lexicon.coded(raws)
+        rows += M.to_groups(lexicon, 2, base, coded, lexicon.codes(coded[0], coded[2]), np.zeros(len(raws), bool))
+    batch = M.moved(rows)
+    assert batch.num_rows == len(rows) == 8
+    found = list(M.inside_groups(lexicon, iter([batch])))
+    assert len(found) == 1 and found[0].column(1).to_pylist() == [3, 5, 7, 9]
+    for ints in found[0].column(3).to_pylist():
+        text, _, seen = M.unpacked(ints, "<i4", "<f4", "<i8")
+        assert np.bincount(text).tolist() == [4, 1, 3] and not seen.any()

@@ -25,12 +25,12 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -49,12 +49,38 @@ BLOCK = 1024
 GROUP_WORDS, GROUP_TOKENS, BRANCHES, TASK_TOKENS, GROUP_BATCH = 4096, 1 << 17, 64, 1 << 20, 8192
 #: Words whose counts a task gathers before it sends them to their groups: a few words for each group at a time cost more on the way than they hold.
 COUNTS_SENT = 200_000
+#: Sums of weights up to here either way leave float32 room for the exps of the offsets.
+REACH = 50
 #: Tokens that a training task should at least learn from in a round, as each sends its changes of the tables, a few MB.
 LESSONS = 4 << 20
 
 
-def tokens(raw: bytes) -> list[bytes]:
-    return [*raw.translate(LOWER_ASCII).split(), END]
+#: What parts words, and each byte's being in a word.
+SPACES = b" \t\n\r\x0b\x0c"
+IN_WORD = bytes(b not in SPACES for b in range(256))
+
+
+def tokens(raws: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All tokens of the texts, each different one held once, and how many each text has. No Python object is made for a token."""
+    whole = b" ".join([b"", *raws, b""])
+    inside = np.frombuffer(whole.translate(IN_WORD), bool)
+    starts = np.flatnonzero(inside[1:] > inside[:-1])
+    sizes = np.flatnonzero(inside[1:] < inside[:-1]) - starts
+    ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+    last = np.searchsorted(starts, ends - 1) + np.arange(len(raws))  # where the texts' end tokens stand, of no bytes
+    offsets = np.zeros(len(starts) + len(raws) + 1, np.int64)
+    word = np.ones(len(offsets) - 1, bool)
+    word[last] = False
+    offsets[1:][word] = sizes
+    np.cumsum(offsets, out=offsets)
+    bytes_of = pa.py_buffer(whole.translate(LOWER_ASCII, SPACES))
+    flat = pa.Array.from_buffers(pa.large_binary(), len(word), [None, pa.py_buffer(offsets), bytes_of])
+    return flat.dictionary_encode(), np.diff(last, prepend=-1)
+
+
+def listed(words: pa.Array) -> list[bytes]:
+    """The bytes of an array; several times as fast as to_pylist, which goes by way of a scalar each."""
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,8 +91,9 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     for part in parts(batches):
-        for raw in as_bytes(part.column(0)):
-            seen.update(tokens(raw))
+        flat, _ = tokens(as_bytes(part.column(0)))
+        n = np.bincount(flat.indices, minlength=len(flat.dictionary))
+        seen.update(dict(zip(listed(flat.dictionary), n.tolist(), strict=True)))
         if len(seen) > 300_000:
             yield rows()
             seen.clear()
@@ -105,6 +132,7 @@ class Lexicon:
         self.tail_mass = self.tail_n + self.tail_v + 1.0 if self.mass is None else self.mass.sum(1)
         self.nodes = TAILS * sum(self.branch**i for i in range(self.levels))
         self.number = {w: i for i, w in enumerate(self.words)}
+        self.head = pa.array(self.words, pa.large_binary())
         k = len(self.words)
         rank = np.arange(k)
         self.tail = np.array([tail_class(w) for w in self.words], np.int64)
@@ -114,21 +142,19 @@ class Lexicon:
         own = self.one_rows * 3 // 4  # words with a row of their own; the others share what is left
         self.one = np.where(ids < own, ids, own + _mix(ids.astype(np.uint64)) % np.uint64(self.one_rows - own)).astype(np.int64)
 
-    def coded(self, raws: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def coded(self, raws: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All tokens and how many each text has; per token its number (-1 beyond the head), class, and the numbers of the one and two words before."""
-        split = [tokens(x) for x in raws]
-        flat, k = [w for words in split for w in words], len(self.words)
-        number = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        flat, lengths = tokens(raws)
+        words, k = listed(flat.dictionary), len(self.words)
+        number = np.asarray(pc.index_in(flat.dictionary, self.head).fill_null(-1)).astype(np.int64)
         cls = np.zeros(len(number), np.int64)
         known = number >= 0
         if k:
             cls[known] = self.cls[number[known]]
-        unknown = np.flatnonzero(~known)
-        if len(unknown):
-            last = b"".join([flat[i][-1:] or b"\0" for i in unknown.tolist()])
-            cls[unknown] = CLASSES + np.frombuffer(last, np.uint8) % TAILS
+        cls[~known] = [CLASSES + tail_class(words[i]) for i in np.flatnonzero(~known).tolist()]
         own = np.where(known, number, k + cls - CLASSES)
-        lengths = np.array([len(w) for w in split], np.int64)
+        at = np.asarray(flat.indices)
+        number, cls, own = number[at], cls[at], own[at]
         first = np.cumsum(lengths) - lengths
         before, ahead = np.empty_like(own), np.empty_like(own)
         before[1:], ahead[2:] = own[:-1], own[:-2]
@@ -137,15 +163,17 @@ class Lexicon:
         ahead[second] = k + TAILS
         return flat, lengths, number, cls, before, ahead
 
-    def codes(self, flat: list[bytes], number: np.ndarray) -> np.ndarray:
+    def codes(self, flat: pa.DictionaryArray, number: np.ndarray) -> np.ndarray:
         """A hash of each token."""
-        out = np.zeros(len(number), np.uint32)
-        known = number >= 0
+        at = np.asarray(flat.indices)
+        own = np.empty(len(flat.dictionary), np.int64)
+        own[at] = number
+        out = np.zeros(len(own), np.uint32)
+        known = own >= 0
         if len(self.words):
-            out[known] = self.crc[number[known]]
-        far = np.flatnonzero(~known)
-        out[far] = np.fromiter((zlib.crc32(flat[i]) for i in far.tolist()), np.uint32, len(far))
-        return out
+            out[known] = self.crc[own[known]]
+        out[~known] = [*map(zlib.crc32, listed(flat.dictionary.filter(pa.array(~known))))]
+        return out[at]
 
     def steps(self, tail: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """By level, the node and the branch that lead to the group of words of these tail classes and hashes."""
@@ -193,18 +221,16 @@ def taken(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return table.take(rows, axis=0, mode="clip")
 
 
-def class_logits(w: Weights, rows: np.ndarray) -> np.ndarray:
+def class_logits(w: Weights, rows: np.ndarray, join: np.ufunc = np.add) -> np.ndarray:
     out = taken(w.of_class, rows[0])
-    out += taken(w.of_class, rows[1])
-    out += taken(w.of_class, rows[2])
-    out += w.class_offset
-    return out
+    join(out, taken(w.of_class, rows[1]), out=out)
+    join(out, taken(w.of_class, rows[2]), out=out)
+    return join(out, w.class_offset, out=out)
 
 
-def slot_logits(w: Weights, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+def slot_logits(w: Weights, rows: np.ndarray, cls: np.ndarray, join: np.ufunc = np.add) -> np.ndarray:
     out = taken(w.inside, rows)
-    out += taken(w.slot_offset, cls)
-    return out
+    return join(out, taken(w.slot_offset, cls), out=out)
 
 
 def branch_rows(w: Weights, rows: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
@@ -212,11 +238,10 @@ def branch_rows(w: Weights, rows: np.ndarray, node: np.ndarray) -> list[np.ndarr
     return [(_mix(((feature << 32) + node).astype(np.uint64)) % np.uint64(len(w.between))).astype(np.int64) for feature in rows[:2]]
 
 
-def branch_logits(w: Weights, rows: list[np.ndarray], node: np.ndarray) -> np.ndarray:
+def branch_logits(w: Weights, rows: list[np.ndarray], node: np.ndarray, join: np.ufunc = np.add) -> np.ndarray:
     out = taken(w.between, rows[0])
-    out += taken(w.between, rows[1])
-    out += taken(w.branch_offset, node)
-    return out
+    join(out, taken(w.between, rows[1]), out=out)
+    return join(out, taken(w.branch_offset, node), out=out)
 
 
 def _exp(logits: np.ndarray) -> np.ndarray:
@@ -247,20 +272,57 @@ def log_at(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
     return own - shift - np.log(_totals(logits))
 
 
-def summed(x: np.ndarray, order: np.ndarray, starts: np.ndarray, few: int = 6) -> np.ndarray:
-    """Sums of runs of x's rows taken in order; starts: where each run begins. Short runs are added place by place, which is far quicker than run by run."""
+def put_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """table[at] = rows, each row moved as one item, which takes half the time."""
+    item = np.dtype((np.void, table.itemsize * table.shape[1]))
+    table.view(item).ravel()[at] = np.ascontiguousarray(rows, table.dtype).view(item).ravel()
+
+
+def exps(w: Weights) -> Weights | None:
+    """exp of all tables and offsets, whose products are the exps of the sums: a table has far fewer rows than a batch has tokens. None where a product might
+    leave what float32 holds."""
+    if any(len(t) and terms * max(t.max(), -t.min()) > REACH for t, terms in zip(w.tables(), (3, 1, 2), strict=True)):
+        return None
+    out = Weights.__new__(Weights)
+    out.__dict__ |= {name: np.exp(x) for name, x in w.__dict__.items()}
+    return out
+
+
+def shares(w: Weights, e: Weights | None, logits: Callable, *at: np.ndarray) -> np.ndarray:
+    """Probabilities by the logits of w, or by their exps e."""
+    if e is None:
+        return softmax(logits(w, *at))
+    out = logits(e, *at, np.multiply)
+    out *= (1 / _totals(out))[:, None]
+    return out
+
+
+def log_shares(w: Weights, e: Weights | None, target: np.ndarray, logits: Callable, *at: np.ndarray) -> np.ndarray:
+    """The log-probability of each row's target, likewise."""
+    if e is None:
+        return log_at(logits(w, *at), target)
+    out = logits(e, *at, np.multiply)
+    return np.log(out[np.arange(len(target)), target].astype(np.float64)) - np.log(_totals(out))
+
+
+def summed(x: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of runs of x's rows taken in order; starts: where each run begins. Runs are added place by place while more of them are left than places are
+    done, and the few long ones one by one: either is far quicker than a reduceat."""
     sizes = np.diff(np.append(starts, len(order)))
     out = taken(x, order[starts])
-    more, k = np.flatnonzero(sizes > 1), 1
-    while len(more) and k < few:
-        out[more] += taken(x, order[starts[more] + k])
+    more = np.flatnonzero(sizes > 1)
+    if not len(more):
+        return out
+    falling = more[np.argsort(-sizes[more], kind="stable")]
+    sizes, first = sizes[falling], starts[falling]
+    sums, left, k = taken(out, falling), len(falling), 1
+    while left > k:
+        sums[:left] += taken(x, order[first[:left] + k])
         k += 1
-        more = more[sizes[more] > k]
-    if len(more):
-        rest = sizes[more] - k
-        first = np.cumsum(rest) - rest
-        at = np.arange(rest.sum()) - np.repeat(first - starts[more] - k, rest)
-        out[more] += np.add.reduceat(taken(x, order[at]), first, axis=0)
+        left = int(np.searchsorted(-sizes, -k))
+    for i, a, b in zip(range(left), (first[:left] + k).tolist(), (first[:left] + sizes[:left]).tolist(), strict=True):
+        sums[i] += taken(x, order[a:b]).sum(0)
+    put_rows(out, falling, sums)
     return out
 
 
@@ -268,14 +330,16 @@ def step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.
     """An Adagrad step, one rate a row, on the rows that a batch touches: example i's gradient goes to row rows[i]."""
     if not len(rows):
         return
-    order = np.argsort(rows.astype(np.uint16) if len(table) <= 1 << 16 else rows, kind="stable")
+    order = stable_order(rows, len(table))
     ranked = rows[order]
     starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
     g = summed(gradient, order, starts)
     at = ranked[starts]
     squares[at] += np.einsum("ij,ij->i", g, g)
     g *= (RATE * np.sqrt(table.shape[1]) / np.sqrt(squares[at]))[:, None]
-    table[at] -= g
+    new = taken(table, at)
+    new -= g
+    put_rows(table, at, new)
 
 
 def learn(w: Weights, squares: tuple[np.ndarray, np.ndarray], lexicon: Lexicon, raws: list[bytes]) -> int:
@@ -285,7 +349,8 @@ def learn(w: Weights, squares: tuple[np.ndarray, np.ndarray], lexicon: Lexicon,
     for at in range(0, len(cls), BATCH):
         c = cls[at : at + BATCH]
         rows = features = lexicon.features(before[at : at + BATCH], ahead[at : at + BATCH])
-        p = softmax(class_logits(w, rows))
+        e = exps(w)
+        p = shares(w, e, class_logits, rows)
         p[np.arange(len(c)), c] -= 1
         for feature in rows:
             step(w.of_class, squares[0], feature, p)
@@ -293,7 +358,7 @@ def learn(w: Weights, squares: tuple[np.ndarray, np.ndarray], lexicon: Lexicon,
         if len(inner):
             k = c[inner]
             rows = inner_rows(w, rows[:, inner], k)
-            p = softmax(slot_logits(w, rows, k))
+            p = shares(w, e, slot_logits, rows, k)
             p[np.arange(len(k)), number[at : at + BATCH][inner] // CLASSES] -= 1
             step(w.inside, squares[1], rows, p)
         outer = np.flatnonzero(c >= CLASSES)
@@ -321,18 +386,18 @@ def scored_codes(w: Weights, lexicon: Lexicon, coded: tuple, codes: np.ndarray)
     logs = np.zeros(len(number))
     if len(lexicon.words):
         logs[known] = lexicon.logs[number[known]]
-    value = np.zeros(len(number))
+    value, e = np.zeros(len(number)), exps(w)
     for at in range(0, len(cls), BATCH):
         c = cls[at : at + BATCH]
         rows = lexicon.features(before[at : at + BATCH], ahead[at : at + BATCH])
-        found = log_at(class_logits(w, rows), c)
+        found = log_shares(w, e, c, class_logits, rows)
         inner = np.flatnonzero(c < CLASSES)
         if len(inner):
             k = c[inner]
-            found[inner] += log_at(slot_logits(w, inner_rows(w, rows[:, inner], k), k), number[at : at + BATCH][inner] // CLASSES)
+            found[inner] += log_shares(w, e, number[at : at + BATCH][inner] // CLASSES, slot_logits, inner_rows(w, rows[:, inner], k), k)
         outer = np.flatnonzero(c >= CLASSES)
         for node, branch in lexicon.steps(c[outer] - CLASSES, codes[at : at + BATCH][outer]):
-            found[outer] += log_at(branch_logits(w, branch_rows(w, rows[:, outer], node), node), branch)
+            found[outer] += log_shares(w, e, branch, branch_logits, branch_rows(w, rows[:, outer], node), node)
         value[at : at + BATCH] = found / np.log(10)
     n = len(lengths)
     beyond: list[list[bytes]] = [[] for _ in range(n)]
@@ -342,8 +407,8 @@ def scored_codes(w: Weights, lexicon: Lexicon, coded: tuple, codes: np.ndarray)
     else:
         outer = cls >= CLASSES
         value[outer] += logs[outer] - np.log10(lexicon.tail_mass)[cls[outer] - CLASSES]
-    for i, r in zip(far.tolist(), row[far].tolist(), strict=True):
-        beyond[r].append(flat[i])
+    for word, r in zip(listed(flat.take(pa.array(far)).dictionary_decode()), row[far].tolist(), strict=True):
+        beyond[r].append(word)
     return lengths, np.bincount(row[known], minlength=n), np.bincount(row, logs, n), np.bincount(row, value, n), beyond
 
 
@@ -493,11 +558,12 @@ class Group:
 
 def _own_rows(keys: np.ndarray, teach: np.ndarray) -> tuple[np.ndarray, int]:
     """A row for each different key that teaches, and one that stays zero for all others; how many rows there are."""
-    seen = np.unique(keys[teach])
-    at = np.searchsorted(seen, keys)
-    if len(seen):
-        at[seen[np.minimum(at, len(seen) - 1)] != keys] = len(seen)
-    return at, len(seen) + 1
+    at = np.asarray(pa.array(keys).dictionary_encode().indices)
+    row = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
+    row[at[teach]] = 1
+    taught = np.cumsum(row)
+    n = int(taught[-1]) if len(taught) else 0
+    return np.where(row > 0, taught - 1, n)[at], n + 1
 
 
 #: Kept, as making one anew takes a good part of the time that a short batch does.
@@ -567,9 +633,10 @@ def to_groups(lexicon: Lexicon, shards: int, base: int, coded: tuple, codes: np.
     group, outer = group[order], outer[order]
     table = [(row[outer] * 2 + held[row[outer]]).astype("<i4"), group.astype("<i4"), number[outer].astype("<i4"), before[outer], ahead[outer]]
     out = []
+    words, at = flat.dictionary.to_numpy(zero_copy_only=False), np.asarray(flat.indices)
     for cut in _cuts(group % shards):
         far = outer[cut][number[outer[cut]] < 0]
-        out.append((int(group[cut.start] % shards), base, None, packed(*[x[cut] for x in table]), _joined([flat[i] for i in far.tolist()])))
+        out.append((int(group[cut.start] % shards), base, None, packed(*[x[cut] for x in table]), _joined(words[at[far]].tolist())))
     return out
 
 

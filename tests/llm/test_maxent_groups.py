@@ -99,3 +99,53 @@ def test_many_batches_travel_in_few_arrow_batches():
     for ints in found[0].column(3).to_pylist():
         text, _, seen = M.unpacked(ints, "<i4", "<f4", "<i8")
         assert np.bincount(text).tolist() == [4, 1, 3] and not seen.any()
+
+
+def test_tokens_are_those_of_a_plain_split_each_held_once():
+    r = random.Random(3)
+    raws = [b"", b" ", b"\t a\r\nB\x0bb\x0cB ", "Über x \x1cz\x85 über".encode(), b"a", *(bytes(r.choice(b"aB \n\xff") for _ in range(r.randint(0, 30))) for _ in range(300))]
+    flat, lengths = M.tokens(raws)
+    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+    want = [[*x.translate(lower).split(), M.END] for x in raws]
+    assert lengths.tolist() == [*map(len, want)] and flat.to_pylist() == [w for x in want for w in x]
+    assert len(flat.dictionary) == len({w for x in want for w in x})
+    assert [len(x) for x in M.tokens([])] == [0, 0]
+
+
+def small_model():
+    counts = np.arange(300, 0, -1)
+    lexicon = M.Lexicon([f"w{i}".encode() for i in range(300)], counts, 200, np.full(M.TAILS, 500.0), np.full(M.TAILS, 9.0), 1, 4, np.ones((M.TAILS, 4)), 64, 64, 64)
+    r = random.Random(8)
+    return lexicon, M.Weights(lexicon), [" ".join(f"w{r.randrange(320)}" for _ in range(20000)).encode()]
+
+
+def test_exps_follow_the_tables_not_the_tokens(monkeypatch):
+    lexicon, w, raws = small_model()
+    seen = []
+    monkeypatch.setattr(np, "exp", lambda x, *a, f=np.exp, **b: (seen.append(x.size), f(x, *a, **b))[1])
+    assert M.scored(w, lexicon, raws)[0].tolist() == [20001]
+    assert sum(seen) < 3 * sum(t.size for t in w.tables()) < 20001 * 40 / 2  # one for each class and token before
+
+
+def test_products_of_exps_are_exps_of_sums_and_large_weights_go_by_their_logits():
+    lexicon, w, raws = small_model()
+    M.learn(w, tuple(np.full(len(t), 1e-2, np.float32) for t in w.tables()), lexicon, raws)
+    e, r = M.exps(w), np.random.default_rng(2)
+    rows, cls = r.integers(0, 64, (3, 500)), r.integers(0, M.CLASSES, 500)
+    for logits, at, k in ((M.class_logits, [rows], 40), (M.slot_logits, [rows[0], cls], 6), (M.branch_logits, [rows, r.integers(0, 8, 500)], 4)):
+        target = r.integers(0, k, 500)
+        assert np.allclose(M.shares(w, e, logits, *at), M.softmax(logits(w, *at)), rtol=1e-4, atol=1e-9)
+        assert np.allclose(M.log_shares(w, e, target, logits, *at), M.log_at(logits(w, *at), target), atol=1e-4)
+    w.of_class *= 1e4
+    assert M.exps(w) is None
+    assert np.isfinite(M.scored(w, lexicon, raws)[3]).all() and np.isfinite(M.shares(w, None, M.class_logits, rows)).all()
+
+
+def test_rows_of_their_own_for_keys_that_teach():
+    r = np.random.default_rng(4)
+    keys, teach = r.integers(0, 50, 400).astype(np.uint64) << np.uint64(40), r.random(400) < 0.2
+    rows, n = M._own_rows(keys, teach)
+    own = {*keys[teach].tolist()}
+    assert n == len(own) + 1 and len({*zip(keys[teach].tolist(), rows[teach].tolist(), strict=True)}) == len(own) == len({*rows[teach].tolist()})
+    assert all((row == n - 1) == (key not in own) for key, row in zip(keys.tolist(), rows.tolist(), strict=True))
+    assert M._own_rows(keys, np.zeros(400, bool))[1] == 1
